@@ -114,17 +114,23 @@ def year_label_totals(df: DataFrame, label_col: str = "concept",
     return filters.exclude_labels(out, exclude, "label") if exclude else out
 
 
-def category_rank(by_cat_year: DataFrame) -> DataFrame:
-    """H4: order categories by their total over all years (stacked bars).
+def category_rank(df: DataFrame) -> DataFrame:
+    """H4: expenses per category and year, with categories ordered by their
+    total over all years (the stacked bars' axis order).
 
-    Category totals are a separate aggregate of the (small) breakdown, ranked
-    with one global window over one row per category.
+    Both levels are exact sums; the ranking window runs over one row per
+    category (the vocabulary size), never over ledger rows.
     """
-    totals = by_cat_year.groupBy("category").agg(F.sum("amount").alias("category_total"))
+    exp = filters.expenses(df).filter(F.col("category").isNotNull() & F.col("date").isNotNull())
+    by = exp.groupBy("category", year_text("date").alias("year")).agg(
+        F.abs(F.sum("amount")).alias("_amt"))
+    totals = by.groupBy("category").agg(F.sum("_amt").alias("_tot"))
     ranked = totals.withColumn(
         "category_rank",
-        F.dense_rank().over(Window.orderBy(F.desc("category_total"), "category")).cast("int"))
-    return (by_cat_year.join(ranked, "category", "inner")
+        F.dense_rank().over(Window.orderBy(F.desc("_tot"), "category")).cast("int"))
+    return (by.join(ranked, "category", "inner")
+            .select("category", "year", money_out("_amt").alias("amount"),
+                    money_out("_tot").alias("category_total"), "category_rank")
             .orderBy("category_rank", "year"))
 
 

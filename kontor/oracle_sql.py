@@ -60,3 +60,173 @@ SELECT bank, CAST(date_trunc('month', "date") AS DATE) AS month,
        CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount
 FROM ledger WHERE {NO_TRANSFERS} AND "date" IS NOT NULL
 GROUP BY ALL""")
+
+BASE_ONLY = "bank NOT IN ('Bank3')"   # the stand-in bank table gives Bank3 another currency
+VOCAB = ", ".join(_lit(c) for c in __import__(
+    "kontor.operators.fixed_values", fromlist=["x"]).DEFAULT_VOCABULARY)
+
+SQL["totals_in_out"] = with_ledger(f"""
+SELECT CAST(coalesce(sum(amount) FILTER (WHERE amount > 0), 0) AS DOUBLE) AS total_income,
+       CAST(abs(coalesce(sum(amount) FILTER (WHERE amount < 0), 0)) AS DOUBLE) AS total_expenses
+FROM ledger WHERE {NO_TRANSFERS} AND {BASE_ONLY}""")
+
+SQL["expenses_by_category"] = with_ledger(f"""
+SELECT bank, category, CAST(abs(sum(amount)) AS DOUBLE) AS amount
+FROM ledger WHERE {NO_TRANSFERS} AND amount < 0 GROUP BY bank, category""")
+
+SQL["income_by_category"] = with_ledger(f"""
+SELECT bank, category, CAST(sum(amount) AS DOUBLE) AS amount
+FROM ledger WHERE {NO_TRANSFERS} AND amount > 0 GROUP BY bank, category""")
+
+SQL["monthly_net"] = with_ledger(f"""
+SELECT CAST(date_trunc('month', "date") AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS amount
+FROM ledger WHERE {NO_TRANSFERS} AND bank = 'Bank1' GROUP BY 1""")
+
+SQL["expenses_by_category_year"] = with_ledger(f"""
+SELECT category, CAST(year("date") AS VARCHAR) AS year, CAST(abs(sum(amount)) AS DOUBLE) AS amount
+FROM ledger WHERE {NO_TRANSFERS} AND {BASE_ONLY} AND amount < 0 GROUP BY 1, 2""")
+
+SQL["income_by_category_year"] = with_ledger(f"""
+SELECT category, CAST(year("date") AS VARCHAR) AS year, CAST(sum(amount) AS DOUBLE) AS amount
+FROM ledger WHERE {NO_TRANSFERS} AND {BASE_ONLY} AND amount > 0 GROUP BY 1, 2""")
+
+SQL["eod_balance"] = with_ledger("""
+SELECT bank, CAST("date" AS DATE) AS "date",
+       CAST(arg_max(balance, row("date", src_file, src_row)) AS DOUBLE) AS balance
+FROM ledger WHERE balance IS NOT NULL GROUP BY bank, CAST("date" AS DATE)""")
+
+SQL["eod_balance_chart"] = with_ledger(f"""
+SELECT bank, CAST("date" AS DATE) AS "date",
+       CAST(arg_min(balance, row("date", -balance)) AS DOUBLE) AS balance
+FROM ledger WHERE balance IS NOT NULL AND category IN ({VOCAB})
+GROUP BY bank, CAST("date" AS DATE)""")
+
+SQL["latest_balance"] = with_ledger("""
+SELECT bank, CAST(arg_max(balance, row("date", src_file, src_row)) AS DOUBLE) AS balance
+FROM ledger WHERE balance IS NOT NULL GROUP BY bank""")
+
+SQL["movement_summary"] = with_ledger("""
+, sides AS (
+  SELECT bank, CASE WHEN amount >= 0 THEN 'income' ELSE 'expenses' END AS side,
+         abs(amount) AS a, strftime("date", '%Y-%m') AS ym, CAST(year("date") AS VARCHAR) AS y
+  FROM ledger WHERE amount IS NOT NULL)
+SELECT bank, side, CAST(sum(a) AS DOUBLE) AS total,
+       count(DISTINCT ym) AS n_months, count(DISTINCT y) AS n_years,
+       CAST(sum(a) AS DOUBLE) / CAST(count(DISTINCT ym) AS DOUBLE) AS monthly_avg,
+       CAST(sum(a) AS DOUBLE) / CAST(count(DISTINCT y) AS DOUBLE) AS yearly_avg
+FROM sides GROUP BY bank, side""")
+
+SQL["category_share"] = with_ledger(f"""
+, cats AS (SELECT bank, category, abs(sum(amount)) AS c FROM ledger
+           WHERE {NO_TRANSFERS} AND amount < 0 GROUP BY bank, category)
+SELECT bank, category, CAST(c AS DOUBLE) AS amount,
+       CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY bank) AS DOUBLE) AS share
+FROM cats""")
+
+SQL["date_bounds"] = with_ledger("""
+SELECT CAST(min("date") AS DATE) AS start_date, CAST(max("date") AS DATE) AS end_date FROM ledger""")
+
+SQL["banks_years"] = with_ledger("""
+SELECT DISTINCT bank, CAST(year("date") AS VARCHAR) AS year FROM ledger""")
+
+
+def _rewrite_sql(src: str) -> str:
+    """Nested subqueries, one per rewrite rule (each reads the previous label)."""
+    from kontor.sources.standin import standin_rewrites
+    q = f"SELECT *, concept AS label FROM {src}"
+    for r in standin_rewrites():
+        conds = []
+        if r.pattern is not None:
+            conds.append(f"coalesce(regexp_matches(label, {_lit(r.pattern)}), false)")
+        if r.min_abs is not None:
+            conds.append(f"coalesce(abs(amount) >= {r.min_abs}, false)")
+        if r.eq_abs is not None:
+            conds.append(f"coalesce(abs(amount) = {r.eq_abs}, false)")
+        if conds:
+            q = (f"SELECT * REPLACE (CASE WHEN {' AND '.join(conds)} THEN {_lit(r.label)} "
+                 f"ELSE label END AS label) FROM ({q})")
+    return q
+
+
+SQL["label_totals"] = with_ledger(f"""
+SELECT label, CAST(sum(amount) AS DOUBLE) AS amount FROM ({_rewrite_sql('ledger')})
+WHERE label IS NOT NULL GROUP BY label""")
+
+SQL["year_label_totals"] = with_ledger(f"""
+SELECT * FROM (
+  SELECT CAST(year("date") AS VARCHAR) AS year, label, CAST(sum(amount) AS DOUBLE) AS amount
+  FROM ({_rewrite_sql('ledger')}) WHERE label IS NOT NULL GROUP BY 1, 2)
+WHERE label NOT IN ('urgent')""")
+
+TX_ID = """md5(bank || '|' || strftime("date", '%Y-%m-%dT%H:%M:%S')
+    || CASE WHEN strftime("date", '%f') = '000000' THEN '' ELSE '.' || strftime("date", '%f') END
+    || '|' || concept || '|' || CAST(CAST(amount AS DOUBLE) AS VARCHAR))"""
+
+VIEW = f"""
+, view AS (
+  SELECT bank, {TX_ID} AS tx_id, strftime("date", '%Y-%m-%d') AS "date", concept,
+         CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
+         CASE WHEN category IN ({VOCAB}) THEN category ELSE 'other' END AS category
+  FROM ledger)"""
+
+SQL["movements_view"] = with_ledger(VIEW + "\nSELECT * FROM view")
+
+SQL["search_movements"] = with_ledger(VIEW + """
+SELECT * FROM view
+WHERE contains(lower("date"), '-0') AND contains(lower(concept), 'high')
+  AND contains(regexp_replace(CAST(amount AS VARCHAR), '\\.0$', ''), '5')
+  AND contains(lower(category), 'e')""")
+
+SQL["category_year_filter"] = with_ledger("""
+SELECT bank, src_row, category, CAST(amount AS DOUBLE) AS amount,
+       CAST(year("date") AS VARCHAR) AS year
+FROM ledger WHERE category IN ('rent', 'fuel', 'other')
+  AND CAST(year("date") AS VARCHAR) IN ('1996', '1997', '2000')""")
+
+SQL["date_range"] = with_ledger("""
+SELECT bank, src_row, "date", CAST(amount AS DOUBLE) AS amount FROM ledger
+WHERE CAST("date" AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1998-06-30'""")
+
+SQL["hide_transfers"] = with_ledger(f"""
+SELECT bank, src_row, category FROM ledger WHERE {NO_TRANSFERS}""")
+
+SQL["base_currency_only"] = with_ledger("""
+, dim AS (SELECT 'Bank3' AS bank, '₡' AS currency)
+SELECT l.bank, coalesce(dim.currency, '€') AS currency,
+       CAST(coalesce(sum(amount) FILTER (WHERE amount > 0), 0) AS DOUBLE) AS total_income,
+       CAST(abs(coalesce(sum(amount) FILTER (WHERE amount < 0), 0)) AS DOUBLE) AS total_expenses
+FROM ledger l LEFT JOIN dim USING (bank)
+WHERE coalesce(dim.currency, '€') = '€'
+GROUP BY l.bank, coalesce(dim.currency, '€')""")
+
+SQL["category_rank"] = with_ledger(f"""
+, by_cy AS (SELECT category, CAST(year("date") AS VARCHAR) AS year, abs(sum(amount)) AS a
+            FROM ledger WHERE {NO_TRANSFERS} AND {BASE_ONLY} AND amount < 0 GROUP BY 1, 2),
+tot AS (SELECT category, sum(a) AS t FROM by_cy GROUP BY 1)
+SELECT category, year, CAST(a AS DOUBLE) AS amount, CAST(t AS DOUBLE) AS category_total,
+       CAST(dense_rank() OVER (ORDER BY t DESC, category) AS INTEGER) AS category_rank
+FROM by_cy JOIN tot USING (category)""")
+
+SQL["tx_id"] = with_ledger(f"SELECT bank, src_row, {TX_ID} AS tx_id FROM ledger")
+
+SQL["dedup"] = with_ledger("""
+, both_exports AS (
+  SELECT "date", concept, amount, balance, bank, category, src_file, src_row FROM ledger
+  UNION ALL
+  SELECT "date" + INTERVAL 2 HOUR, concept, amount,
+         CASE WHEN NOT contains(concept, '3-MEDIUM') THEN balance END,
+         bank, category, 'orders_reexport', src_row FROM ledger),
+keyed AS (
+  SELECT *, row_number() OVER (
+      PARTITION BY bank, balance IS NOT NULL, amount,
+                   CASE WHEN balance IS NOT NULL THEN balance END,
+                   CASE WHEN balance IS NULL THEN "date" END,
+                   CASE WHEN balance IS NULL THEN concept END
+      ORDER BY "date", src_file, src_row) AS rn
+  FROM both_exports)
+SELECT "date", concept, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
+       bank, category, src_file, src_row
+FROM keyed WHERE rn = 1""")
+
+SQL["running_balance"] = with_ledger("""
+SELECT bank, src_row, CAST(balance AS DOUBLE) AS balance FROM ledger""")

@@ -10,25 +10,222 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kontor.operators import filters, report
+from kontor.functions.money import money_out
+from kontor.operators import filters, identity, report
+from kontor.operators.balance import running_balance
+from kontor.operators.categorize import sequential_rewrite
 from kontor.operators.ledger import build_ledger
-from kontor.sources import standin
+from kontor.sources import standin as S
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def register(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
 
 
 def ledger(spark: SparkSession, d: str, with_balance: bool = True) -> DataFrame:
     """The stand-in ledger: orders as movements, stand-in rules, running balance."""
-    return build_ledger(standin.orders_movements(spark, d), standin.STANDIN_RULES,
+    return build_ledger(S.orders_movements(spark, d), S.STANDIN_RULES,
                         with_balance=with_balance)
 
 
-def monthly_net_by_bank(spark: SparkSession, d: str) -> DataFrame:
+def _money_cols(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, money_out(c))
+    return df
+
+
+# ------------------------------------------------------------ step 0-1: reports
+@register
+def monthly_net_by_bank(spark, d):
     """F5 after C2: net cash flow per account and month, transfers hidden."""
     return report.monthly_net_by_bank(filters.hide_transfers(ledger(spark, d, False)))
 
 
-QUERIES: dict[str, Query] = {
-    "monthly_net_by_bank": monthly_net_by_bank,
-}
+@register
+def totals_in_out(spark, d):
+    """F1 over base-currency accounts (C11), transfers hidden."""
+    lg = filters.hide_transfers(ledger(spark, d, False))
+    return report.totals_in_out(report.base_currency_only(lg, S.bank_currency(spark)))
+
+
+@register
+def expenses_by_category(spark, d):
+    """F2 per account, transfers hidden."""
+    return report.expenses_by_category(filters.hide_transfers(ledger(spark, d, False)))
+
+
+@register
+def income_by_category(spark, d):
+    """F3 per account, transfers hidden, ascending."""
+    return report.income_by_category(filters.hide_transfers(ledger(spark, d, False)))
+
+
+@register
+def monthly_net(spark, d):
+    """F4 for one account (C14), transfers hidden."""
+    lg = filters.one_bank(filters.hide_transfers(ledger(spark, d, False)), S.STANDIN_CHART_BANK)
+    return report.monthly_net(lg)
+
+
+@register
+def expenses_by_category_year(spark, d):
+    """F6 over base-currency accounts, transfers hidden."""
+    lg = report.base_currency_only(filters.hide_transfers(ledger(spark, d, False)),
+                                   S.bank_currency(spark))
+    return report.expenses_by_category_year(lg)
+
+
+@register
+def income_by_category_year(spark, d):
+    """F7 over base-currency accounts, transfers hidden."""
+    lg = report.base_currency_only(filters.hide_transfers(ledger(spark, d, False)),
+                                   S.bank_currency(spark))
+    return report.income_by_category_year(lg)
+
+
+@register
+def eod_balance(spark, d):
+    """F8: end-of-day balance per account (unfiltered ledger)."""
+    return report.eod_balance(ledger(spark, d))
+
+
+@register
+def eod_balance_chart(spark, d):
+    """the account chart's end-of-day balance: categories in the vocabulary
+    (C7), every year selected (C5)."""
+    lg = filters.in_selection(ledger(spark, d), categories=report.DEFAULT_VOCABULARY)
+    return report.eod_balance_chart(lg)
+
+
+@register
+def latest_balance(spark, d):
+    """last known balance per account."""
+    return report.latest_balance(ledger(spark, d))
+
+
+@register
+def movement_summary(spark, d):
+    """income/expense totals and per-active-month/year averages per account."""
+    return report.movement_summary(ledger(spark, d, False))
+
+
+@register
+def category_share(spark, d):
+    """each category's share of the account's expenses, transfers hidden."""
+    return report.category_share(filters.hide_transfers(ledger(spark, d, False)))
+
+
+@register
+def date_bounds(spark, d):
+    """first and last day of the ledger."""
+    return report.date_bounds(ledger(spark, d, False))
+
+
+@register
+def banks_years(spark, d):
+    """distinct (account, year) pairs, years as text."""
+    return report.distinct_years(ledger(spark, d, False))
+
+
+@register
+def label_totals(spark, d):
+    """D3/D4 sequential label rewrite, then F12 totals per label."""
+    lg = sequential_rewrite(ledger(spark, d, False), S.standin_rewrites(), "concept")
+    return report.label_totals(lg)
+
+
+@register
+def year_label_totals(spark, d):
+    """D3/D4, then F13 totals per year and label, C12 excluded labels."""
+    lg = sequential_rewrite(ledger(spark, d, False), S.standin_rewrites(), "concept")
+    return report.year_label_totals(lg, exclude=S.STANDIN_EXCLUDED_LABELS)
+
+
+# ------------------------------------------------------- step 2: filters, views
+@register
+def movements_view(spark, d):
+    """B5/H2 with B3 ids: the editable movements table of every account."""
+    return report.movements_view(identity.with_tx_id(ledger(spark, d)))
+
+
+@register
+def search_movements(spark, d):
+    """The table's per-column search boxes, ANDed."""
+    view = report.movements_view(identity.with_tx_id(ledger(spark, d)), sort=False)
+    return filters.search(view, S.STANDIN_SEARCH)
+
+
+@register
+def category_year_filter(spark, d):
+    """Category and year checklists."""
+    lg = filters.in_selection(ledger(spark, d, False), S.STANDIN_CATEGORY_SELECTION,
+                              S.STANDIN_YEAR_SELECTION)
+    return _money_cols(lg.select("bank", "src_row", "category", "amount",
+                                 F.year("date").cast("string").alias("year")), "amount")
+
+
+@register
+def date_range(spark, d):
+    """Movements whose calendar day is within the sidebar range."""
+    lg = filters.date_range(ledger(spark, d, False), *S.STANDIN_DATE_RANGE)
+    return _money_cols(lg.select("bank", "src_row", "date", "amount"), "amount")
+
+
+@register
+def hide_transfers(spark, d):
+    """Movements that are not transfers between own accounts."""
+    return filters.hide_transfers(ledger(spark, d, False)).select("bank", "src_row", "category")
+
+
+@register
+def base_currency_only(spark, d):
+    """Per-account currency from the bank table, totals over the
+    base-currency accounts only."""
+    bc = S.bank_currency(spark)
+    lg = report.with_currency(ledger(spark, d, False), bc)
+    lg = report.base_currency_only(lg, bc)
+    return (lg.groupBy("bank", "currency")
+            .agg(money_out(F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))),
+                                      F.lit(0))).alias("total_income"),
+                 money_out(F.abs(F.coalesce(F.sum(F.when(F.col("amount") < 0, F.col("amount"))),
+                                            F.lit(0)))).alias("total_expenses")))
+
+
+@register
+def category_rank(spark, d):
+    """H4: expense categories ordered by their total over all years."""
+    lg = report.base_currency_only(filters.hide_transfers(ledger(spark, d, False)),
+                                   S.bank_currency(spark))
+    return report.category_rank(lg)
+
+
+# -------------------------------------------------------------- step 3: identity
+@register
+def tx_id(spark, d):
+    """The stable id of every movement."""
+    return identity.with_tx_id(ledger(spark, d, False)).select("bank", "src_row", "tx_id")
+
+
+@register
+def dedup(spark, d):
+    """G1 over two exports of the same history (the re-export has shifted times
+    and no balance on some rows): first copy in ledger order is kept."""
+    lg = ledger(spark, d)
+    both = lg.unionByName(S.reexport(lg))
+    return _money_cols(identity.dedup(both), "amount", "balance")
+
+
+@register
+def running_balance_q(spark, d):
+    """Balance after each movement from the signed amounts."""
+    mv = S.orders_movements(spark, d)
+    return _money_cols(running_balance(mv).select("bank", "src_row", "balance"), "balance")
+
+
+QUERIES["running_balance"] = QUERIES.pop("running_balance_q")

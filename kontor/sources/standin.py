@@ -55,3 +55,45 @@ def orders_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("orders").alias("src_file"),
         F.col("o_orderkey").cast("long").alias("src_row"),
     )
+
+
+# ---- stand-in parameters (user choices in the app: filters, selections, tables) ----
+STANDIN_AS_OF = "2001-08-01"              # "today" for the forecast (C9)
+STANDIN_BANK_CURRENCY = {"Bank3": "₡"}     # bank table: Bank3 keeps another currency
+STANDIN_DATE_RANGE = ("1996-03-01", "1998-06-30")
+STANDIN_CATEGORY_SELECTION = ["rent", "fuel", "other"]
+STANDIN_YEAR_SELECTION = ["1996", "1997", "2000"]
+STANDIN_SEARCH = {"date": "-0", "concept": "high", "amount": "5", "category": "e"}
+STANDIN_CHART_BANK = "Bank1"
+STANDIN_EXCLUDED_LABELS = ["urgent"]
+
+
+def bank_currency(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(STANDIN_BANK_CURRENCY.items()),
+                                 "bank string, currency string")
+
+
+def reexport(ledger: DataFrame) -> DataFrame:
+    """A second export of the same account history, as banks produce when a
+    period is downloaded twice: times shifted by two hours, another file name,
+    and no balance column for the '3-MEDIUM' rows (a layout without balances).
+    """
+    return (ledger
+            .withColumn("date", F.col("date") + F.expr("INTERVAL 2 HOURS"))
+            .withColumn("src_file", F.lit("orders_reexport"))
+            .withColumn("balance", F.when(~F.col("concept").contains("3-MEDIUM"),
+                                          F.col("balance"))))
+
+
+def standin_rewrites():
+    """Invented label rewrites for the notebook-style totals (D3/D4): regexes,
+    case-sensitive, each seeing the labels left by the ones before it."""
+    from kontor.operators.categorize import RewriteRule
+    return [
+        RewriteRule("urgent orders", pattern="URGENT"),
+        RewriteRule("big high", pattern="HIGH", min_abs=300000.0),
+        RewriteRule("urgent", pattern="^urgent"),
+        RewriteRule("industrial", pattern="BUILDING|MACHINERY"),
+        RewriteRule("cars", pattern="AUTO.OBILE"),
+        RewriteRule("small low", pattern="LOW", min_abs=0.0, eq_abs=None),
+    ]
