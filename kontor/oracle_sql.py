@@ -230,3 +230,168 @@ FROM keyed WHERE rn = 1""")
 
 SQL["running_balance"] = with_ledger("""
 SELECT bank, src_row, CAST(balance AS DOUBLE) AS balance FROM ledger""")
+
+# ------------------------------------------------------------ categorisation
+from kontor.operators.fixed_values import DEFAULT_RULES  # noqa: E402
+
+SQL["categorize_ledger"] = "WITH " + MOVEMENTS + f"""
+SELECT bank, src_row, {rules_case(STANDIN_RULES, 'concept')} AS category FROM movements"""
+
+SQL["categorize_text"] = f"""
+SELECT doc_id, {rules_case(DEFAULT_RULES, 'text')} AS category FROM documents"""
+
+SQL["type_override"] = f"""
+WITH card AS (
+  SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Card Payment' WHEN '2-HIGH' THEN 'Topup'
+              WHEN '3-MEDIUM' THEN 'ATM' WHEN '4-NOT SPECIFIED' THEN 'Card Refund'
+              WHEN '5-LOW' THEN 'Exchange' END AS typ,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS started,
+         concat_ws(' ', c_mktsegment, c_name) AS description,
+         CAST(CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END
+                   AS DECIMAL(18,2)) AS VARCHAR) AS amount_txt,
+         CASE WHEN o_orderstatus = 'P' THEN 'REVERTED' ELSE 'COMPLETED' END AS state,
+         CAST(o_orderkey AS BIGINT) AS src_row
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+parsed AS (
+  SELECT src_row, typ,
+         coalesce(try_strptime(trim(started), '%Y-%m-%d %H:%M:%S'),
+                  try_strptime(trim(started), '%Y-%m-%dT%H:%M:%S'),
+                  try_strptime(trim(started), '%Y-%m-%d %H:%M'),
+                  try_strptime(trim(started), '%Y-%m-%d')) AS "date",
+         trim(coalesce(description, 'nan')) AS concept,
+         TRY_CAST(replace(trim(amount_txt), ',', '') AS DECIMAL(18,2)) AS amount
+  FROM card WHERE state = 'COMPLETED')
+SELECT src_row, "date", concept, CAST(amount AS DOUBLE) AS amount,
+       CASE typ WHEN 'Topup' THEN 'own transfer' WHEN 'ATM' THEN 'atm'
+                WHEN 'Card Refund' THEN 'refund' WHEN 'Exchange' THEN 'exchange'
+                ELSE {rules_case(DEFAULT_RULES, 'concept')} END AS category
+FROM parsed"""
+
+SQL["sequential_rewrite"] = with_ledger(
+    f"SELECT bank, src_row, label FROM ({_rewrite_sql('ledger')})")
+
+# ----------------------------------------------------------------- overrides
+IDS = f"""
+, ids AS (SELECT *, {TX_ID} AS tx_id FROM ledger),
+ov AS (
+  SELECT DISTINCT tx_id,
+         CASE WHEN contains(concept, '1-URGENT') THEN 'refund'
+              WHEN contains(concept, '2-HIGH') THEN 'accommodation'
+              WHEN contains(concept, '3-MEDIUM') THEN 'other'
+              ELSE lower(split_part(concept, ' ', 1)) END AS category
+  FROM ids WHERE src_row IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+learned AS (
+  SELECT prefix, min(category) AS category FROM (
+    SELECT substr(ck, 1, L) AS prefix, category
+    FROM (SELECT lower(trim(coalesce(c.concept, 'nan'))) AS ck, ov.category
+          FROM (SELECT tx_id, max(concept) AS concept FROM ids GROUP BY tx_id) c
+          JOIN ov USING (tx_id)
+          WHERE ov.category IS NOT NULL AND ov.category <> 'other'),
+         generate_series(5, 30) AS t(L)
+    WHERE L <= length(ck))
+  GROUP BY prefix HAVING count(DISTINCT category) = 1),
+edits AS (
+  SELECT l_shipdate AS at_, l_orderkey AS ord, l_linenumber AS line, ids.bank, ids.tx_id,
+         lower(p_type) AS category
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN ids ON l_orderkey = ids.src_row
+  WHERE l_quantity >= 50),
+bulk AS (
+  SELECT tx_id, arg_max(category, row(at_, ord, line)) AS category FROM (
+    SELECT r.tx_id, e.at_, e.ord, e.line, e.category
+    FROM (SELECT bank, tx_id, lower(trim(coalesce(concept, 'nan'))) AS ck FROM ids) r
+    JOIN (SELECT edits.*, substr(lower(trim(coalesce(c.concept, 'nan'))), 1, 20) AS prefix
+          FROM edits JOIN (SELECT tx_id, max(concept) AS concept FROM ids GROUP BY tx_id) c
+          USING (tx_id)) e
+      ON r.bank = e.bank AND length(e.prefix) > 0 AND starts_with(r.ck, e.prefix)
+    UNION ALL
+    SELECT tx_id, at_, ord, line, category FROM edits)
+  GROUP BY tx_id),
+log AS (
+  SELECT CAST(strftime(l_shipdate, '%Y%m%d') AS BIGINT) AS version, ids.tx_id,
+         max(lower(p_type)) AS category
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN ids ON l_orderkey = ids.src_row
+  WHERE l_quantity >= 50 GROUP BY 1, 2)"""
+
+SQL["apply_overrides"] = with_ledger(IDS + """
+SELECT bank, src_row,
+       CASE WHEN coalesce(ov.category, ids.category, 'other') = 'accommodation' THEN 'other'
+            ELSE coalesce(ov.category, ids.category, 'other') END AS category
+FROM ids LEFT JOIN ov USING (tx_id)""")
+
+SQL["learn_prefix_rules"] = with_ledger(IDS + "\nSELECT prefix, category FROM learned")
+
+SQL["auto_classify"] = with_ledger(IDS + """
+, cand AS (SELECT tx_id, lower(trim(coalesce(concept, 'nan'))) AS ck FROM ids
+           WHERE tx_id NOT IN (SELECT tx_id FROM ov)),
+best AS (
+  SELECT ck, arg_max(l.category, L) AS category
+  FROM (SELECT DISTINCT ck FROM cand), generate_series(5, 30) AS t(L)
+  JOIN learned l ON l.prefix = substr(ck, 1, L)
+  WHERE L <= length(ck) GROUP BY ck)
+SELECT tx_id, max(best.category) AS category FROM cand JOIN best USING (ck) GROUP BY tx_id""")
+
+SQL["bulk_apply"] = with_ledger(IDS + "\nSELECT tx_id, category FROM bulk")
+
+SQL["merge_overrides"] = with_ledger(IDS + """
+SELECT tx_id, arg_max(category, p) AS category FROM (
+  SELECT tx_id, category, 0 AS p FROM ov UNION ALL SELECT tx_id, category, 1 FROM bulk)
+GROUP BY tx_id""")
+
+SQL["overrides_asof"] = with_ledger(IDS + """
+SELECT tx_id, arg_max(category, version) AS category FROM log WHERE version <= 19990101
+GROUP BY tx_id""")
+
+SQL["override_retention"] = with_ledger(IDS + """
+SELECT version, tx_id, category FROM log
+WHERE version IN (SELECT DISTINCT version FROM log ORDER BY version DESC LIMIT 200)""")
+
+SQL["vocabulary_merge"] = f"""
+WITH vocab AS (SELECT unnest([{VOCAB}]) AS category),
+names AS (SELECT ' ' || p_type AS name FROM part UNION ALL SELECT c_mktsegment FROM customer),
+cand AS (SELECT DISTINCT lower(trim(name)) AS category FROM names
+         WHERE name IS NOT NULL AND lower(trim(name)) <> '')
+SELECT category, false AS is_new FROM vocab
+UNION ALL
+SELECT category, true AS is_new FROM cand
+WHERE category NOT IN (SELECT lower(category) FROM vocab)"""
+
+# ------------------------------------------------------------------ forecast
+MONTHLY = """
+, hist AS (
+  SELECT bank, CAST(date_trunc('month', "date") AS DATE) AS month, category, amount
+  FROM ledger
+  WHERE coalesce(category IN ('own transfer', 'transfer'), false) = false
+    AND CAST("date" AS DATE) < DATE '2001-08-01'),
+monthly AS (SELECT bank, month, category, coalesce(sum(amount), 0) AS net
+            FROM hist GROUP BY bank, month, category),
+lat AS (SELECT bank, max(month) AS latest FROM monthly GROUP BY bank),
+win AS (SELECT m.bank, m.month, m.category, m.net FROM monthly m JOIN lat USING (bank)
+        WHERE m.month >= lat.latest - INTERVAL 23 MONTH AND m.category IS NOT NULL)"""
+
+SQL["monthly_by_category"] = with_ledger(MONTHLY + """
+SELECT bank, month, category, CAST(net AS DOUBLE) AS net FROM win""")
+
+SQL["forecast_next_month"] = with_ledger(MONTHLY + """
+, sided AS (
+  SELECT bank, category, month, CASE WHEN net > 0 THEN 'income' ELSE 'expenses' END AS side,
+         CAST(abs(net) * 100 AS HUGEINT) AS y
+  FROM win WHERE net <> 0),
+idx AS (SELECT *, CAST(row_number() OVER (PARTITION BY bank, side, category ORDER BY month) - 1
+                       AS HUGEINT) AS x FROM sided),
+g AS (SELECT bank, side, category, count(*) AS n, CAST(count(*) AS HUGEINT) AS h,
+             CAST(sum(y) AS HUGEINT) AS sy, CAST(sum(x * y) AS HUGEINT) AS sxy
+      FROM idx GROUP BY bank, side, category HAVING count(*) >= 2),
+pq AS (SELECT *,
+         CASE WHEN n >= 4
+              THEN (h * sxy - (h * (h - 1) // 2) * sy) * (h * (h + 1) // 2)
+                   + sy * (h * h * (h * h - 1) // 12)
+              ELSE sy END AS p,
+         CASE WHEN n >= 4 THEN h * (h * h * (h * h - 1) // 12) ELSE h END AS q
+       FROM g),
+r AS (SELECT *, p // q AS d, 2 * (p - (p // q) * q) AS r2 FROM pq)
+SELECT bank, side, category, n AS n_months,
+       CAST(CASE WHEN p <= 0 THEN 0
+                 ELSE d + CASE WHEN r2 > q OR (r2 = q AND d % 2 = 1) THEN 1 ELSE 0 END END
+            AS DOUBLE) / 100.0 AS predicted,
+       strftime(DATE '2001-08-01' + INTERVAL 1 MONTH, '%B %Y') AS forecast_month
+FROM r""")

@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.functions.money import money_out
-from kontor.operators import filters, identity, report
+from kontor.operators import filters, forecast, identity, overrides, report
 from kontor.operators.balance import running_balance
-from kontor.operators.categorize import sequential_rewrite
+from kontor.operators.categorize import categorize, sequential_rewrite
+from kontor.operators.fixed_values import DEFAULT_VOCABULARY
 from kontor.operators.ledger import build_ledger
+from kontor.sources import card_csv
 from kontor.sources import standin as S
+from kontor.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,3 +232,117 @@ def running_balance_q(spark, d):
 
 
 QUERIES["running_balance"] = QUERIES.pop("running_balance_q")
+
+
+# ------------------------------------------------------- step 4: categorisation
+@register
+def categorize_ledger(spark, d):
+    """Ordered keyword rules over every movement's concept."""
+    mv = S.orders_movements(spark, d)
+    return categorize(mv, "concept", "category", S.STANDIN_RULES).select(
+        "bank", "src_row", "category")
+
+
+@register
+def categorize_text(spark, d):
+    """D1 with the default merchant rules over whole documents."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return categorize(docs, "text", "category").select("doc_id", "category")
+
+
+@register
+def type_override(spark, d):
+    """A1 + D1 + D2: card-export rows, completed only, typed, categorised,
+    with the transaction type deciding the category where it applies."""
+    rows = card_csv.parse_card_rows(S.card_rows(spark, d), "Card")
+    return _money_cols(rows.select("src_row", "date", "concept", "amount", "category"), "amount")
+
+
+@register
+def sequential_rewrite_q(spark, d):
+    """The label each movement ends with after the ordered rewrites."""
+    lg = sequential_rewrite(ledger(spark, d, False), S.standin_rewrites(), "concept", out="label")
+    return lg.select("bank", "src_row", "label")
+
+
+QUERIES["sequential_rewrite"] = QUERIES.pop("sequential_rewrite_q")
+
+
+# ------------------------------------------------------------- step 5: overrides
+def _ledger_ids(spark, d):
+    return identity.with_tx_id(ledger(spark, d, False))
+
+
+@register
+def apply_overrides(spark, d):
+    """Overrides replace automatic categories; retired ones fold to other."""
+    lg = _ledger_ids(spark, d)
+    ov = S.overrides_table(spark, d, lg)
+    return overrides.apply_overrides(lg, ov).select("bank", "src_row", "category")
+
+
+@register
+def learn_prefix_rules(spark, d):
+    """Unambiguous concept prefixes (5..30 chars) from the overrides."""
+    lg = _ledger_ids(spark, d)
+    return overrides.learn_prefix_rules(lg, S.overrides_table(spark, d, lg))
+
+
+@register
+def auto_classify(spark, d):
+    """Rows without an override take their longest learned prefix's category."""
+    lg = _ledger_ids(spark, d)
+    ov = S.overrides_table(spark, d, lg)
+    rules = overrides.learn_prefix_rules(lg, ov)
+    return overrides.auto_classify(lg, ov, rules)
+
+
+@register
+def bulk_apply(spark, d):
+    """Edits spread to same-account rows sharing the 20-char concept prefix."""
+    lg = _ledger_ids(spark, d)
+    return overrides.bulk_apply(lg, S.edits_table(spark, d, lg))
+
+
+@register
+def merge_overrides(spark, d):
+    """The bulk edits merged over the existing overrides (new wins)."""
+    lg = _ledger_ids(spark, d)
+    old = S.overrides_table(spark, d, lg)
+    new = overrides.bulk_apply(lg, S.edits_table(spark, d, lg))
+    return overrides.merge_overrides(old, new)
+
+
+@register
+def overrides_asof(spark, d):
+    """Overrides in force at a past version of the log (undo)."""
+    lg = _ledger_ids(spark, d)
+    return overrides.overrides_as_of(S.override_log(spark, d, lg), S.STANDIN_LOG_VERSION)
+
+
+@register
+def override_retention(spark, d):
+    """The log entries of the newest 200 versions."""
+    lg = _ledger_ids(spark, d)
+    return overrides.retain_versions(S.override_log(spark, d, lg))
+
+
+@register
+def vocabulary_merge(spark, d):
+    """Names typed into the editor merged into the vocabulary."""
+    vocab = spark.createDataFrame([(c,) for c in DEFAULT_VOCABULARY], "category string")
+    return overrides.vocabulary_merge(vocab, S.new_category_names(spark, d))
+
+
+# -------------------------------------------------------------- step 6: forecast
+@register
+def forecast_next_month(spark, d):
+    """M1-M4: next month's income and expenses per account and category."""
+    return forecast.forecast_next_month(ledger(spark, d, False), S.STANDIN_AS_OF)
+
+
+@register
+def monthly_by_category(spark, d):
+    """The forecast's training table (net per month and category)."""
+    m = forecast.monthly_by_category(ledger(spark, d, False), S.STANDIN_AS_OF)
+    return _money_cols(m, "net")

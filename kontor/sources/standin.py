@@ -97,3 +97,98 @@ def standin_rewrites():
         RewriteRule("cars", pattern="AUTO.OBILE"),
         RewriteRule("small low", pattern="LOW", min_abs=0.0, eq_abs=None),
     ]
+
+
+# Card-export text rows from orders (what spark.read.csv gives: all strings).
+# Order priority picks the transaction type, order status the state.
+_CARD_TYPE_BY_PRIORITY = {
+    "1-URGENT": "Card Payment", "2-HIGH": "Topup", "3-MEDIUM": "ATM",
+    "4-NOT SPECIFIED": "Card Refund", "5-LOW": "Exchange",
+}
+
+
+def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+        "o_orderpriority")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    type_map = F.create_map(*[F.lit(x) for kv in _CARD_TYPE_BY_PRIORITY.items() for x in kv])
+    signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")) \
+        .otherwise(-F.col("o_totalprice")).cast(MONEY)
+    return j.select(
+        F.element_at(type_map, F.col("o_orderpriority")).alias("Type"),
+        F.lit("Current").alias("Product"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Started Date"),
+        F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "yyyy-MM-dd 14:00:00")
+        .alias("Completed Date"),
+        F.concat_ws(" ", "c_mktsegment", "c_name").alias("Description"),
+        signed.cast("string").alias("Amount"),
+        F.lit("0.0").alias("Fee"),
+        F.lit("EUR").alias("Currency"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("REVERTED"))
+         .otherwise(F.lit("COMPLETED")).alias("State"),
+        F.lit(None).cast("string").alias("Balance"),
+        F.lit("orders.csv").alias("src_file"),
+        F.col("o_orderkey").cast("long").alias("src_row"),
+    )
+
+
+def _returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("src_row")).distinct()
+
+
+def overrides_table(spark: SparkSession, sf_dir: str, ledger_ids: DataFrame) -> DataFrame:
+    """Overrides a user made on orders with a returned item (by tx_id): urgent
+    ones are refunds, high ones the retired 'accommodation', medium ones
+    'other', the rest named after the market segment."""
+    rows = ledger_ids.join(_returned_orders(spark, sf_dir), "src_row", "left_semi")
+    cat = (F.when(F.col("concept").contains("1-URGENT"), F.lit("refund"))
+           .when(F.col("concept").contains("2-HIGH"), F.lit("accommodation"))
+           .when(F.col("concept").contains("3-MEDIUM"), F.lit("other"))
+           .otherwise(F.lower(F.split("concept", " ")[0])))
+    return rows.select("tx_id", cat.alias("category")).distinct()
+
+
+def _big_quantity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 50).select(
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return li.join(p, li.l_partkey == p.p_partkey, "inner")
+
+
+def edits_table(spark: SparkSession, sf_dir: str, ledger_ids: DataFrame) -> DataFrame:
+    """Category edits a user made in the movements table, in edit order: each
+    order with a 50-unit line was re-labelled after the part's type, on the
+    day the line shipped."""
+    lines = _big_quantity_lines(spark, sf_dir)
+    j = lines.join(ledger_ids.select("src_row", "bank", "tx_id"),
+                   lines.l_orderkey == F.col("src_row"), "inner")
+    return j.select(
+        F.struct(F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("order"),
+                 F.col("l_linenumber").alias("line")).alias("edit_seq"),
+        "bank", "tx_id", F.lower("p_type").alias("category"))
+
+
+def override_log(spark: SparkSession, sf_dir: str, ledger_ids: DataFrame) -> DataFrame:
+    """The saved history of those edits: one version per shipping day
+    (yyyyMMdd), one entry per id and version."""
+    lines = _big_quantity_lines(spark, sf_dir)
+    j = lines.join(ledger_ids.select("src_row", "tx_id"),
+                   lines.l_orderkey == F.col("src_row"), "inner")
+    return (j.groupBy(F.date_format("l_shipdate", "yyyyMMdd").cast("long").alias("version"),
+                      "tx_id")
+            .agg(F.max(F.lower("p_type")).alias("category")))
+
+
+STANDIN_LOG_VERSION = 19990101
+
+
+def new_category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names typed into the category editor: part types and market segments,
+    as typed (upper case, padded) — the merge normalises them."""
+    p = read_table(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_type").alias("name"))
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"))
+    return p.unionByName(c)
