@@ -395,3 +395,57 @@ SELECT bank, side, category, n AS n_months,
             AS DOUBLE) / 100.0 AS predicted,
        strftime(DATE '2001-08-01' + INTERVAL 1 MONTH, '%B %Y') AS forecast_month
 FROM r""")
+
+# ---------------------------------------------------------- workbook grids
+# Round trip: the sheets are orders rendered as cells, so the parsed ledger is
+# computed here straight from orders (what each layout should recover).
+GRID_BASE = """
+base AS (
+  SELECT o_orderkey, o_orderpriority, c_mktsegment, c_name, year(o_orderdate) AS y,
+         CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS "date",
+         concat_ws(' ', c_mktsegment, o_orderpriority) AS concept0,
+         CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END
+              AS DECIMAL(18,2)) AS amount,
+         CAST(c_acctbal AS DECIMAL(18,2)) AS bal
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _dedup_sql(src: str) -> str:
+    return f"""
+SELECT "date", concept, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
+       bank, category, src_file, src_row
+FROM (
+  SELECT *, row_number() OVER (
+      PARTITION BY bank, balance IS NOT NULL, amount,
+                   CASE WHEN balance IS NOT NULL THEN balance END,
+                   CASE WHEN balance IS NULL THEN "date" END,
+                   CASE WHEN balance IS NULL THEN concept END
+      ORDER BY "date", src_file, src_row) AS rn
+  FROM (SELECT *, {rules_case(STANDIN_RULES, 'concept')} AS category FROM ({src})))
+WHERE rn = 1"""
+
+
+SQL["grid_yearly"] = "WITH " + GRID_BASE + _dedup_sql("""
+  SELECT "date", concept0 AS concept, amount, bal AS balance, 'Bank1' AS bank,
+         'Bank1/' || CAST(y AS VARCHAR) || '.xlsx' AS src_file,
+         CAST(CASE WHEN y = 1998 THEN o_orderkey ELSE (y % 3) * 2 + 1 + o_orderkey END
+              AS BIGINT) AS src_row
+  FROM base""")
+
+SQL["grid_wide"] = "WITH " + GRID_BASE + _dedup_sql("""
+  SELECT "date",
+         CASE WHEN o_orderpriority = '5-LOW' THEN c_name
+              WHEN o_orderpriority = '2-HIGH' THEN concept0 || ' ' || c_name
+              ELSE concept0 END AS concept,
+         amount, CASE WHEN bal >= 0 THEN bal END AS balance, 'Bank2' AS bank,
+         'Bank2/' || CAST(y AS VARCHAR) || '.xlsx' AS src_file,
+         CAST(o_orderkey + 5 AS BIGINT) AS src_row
+  FROM base""")
+
+SQL["grid_old"] = "WITH " + GRID_BASE + _dedup_sql("""
+  SELECT "date",
+         CASE WHEN o_orderpriority <> '5-LOW' THEN concept0 ELSE c_mktsegment END AS concept,
+         amount, bal AS balance, 'Bank2' AS bank,
+         'Bank2old/' || CAST(y AS VARCHAR) || '.xls' AS src_file,
+         CAST(o_orderkey + 3 AS BIGINT) AS src_row
+  FROM base""")

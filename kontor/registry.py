@@ -346,3 +346,31 @@ def monthly_by_category(spark, d):
     """The forecast's training table (net per month and category)."""
     m = forecast.monthly_by_category(ledger(spark, d, False), S.STANDIN_AS_OF)
     return _money_cols(m, "net")
+
+
+# ------------------------------------------------------ step 7: layouts, statements
+def _ledger_out(df: DataFrame) -> DataFrame:
+    return _money_cols(df, "amount", "balance")
+
+
+@register
+def grid_yearly(spark, d):
+    """One-file-per-year sheets (header search, positional file)."""
+    from kontor.sources import grids
+    return _ledger_out(grids.load_yearly_bank(S.yearly_cells(spark, d), "Bank1", S.STANDIN_RULES))
+
+
+@register
+def grid_wide(spark, d):
+    """25-column sheets (split amounts, assembled descriptions)."""
+    from kontor.sources import grids
+    return _ledger_out(grids.load_multi_layout_bank(S.wide_cells(spark, d), "Bank2",
+                                                    S.STANDIN_RULES))
+
+
+@register
+def grid_old(spark, d):
+    """Six-column sheets without a header."""
+    from kontor.sources import grids
+    return _ledger_out(grids.load_multi_layout_bank(S.old_cells(spark, d), "Bank2",
+                                                    S.STANDIN_RULES))

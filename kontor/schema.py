@@ -29,7 +29,7 @@ ROW_ORDER = ["date", "src_file", "src_row"]
 # raw workbook cells: one row per sheet row, cells as strings (see sources.grids)
 RAW_CELLS_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
-    T.StructField("row_no", T.IntegerType(), False),
+    T.StructField("row_no", T.LongType(), False),
     T.StructField("cells", T.ArrayType(T.StringType(), True), True),
 ])
 

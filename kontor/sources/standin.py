@@ -192,3 +192,135 @@ def new_category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_type").alias("name"))
     c = read_table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"))
     return p.unionByName(c)
+
+
+# ---------------------------------------------------------------- workbook grids
+# Orders rendered as the sheets the workbook layouts read: one file per year.
+# Cells are text, as a sheet decoder would give them.
+
+YEARLY_POSITIONAL_YEAR = 1998          # this year's file has no header at all
+_YEARLY_HEADERS = {
+    0: ["Fecha", "Fecha valor", "Concepto", "Importe", "Saldo", "Nº apunte"],
+    1: ["Date", "Value Date", "Description", "Amount", "Balance", "Entry No."],
+}
+_WIDE_HEADER = ([None, "Account Number", "Branch", "Currency", "Operation Date", "Value Date",
+                 "Income (+)", "Expense (-)", "Balance (+)", "Balance (-)", "Category",
+                 "Sub-category", "Reference 1", "Reference 2"]
+                + [f"Description {i}" for i in range(1, 11)] + [None])
+
+
+def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+        "o_orderpriority")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal",
+                                                     "c_name")
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    return j.withColumn("y", F.year("o_orderdate")).withColumn(
+        "amt", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+        .otherwise(-F.col("o_totalprice")).cast(MONEY)).withColumn(
+        "bal", F.col("c_acctbal").cast(MONEY))
+
+
+def _lit_cells(values: list) -> DataFrame:
+    return F.array(*[F.lit(v).cast("string") for v in values])
+
+
+def _per_file_rows(files: DataFrame, rows: list[tuple[int, list]]) -> DataFrame:
+    """Constant rows (preambles, headers) for every file in ``files(path, ...)``."""
+    arr = F.array(*[F.struct(F.lit(n).alias("row_no"), _lit_cells(v).alias("cells"))
+                    for n, v in rows])
+    return files.select("path", F.explode(arr).alias("r")).select(
+        "path", F.col("r.row_no").cast("long").alias("row_no"), "r.cells")
+
+
+def yearly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly sheets: the header sits after (year % 3) * 2 preamble rows, in
+    Spanish for even years and English for odd ones; 1998 has no header and
+    five positional columns with ISO dates."""
+    oc = _orders_customers(spark, sf_dir)
+    path = F.concat(F.lit("Bank1/"), F.col("y").cast("string"), F.lit(".xlsx"))
+    offset = (F.col("y") % 3) * 2
+    positional = F.col("y") == YEARLY_POSITIONAL_YEAR
+    dmy = F.date_format("o_orderdate", "dd/MM/yyyy")
+    data = oc.select(
+        path.alias("path"),
+        F.when(positional, F.col("o_orderkey"))
+         .otherwise(offset + 1 + F.col("o_orderkey")).cast("long").alias("row_no"),
+        F.when(positional, F.array(
+            F.date_format("o_orderdate", "yyyy-MM-dd"),
+            F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "yyyy-MM-dd"),
+            F.concat_ws(" ", "c_mktsegment", "o_orderpriority"),
+            F.col("amt").cast("string"), F.col("bal").cast("string")))
+         .otherwise(F.array(
+            dmy, F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "dd/MM/yyyy"),
+            F.concat_ws(" ", "c_mktsegment", "o_orderpriority"),
+            F.col("amt").cast("string"), F.col("bal").cast("string"),
+            F.col("o_orderkey").cast("string"))).alias("cells"))
+    files = oc.filter(~positional).select(path.alias("path"), "y").distinct()
+    off = (F.col("y") % 3) * 2
+    header = F.when(F.col("y") % 2 == 0, _lit_cells(_YEARLY_HEADERS[0])) \
+        .otherwise(_lit_cells(_YEARLY_HEADERS[1]))
+    preamble = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < off),
+        lambda i: F.struct(i.cast("long").alias("row_no"),
+                           F.when(i == 0, _lit_cells(["Extracto de cuenta", None, None]))
+                           .otherwise(_lit_cells(["Titular", None, None])).alias("cells")))
+    fixed = F.concat(preamble, F.array(F.struct(off.cast("long").alias("row_no"),
+                                                header.alias("cells"))))
+    heads = files.select("path", F.explode(fixed).alias("r")).select("path", "r.row_no", "r.cells")
+    return data.unionByName(heads)
+
+
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25-column sheets: three preamble rows (one blank), the header in row 3,
+    an empty row 4, data from row 5.  Income/expense split by sign, the
+    balance in the (+) or (-) column by its sign; descriptions vary with the
+    order priority (operation-date lead, empty first description, details
+    already contained, details appended)."""
+    oc = _orders_customers(spark, sf_dir)
+    path = F.concat(F.lit("Bank2/"), F.col("y").cast("string"), F.lit(".xlsx"))
+    dmy = F.date_format("o_orderdate", "dd/MM/yyyy")
+    concept = F.concat_ws(" ", "c_mktsegment", "o_orderpriority")
+    prio = F.col("o_orderpriority")
+    d1 = (F.when(prio == "1-URGENT", F.concat(F.lit("Fecha de operación "), dmy, F.lit(" "), concept))
+          .when(prio == "5-LOW", F.lit(None)).otherwise(concept))
+    d3 = (F.when(prio.isin("2-HIGH", "5-LOW"), F.col("c_name"))
+          .when(prio == "3-MEDIUM", F.col("c_mktsegment")))
+    none = F.lit(None).cast("string")
+    cells = F.array(
+        none, F.lit("ES00 0000 0000"), F.lit("0001"), F.lit("EUR"), dmy,
+        F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "dd/MM/yyyy"),
+        F.when(F.col("amt") > 0, F.col("amt").cast("string")),
+        F.when(F.col("amt") < 0, (-F.col("amt")).cast("string")),
+        F.when(F.col("bal") >= 0, F.col("bal").cast("string")),
+        F.when(F.col("bal") < 0, (-F.col("bal")).cast("string")),
+        none, none, F.col("o_orderkey").cast("string"), none,
+        d1.cast("string"), none, d3.cast("string"), *[none] * 7, none)
+    data = oc.select(path.alias("path"), (F.col("o_orderkey") + 5).cast("long").alias("row_no"),
+                     cells.alias("cells"))
+    files = oc.select(path.alias("path")).distinct()
+    blank = [None] * 25
+    fixed = _per_file_rows(files, [(0, ["Consulta de movimientos"] + [None] * 24),
+                                   (1, ["Cuenta", "ES00 0000 0000"] + [None] * 23),
+                                   (3, _WIDE_HEADER), (4, blank)])
+    return data.unionByName(fixed)
+
+
+def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-column sheets with three title rows and no header: ISO dates,
+    segment as concept, priority as details (none for 5-LOW)."""
+    oc = _orders_customers(spark, sf_dir)
+    path = F.concat(F.lit("Bank2old/"), F.col("y").cast("string"), F.lit(".xls"))
+    cells = F.array(
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "yyyy-MM-dd"),
+        F.col("c_mktsegment"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")),
+        F.col("amt").cast("string"), F.col("bal").cast("string"))
+    data = oc.select(path.alias("path"), (F.col("o_orderkey") + 3).cast("long").alias("row_no"),
+                     cells.alias("cells"))
+    files = oc.select(path.alias("path")).distinct()
+    fixed = _per_file_rows(files, [(0, ["Extracto", None]), (1, ["Periodo", None]),
+                                   (2, [None, None])])
+    return data.unionByName(fixed)
