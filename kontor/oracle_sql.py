@@ -449,3 +449,38 @@ SQL["grid_old"] = "WITH " + GRID_BASE + _dedup_sql("""
          'Bank2old/' || CAST(y AS VARCHAR) || '.xls' AS src_file,
          CAST(o_orderkey + 3 AS BIGINT) AS src_row
   FROM base""")
+
+# ------------------------------------------------------------- statements
+# Round trip: statements are orders rendered as text; June statements are missing.
+SQL["statement_parse"] = "WITH " + GRID_BASE + f"""
+, stmt AS (
+  SELECT "date", concept0 AS concept, amount, bal AS balance, 'BNCR' AS bank,
+         'Bank' || CAST(o_custkey % 3 + 1 AS VARCHAR) || '/' || strftime("date", '%Y-%m') || '.pdf'
+           AS src_file,
+         CAST(100 + o_orderkey * 8 AS BIGINT) AS src_row
+  FROM base JOIN orders USING (o_orderkey) WHERE month(base."date") <> 6)
+""" + _dedup_sql("SELECT * FROM stmt")
+
+SQL["statement_continuity"] = """
+WITH mv AS (
+  SELECT 'Bank' || CAST(o_custkey % 3 + 1 AS VARCHAR) AS bank,
+         CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
+         CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END
+              AS DECIMAL(18,2)) AS amt
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+monthly AS (SELECT bank, m, sum(amt) AS net FROM mv GROUP BY bank, m),
+bal AS (SELECT bank, m,
+               coalesce(sum(net) OVER (PARTITION BY bank ORDER BY m
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 AS opening, net FROM monthly),
+docs AS (SELECT bank, bank || '/' || strftime(m, '%Y-%m') || '.pdf' AS doc,
+                CAST(m - INTERVAL 1 DAY AS DATE) AS last_stmt, last_day(m) AS this_stmt,
+                opening, opening + net AS closing
+         FROM bal WHERE month(m) <> 6),
+pairs AS (
+  SELECT doc AS after_file, lead(doc) OVER w AS before_file, this_stmt AS after_date,
+         lead(last_stmt) OVER w AS before_date, CAST(closing AS DOUBLE) AS balance_after,
+         CAST(lead(opening) OVER w AS DOUBLE) AS balance_before
+  FROM docs WINDOW w AS (PARTITION BY bank ORDER BY doc))
+SELECT *, balance_before - balance_after AS difference FROM pairs
+WHERE before_file IS NOT NULL AND abs(balance_before - balance_after) > 0.01"""

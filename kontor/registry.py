@@ -374,3 +374,18 @@ def grid_old(spark, d):
     from kontor.sources import grids
     return _ledger_out(grids.load_multi_layout_bank(S.old_cells(spark, d), "Bank2",
                                                     S.STANDIN_RULES))
+
+
+@register
+def statement_parse(spark, d):
+    """Statement text lines parsed into movements (blocked FSM scan)."""
+    from kontor.sources import statements
+    lines = S.statement_lines(spark, d)
+    return _ledger_out(statements.load_statements(lines, "BNCR", S.STANDIN_RULES))
+
+
+@register
+def statement_continuity(spark, d):
+    """Consecutive statements whose balances do not join up."""
+    from kontor.sources import statements
+    return statements.continuity_gaps(S.statement_lines(spark, d))

@@ -324,3 +324,66 @@ def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = _per_file_rows(files, [(0, ["Extracto", None]), (1, ["Periodo", None]),
                                    (2, [None, None])])
     return data.unionByName(fixed)
+
+
+# ------------------------------------------------------------ statement lines
+STATEMENT_MISSING_MONTH = 6        # June statements were never downloaded
+_STOP_LINE_NO = 10 ** 15
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rendered as monthly statements per account (text lines).
+
+    Per document: title lines with the previous/this statement dates and the
+    closing balance, the column titles ending in 'SALDO DIARIO', one record
+    per order (date dd/MM, reference, description, amount, balance with
+    thousands separators), then the opening balance line that ends the list
+    and a page footer.  Urgent orders carry a date-shaped reference, high
+    ones a description wrapped over two lines, medium ones a dd-MM-yy
+    purchase-date lead.  Balances on records are the customer's balance;
+    opening/closing balances are the account's cumulative monthly nets (a
+    table of accounts x months).  June statements are missing.
+    """
+    from pyspark.sql import Window
+    oc = _orders_customers(spark, sf_dir).withColumn(
+        "bank", F.concat(F.lit("Bank"), (F.col("o_custkey") % 3 + 1).cast("string"))
+    ).withColumn("m", F.trunc(F.to_date("o_orderdate"), "MM"))
+    doc = F.concat(F.col("bank"), F.lit("/"), F.date_format("m", "yyyy-MM"), F.lit(".pdf"))
+
+    monthly = oc.groupBy("bank", "m").agg(F.sum("amt").alias("net"))
+    before = Window.partitionBy("bank").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    monthly = (monthly.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0)))
+               .withColumn("closing", F.col("opening") + F.col("net"))
+               .filter(F.month("m") != STATEMENT_MISSING_MONTH))
+
+    prio = F.col("o_orderpriority")
+    concept = F.concat_ws(" ", "c_mktsegment", "o_orderpriority")
+    desc = (F.when(prio == "2-HIGH", F.array(F.col("c_mktsegment"), prio))
+            .when(prio == "3-MEDIUM",
+                  F.array(F.concat(F.date_format("o_orderdate", "dd-MM-yy"), F.lit(" "), concept)))
+            .otherwise(F.array(concept)))
+    ref = F.when(prio == "1-URGENT", F.lit("01/02")).otherwise(F.col("o_orderkey").cast("string"))
+    rec_lines = F.concat(
+        F.array(F.date_format("o_orderdate", "dd/MM"), ref), desc,
+        F.array(F.format_number("amt", 2), F.format_number("bal", 2)))
+    recs = (oc.filter(F.month("m") != STATEMENT_MISSING_MONTH)
+            .select(doc.alias("doc"), F.col("o_orderkey"),
+                    F.posexplode(rec_lines).alias("k", "line"))
+            .select("doc", (F.lit(100) + F.col("o_orderkey") * 8 + F.col("k")).cast("long")
+                    .alias("line_no"), "line"))
+
+    dmy = "dd/MM/yyyy"
+    fixed = F.array(
+        F.lit("BANCO DE EJEMPLO"), F.lit("ESTADO DE CUENTA"),
+        F.concat(F.lit("Fecha último estado: "),
+                 F.date_format(F.date_sub(F.col("m"), 1), dmy)),
+        F.concat(F.lit("Fecha de este estado: "), F.date_format(F.last_day("m"), dmy)),
+        F.concat(F.lit("Saldo actual: "), F.format_number("closing", 2)),
+        F.lit("FECHA"), F.lit("NÚMERO"), F.lit("DESCRIPCIÓN"), F.lit("MONTO"), F.lit("SALDO DIARIO"))
+    head = monthly.select(doc.alias("doc"), F.posexplode(fixed).alias("line_no", "line")) \
+        .withColumn("line_no", F.col("line_no").cast("long"))
+    tail = monthly.select(doc.alias("doc"), F.posexplode(F.array(
+        F.concat(F.lit("Saldo anterior: "), F.format_number("opening", 2)),
+        F.lit("Página 1"))).alias("k", "line")).select(
+        "doc", (F.lit(_STOP_LINE_NO) + F.col("k")).cast("long").alias("line_no"), "line")
+    return recs.unionByName(head.select("doc", "line_no", "line")).unionByName(tail)
