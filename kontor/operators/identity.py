@@ -29,7 +29,7 @@ def with_tx_id(df: DataFrame, out: str = "tx_id") -> DataFrame:
     return df.withColumn(out, tx_id_expr())
 
 
-def dedup_key(df: DataFrame) -> list[Column]:
+def dedup_key() -> list[Column]:
     """The duplicate key: account + amount + balance when the balance is
     known (no date: re-exports with shifted times still collapse), else
     account + timestamp + amount + text.  Money is compared in cents."""
@@ -53,7 +53,7 @@ def dedup(df: DataFrame, order: list[str] = ROW_ORDER) -> DataFrame:
     """
     cols = df.columns
     payload = [c for c in cols if c not in order]
-    keyed = df.select(*dedup_key(df), F.struct(*order, *payload).alias("_row"))
+    keyed = df.select(*dedup_key(), F.struct(*order, *payload).alias("_row"))
     kcols = [c for c in keyed.columns if c != "_row"]
     first = keyed.groupBy(*kcols).agg(F.min("_row").alias("_row"))
     return first.select(*[F.col("_row")[c].alias(c) for c in cols])

@@ -240,7 +240,8 @@ SELECT bank, src_row, {rules_case(STANDIN_RULES, 'concept')} AS category FROM mo
 SQL["categorize_text"] = f"""
 SELECT doc_id, {rules_case(DEFAULT_RULES, 'text')} AS category FROM documents"""
 
-SQL["type_override"] = f"""
+def _type_override_sql(rules) -> str:
+    return f"""
 WITH card AS (
   SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Card Payment' WHEN '2-HIGH' THEN 'Topup'
               WHEN '3-MEDIUM' THEN 'ATM' WHEN '4-NOT SPECIFIED' THEN 'Card Refund'
@@ -264,9 +265,12 @@ parsed AS (
 SELECT src_row, "date", concept, CAST(amount AS DOUBLE) AS amount,
        CASE typ WHEN 'Topup' THEN 'own transfer' WHEN 'ATM' THEN 'atm'
                 WHEN 'Card Refund' THEN 'refund' WHEN 'Exchange' THEN 'exchange'
-                ELSE {rules_case(DEFAULT_RULES, 'concept')} END AS category
+                ELSE {rules_case(rules, 'concept')} END AS category
 FROM parsed"""
 
+
+SQL["type_override"] = _type_override_sql(DEFAULT_RULES)
+
 SQL["sequential_rewrite"] = with_ledger(
     f"SELECT bank, src_row, label FROM ({_rewrite_sql('ledger')})")
 
@@ -484,3 +488,58 @@ pairs AS (
   FROM docs WINDOW w AS (PARTITION BY bank ORDER BY doc))
 SELECT *, balance_before - balance_after AS difference FROM pairs
 WHERE before_file IS NOT NULL AND abs(balance_before - balance_after) > 0.01"""
+
+# ------------------------------------------------------------ files, stream
+def _card_ledger_sql(bank: str) -> str:
+    body = _type_override_sql(STANDIN_RULES)
+    body = body.replace("SELECT src_row, \"date\", concept, CAST(amount AS DOUBLE) AS amount,",
+                        "SELECT src_row, \"date\", concept, amount,")
+    return f"""
+SELECT "date", concept, amount, CAST(NULL AS DECIMAL(18,2)) AS balance, {_lit(bank)} AS bank,
+       category, 'orders.csv' AS src_file, src_row
+FROM ({body}) WHERE "date" IS NOT NULL AND amount IS NOT NULL"""
+
+
+def _dedup_given_category(src: str) -> str:
+    return f"""
+SELECT "date", concept, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
+       bank, category, src_file, src_row
+FROM (
+  SELECT *, row_number() OVER (
+      PARTITION BY bank, balance IS NOT NULL, amount,
+                   CASE WHEN balance IS NOT NULL THEN balance END,
+                   CASE WHEN balance IS NULL THEN "date" END,
+                   CASE WHEN balance IS NULL THEN concept END
+      ORDER BY "date", src_file, src_row) AS rn
+  FROM ({src}))
+WHERE rn = 1"""
+
+
+SQL["card_csv_files"] = f"""
+SELECT "date", concept, amount, balance, bank, category
+FROM ({_dedup_given_category(_card_ledger_sql('Bank3'))})"""
+
+SQL["source_preference"] = """
+SELECT 'yearly' AS slot, 1 AS priority, 'Bank1' AS source,
+       CAST(count(DISTINCT year(o_orderdate)) AS BIGINT) AS n_files FROM orders
+UNION ALL
+SELECT 'multi', 0, 'Caixa', CAST(count(DISTINCT year(o_orderdate)) AS BIGINT) FROM orders
+UNION ALL
+SELECT 'card', 1, 'Bank3', CAST(count(DISTINCT 'orders.csv') AS BIGINT)
+FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL
+SELECT 'statements', 0, 'BNCR',
+       CAST(count(DISTINCT CAST(o_custkey % 3 AS VARCHAR) || strftime(o_orderdate, '%Y-%m'))
+            AS BIGINT)
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE month(o_orderdate) <> 6"""
+
+SQL["load_all"] = "\nUNION ALL\n".join([
+    f"SELECT * FROM ({SQL['grid_yearly']})",
+    f"SELECT * FROM ({SQL['grid_wide'].replace(chr(39) + 'Bank2' + chr(39) + ' AS bank', chr(39) + 'Caixa' + chr(39) + ' AS bank')})",
+    f"SELECT * FROM ({_dedup_given_category(_card_ledger_sql('Bank3'))})",
+    f"SELECT * FROM ({SQL['statement_parse']})",
+])
+
+SQL["json_sources"] = with_ledger(IDS + "\nSELECT tx_id, category FROM ov")
+
+SQL["incremental_ingest"] = SQL["dedup"]

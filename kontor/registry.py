@@ -389,3 +389,110 @@ def statement_continuity(spark, d):
     """Consecutive statements whose balances do not join up."""
     from kontor.sources import statements
     return statements.continuity_gaps(S.statement_lines(spark, d))
+
+
+# ------------------------------------------------------------ step 8: files, stream
+def _sources(spark, d):
+    """The configured exports: a real account per slot when it has files,
+    else its demo stand-in.  The real yearly and card folders are empty here."""
+    from kontor.sources import grids, statements
+    from kontor.sources.files import Source
+    empty_cells = spark.createDataFrame([], "path string, row_no long, cells array<string>")
+    empty_card = spark.createDataFrame([], "Type string, `Started Date` string, Description string,"
+                                           " Amount string, State string, Balance string,"
+                                           " src_file string, src_row long")
+    rules = S.STANDIN_RULES
+    return [
+        Source("yearly", 0, "Rural", empty_cells, "path",
+               lambda r: grids.load_yearly_bank(r, "Rural", rules)),
+        Source("yearly", 1, "Bank1", S.yearly_cells(spark, d), "path",
+               lambda r: grids.load_yearly_bank(r, "Bank1", rules)),
+        Source("multi", 0, "Caixa", S.wide_cells(spark, d), "path",
+               lambda r: grids.load_multi_layout_bank(r, "Caixa", rules)),
+        Source("multi", 1, "Bank2", S.old_cells(spark, d), "path",
+               lambda r: grids.load_multi_layout_bank(r, "Bank2", rules)),
+        Source("card", 0, "Revo", empty_card, "src_file",
+               lambda r: card_csv.load_card_bank(r, "Revo", rules)),
+        Source("card", 1, "Bank3", S.card_rows(spark, d), "src_file",
+               lambda r: card_csv.load_card_bank(r, "Bank3", rules)),
+        Source("statements", 0, "BNCR", S.statement_lines(spark, d), "doc",
+               lambda r: statements.load_statements(r, "BNCR", rules)),
+    ]
+
+
+@register
+def source_preference(spark, d):
+    """Per slot, the preferred source that has files."""
+    from kontor.sources.files import choose_sources
+    return choose_sources(spark, _sources(spark, d))
+
+
+@register
+def load_all(spark, d):
+    """A17 + A16 + I1 + B2 + H1: the unified ledger of the chosen sources."""
+    from kontor.sources.files import load_all as load
+    return _ledger_out(load(spark, _sources(spark, d)))
+
+
+@register
+def card_csv_files(spark, d):
+    """Card exports written as CSV files (one per year, plus a
+    file of another kind without a State column) and read back by header group."""
+    from kontor.sources.files import scratch_path
+    folder = scratch_path(spark, "card-csv")
+    rows = S.card_rows(spark, d).drop("src_file", "src_row")
+    (rows.withColumn("year", F.substring("Started Date", 1, 4))
+     .repartition("year").write.option("header", True).partitionBy("year").csv(folder + "/exports"))
+    read_table(spark, d, "nation").write.option("header", True).csv(folder + "/exports/rates")
+    paths = [r["path"] for r in spark.read.format("binaryFile")
+             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+             .load(folder + "/exports").select("path").collect()]
+    raw = card_csv.read_card_csv(spark, paths)
+    led = card_csv.load_card_bank(raw, "Bank3", S.STANDIN_RULES)
+    return _ledger_out(led.drop("src_file", "src_row"))
+
+
+@register
+def json_sources(spark, d):
+    """Overrides written as a JSON-lines table and read back; the
+    vocabulary as a JSON array document."""
+    from kontor.sources import json_io
+    from kontor.sources.files import scratch_path
+    lg = _ledger_ids(spark, d)
+    folder = scratch_path(spark, "json")
+    json_io.write_overrides_table(S.overrides_table(spark, d, lg), folder + "/overrides")
+    return json_io.read_overrides_table(spark, folder + "/overrides")
+
+
+@register
+def file_inventory(spark, d):
+    """The table folder's parquet files, name and size in KB."""
+    from kontor.sources.files import file_inventory as inv
+    return inv(spark, d, "*.parquet")
+
+
+@register
+def incremental_ingest(spark, d):
+    """K1: two exports arrive one after the other (the second a re-export
+    with shifted times); the stream appends only rows new to the ledger."""
+    from kontor.sources.files import scratch_path
+    from kontor.streaming.ingest import run_until_caught_up, start_ingest
+    folder = scratch_path(spark, "ingest")
+    lg = ledger(spark, d)
+    first = lg.drop("category")
+    second = S.reexport(lg).drop("category")
+    schema = first.schema
+    rules = S.STANDIN_RULES
+
+    def parse(batch):
+        return categorize(batch, "concept", "category", rules)
+
+    first.write.parquet(folder + "/inbox/export-1")
+    run_until_caught_up(start_ingest(spark, folder + "/inbox/*", schema, folder + "/ledger",
+                                     folder + "/ckpt", parse))
+    second.write.parquet(folder + "/inbox/export-2")
+    run_until_caught_up(start_ingest(spark, folder + "/inbox/*", schema, folder + "/ledger",
+                                     folder + "/ckpt", parse))
+    out = spark.read.parquet(folder + "/ledger")
+    return _ledger_out(out.select(*[c for c in ("date", "concept", "amount", "balance", "bank",
+                                                "category", "src_file", "src_row")]))
