@@ -16,6 +16,7 @@ document in one task.  Instead (the same two-pass scheme as ``prefix``):
 
 The machine is a table ``next_state[state][symbol]`` over small integers;
 ``marks`` lists the (state, symbol) pairs that mark a row (a record start).
+The order column must be a non-negative integer (a line number).
 """
 
 from __future__ import annotations
@@ -50,16 +51,22 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
     def block_function(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         syms = pdf[symbol].to_numpy(dtype=np.int64)
-        pos = pdf[order].to_numpy()
-        exits, last = [], []
-        for s0 in range(n_states):
-            s, m = s0, None
-            for y, p in zip(syms, pos):
-                if is_mark[s, y]:
-                    m = p
-                s = trans[s, y]
-            exits.append(int(s))
-            last.append(None if m is None else int(m))
+        pos = pdf[order].to_numpy(dtype=np.int64)
+        # one row = one function of the entry state; compose pairwise (a tree,
+        # log2(rows) numpy steps) into the block's function
+        f = trans[:, syms].T.copy()                               # (rows, states)
+        m = np.where(is_mark[:, syms].T, pos[:, None], -1)       # last mark, -1 = none
+        ident_f, none_m = np.arange(n_states), np.full(n_states, -1)
+        while len(f) > 1:
+            if len(f) % 2:
+                f = np.vstack([f, ident_f])
+                m = np.vstack([m, none_m])
+            af, am, bf, bm = f[0::2], m[0::2], f[1::2], m[1::2]
+            f = np.take_along_axis(bf, af, axis=1)
+            bm_at = np.take_along_axis(bm, af, axis=1)
+            m = np.where(bm_at >= 0, bm_at, am)
+        exits = [int(x) for x in f[0]]
+        last = [None if x < 0 else int(x) for x in m[0]]
         return pd.DataFrame({"_blk": [pdf["_blk"].iloc[0]], key: [pdf[key].iloc[0]],
                              "_exit": [exits], "_last": [last]})
 
