@@ -1,0 +1,57 @@
+"""First-matching keyword rule over long texts, one pass per text.
+
+The JVM expression path (``operators.categorize.keyword_rules_expr``) scans a
+text once per keyword; for documents of many kilobytes that dominates.  This
+helper runs an Aho-Corasick automaton (pyahocorasick) over Arrow batches: one
+scan per text finds every keyword occurrence, and the smallest rule ordinal
+among them wins.  Same semantics: lower-cased text, literal substrings,
+first rule in order, default when nothing matches.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(rules: tuple):
+    a = _AUTOMATA.get(rules)
+    if a is None:
+        import ahocorasick
+        a = ahocorasick.Automaton()
+        first: dict[str, int] = {}
+        for i, (keywords, _) in enumerate(rules):
+            for k in keywords:
+                if k and k.lower() not in first:
+                    first[k.lower()] = i
+        for k, i in first.items():
+            a.add_word(k, i)
+        a.make_automaton()
+        _AUTOMATA[rules] = a
+    return a
+
+
+def first_rule_category(text: Column, rules, default: str) -> Column:
+    frozen = tuple((tuple(k), c) for k, c in rules)
+    cats = [c for _, c in frozen]
+    n = len(frozen)
+
+    @F.pandas_udf("string")
+    def first_rule(texts: pd.Series) -> pd.Series:
+        auto = _automaton(frozen)
+        out = []
+        for t in texts:
+            low = "nan" if t is None else t.lower()
+            best = n
+            for _, i in auto.iter(low):
+                if i < best:
+                    best = i
+                    if best == 0:
+                        break
+            out.append(cats[best] if best < n else default)
+        return pd.Series(out, dtype=object)
+
+    return first_rule(text)

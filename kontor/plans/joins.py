@@ -1,10 +1,17 @@
-"""Joins whose small side is broadcast only after its size is checked.
+"""Joins whose small side is broadcast only when its size is known.
 
 Dimension-like inputs (rules, overrides, vocabularies, bank tables, learned
 prefixes) are usually tiny, but nothing stops a user from passing millions of
-rows.  ``is_small`` counts at most ``max_rows + 1`` rows (a bounded job); past
-the bound the join is left to the planner (sort-merge / shuffle-hash, with AQE
-skew splitting), never forced into a broadcast.
+rows.  Two ways to know the size:
+
+* bounded by construction (a fixed rule list, a top-200 list, one row per
+  block): ``known_small=True`` puts a broadcast hint on it;
+* anything else: no hint.  Adaptive query execution measures the side once
+  its stage has run and turns the join into a broadcast join only below
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
+  shuffle join, with AQE splitting skewed partitions.  This costs no extra
+  job, unlike counting the side up front (``is_small``, kept for callers that
+  must decide on the driver).
 """
 
 from __future__ import annotations
@@ -21,13 +28,9 @@ def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_BROADCAST_ROWS,
                known_small: bool = False) -> DataFrame:
-    """``big.join(small, on, how)`` with ``small`` broadcast when it is proven small.
-
-    ``known_small`` is for inputs whose size is bounded by construction (a
-    fixed rule list, a top-200 list); everything else is counted.
-    """
-    if known_small or is_small(small, max_rows):
+    """``big.join(small, on, how)``; broadcast hint only if ``known_small``
+    (size bounded by construction), else the runtime size decides (AQE)."""
+    if known_small:
         small = F.broadcast(small)
     return big.join(small, on, how)

@@ -247,7 +247,7 @@ def categorize_ledger(spark, d):
 def categorize_text(spark, d):
     """D1 with the default merchant rules over whole documents."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    return categorize(docs, "text", "category").select("doc_id", "category")
+    return categorize(docs, "text", "category", long_text=True).select("doc_id", "category")
 
 
 @register
