@@ -115,16 +115,15 @@ def parse_yearly(raw: DataFrame) -> DataFrame:
     ``yearly_rejects``).  Returns (date, concept, amount, balance, src_file,
     src_row); amounts may be null (S7).
     """
-    probe = raw.filter(F.col("row_no") < YEARLY_HEADER_ROWS)
     roles = yearly_roles(F.col("cells"))
-    cand = probe.select("path", "row_no", *[r.alias(f"_{k}") for k, r in roles.items()])
-    cand = cand.filter(functools.reduce(lambda a, b: a & b,
-                                        [F.col(f"_{k}").isNotNull() for k in roles]))
-    header = (cand.groupBy("path")
-              .agg(F.min_by(F.struct(*[F.col(f"_{k}").alias(k) for k in roles]), "row_no")
-                   .alias("roles"), F.min("row_no").alias("header_row")))
-    widths = raw.groupBy("path").agg(F.max(F.size("cells")).alias("_width"))
-    files = join_small(widths, header, "path", "left")
+    is_header = (F.col("row_no") < YEARLY_HEADER_ROWS) & functools.reduce(
+        lambda a, b: a & b, [r.isNotNull() for r in roles.values()])
+    # one aggregate per file: the first header-like row in 0..6 and the width
+    files = raw.groupBy("path").agg(
+        F.min_by(F.when(is_header, F.struct(*[r.alias(k) for k, r in roles.items()])),
+                 F.when(is_header, F.col("row_no"))).alias("roles"),
+        F.min(F.when(is_header, F.col("row_no"))).alias("header_row"),
+        F.max(F.size("cells")).alias("_width"))
 
     rows = join_small(raw, files, "path", "inner")
     positional = F.col("header_row").isNull()
@@ -192,65 +191,77 @@ def concept_from_descriptions(c1: Column, c3: Column) -> Column:
     return F.when(combined == "", F.lit(NO_DESCRIPTION)).otherwise(combined)
 
 
-def parse_wide(raw: DataFrame) -> DataFrame:
-    """Wide-layout files (those with a header in rows 0..5).
+def _wide_files(raw: DataFrame) -> DataFrame:
+    """Per wide-layout file: header row, role positions, and whether the file
+    is usable (date, balance and some amount column found)."""
+    hdr = _header_rows(raw)
+    roles = _wide_roles(F.col("hdr"))
+    files = hdr.select("path", "header_row", *[r.alias(f"_{k}") for k, r in roles.items()])
+    return files.withColumn("_usable", F.col("_date").isNotNull() & F.col("_balance").isNotNull() &
+                            (F.col("_income").isNotNull() | F.col("_expense").isNotNull() |
+                             F.col("_amount").isNotNull()))
+
 
-    Rows below the header that are not entirely empty are data.  Amount:
+def parse_multi_layout(raw: DataFrame) -> DataFrame:
+    """A8-A11 in one pass over the cells: each file is wide (a header in rows
+    0..5) or old (no header), decided per file; the row expressions pick the
+    layout's columns.  Adds ``layout`` ('wide' / 'old').
+
+    Wide: rows below the header that are not entirely empty.  Amount:
     income - expense (missing as 0) when both columns exist, the one column
     as is when only one does (S21), else the amount column.  Balance: the
     first balance column, i.e. the positive one (S20).  Files lacking a date
-    or balance column, or any amount column, are rejected (``wide_rejects``).
+    or balance column, or any amount column, give no rows (``wide_rejects``).
+    Old: rows from row 3; date, value date, concept, details, amount, balance;
+    details appended to the concept when present.
     """
-    hdr = _header_rows(raw)
-    roles = _wide_roles(F.col("hdr"))
-    files = hdr.select("path", "header_row", *[r.alias(f"_{k}") for k, r in roles.items()])
-    files = files.filter(F.col("_date").isNotNull() & F.col("_balance").isNotNull() &
-                         (F.col("_income").isNotNull() | F.col("_expense").isNotNull() |
-                          F.col("_amount").isNotNull()))
-    rows = join_small(raw, files, "path", "inner").filter(
-        (F.col("row_no") > F.col("header_row")) &
-        F.exists("cells", lambda v: v.isNotNull()))
+    rows = join_small(raw, _wide_files(raw), "path", "left")
+    wide = F.col("header_row").isNotNull()
+    rows = rows.filter(
+        (wide & F.col("_usable") & (F.col("row_no") > F.col("header_row"))
+         & F.exists("cells", lambda v: v.isNotNull()))
+        | (~wide & (F.col("row_no") >= OLD_SKIP_ROWS)))
 
     def at(role: str) -> Column:
         return cell(F.col("cells"), F.col(f"_{role}"))
 
+    def pos(i: int) -> Column:
+        return F.try_element_at(F.col("cells"), F.lit(i + 1))
+
     inc, exp = number(at("income")), number(at("expense"))
     has_inc, has_exp = F.col("_income").isNotNull(), F.col("_expense").isNotNull()
-    amount = (F.when(has_inc & has_exp, F.coalesce(inc, F.lit(0)) - F.coalesce(exp, F.lit(0)))
-              .when(has_inc, inc).when(has_exp, exp)
-              .otherwise(number(at("amount")))).cast(MONEY)
+    wide_amount = (F.when(has_inc & has_exp, F.coalesce(inc, F.lit(0)) - F.coalesce(exp, F.lit(0)))
+                   .when(has_inc, inc).when(has_exp, exp)
+                   .otherwise(number(at("amount")))).cast(MONEY)
+    details = pos(3)
+    old_text = F.coalesce(pos(2), F.lit("nan"))
+    old_concept = F.when(details.isNotNull(), strip(F.concat(old_text, F.lit(" "), details))) \
+        .otherwise(old_text)
     return rows.select(
-        parse_timestamp(at("date"), DAY_FIRST).alias("date"),
-        concept_from_descriptions(at("desc1"), at("desc3")).alias("concept"),
-        amount.alias("amount"),
-        number(at("balance")).alias("balance"),
+        F.when(wide, parse_timestamp(at("date"), DAY_FIRST))
+         .otherwise(parse_timestamp(pos(0), MONTH_FIRST)).alias("date"),
+        F.when(wide, concept_from_descriptions(at("desc1"), at("desc3")))
+         .otherwise(old_concept).alias("concept"),
+        F.when(wide, wide_amount).otherwise(number(pos(4))).alias("amount"),
+        F.when(wide, number(at("balance"))).otherwise(number(pos(5))).alias("balance"),
         F.col("path").alias("src_file"),
-        F.col("row_no").cast("long").alias("src_row"))
+        F.col("row_no").cast("long").alias("src_row"),
+        F.when(wide, F.lit("wide")).otherwise(F.lit("old")).alias("layout"))
+
+
+def parse_wide(raw: DataFrame) -> DataFrame:
+    """The wide-layout files' movements."""
+    return parse_multi_layout(raw).filter(F.col("layout") == "wide").drop("layout")
 
 
 def parse_old(raw: DataFrame) -> DataFrame:
-    """Files with no header in rows 0..5: skip 3 rows; columns are date,
-    value date, concept, details, amount, balance; details appended when present."""
-    hdr = _header_rows(raw).select("path")
-    rows = join_small(raw, hdr, "path", "left_anti").filter(F.col("row_no") >= OLD_SKIP_ROWS)
-    c = F.col("cells")
-    details = F.try_element_at(c, F.lit(4))
-    concept_txt = F.coalesce(F.try_element_at(c, F.lit(3)), F.lit("nan"))
-    concept = F.when(details.isNotNull(), strip(F.concat(concept_txt, F.lit(" "), details))) \
-        .otherwise(concept_txt)
-    return rows.select(
-        parse_timestamp(F.try_element_at(c, F.lit(1)), MONTH_FIRST).alias("date"),
-        concept.alias("concept"),
-        number(F.try_element_at(c, F.lit(5))).alias("amount"),
-        number(F.try_element_at(c, F.lit(6))).alias("balance"),
-        F.col("path").alias("src_file"),
-        F.col("row_no").cast("long").alias("src_row"))
+    """The old-layout files' movements."""
+    return parse_multi_layout(raw).filter(F.col("layout") == "old").drop("layout")
 
 
 def wide_rejects(raw: DataFrame) -> DataFrame:
     """Wide-layout files missing a date, balance or amount column."""
-    ok = parse_wide(raw).select(F.col("src_file").alias("path")).distinct()
-    return _header_rows(raw).select("path").join(ok, "path", "left_anti")
+    return _wide_files(raw).filter(~F.col("_usable")).select("path")
 
 
 # ------------------------------------------------------------- loaders
@@ -271,7 +282,7 @@ def load_yearly_bank(raw: DataFrame, bank: str, rules: Rules = DEFAULT_RULES) ->
 
 def load_multi_layout_bank(raw: DataFrame, bank: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Wide or old layout per file: date and amount required."""
-    return finish_bank(parse_wide(raw).unionByName(parse_old(raw)), bank, ["date", "amount"], rules)
+    return finish_bank(parse_multi_layout(raw).drop("layout"), bank, ["date", "amount"], rules)
 
 
 def head_rows(raw: DataFrame, n: int, first_cols: int = 6) -> DataFrame:
