@@ -2,17 +2,22 @@
 
 Some parses are sequential: whether a line starts a record depends on every
 line before it in the document.  Running that per document would put a whole
-document in one task.  Instead (the same two-pass scheme as ``prefix``):
+document in one task.  Instead:
 
-1. range-partition rows on (key, order) into blocks of about equal size and
-   checkpoint (frozen block assignment, survives executor loss);
-2. per (block, key), the block's transition function: for each possible
-   entry state, the exit state and the last "marked" row seen (Arrow
-   batches through ``applyInPandas``; a group is at most one block);
+1. blocks are ranges of the integer order column, contiguous by
+   construction: per key, the width is chosen from its (min, max, count) so
+   that a block holds about ``block_rows`` rows whether line numbers are
+   dense or sparse; the block is ``(order - min) div width`` — a function of
+   the row and of a deterministic per-key aggregate, so a recomputation after
+   an executor loss assigns the same blocks (no sampling, no checkpoint);
+2. per (key, block), the block's transition function: for each possible
+   entry state, the exit state and the last "marked" row seen (numpy over
+   Arrow batches through ``applyInPandas``; pairwise tree composition);
 3. per key, the entry state of every block: fold the block functions in
-   block order (one small row per block, a few hundred at most per key);
-4. per (block, key), replay from the entry state, giving each row the state
-   before it and the most recent marked row (e.g. the record it belongs to).
+   block order (one small row per block);
+4. per (key, block), replay from the entry state (``cogroup`` of the rows
+   with their block's entry), giving each row the state before it and the
+   most recent marked row (e.g. the start of the record it belongs to).
 
 The machine is a table ``next_state[state][symbol]`` over small integers;
 ``marks`` lists the (state, symbol) pairs that mark a row (a record start).
@@ -23,30 +28,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontor.plans.joins import join_small
-from kontor.plans.lineage import cut_lineage
+DEFAULT_BLOCK_ROWS = 1 << 16
 
 
 def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
              table: list[list[int]], initial: int, marks: set[tuple[int, int]],
-             num_blocks: int | None = None) -> DataFrame:
+             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Add ``state_before`` (int) and ``mark`` (the ``order`` value of the
     latest marked row at or before this row within its key, or null)."""
-    spark = df.sparkSession
-    n_blocks = num_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_states = len(table)
     trans = np.array(table, dtype=np.int64)
     is_mark = np.zeros_like(trans, dtype=bool)
     for s, y in marks:
         is_mark[s, y] = True
-
-    blocked = cut_lineage(
-        df.repartitionByRange(n_blocks, key, order).withColumn("_blk", F.spark_partition_id()))
     key_type = df.schema[key].dataType.simpleString()
-    order_type = df.schema[order].dataType.simpleString()
+
+    span = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
+                               F.count("*").alias("_n"))
+    extent = (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    width = F.greatest(F.lit(1), F.ceil(extent * F.lit(float(block_rows)) / F.col("_n")))
+    span = span.select(key, "_lo", width.cast("long").alias("_w"))
+    rows = (df.join(span, key, "inner")
+            .withColumn("_blk", F.expr(f"(`{order}` - _lo) div _w")).drop("_lo", "_w"))
 
     def block_function(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -65,22 +71,18 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
             f = np.take_along_axis(bf, af, axis=1)
             bm_at = np.take_along_axis(bm, af, axis=1)
             m = np.where(bm_at >= 0, bm_at, am)
-        exits = [int(x) for x in f[0]]
-        last = [None if x < 0 else int(x) for x in m[0]]
-        return pd.DataFrame({"_blk": [pdf["_blk"].iloc[0]], key: [pdf[key].iloc[0]],
-                             "_exit": [exits], "_last": [last]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "_blk": [int(pdf["_blk"].iloc[0])],
+                             "_exit": [[int(x) for x in f[0]]],
+                             "_last": [[None if x < 0 else int(x) for x in m[0]]]})
 
-    funcs = (blocked.select("_blk", key, order, symbol)
-             .groupBy("_blk", key)
-             .applyInPandas(block_function,
-                            f"_blk int, `{key}` {key_type}, _exit array<int>, "
-                            f"_last array<{order_type}>"))
+    funcs = rows.groupBy(key, "_blk").applyInPandas(
+        block_function, f"`{key}` {key_type}, _blk long, _exit array<int>, _last array<long>")
 
-    # fold block functions per key, in block order (a handful of rows per key)
+    # fold block functions per key, in block order (one small row per block)
     per_key = funcs.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("_blk", "_exit", "_last"))).alias("_bl"))
-    init = F.struct(F.lit(initial).alias("s"), F.lit(None).cast(order_type).alias("m"),
-                    F.array().cast(f"array<struct<_blk:int,s:int,m:{order_type}>>").alias("out"))
+    init = F.struct(F.lit(initial).alias("s"), F.lit(None).cast("long").alias("m"),
+                    F.array().cast("array<struct<_blk:bigint,s:int,m:bigint>>").alias("out"))
     folded = per_key.select(key, F.aggregate(
         "_bl", init,
         lambda acc, b: F.struct(
@@ -93,13 +95,15 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
         key, F.col("e._blk").alias("_blk"), F.col("e.s").alias("_entry"),
         F.col("e.m").alias("_entry_mark"))
 
-    rows = join_small(blocked, entries, [key, "_blk"], "inner")
-    out_schema = rows.drop("_entry", "_entry_mark").schema.simpleString()[len("struct<"):-1]
+    out_fields = rows.schema.simpleString()[len("struct<"):-1]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pdf.assign(state_before=pd.Series(dtype="int32"),
+                              mark=pd.Series(dtype="Int64"))
         pdf = pdf.sort_values(order)
-        s = int(pdf["_entry"].iloc[0])
-        m = pdf["_entry_mark"].iloc[0]
+        s = int(entry["_entry"].iloc[0])
+        m = entry["_entry_mark"].iloc[0]
         m = None if pd.isna(m) else int(m)
         states, marks_out = [], []
         for y, p in zip(pdf[symbol].to_numpy(dtype=np.int64), pdf[order].to_numpy()):
@@ -108,11 +112,11 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
             states.append(s)
             marks_out.append(m)
             s = int(trans[s, y])
-        out = pdf.drop(columns=["_entry", "_entry_mark"])
+        out = pdf.copy()
         out["state_before"] = states
         out["mark"] = pd.array(marks_out, dtype="Int64")
         return out
 
-    return (rows.groupBy("_blk", key)
-            .applyInPandas(replay, f"{out_schema}, state_before int, mark {order_type}")
+    return (rows.groupBy(key, "_blk").cogroup(entries.groupBy(key, "_blk"))
+            .applyInPandas(replay, f"{out_fields}, state_before int, mark bigint")
             .drop("_blk"))

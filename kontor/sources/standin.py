@@ -328,7 +328,6 @@ def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ statement lines
 STATEMENT_MISSING_MONTH = 6        # June statements were never downloaded
-_STOP_LINE_NO = 10 ** 15
 
 
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +349,8 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("m", F.trunc(F.to_date("o_orderdate"), "MM"))
     doc = F.concat(F.col("bank"), F.lit("/"), F.date_format("m", "yyyy-MM"), F.lit(".pdf"))
 
-    monthly = oc.groupBy("bank", "m").agg(F.sum("amt").alias("net"))
+    monthly = oc.groupBy("bank", "m").agg(F.sum("amt").alias("net"),
+                                          F.max("o_orderkey").alias("_last_key"))
     before = Window.partitionBy("bank").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     monthly = (monthly.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0)))
                .withColumn("closing", F.col("opening") + F.col("net"))
@@ -382,8 +382,9 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("FECHA"), F.lit("NÚMERO"), F.lit("DESCRIPCIÓN"), F.lit("MONTO"), F.lit("SALDO DIARIO"))
     head = monthly.select(doc.alias("doc"), F.posexplode(fixed).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("long"))
-    tail = monthly.select(doc.alias("doc"), F.posexplode(F.array(
+    tail = monthly.select(doc.alias("doc"), "_last_key", F.posexplode(F.array(
         F.concat(F.lit("Saldo anterior: "), F.format_number("opening", 2)),
         F.lit("Página 1"))).alias("k", "line")).select(
-        "doc", (F.lit(_STOP_LINE_NO) + F.col("k")).cast("long").alias("line_no"), "line")
+        "doc", (F.lit(100) + (F.col("_last_key") + 1) * 8 + F.col("k")).cast("long")
+        .alias("line_no"), "line")
     return recs.unionByName(head.select("doc", "line_no", "line")).unionByName(tail)

@@ -84,7 +84,7 @@ def _symbol(line: Column) -> Column:
             .otherwise(F.lit(OTHER)))
 
 
-def parse_statement_lines(lines: DataFrame, num_blocks: int | None = None) -> DataFrame:
+def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
     """A12 + A14: movements ``(doc, line_no, date, concept, amount, balance)``.
 
     ``line_no`` is the record's first line.  The year comes from the
@@ -92,13 +92,17 @@ def parse_statement_lines(lines: DataFrame, num_blocks: int | None = None) -> Da
     before.  An impossible date (29/02 in a common year) gives a null date.
     """
     lines = lines.select("doc", F.col("line_no").cast("long").alias("line_no"), "line")
-    start = (lines.filter(F.col("line") == TABLE_TITLE).groupBy("doc")
-             .agg((F.min("line_no") + 1).alias("_start")))
-    body = (join_small(lines, start, "doc", "left")
+    this_hit = F.col("line").rlike(THIS_STMT_RE)
+    info = lines.groupBy("doc").agg(
+        (F.min(F.when(F.col("line") == TABLE_TITLE, F.col("line_no"))) + 1).alias("_start"),
+        F.max_by(F.regexp_extract("line", THIS_STMT_RE, 1), F.when(this_hit, F.col("line_no")))
+        .alias("_this"))
+    body = (join_small(lines, info, "doc", "left")
             .filter(F.col("line_no") >= F.coalesce("_start", F.lit(0)))
-            .withColumn("sym", _symbol(F.col("line"))).drop("_start"))
+            .select("doc", "line_no", "line", _ddmmyyyy(F.col("_this")).alias("this_stmt"),
+                    _symbol(F.col("line")).alias("sym")))
     scanned = fsm_scan(body, "doc", "line_no", "sym", TRANSITIONS, SEEK, RECORD_START,
-                       num_blocks)
+                       **({"block_rows": block_rows} if block_rows else {}))
 
     st, sym = F.col("state_before"), F.col("sym")
     role = (F.when((st == SEEK) & (sym == DATE), F.lit("date"))
@@ -111,11 +115,10 @@ def parse_statement_lines(lines: DataFrame, num_blocks: int | None = None) -> Da
         F.sort_array(F.collect_list(F.when(F.col("role") == "desc",
                                            F.struct("line_no", "line")))).alias("_desc"),
         F.max(F.when(F.col("role") == "amount", F.col("line"))).alias("_amount"),
-        F.max(F.when(F.col("role") == "balance", F.col("line"))).alias("_balance"))
+        F.max(F.when(F.col("role") == "balance", F.col("line"))).alias("_balance"),
+        F.max("this_stmt").alias("this_stmt"))
     rec = rec.filter(F.col("_balance").isNotNull())
 
-    meta = statement_meta(lines).select("doc", "this_stmt")
-    rec = join_small(rec, meta, "doc", "left")
     day = F.substring("_ddmm", 1, 2)
     month = F.substring("_ddmm", 4, 2)
 
@@ -135,10 +138,10 @@ def parse_statement_lines(lines: DataFrame, num_blocks: int | None = None) -> Da
 
 
 def load_statements(lines: DataFrame, bank: str = STATEMENT_BANK, rules: Rules = DEFAULT_RULES,
-                    num_blocks: int | None = None) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """Every document, tagged, categorised, rows without date or amount
     dropped, duplicates removed (first in ledger order)."""
-    p = parse_statement_lines(lines, num_blocks)
+    p = parse_statement_lines(lines, block_rows)
     df = p.select("date", F.regexp_replace(F.coalesce("concept", F.lit("nan")), r"^\s+|\s+$", "")
                   .alias("concept"), "amount", "balance", F.lit(bank).alias("bank"),
                   F.col("doc").alias("src_file"), F.col("line_no").alias("src_row"))

@@ -167,9 +167,9 @@ def test_statement_scan_matches_loop(spark, seed):
     from kontor.plans.fsm import fsm_scan
     body = df.withColumn("line_no", F.col("line_no").cast("long")).withColumn(
         "sym", statements._symbol(F.col("line")))
-    for blocks in (1, 5):
+    for block_rows in (1, 7, 1 << 16):
         scanned = fsm_scan(body, "doc", "line_no", "sym", statements.TRANSITIONS,
-                           statements.SEEK, statements.RECORD_START, blocks)
+                           statements.SEEK, statements.RECORD_START, block_rows)
         st, sym = F.col("state_before"), F.col("sym")
         role = (F.when((st == 0) & (sym == 1), "date")
                 .when(st == 2, F.when(sym == 2, "amount").otherwise("desc"))

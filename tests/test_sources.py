@@ -159,7 +159,7 @@ def test_statement_cases(spark):
     c = _doc("s/2024-03.pdf", "15/03/2024", "15/02/2024", "900.00", "900.00", [])
     lines = spark.createDataFrame(a + b + c, "doc string, line_no int, line string")
     got = sorted((r.date, r.concept, float(r.amount), float(r.balance))
-                 for r in statements.parse_statement_lines(lines, num_blocks=3).collect())
+                 for r in statements.parse_statement_lines(lines, block_rows=4).collect())
     assert got == [(D(2023, 12, 20), "SUPER ABC", -50.0, 950.0),
                    (D(2024, 1, 3), "KIOSKO", -50.0, 900.0)]
     gaps = [(r.after_file, r.before_file, round(r.difference, 2))
