@@ -167,6 +167,13 @@ def overrides_as_of(log: DataFrame, version: int) -> DataFrame:
             .groupBy("tx_id").agg(F.max_by("category", "version").alias("category")))
 
 
+def save_version(log: DataFrame | None, overrides: DataFrame, version: int) -> DataFrame:
+    """A20 (write side): a save appends the full override set as a new
+    version of the log (the versioned copy of each save)."""
+    snap = overrides.select(F.lit(version).cast("long").alias("version"), "tx_id", "category")
+    return snap if log is None else log.unionByName(snap)
+
+
 def retain_versions(log: DataFrame, keep: int = SNAPSHOTS_KEPT) -> DataFrame:
     """Keep the newest ``keep`` versions of the log.
 
