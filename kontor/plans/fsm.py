@@ -16,8 +16,9 @@ document in one task.  Instead:
 3. per key, the entry state of every block: fold the block functions in
    block order (one small row per block);
 4. per (key, block), replay from the entry state (``cogroup`` of the rows
-   with their block's entry), giving each row the state before it and the
-   most recent marked row (e.g. the start of the record it belongs to).
+   with their block's entry; an inclusive prefix scan of the row functions in
+   numpy), giving each row the state before it and the most recent marked
+   row (e.g. the start of the record it belongs to).
 
 The machine is a table ``next_state[state][symbol]`` over small integers;
 ``marks`` lists the (state, symbol) pairs that mark a row (a record start).
@@ -102,19 +103,30 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
             return pdf.assign(state_before=pd.Series(dtype="int32"),
                               mark=pd.Series(dtype="Int64"))
         pdf = pdf.sort_values(order)
-        s = int(entry["_entry"].iloc[0])
-        m = entry["_entry_mark"].iloc[0]
-        m = None if pd.isna(m) else int(m)
-        states, marks_out = [], []
-        for y, p in zip(pdf[symbol].to_numpy(dtype=np.int64), pdf[order].to_numpy()):
-            if is_mark[s, y]:
-                m = int(p)
-            states.append(s)
-            marks_out.append(m)
-            s = int(trans[s, y])
+        e = int(entry["_entry"].iloc[0])
+        m0 = entry["_entry_mark"].iloc[0]
+        m0 = -1 if pd.isna(m0) else int(m0)
+        syms = pdf[symbol].to_numpy(dtype=np.int64)
+        pos = pdf[order].to_numpy(dtype=np.int64)
+        # inclusive prefix compositions (Hillis-Steele): row i holds the
+        # function of rows 0..i and the last mark seen, per entry state
+        f = trans[:, syms].T.copy()
+        m = np.where(is_mark[:, syms].T, pos[:, None], -1)
+        d = 1
+        while d < len(f):
+            af = f[:-d]
+            bm_at = np.take_along_axis(m[d:], af, axis=1)
+            nf, nm = f.copy(), m.copy()
+            nf[d:] = np.take_along_axis(f[d:], af, axis=1)
+            nm[d:] = np.where(bm_at >= 0, bm_at, m[:-d])
+            f, m, d = nf, nm, d * 2
+        after = f[:, e]
+        marks_at = m[:, e]
         out = pdf.copy()
-        out["state_before"] = states
-        out["mark"] = pd.array(marks_out, dtype="Int64")
+        out["state_before"] = np.concatenate([[e], after[:-1]]).astype("int32")
+        marks_at = np.where(marks_at >= 0, marks_at, m0)
+        out["mark"] = pd.array(np.where(marks_at >= 0, marks_at, 0), dtype="Int64")
+        out.loc[marks_at < 0, "mark"] = pd.NA
         return out
 
     return (rows.groupBy(key, "_blk").cogroup(entries.groupBy(key, "_blk"))

@@ -376,11 +376,17 @@ def grid_old(spark, d):
                                                     S.STANDIN_RULES))
 
 
+def _staged_lines(spark, d):
+    """The statement text as a stored stmt_lines table (written once)."""
+    from kontor.sources.files import stage_table
+    return stage_table(S.statement_lines(spark, d), "stmt-lines")
+
+
 @register
 def statement_parse(spark, d):
     """Statement text lines parsed into movements (blocked FSM scan)."""
     from kontor.sources import statements
-    lines = S.statement_lines(spark, d)
+    lines = _staged_lines(spark, d)
     return _ledger_out(statements.load_statements(lines, "BNCR", S.STANDIN_RULES))
 
 
@@ -415,7 +421,7 @@ def _sources(spark, d):
                lambda r: card_csv.load_card_bank(r, "Revo", rules)),
         Source("card", 1, "Bank3", S.card_rows(spark, d), "src_file",
                lambda r: card_csv.load_card_bank(r, "Bank3", rules)),
-        Source("statements", 0, "BNCR", S.statement_lines(spark, d), "doc",
+        Source("statements", 0, "BNCR", _staged_lines(spark, d), "doc",
                lambda r: statements.load_statements(r, "BNCR", rules)),
     ]
 

@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.plans.lineage import checkpoint_dir
@@ -25,6 +25,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/kontor-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived input once (parquet, scratch folder) and read it back:
+    what a pipeline does with an export it reads several times, instead of
+    recomputing it at every reference."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def extension_filter(paths: DataFrame, extensions: list[str], col: str = "path") -> DataFrame:
     """Case-insensitive suffix match (``*.xls*`` style)."""
     pattern = r"\.(" + "|".join(extensions) + r")$"
@@ -60,18 +70,24 @@ def choose_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """Per slot, the preferred source among those that have files;
     slots where no source has files are skipped.
 
-    ``(slot, priority, source, n_files)`` of the chosen sources.  Counting
-    files is one small aggregate per source (distinct file names).
+    The choice needs only "has any file": one ``LIMIT 1`` probe per configured
+    source (a handful), decided on the driver.  ``(slot, priority, source,
+    n_files)`` of the chosen sources; ``n_files`` is a distributed count of
+    distinct file names, computed only for the chosen sources.
     """
+    chosen: dict[str, Source] = {}
+    for s in sorted(sources, key=lambda s: (s.slot, s.priority)):
+        if s.slot not in chosen and not s.raw.select(s.file_col).limit(1).isEmpty():
+            chosen[s.slot] = s
     counts = None
-    for s in sources:
+    for s in chosen.values():
         c = s.raw.agg(F.count_distinct(s.file_col).cast("long").alias("n_files")).select(
             F.lit(s.slot).alias("slot"), F.lit(s.priority).alias("priority"),
             F.lit(s.name).alias("source"), "n_files")
         counts = c if counts is None else counts.unionByName(c)
-    rank = F.dense_rank().over(Window.partitionBy("slot").orderBy("priority"))
-    return (counts.filter(F.col("n_files") > 0).withColumn("_r", rank)
-            .filter(F.col("_r") == 1).drop("_r"))
+    if counts is None:
+        return spark.createDataFrame([], "slot string, priority int, source string, n_files long")
+    return counts
 
 
 def load_all(spark: SparkSession, sources: list[Source], ordered: bool = False) -> DataFrame:
@@ -83,8 +99,11 @@ def load_all(spark: SparkSession, sources: list[Source], ordered: bool = False)
     aggregates do not need it, and the stored table is date-clustered by
     ``operators.ledger.write_ledger`` instead.
     """
-    chosen = {(r["slot"], r["source"]) for r in choose_sources(spark, sources).collect()}
-    parts = [s.load(s.raw) for s in sources if (s.slot, s.name) in chosen]
+    picked: dict[str, Source] = {}
+    for s in sorted(sources, key=lambda s: (s.slot, s.priority)):
+        if s.slot not in picked and not s.raw.select(s.file_col).limit(1).isEmpty():
+            picked[s.slot] = s
+    parts = [s.load(s.raw) for s in picked.values()]
     if not parts:
         return spark.createDataFrame([], "date timestamp_ntz, concept string, amount decimal(18,2),"
                                          " balance decimal(18,2), bank string, category string,"
