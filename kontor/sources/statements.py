@@ -110,6 +110,10 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
             .when((st == AFTER_AMOUNT) & (sym == MONEY_LINE), F.lit("balance")))
     parts = scanned.withColumn("role", role).filter(F.col("role").isNotNull()
                                                     & F.col("mark").isNotNull())
+    # only complete records (those with a balance line) gather their lines: a
+    # record cut off by the end of a document never collects its text
+    complete = parts.filter(F.col("role") == "balance").select("doc", "mark")
+    parts = parts.join(complete, ["doc", "mark"], "left_semi")
     rec = parts.groupBy("doc", F.col("mark").alias("line_no")).agg(
         F.max(F.when(F.col("role") == "date", F.col("line"))).alias("_ddmm"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "desc",
