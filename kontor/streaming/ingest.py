@@ -2,10 +2,16 @@
 
 New export files land in a folder; each micro-batch is parsed into ledger
 rows, de-duplicated within itself (G1), stripped of rows whose duplicate key
-is already in the ledger table (null-safe anti-join on the key; the bank is
-part of the key, so only the batch's accounts' partitions are scanned), and
-appended to the ledger table.  Re-running a batch after a failure appends
-nothing twice: its rows are then already in the table.
+is already known, and appended to the ledger table.
+
+Known keys live in a key index next to the ledger (``<ledger>_keys``),
+partitioned by (account, hash bucket of the key).  A batch reads only the
+(account, bucket) partitions its own keys fall in — a static partition
+filter built from the batch's distinct pairs (bounded by the batch size and
+by accounts x buckets) — not the account's whole history, and anti-joins
+that small match set (null-safe on every key column).  The index is appended after the ledger,
+and a re-run batch is filtered against both, so replaying a batch after a
+failure appends nothing twice.
 
 A duplicate may arrive any time later, so there is no watermark and no
 ``dropDuplicatesWithinWatermark``: the ledger table itself is the state.
@@ -31,17 +37,60 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
+KEY_BUCKETS = 256
+MAX_PRUNE_PAIRS = 10_000
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    k = rows.select("*", *dedup_key())
+    kcols = [c for c in k.columns if c.startswith("_k_")]
+    return k.withColumn("_kb", F.pmod(F.xxhash64(*kcols), F.lit(KEY_BUCKETS)).cast("int"))
+
+
+def _key_cols(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("_k_")]
+
+
 def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataFrame:
-    """The rows of a batch that are new to the ledger table (first copy kept)."""
-    rows = dedup(rows.select(*LEDGER_COLUMNS))
-    if not _table_exists(spark, ledger_path):
-        return rows
-    existing = spark.read.parquet(ledger_path).select(*dedup_key())
-    keyed = rows.select("*", *dedup_key())
-    kcols = [c for c in existing.columns]
+    """The rows of a batch that are new to the ledger (first copy kept), with
+    their key columns (``_k_*``) and key bucket (``_kb``)."""
+    keyed = _keyed(dedup(rows.select(*LEDGER_COLUMNS)))
+    index = ledger_path.rstrip("/") + "_keys"
+    kcols = _key_cols(keyed)
+    if not _table_exists(spark, index):
+        return keyed
+    known = spark.read.parquet(index)
+    # partitions the batch touches: at most (rows in the batch) and at most
+    # accounts x KEY_BUCKETS; up to MAX_PRUNE_PAIRS they become a static
+    # partition filter on the index, beyond that a semi-join narrows it
+    pairs = (keyed.select("_k_bank", "_kb").distinct().limit(MAX_PRUNE_PAIRS + 1).collect())
+    if len(pairs) <= MAX_PRUNE_PAIRS:
+        by_bank: dict = {}
+        for r in pairs:
+            by_bank.setdefault(r["_k_bank"], []).append(r["_kb"])
+        if not by_bank:
+            return keyed
+        cond_parts = [((F.col("_k_bank") == F.lit(b)) if b is not None else
+                       F.col("_k_bank").isNull()) & F.col("_kb").isin(kbs)
+                      for b, kbs in by_bank.items()]
+        matches = known.filter(functools.reduce(lambda a, b: a | b, cond_parts))
+    else:
+        matches = known.join(keyed.select("_k_bank", "_kb").distinct(), ["_k_bank", "_kb"],
+                             "left_semi")
     cond = functools.reduce(lambda a, b: a & b,
-                            [keyed[c].eqNullSafe(existing[c]) for c in kcols])
-    return keyed.join(existing, cond, "left_anti").select(*LEDGER_COLUMNS)
+                            [keyed[c].eqNullSafe(matches[c]) for c in kcols + ["_kb"]])
+    return keyed.join(matches, cond, "left_anti")
+
+
+def append_batch(new: DataFrame, ledger_path: str) -> None:
+    """Append the new rows to the ledger, then their keys to the key index."""
+    new = new.persist()
+    try:
+        new.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("bank").parquet(ledger_path)
+        (new.select(*_key_cols(new), "_kb").write.mode("append")
+         .partitionBy("_k_bank", "_kb").parquet(ledger_path.rstrip("/") + "_keys"))
+    finally:
+        new.unpersist()
 
 
 def start_ingest(spark: SparkSession, source_dir: str, source_schema: str, ledger_path: str,
@@ -53,8 +102,7 @@ def start_ingest(spark: SparkSession, source_dir: str, source_schema: str, ledge
               .options(**(options or {})).load(source_dir))
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        new = merge_batch(spark, parse(batch), ledger_path)
-        new.write.mode("append").partitionBy("bank").parquet(ledger_path)
+        append_batch(merge_batch(spark, parse(batch), ledger_path), ledger_path)
 
     writer = (stream.writeStream.foreachBatch(each_batch)
               .option("checkpointLocation", checkpoint_location))

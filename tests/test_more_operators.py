@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kontor.operators import filters, overrides, report
 from kontor.sources import files, grids, json_io
-from kontor.streaming.ingest import merge_batch
+from kontor.streaming.ingest import append_batch, merge_batch
 from tests.conftest import SMALL
 
 
@@ -77,11 +77,17 @@ def test_stream_batch_replay_appends_nothing_twice(spark, tmp_path):
     from kontor.registry import ledger
     lg = ledger(spark, SMALL)
     path = str(tmp_path / "ledger")
-    first = merge_batch(spark, lg, path)
-    first.write.mode("append").partitionBy("bank").parquet(path)
+    append_batch(merge_batch(spark, lg, path), path)
     again = merge_batch(spark, lg, path)
     assert again.count() == 0
     assert spark.read.parquet(path).count() == lg.count()
+    # the probe reads only the key-index partitions the batch touches
+    one = lg.filter("bank = 'Bank1'").limit(3)
+    probe = merge_batch(spark, one, path)
+    assert probe.count() == 0
+    probe.collect()
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_kb" in plan.split("PartitionFilters: [")[1][:400]
 
 
 def test_filters_small(spark):
