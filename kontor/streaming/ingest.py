@@ -37,14 +37,15 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
-KEY_BUCKETS = 256
-MAX_PRUNE_PAIRS = 10_000
+KEY_BUCKETS = 32           # per account; raise for very large accounts
+MAX_PRUNE_PAIRS = 10_000   # bound for building partition / hash filters from a batch
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
     k = rows.select("*", *dedup_key())
     kcols = [c for c in k.columns if c.startswith("_k_")]
-    return k.withColumn("_kb", F.pmod(F.xxhash64(*kcols), F.lit(KEY_BUCKETS)).cast("int"))
+    return (k.withColumn("_kh", F.xxhash64(*kcols))
+            .withColumn("_kb", F.pmod(F.col("_kh"), F.lit(KEY_BUCKETS)).cast("int")))
 
 
 def _key_cols(df: DataFrame) -> list[str]:
@@ -74,11 +75,16 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataF
                        F.col("_k_bank").isNull()) & F.col("_kb").isin(kbs)
                       for b, kbs in by_bank.items()]
         matches = known.filter(functools.reduce(lambda a, b: a | b, cond_parts))
+        # inside a bucket, files are sorted by the key hash: an IN list of the
+        # batch's hashes is pushed to parquet and skips row groups
+        hashes = keyed.select("_kh").distinct().limit(MAX_PRUNE_PAIRS + 1).collect()
+        if len(hashes) <= MAX_PRUNE_PAIRS:
+            matches = matches.filter(F.col("_kh").isin([r["_kh"] for r in hashes]))
     else:
         matches = known.join(keyed.select("_k_bank", "_kb").distinct(), ["_k_bank", "_kb"],
                              "left_semi")
     cond = functools.reduce(lambda a, b: a & b,
-                            [keyed[c].eqNullSafe(matches[c]) for c in kcols + ["_kb"]])
+                            [keyed[c].eqNullSafe(matches[c]) for c in kcols + ["_kb", "_kh"]])
     return keyed.join(matches, cond, "left_anti")
 
 
@@ -87,8 +93,10 @@ def append_batch(new: DataFrame, ledger_path: str) -> None:
     new = new.persist()
     try:
         new.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("bank").parquet(ledger_path)
-        (new.select(*_key_cols(new), "_kb").write.mode("append")
-         .partitionBy("_k_bank", "_kb").parquet(ledger_path.rstrip("/") + "_keys"))
+        (new.select(*_key_cols(new), "_kh", "_kb")
+         .repartition("_k_bank", "_kb").sortWithinPartitions("_kh")
+         .write.mode("append").partitionBy("_k_bank", "_kb")
+         .parquet(ledger_path.rstrip("/") + "_keys"))
     finally:
         new.unpersist()
 
