@@ -73,11 +73,12 @@ def learn_prefix_rules(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
     ov = overrides.filter(F.col("category").isNotNull() &
                           (F.col("category") != DEFAULT_CATEGORY))
     concepts = _concepts_of(ledger, ov)
-    labelled = concepts.join(ov.select("tx_id", "category"), "tx_id", "inner")
+    labelled = (concepts.join(ov.select("tx_id", "category"), "tx_id", "inner")
+                .select(concept_key("concept").alias("_ck"), "category").distinct())
+    # distinct (concept, category) pairs are expanded, not one row per override
     exploded = labelled.select(
         "category",
-        F.explode(_prefixes(concept_key("concept"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX))
-        .alias("p"))
+        F.explode(_prefixes(F.col("_ck"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX)).alias("p"))
     per_prefix = exploded.groupBy(F.col("p.prefix").alias("prefix")).agg(
         F.min("category").alias("_lo"), F.max("category").alias("_hi"))
     return (per_prefix.filter(F.col("_lo") == F.col("_hi"))

@@ -543,3 +543,13 @@ SQL["load_all"] = "\nUNION ALL\n".join([
 SQL["json_sources"] = with_ledger(IDS + "\nSELECT tx_id, category FROM ov")
 
 SQL["incremental_ingest"] = SQL["dedup"]
+
+SQL["auto_classify_count"] = SQL["auto_classify"].replace(
+    "SELECT tx_id, max(best.category) AS category FROM cand JOIN best USING (ck) GROUP BY tx_id",
+    "SELECT count(DISTINCT tx_id) AS n FROM cand JOIN best USING (ck)")
+
+SQL["eod_balance_static"] = with_ledger(f"""
+SELECT bank, CAST("date" AS DATE) AS "date",
+       CAST(arg_max(balance, row("date", src_file, src_row)) AS DOUBLE) AS balance
+FROM ledger WHERE balance IS NOT NULL AND {NO_TRANSFERS}
+GROUP BY bank, CAST("date" AS DATE)""")

@@ -106,6 +106,12 @@ def eod_balance_chart(spark, d):
     return report.eod_balance_chart(lg)
 
 
+@register
+def eod_balance_static(spark, d):
+    """F9, static-report form: end-of-day balance with transfers removed."""
+    return report.eod_balance(filters.hide_transfers(ledger(spark, d)))
+
+
 @register
 def latest_balance(spark, d):
     """last known balance per account."""
@@ -297,6 +303,14 @@ def auto_classify(spark, d):
     return overrides.auto_classify(lg, ov, rules)
 
 
+@register
+def auto_classify_count(spark, d):
+    """F16: how many ids the learned prefixes classified."""
+    lg = _ledger_ids(spark, d)
+    ov = S.overrides_table(spark, d, lg)
+    return overrides.bulk_count(overrides.auto_classify(lg, ov, overrides.learn_prefix_rules(lg, ov)))
+
+
 @register
 def bulk_apply(spark, d):
     """Edits spread to same-account rows sharing the 20-char concept prefix."""
