@@ -66,12 +66,14 @@ def learn_prefix_rules(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
     """``(prefix, category)`` rules from every non-'other' override.
 
     Each overridden concept (trimmed, lower case) yields its prefixes of 5..30
-    characters; a prefix seen with two categories is dropped (F20).  The
-    ambiguity test is ``min(category) = max(category)``, which aggregates on
-    the map side however many overrides share a prefix.
+    characters; a prefix seen with two categories (a null one counts as a
+    category) is dropped (F20).  The ambiguity test is ``min = max`` and no
+    null, which aggregates on the map side however many overrides share a
+    prefix.
     """
-    ov = overrides.filter(F.col("category").isNotNull() &
-                          (F.col("category") != DEFAULT_CATEGORY))
+    # 'other' overrides teach nothing; a null category still counts as a
+    # category of its own (a prefix seen with it is ambiguous, as in the original)
+    ov = overrides.filter(F.col("category").isNull() | (F.col("category") != DEFAULT_CATEGORY))
     concepts = _concepts_of(ledger, ov)
     labelled = (concepts.join(ov.select("tx_id", "category"), "tx_id", "inner")
                 .select(concept_key("concept").alias("_ck"), "category").distinct())
@@ -80,8 +82,9 @@ def learn_prefix_rules(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
         "category",
         F.explode(_prefixes(F.col("_ck"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX)).alias("p"))
     per_prefix = exploded.groupBy(F.col("p.prefix").alias("prefix")).agg(
-        F.min("category").alias("_lo"), F.max("category").alias("_hi"))
-    return (per_prefix.filter(F.col("_lo") == F.col("_hi"))
+        F.min("category").alias("_lo"), F.max("category").alias("_hi"),
+        F.max(F.col("category").isNull()).alias("_null"))
+    return (per_prefix.filter((F.col("_lo") == F.col("_hi")) & ~F.col("_null"))
             .select("prefix", F.col("_lo").alias("category")))
 
 

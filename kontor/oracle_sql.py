@@ -290,10 +290,10 @@ learned AS (
     FROM (SELECT lower(trim(coalesce(c.concept, 'nan'))) AS ck, ov.category
           FROM (SELECT tx_id, max(concept) AS concept FROM ids GROUP BY tx_id) c
           JOIN ov USING (tx_id)
-          WHERE ov.category IS NOT NULL AND ov.category <> 'other'),
+          WHERE ov.category IS NULL OR ov.category <> 'other'),
          generate_series(5, 30) AS t(L)
     WHERE L <= length(ck))
-  GROUP BY prefix HAVING count(DISTINCT category) = 1),
+  GROUP BY prefix HAVING count(DISTINCT category) = 1 AND count(*) = count(category)),
 edits AS (
   SELECT l_shipdate AS at_, l_orderkey AS ord, l_linenumber AS line, ids.bank, ids.tx_id,
          lower(p_type) AS category

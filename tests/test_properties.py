@@ -85,6 +85,14 @@ def test_prefix_rules_drop_ambiguous_and_short(spark):
     rules = {r.prefix: r.category for r in overrides.learn_prefix_rules(lg, ov).collect()}
     assert "taxi " not in rules and "taxi m" in rules and rules["taxi madrid"] == "taxi"
     assert not any(p.startswith("abc") for p in rules)       # shorter than 5: no prefixes
+    # a null-category override makes its prefixes ambiguous; 'other' teaches nothing
+    lg2 = lg.union(spark.createDataFrame([("e", "Taxi Madrid Sur"), ("f", "Bar Centro")],
+                                         "tx_id string, concept string"))
+    ov2 = ov.union(spark.createDataFrame([("e", None), ("f", "other")],
+                                         "tx_id string, category string"))
+    rules2 = {r.prefix: r.category for r in overrides.learn_prefix_rules(lg2, ov2).collect()}
+    assert "taxi madrid" not in rules2 and "taxi madrid 2" in rules2
+    assert not any(p.startswith("bar c") for p in rules2)
 
 
 def test_bulk_apply_last_edit_wins_and_short_prefix(spark):
