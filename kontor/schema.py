@@ -36,7 +36,7 @@ RAW_CELLS_SCHEMA = T.StructType([
 # statement text: one row per non-blank, trimmed text line (see sources.statements)
 STMT_LINES_SCHEMA = T.StructType([
     T.StructField("doc", T.StringType(), False),
-    T.StructField("line_no", T.IntegerType(), False),
+    T.StructField("line_no", T.LongType(), False),
     T.StructField("line", T.StringType(), True),
 ])
 

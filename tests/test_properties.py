@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kontor.operators import filters, forecast, identity, overrides, report
+from kontor.operators import forecast, identity, overrides, report
 from kontor.operators.categorize import RewriteRule, categorize, sequential_rewrite
 from kontor.plans.prefix import running_total
 from kontor.registry import ledger
