@@ -330,7 +330,8 @@ def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENT_MISSING_MONTH = 6        # June statements were never downloaded
 
 
-def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def statement_lines(spark: SparkSession, sf_dir: str,
+                    missing_month: int | None = None) -> DataFrame:
     """Orders rendered as monthly statements per account (text lines).
 
     Per document: title lines with the previous/this statement dates and the
@@ -341,7 +342,9 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones a description wrapped over two lines, medium ones a dd-MM-yy
     purchase-date lead.  Balances on records are the customer's balance;
     opening/closing balances are the account's cumulative monthly nets (a
-    table of accounts x months).  June statements are missing.
+    table of accounts x months).  ``missing_month`` drops that month's
+    statements from the folder (the continuity check's scenario: statements
+    never downloaded); by default every month is there.
     """
     from pyspark.sql import Window
     oc = _orders_customers(spark, sf_dir).withColumn(
@@ -353,8 +356,9 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.max("o_orderkey").alias("_last_key"))
     before = Window.partitionBy("bank").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     monthly = (monthly.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0)))
-               .withColumn("closing", F.col("opening") + F.col("net"))
-               .filter(F.month("m") != STATEMENT_MISSING_MONTH))
+               .withColumn("closing", F.col("opening") + F.col("net")))
+    present = (F.month("m") != missing_month) if missing_month else F.lit(True)
+    monthly = monthly.filter(present)
 
     prio = F.col("o_orderpriority")
     concept = F.concat_ws(" ", "c_mktsegment", "o_orderpriority")
@@ -366,7 +370,7 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec_lines = F.concat(
         F.array(F.date_format("o_orderdate", "dd/MM"), ref), desc,
         F.array(F.format_number("amt", 2), F.format_number("bal", 2)))
-    recs = (oc.filter(F.month("m") != STATEMENT_MISSING_MONTH)
+    recs = (oc.filter(present)
             .select(doc.alias("doc"), F.col("o_orderkey"),
                     F.posexplode(rec_lines).alias("k", "line"))
             .select("doc", (F.lit(100) + F.col("o_orderkey") * 8 + F.col("k")).cast("long")
