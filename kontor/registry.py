@@ -418,7 +418,7 @@ def _sources(spark, d):
     """The configured exports: a real account per slot when it has files,
     else its demo stand-in.  The real yearly and card folders are empty here."""
     from kontor.sources import grids, statements
-    from kontor.sources.files import Source
+    from kontor.sources.files import Source, stage_table
     empty_cells = spark.createDataFrame([], "path string, row_no long, cells array<string>")
     empty_card = spark.createDataFrame([], "Type string, `Started Date` string, Description string,"
                                            " Amount string, State string, Balance string,"
@@ -437,8 +437,8 @@ def _sources(spark, d):
                lambda r: card_csv.load_card_bank(r, "Revo", rules)),
         Source("card", 1, "Bank3", S.card_rows(spark, d), "src_file",
                lambda r: card_csv.load_card_bank(r, "Bank3", rules)),
-        Source("statements", 0, "BNCR", _staged_lines(spark, d), "doc",
-               lambda r: statements.load_statements(r, "BNCR", rules)),
+        Source("statements", 0, "BNCR", S.statement_lines(spark, d), "doc",
+               lambda r: statements.load_statements(stage_table(r, "stmt-lines"), "BNCR", rules)),
     ]
 
 
