@@ -26,24 +26,35 @@ CARD_DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd
 def read_card_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A2/A3: read exports with a header, all columns as text.
 
-    Files are grouped by header (Spark applies one header positionally per
-    read), each group read once and the groups unioned by name.  Files
-    without a ``State`` column are skipped.  ``src_file`` is the file path;
-    ``src_row`` a stable position-derived tiebreaker within the read.
+    Files may have different headers (Spark's CSV reader would apply one
+    header to all of them by position).  One text scan finds each file's
+    header: its first non-blank line, i.e. the lowest row id among the rows of
+    the file's first split.  Only the distinct headers (a few layouts) reach
+    the driver; each header group is parsed with ``from_csv`` and the groups
+    are unioned by name.  Files without a ``State`` column are skipped.
+    ``src_file`` is the file path; ``src_row`` a position-derived id (file
+    order within a split).  Quoted fields spanning lines are not supported.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in sorted(paths):
-        cols = tuple(spark.read.option("header", True).csv(p).columns)
-        groups.setdefault(cols, []).append(p)
+    import csv
+
+    text = (spark.read.text(sorted(paths))
+            .select(F.col("_metadata.file_path").alias("src_file"),
+                    F.col("_metadata.file_block_start").alias("_bs"),
+                    F.monotonically_increasing_id().alias("src_row"), "value")
+            .filter(F.trim("value") != ""))
+    headers = (text.filter(F.col("_bs") == 0).groupBy("src_file")
+               .agg(F.min_by("value", "src_row").alias("_header"),
+                    F.min("src_row").alias("_hid")))
+    lines = text.join(headers, "src_file", "inner").filter(F.col("src_row") != F.col("_hid"))
     parts = []
-    for cols, files in groups.items():
+    for (h,) in headers.select("_header").distinct().collect():
+        cols = next(csv.reader([h]))
         if "State" not in cols:
             continue
-        df = (spark.read.option("header", True).option("inferSchema", False)
-              .option("mode", "PERMISSIVE").csv(files)
-              .withColumn("src_file", F.col("_metadata.file_path"))
-              .withColumn("src_row", F.monotonically_increasing_id()))
-        parts.append(df)
+        ddl = ", ".join(f"`{c.replace('`', '')}` string" for c in cols)
+        parsed = (lines.filter(F.col("_header") == h)
+                  .select(F.from_csv("value", ddl).alias("r"), "src_file", "src_row"))
+        parts.append(parsed.select("r.*", "src_file", "src_row"))
     if not parts:
         schema = ", ".join(f"`{c}` string" for c in
                            ["Type", "Started Date", "Description", "Amount", "State",
