@@ -26,9 +26,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def register(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def register(fn: Query | None = None, *, name: str | None = None):
+    """Add a query under its function name (or ``name``)."""
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        return f
+    return add(fn) if fn is not None else add
 
 
 def ledger(spark: SparkSession, d: str, with_balance: bool = True) -> DataFrame:
@@ -230,15 +233,13 @@ def dedup(spark, d):
     return _money_cols(identity.dedup(both), "amount", "balance")
 
 
-@register
+@register(name="running_balance")
 def running_balance_q(spark, d):
     """Balance after each movement from the signed amounts."""
     mv = S.orders_movements(spark, d)
     return _money_cols(running_balance(mv).select("bank", "src_row", "balance"), "balance")
 
 
-QUERIES["running_balance"] = QUERIES.pop("running_balance_q")
-
 
 # ------------------------------------------------------- step 4: categorisation
 @register
@@ -264,15 +265,13 @@ def type_override(spark, d):
     return _money_cols(rows.select("src_row", "date", "concept", "amount", "category"), "amount")
 
 
-@register
+@register(name="sequential_rewrite")
 def sequential_rewrite_q(spark, d):
     """The label each movement ends with after the ordered rewrites."""
     lg = sequential_rewrite(ledger(spark, d, False), S.standin_rewrites(), "concept", out="label")
     return lg.select("bank", "src_row", "label")
 
 
-QUERIES["sequential_rewrite"] = QUERIES.pop("sequential_rewrite_q")
-
 
 # ------------------------------------------------------------- step 5: overrides
 def _ledger_ids(spark, d):
