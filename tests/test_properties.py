@@ -192,3 +192,24 @@ def test_statement_scan_matches_loop(spark, seed):
             .filter("b is not null"))
         got = sorted((r.doc, r.mark, r.desc.strip(), r.a, r.b) for r in rec.collect())
         assert got == sorted(expected)
+
+
+def test_hot_account_is_split_into_balanced_blocks(spark):
+    """90% of the rows in one account: the range blocks stay balanced and the
+    running total stays exact."""
+    from decimal import Decimal
+    rows = [("hot" if i % 10 else f"b{i % 7}", i // 3, i, Decimal(i % 13 - 6))
+            for i in range(20000)]
+    df = (spark.createDataFrame(rows, "bank string, d long, src_row long, amount decimal(18,2)")
+          .select("bank", F.timestamp_seconds("d").cast("timestamp_ntz").alias("date"),
+                  F.lit("f").alias("src_file"), "src_row", "amount"))
+    keys = ["bank", "date", "src_file", "src_row"]
+    sizes = [r["n"] for r in df.repartitionByRange(8, *keys)
+             .groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * len(rows) / 8                  # the hot account spans blocks
+    got = running_total(df, ["bank"], ["date", "src_file", "src_row"], "amount", "b", 8)
+    want, acc = {}, {}
+    for bank, d, sr, amt in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        acc[bank] = acc.get(bank, Decimal(0)) + amt
+        want[sr] = acc[bank]
+    assert {r.src_row: r.b for r in got.select("src_row", "b").collect()} == want
