@@ -51,7 +51,8 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
                                F.count("*").alias("_n"))
     extent = (F.col("_hi") - F.col("_lo") + 1).cast("double")
     width = F.greatest(F.lit(1), F.ceil(extent * F.lit(float(block_rows)) / F.col("_n")))
-    span = span.select(key, "_lo", width.cast("long").alias("_w"))
+    n_blocks = (F.floor((F.col("_hi") - F.col("_lo")) / width) + 1).cast("long")
+    span = span.select(key, "_lo", width.cast("long").alias("_w"), n_blocks.alias("_nblk"))
     rows = (df.join(span, key, "inner")
             .withColumn("_blk", F.expr(f"(`{order}` - _lo) div _w")).drop("_lo", "_w"))
 
@@ -76,7 +77,15 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
                              "_exit": [[int(x) for x in f[0]]],
                              "_last": [[None if x < 0 else int(x) for x in m[0]]]})
 
-    funcs = rows.groupBy(key, "_blk").applyInPandas(
+    # documents that fit in one block start it in the initial state; only the
+    # others need their blocks' functions
+    multi = rows.filter(F.col("_nblk") > 1).drop("_nblk")
+    single_entries = (span.filter(F.col("_nblk") == 1)
+                      .select(key, F.lit(0).cast("long").alias("_blk"),
+                              F.lit(initial).cast("int").alias("_entry"),
+                              F.lit(None).cast("long").alias("_entry_mark")))
+    rows = rows.drop("_nblk")
+    funcs = multi.groupBy(key, "_blk").applyInPandas(
         block_function, f"`{key}` {key_type}, _blk long, _exit array<int>, _last array<long>")
 
     # fold block functions per key, in block order (one small row per block)
@@ -93,8 +102,8 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
                                                    acc["m"].alias("m")))).alias("out")))
         ["out"].alias("_entries"))
     entries = folded.select(key, F.explode("_entries").alias("e")).select(
-        key, F.col("e._blk").alias("_blk"), F.col("e.s").alias("_entry"),
-        F.col("e.m").alias("_entry_mark"))
+        key, F.col("e._blk").alias("_blk"), F.col("e.s").cast("int").alias("_entry"),
+        F.col("e.m").alias("_entry_mark")).unionByName(single_entries)
 
     out_fields = rows.schema.simpleString()[len("struct<"):-1]
 
