@@ -553,3 +553,15 @@ SELECT bank, CAST("date" AS DATE) AS "date",
        CAST(arg_max(balance, row("date", src_file, src_row)) AS DOUBLE) AS balance
 FROM ledger WHERE balance IS NOT NULL AND {NO_TRANSFERS}
 GROUP BY bank, CAST("date" AS DATE)""")
+
+SQL["overview_after_overrides"] = with_ledger(IDS + f"""
+, applied AS (
+  SELECT ids.bank, ids."date", ids.amount,
+         CASE WHEN coalesce(ov.category, ids.category, 'other') = 'accommodation' THEN 'other'
+              ELSE coalesce(ov.category, ids.category, 'other') END AS category
+  FROM ids LEFT JOIN ov USING (tx_id))
+SELECT category, CAST(year("date") AS VARCHAR) AS year, CAST(abs(sum(amount)) AS DOUBLE) AS amount
+FROM applied
+WHERE coalesce(category IN ('own transfer', 'transfer'), false) = false AND {BASE_ONLY}
+  AND amount < 0
+GROUP BY 1, 2""")

@@ -286,6 +286,16 @@ def apply_overrides(spark, d):
     return overrides.apply_overrides(lg, ov).select("bank", "src_row", "category")
 
 
+@register
+def overview_after_overrides(spark, d):
+    """The page's flow: ids (B3), overrides applied (D8/B7), transfers hidden
+    (C2), base-currency accounts (C11), expenses per category and year (F6)."""
+    lg = _ledger_ids(spark, d)
+    lg = overrides.apply_overrides(lg, S.overrides_table(spark, d, lg))
+    lg = report.base_currency_only(filters.hide_transfers(lg), S.bank_currency(spark))
+    return report.expenses_by_category_year(lg)
+
+
 @register
 def learn_prefix_rules(spark, d):
     """Unambiguous concept prefixes (5..30 chars) from the overrides."""
