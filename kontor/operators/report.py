@@ -136,7 +136,9 @@ def category_rank(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------ balances
 def _with_balance(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("balance").isNotNull())
+    """Rows with a balance, an account and a date (null group keys are dropped)."""
+    return df.filter(F.col("balance").isNotNull() & F.col("bank").isNotNull()
+                     & F.col("date").isNotNull())
 
 
 def eod_balance(df: DataFrame) -> DataFrame:
@@ -172,7 +174,9 @@ def movement_summary(df: DataFrame, by: list[str] = ("bank",)) -> DataFrame:
     positive).  Averages divide by months/years with a movement of that side.
     """
     side = F.when(F.col("amount") >= 0, F.lit("income")).otherwise(F.lit("expenses"))
-    rows = df.filter(F.col("amount").isNotNull()).select(
+    rows = df.filter(F.col("amount").isNotNull() & F.col("date").isNotNull()
+                     & functools.reduce(lambda a, b: a & b,
+                                        [F.col(b).isNotNull() for b in by])).select(
         *by, side.alias("side"), F.abs("amount").alias("amount"),
         F.date_format("date", "yyyy-MM").alias("_ym"), year_text("date").alias("_y"))
     agg = rows.groupBy(*by, "side").agg(
