@@ -174,7 +174,9 @@ def movement_summary(df: DataFrame, by: list[str] = ("bank",)) -> DataFrame:
     positive).  Averages divide by months/years with a movement of that side.
     """
     side = F.when(F.col("amount") >= 0, F.lit("income")).otherwise(F.lit("expenses"))
-    rows = df.filter(F.col("amount").isNotNull() & F.col("date").isNotNull()
+    # a row without a date still counts in the totals, just not as an active
+    # month or year (count_distinct skips nulls)
+    rows = df.filter(F.col("amount").isNotNull()
                      & functools.reduce(lambda a, b: a & b,
                                         [F.col(b).isNotNull() for b in by])).select(
         *by, side.alias("side"), F.abs("amount").alias("amount"),
