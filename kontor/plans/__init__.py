@@ -3,3 +3,4 @@
 from kontor.plans.joins import join_small, is_small  # noqa: F401
 from kontor.plans.lineage import checkpoint_dir, cut_lineage  # noqa: F401
 from kontor.plans.prefix import running_total  # noqa: F401
+from kontor.plans.fsm import fsm_scan  # noqa: F401

@@ -13,8 +13,9 @@ document in one task.  Instead:
 2. per (key, block), the block's transition function: for each possible
    entry state, the exit state and the last "marked" row seen (numpy over
    Arrow batches through ``applyInPandas``; pairwise tree composition);
-3. per key, the entry state of every block: fold the block functions in
-   block order (one small row per block);
+3. per key, the entry state of every block: a linear fold of the block
+   functions in block order (one small row per block; documents that fit in
+   one block skip steps 2-3);
 4. per (key, block), replay from the entry state (``cogroup`` of the rows
    with their block's entry; an inclusive prefix scan of the row functions in
    numpy), giving each row the state before it and the most recent marked
@@ -88,22 +89,26 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
     funcs = multi.groupBy(key, "_blk").applyInPandas(
         block_function, f"`{key}` {key_type}, _blk long, _exit array<int>, _last array<long>")
 
-    # fold block functions per key, in block order (one small row per block)
-    per_key = funcs.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_blk", "_exit", "_last"))).alias("_bl"))
-    init = F.struct(F.lit(initial).alias("s"), F.lit(None).cast("long").alias("m"),
-                    F.array().cast("array<struct<_blk:bigint,s:int,m:bigint>>").alias("out"))
-    folded = per_key.select(key, F.aggregate(
-        "_bl", init,
-        lambda acc, b: F.struct(
-            F.element_at(b["_exit"], acc["s"] + 1).alias("s"),
-            F.coalesce(F.element_at(b["_last"], acc["s"] + 1), acc["m"]).alias("m"),
-            F.concat(acc["out"], F.array(F.struct(b["_blk"].alias("_blk"), acc["s"].alias("s"),
-                                                   acc["m"].alias("m")))).alias("out")))
-        ["out"].alias("_entries"))
-    entries = folded.select(key, F.explode("_entries").alias("e")).select(
-        key, F.col("e._blk").alias("_blk"), F.col("e.s").cast("int").alias("_entry"),
-        F.col("e.m").alias("_entry_mark")).unionByName(single_entries)
+    # fold block functions per key, in block order: a linear pass over one
+    # small row per block (the block-function table, not the rows)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        s, m = initial, None
+        entries, marks_in = [], []
+        for ex, last in zip(pdf["_exit"], pdf["_last"]):
+            entries.append(s)
+            marks_in.append(m)
+            lm = last[s]
+            if lm is not None and not pd.isna(lm):
+                m = int(lm)
+            s = int(ex[s])
+        return pd.DataFrame({key: pdf[key].to_numpy(), "_blk": pdf["_blk"].to_numpy(),
+                             "_entry": entries,
+                             "_entry_mark": pd.array(marks_in, dtype="Int64")})
+
+    entries = funcs.groupBy(key).applyInPandas(
+        fold, f"`{key}` {key_type}, _blk long, _entry int, _entry_mark long"
+    ).unionByName(single_entries)
 
     out_fields = rows.schema.simpleString()[len("struct<"):-1]
 

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from kontor.operators import filters, overrides, report
+from kontor.operators import filters, identity, overrides, report
 from kontor.sources import files, grids, json_io
 from kontor.streaming.ingest import append_batch, merge_batch
 from tests.conftest import SMALL
@@ -97,3 +97,28 @@ def test_filters_small(spark):
     assert filters.income(df).count() == 1 and filters.expenses(df).count() == 1
     assert filters.notebook_expenses(df).count() == 2       # zero counts as expense
     assert filters.in_selection(df, categories=[]).count() == 0
+
+
+def test_ingest_one_batch_or_many_gives_the_same_keys(spark, tmp_path):
+    """K1 property: the same exports in one micro-batch or one file per batch."""
+    from kontor.operators.categorize import categorize
+    from kontor.registry import ledger
+    from kontor.sources.standin import STANDIN_RULES, reexport
+    from kontor.streaming.ingest import run_until_caught_up, start_ingest
+    lg = ledger(spark, SMALL)
+    inbox = str(tmp_path / "inbox")
+    lg.drop("category").coalesce(1).write.parquet(inbox + "/a")
+    reexport(lg).drop("category").coalesce(2).write.parquet(inbox + "/b")
+    schema = lg.drop("category").schema
+
+    def parse(b):
+        return categorize(b, "concept", "category", STANDIN_RULES)
+
+    keys = []
+    for name, opts in (("one", {}), ("many", {"maxFilesPerTrigger": "1"})):
+        out = str(tmp_path / name)
+        run_until_caught_up(start_ingest(spark, inbox + "/*", schema, out + "/ledger",
+                                         out + "/ckpt", parse, options=opts))
+        led = spark.read.parquet(out + "/ledger")
+        keys.append(sorted(tuple(r) for r in led.select(*identity.dedup_key()).collect()))
+    assert keys[0] == keys[1] and len(keys[0]) > 0
