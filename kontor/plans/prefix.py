@@ -53,8 +53,14 @@ def running_total(df: DataFrame, partition_by: list[str], order_by: list[str],
         "_blk", *partition_by,
         F.coalesce(F.sum("_blk_sum").over(earlier), F.lit(0)).alias("_offset"))
 
-    # offsets has at most (blocks + accounts) rows; join_small checks that
-    joined = join_small(local, offsets, ["_blk", *partition_by], "inner")
+    # offsets has at most (blocks + accounts) rows; the join is null-safe on
+    # the account so rows with a null account keep their (per-null) total
+    off = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in ["_blk", *partition_by]],
+                         "_offset")
+    cond = F.col("_blk") == F.col("_o__blk")
+    for c in partition_by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = join_small(local, off, cond, "inner")
     return (joined
             .withColumn(out, (F.col("_local") + F.col("_offset")).cast(value_type))
-            .drop("_blk", "_local", "_offset"))
+            .drop("_blk", "_local", "_offset", *[f"_o_{c}" for c in ["_blk", *partition_by]]))

@@ -213,3 +213,11 @@ def test_hot_account_is_split_into_balanced_blocks(spark):
         acc[bank] = acc.get(bank, Decimal(0)) + amt
         want[sr] = acc[bank]
     assert {r.src_row: r.b for r in got.select("src_row", "b").collect()} == want
+
+
+def test_running_total_keeps_rows_without_account(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)],
+                               "bank string, src_row long, amount double")
+    got = running_total(df, ["bank"], ["src_row"], "amount", "b", 2)
+    assert sorted((r.bank or "", r.src_row, r.b) for r in got.collect()) == \
+        [("", 1, 1.0), ("", 2, 3.0), ("a", 1, 5.0)]
