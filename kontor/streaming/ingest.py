@@ -15,6 +15,8 @@ failure appends nothing twice.
 
 A duplicate may arrive any time later, so there is no watermark and no
 ``dropDuplicatesWithinWatermark``: the ledger table itself is the state.
+Optionally each batch's new rows are then auto-classified (D6) from the
+learned prefix rules, as after an upload in the original.
 """
 
 from __future__ import annotations
@@ -54,7 +56,11 @@ def _key_cols(df: DataFrame) -> list[str]:
 
 def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataFrame:
     """The rows of a batch that are new to the ledger (first copy kept), with
-    their key columns (``_k_*``) and key bucket (``_kb``)."""
+    their key columns (``_k_*``), key hash (``_kh``) and bucket (``_kb``).
+
+    ``rows`` is read more than once (the partition and hash lists, then the
+    anti-join); pass a deterministic or persisted DataFrame, as the stream does.
+    """
     keyed = _keyed(dedup(rows.select(*LEDGER_COLUMNS)))
     index = ledger_path.rstrip("/") + "_keys"
     kcols = _key_cols(keyed)
@@ -90,27 +96,62 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataF
 
 def append_batch(new: DataFrame, ledger_path: str) -> None:
     """Append the new rows to the ledger, then their keys to the key index."""
-    new = new.persist()
-    try:
-        new.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("bank").parquet(ledger_path)
-        (new.select(*_key_cols(new), "_kh", "_kb")
-         .repartition("_k_bank", "_kb").sortWithinPartitions("_kh")
-         .write.mode("append").partitionBy("_k_bank", "_kb")
-         .parquet(ledger_path.rstrip("/") + "_keys"))
-    finally:
-        new.unpersist()
+    new.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("bank").parquet(ledger_path)
+    (new.select(*_key_cols(new), "_kh", "_kb")
+     .repartition("_k_bank", "_kb").sortWithinPartitions("_kh")
+     .write.mode("append").partitionBy("_k_bank", "_kb")
+     .parquet(ledger_path.rstrip("/") + "_keys"))
+
+
+def classify_new_rows(spark: SparkSession, new: DataFrame, rules_path: str,
+                      overrides_path: str) -> None:
+    """D6 after an upload: the batch's new rows that have no override take the
+    category of their longest learned prefix; the results are appended to the
+    overrides table (JSON lines).  The learned-rule table is maintained when
+    overrides are saved (``operators.overrides.learn_prefix_rules``), not per
+    batch, so a batch reads only the rules and the overrides."""
+    from kontor.operators.identity import with_tx_id
+    from kontor.operators.overrides import auto_classify
+    from kontor.sources.json_io import read_overrides_table, write_overrides_table
+
+    rows = with_tx_id(new.select(*LEDGER_COLUMNS))
+    ov = (read_overrides_table(spark, overrides_path) if _exists(spark, overrides_path)
+          else spark.createDataFrame([], "tx_id string, category string"))
+    got = auto_classify(rows, ov, spark.read.parquet(rules_path))
+    write_overrides_table(got, overrides_path, mode="append")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def start_ingest(spark: SparkSession, source_dir: str, source_schema: str, ledger_path: str,
                  checkpoint_location: str, parse: Callable[[DataFrame], DataFrame],
                  fmt: str = "parquet", options: dict | None = None,
-                 available_now: bool = True) -> StreamingQuery:
-    """Start the stream; ``parse`` maps the source rows of a batch to ledger rows."""
+                 available_now: bool = True,
+                 classify: tuple[str, str] | None = None) -> StreamingQuery:
+    """Start the stream; ``parse`` maps the source rows of a batch to ledger rows.
+
+    ``classify=(rules_path, overrides_path)`` adds D6 after each append: new
+    rows are auto-classified with the stored learned prefix rules.
+    """
     stream = (spark.readStream.format(fmt).schema(source_schema)
               .options(**(options or {})).load(source_dir))
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        append_batch(merge_batch(spark, parse(batch), ledger_path), ledger_path)
+        # the parsed batch is read several times (partition list, hash list,
+        # anti-join, two appends): evaluate it once
+        rows = parse(batch).persist()
+        new = merge_batch(spark, rows, ledger_path).persist()
+        try:
+            append_batch(new, ledger_path)
+            if classify is not None:
+                classify_new_rows(spark, new, *classify)
+        finally:
+            new.unpersist()
+            rows.unpersist()
 
     writer = (stream.writeStream.foreachBatch(each_batch)
               .option("checkpointLocation", checkpoint_location))
