@@ -2,16 +2,21 @@
 
 New export files land in a folder; each micro-batch is parsed into ledger
 rows, de-duplicated within itself (G1), stripped of rows whose duplicate key
-is already known, and appended to the ledger table.
+is already known, and written to the ledger table.
 
 Known keys live in a key index next to the ledger (``<ledger>_keys``),
 partitioned by (account, hash bucket of the key).  A batch reads only the
 (account, bucket) partitions its own keys fall in — a static partition
 filter built from the batch's distinct pairs (bounded by the batch size and
 by accounts x buckets) — not the account's whole history, and anti-joins
-that small match set (null-safe on every key column).  The index is appended after the ledger,
-and a re-run batch is filtered against both, so replaying a batch after a
-failure appends nothing twice.
+that small match set (null-safe on every key column).
+
+Exactly once: batch ``N`` writes its rows to ``<ledger>/batch=N`` and its
+keys to ``<ledger>_keys/batch=N``, both with overwrite, and ignores index
+entries of batch ``N`` itself when it looks for known keys.  A batch re-run
+after a failure (at any point of either write) therefore rewrites the same
+two folders with the same rows; nothing is appended twice and nothing is
+lost.
 
 A duplicate may arrive any time later, so there is no watermark and no
 ``dropDuplicatesWithinWatermark``: the ledger table itself is the state.
@@ -33,10 +38,13 @@ from kontor.schema import LEDGER_COLUMNS
 
 
 def _table_exists(spark: SparkSession, path: str) -> bool:
+    """A folder holding at least one ``batch=N`` sub-folder."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    if not fs.exists(p):
+        return False
+    return any(st.getPath().getName().startswith("batch=") for st in fs.listStatus(p))
 
 
 KEY_BUCKETS = 32           # per account; raise for very large accounts
@@ -54,7 +62,8 @@ def _key_cols(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_k_")]
 
 
-def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataFrame:
+def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
+                batch_id: int = -1) -> DataFrame:
     """The rows of a batch that are new to the ledger (first copy kept), with
     their key columns (``_k_*``), key hash (``_kh``) and bucket (``_kb``).
 
@@ -66,7 +75,8 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataF
     kcols = _key_cols(keyed)
     if not _table_exists(spark, index):
         return keyed
-    known = spark.read.parquet(index)
+    # index entries written by an earlier attempt of this same batch do not count
+    known = spark.read.parquet(index).filter(F.col("batch") != F.lit(batch_id))
     # partitions the batch touches: at most (rows in the batch) and at most
     # accounts x KEY_BUCKETS; up to MAX_PRUNE_PAIRS they become a static
     # partition filter on the index, beyond that a semi-join narrows it
@@ -94,13 +104,15 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str) -> DataF
     return keyed.join(matches, cond, "left_anti")
 
 
-def append_batch(new: DataFrame, ledger_path: str) -> None:
-    """Append the new rows to the ledger, then their keys to the key index."""
-    new.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("bank").parquet(ledger_path)
+def append_batch(new: DataFrame, ledger_path: str, batch_id: int = 0) -> None:
+    """Write a batch's new rows to ``<ledger>/batch=N`` and their keys to
+    ``<ledger>_keys/batch=N`` (overwrite: a re-run rewrites, never adds)."""
+    (new.select(*LEDGER_COLUMNS).write.mode("overwrite").partitionBy("bank")
+     .parquet(f"{ledger_path.rstrip('/')}/batch={batch_id}"))
     (new.select(*_key_cols(new), "_kh", "_kb")
      .repartition("_k_bank", "_kb").sortWithinPartitions("_kh")
-     .write.mode("append").partitionBy("_k_bank", "_kb")
-     .parquet(ledger_path.rstrip("/") + "_keys"))
+     .write.mode("overwrite").partitionBy("_k_bank", "_kb")
+     .parquet(f"{ledger_path.rstrip('/')}_keys/batch={batch_id}"))
 
 
 def classify_new_rows(spark: SparkSession, new: DataFrame, rules_path: str,
@@ -144,9 +156,9 @@ def start_ingest(spark: SparkSession, source_dir: str, source_schema: str, ledge
         # the parsed batch is read several times (partition list, hash list,
         # anti-join, two appends): evaluate it once
         rows = parse(batch).persist()
-        new = merge_batch(spark, rows, ledger_path).persist()
+        new = merge_batch(spark, rows, ledger_path, epoch_id).persist()
         try:
-            append_batch(new, ledger_path)
+            append_batch(new, ledger_path, epoch_id)
             if classify is not None:
                 classify_new_rows(spark, new, *classify)
         finally:
