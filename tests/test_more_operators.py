@@ -168,3 +168,20 @@ def test_ingest_auto_classifies_new_rows(spark, tmp_path):
         .select("tx_id").distinct()
     assert added.count() == want.count() > 0
     assert added.select("category").distinct().collect()[0].category == "works"
+
+
+def test_remaining_filters(spark):
+    import datetime as dt
+    df = spark.createDataFrame(
+        [("a", "B1", dt.datetime(2024, 5, 31, 23), "Pago Lidl", 1.0),
+         ("b", "B2", dt.datetime(2024, 6, 1, 0), "pago lidl", None),
+         ("c", "B1", None, "Otro", 2.0)],
+        "tx_id string, bank string, date timestamp_ntz, concept string, amount double")
+    assert [r.tx_id for r in filters.text_contains(df, "Lidl").collect()] == ["a"]   # C13
+    assert [r.tx_id for r in filters.exclude_labels(df, ["Otro"]).collect()] == ["a", "b"]
+    assert [r.tx_id for r in filters.one_bank(df, "B2").collect()] == ["b"]          # C14
+    ov = spark.createDataFrame([("a", "x")], "tx_id string, category string")
+    assert sorted(r.tx_id for r in filters.not_overridden(df, ov).collect()) == ["b", "c"]
+    assert [r.tx_id for r in filters.drop_nulls(df, ["date", "amount"]).collect()] == ["a"]
+    assert [r.tx_id for r in filters.completed_months(df, "2024-06-15").collect()] == ["a"]
+    assert [r.tx_id for r in filters.date_range(df, "2024-05-31", "2024-05-31").collect()] == ["a"]
