@@ -280,9 +280,10 @@ def _ledger_ids(spark, d):
 
 @register
 def apply_overrides(spark, d):
-    """Overrides replace automatic categories; retired ones fold to other."""
+    """D12 then D8/B7: the stored overrides are migrated (retired category to
+    'other', as at session start), then replace the automatic categories."""
     lg = _ledger_ids(spark, d)
-    ov = S.overrides_table(spark, d, lg)
+    ov = overrides.migrate_legacy(S.overrides_table(spark, d, lg))
     return overrides.apply_overrides(lg, ov).select("bank", "src_row", "category")
 
 
@@ -460,7 +461,7 @@ def source_preference(spark, d):
 
 @register
 def load_all(spark, d):
-    """A17 + A16 + I1 + B2 + H1: the unified ledger of the chosen sources."""
+    """A17 + A16 + I1 + B2: the unified ledger of the chosen sources."""
     from kontor.sources.files import load_all as load
     return _ledger_out(load(spark, _sources(spark, d)))
 
@@ -485,8 +486,8 @@ def card_csv_files(spark, d):
 
 @register
 def json_sources(spark, d):
-    """Overrides written as a JSON-lines table and read back; the
-    vocabulary as a JSON array document."""
+    """The overrides written as a JSON-lines table and read back (the
+    JSON array / object document forms are covered by unit tests)."""
     from kontor.sources import json_io
     from kontor.sources.files import scratch_path
     lg = _ledger_ids(spark, d)
