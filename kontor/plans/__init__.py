@@ -1,4 +1,5 @@
-"""Physical-plan helpers: checked broadcast joins, running totals, checkpoints."""
+"""Physical-plan helpers: size-aware joins, blocked running totals and
+finite-state scans, the checkpoint location."""
 
 from kontor.plans.joins import join_small, is_small  # noqa: F401
 from kontor.plans.lineage import checkpoint_dir, cut_lineage  # noqa: F401

@@ -1,8 +1,9 @@
 """Workbook layouts over ``raw_cells(path, row_no, cells array<string>)``.
 
 Decoding xls/xlsx bytes is left to whatever produces ``raw_cells`` (one row
-per sheet row, cells as text); from there every step is a column expression
-or an aggregate per file, in one pass over the cells:
+per sheet row, cells as text).  Each layout is a small aggregate per file
+(its header row and role positions) joined back to one pass over the rows,
+where every step is a column expression:
 
 * yearly layout (A4-A7): header searched in rows 0..6 by column-role
   keywords, positional fallback when no row has all four roles, per-file date
