@@ -33,9 +33,10 @@ def test_json_documents_round_trip(spark):
 
 
 def test_inventory_and_extension_filter(spark):
-    inv = files.file_inventory(spark, SMALL, "*.parquet").collect()
-    assert [r.name for r in inv] == sorted(r.name for r in inv)
-    assert all(r.size_kb > 0 for r in inv)
+    inv = [(r.name, r.size_kb) for r in files.file_inventory(spark, SMALL, "*.parquet").collect()]
+    brute = sorted((n, os.path.getsize(os.path.join(SMALL, n)) / 1024.0)
+                   for n in os.listdir(SMALL) if n.endswith(".parquet"))
+    assert inv == brute
     paths = spark.createDataFrame([("a/X.XLSX",), ("a/y.xls",), ("a/z.csv",)], "path string")
     got = [r.path for r in files.extension_filter(paths, ["xls", "xlsx"]).collect()]
     assert got == ["a/X.XLSX", "a/y.xls"]
