@@ -251,3 +251,41 @@ def base_currency_only(df: DataFrame, bank_currency: DataFrame, base: str = "€
     other = bank_currency.filter(F.col("currency") != base).select("bank")
     return join_small(df, other, "bank", "left_anti")
 
+
+
+# ------------------------------------------------------- batch report (Entry 3)
+def report_tables(ledger: DataFrame, as_of, bank_currency: DataFrame | None = None
+                  ) -> dict[str, DataFrame]:
+    """The static report's content as tables (the charts themselves are not
+    drawn): overview balances, monthly net per account, expenses and income by
+    category and year, per-account balance / expense pie / monthly flow,
+    next-month forecasts, and the headline metrics.  Transfers are hidden in
+    the flow tables, as in the report; balances use every row."""
+    from kontor.operators.forecast import forecast_next_month
+
+    flow = filters.hide_transfers(ledger)
+    if bank_currency is not None:
+        flow_base = base_currency_only(flow, bank_currency)
+    else:
+        flow_base = flow
+    return {
+        "overview_balance": eod_balance(ledger),
+        "overview_monthly_net": monthly_net_by_bank(flow_base),
+        "overview_expenses": expenses_by_category_year(flow_base),
+        "overview_income": income_by_category_year(flow_base),
+        "bank_balance": eod_balance(flow),
+        "bank_expense_share": category_share(flow),
+        "bank_monthly_net": monthly_net_by_bank(flow),
+        "bank_forecast": forecast_next_month(ledger, as_of),
+        "metric_latest_balance": latest_balance(ledger),
+        "metric_totals": totals_in_out(flow_base),
+    }
+
+
+def write_report_tables(ledger: DataFrame, as_of, path: str,
+                        bank_currency: DataFrame | None = None, mode: str = "overwrite") -> list[str]:
+    """Write every report table under ``path/<name>`` (parquet); returns the names."""
+    tables = report_tables(ledger, as_of, bank_currency)
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+    return list(tables)

@@ -186,3 +186,16 @@ def test_remaining_filters(spark):
     assert [r.tx_id for r in filters.drop_nulls(df, ["date", "amount"]).collect()] == ["a"]
     assert [r.tx_id for r in filters.completed_months(df, "2024-06-15").collect()] == ["a"]
     assert [r.tx_id for r in filters.date_range(df, "2024-05-31", "2024-05-31").collect()] == ["a"]
+
+
+def test_report_tables_written(spark, tmp_path):
+    from kontor.registry import ledger
+    from kontor.sources.standin import bank_currency
+    lg = ledger(spark, SMALL)
+    names = report.write_report_tables(lg, "2001-08-01", str(tmp_path / "report"),
+                                       bank_currency(spark))
+    assert len(names) == 10
+    fc = spark.read.parquet(str(tmp_path / "report" / "bank_forecast"))
+    assert set(fc.columns) >= {"bank", "side", "category", "predicted"}
+    totals = spark.read.parquet(str(tmp_path / "report" / "metric_totals")).first()
+    assert totals.total_income >= 0 and totals.total_expenses >= 0
