@@ -19,6 +19,8 @@ from kontor.operators.fixed_values import CARD_COMPLETED_STATE, DEFAULT_RULES
 from kontor.operators.identity import dedup
 from kontor.schema import LEDGER_COLUMNS
 
+MAX_LAYOUTS = 1000        # distinct header lines brought to the driver, at most
+
 CARD_DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
                      "yyyy-MM-dd"]
 
@@ -46,8 +48,11 @@ def read_card_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
                .agg(F.min_by("value", "src_row").alias("_header"),
                     F.min("src_row").alias("_hid")))
     lines = text.join(headers, "src_file", "inner").filter(F.col("src_row") != F.col("_hid"))
+    distinct_headers = headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()
+    if len(distinct_headers) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different CSV headers: not card exports")
     parts = []
-    for (h,) in headers.select("_header").distinct().collect():
+    for (h,) in distinct_headers:
         cols = next(csv.reader([h]))
         if "State" not in cols:
             continue
