@@ -66,19 +66,32 @@ class Source:
     load: Callable[[DataFrame], DataFrame]  # raw rows -> ledger rows
 
 
+def _preferred(spark: SparkSession, sources: list[Source]) -> dict[str, Source]:
+    """Slot -> preferred source with files.  One job probes every source: a
+    union of one-row (``LIMIT 1``) projections, so at most one row per source
+    reaches the driver."""
+    probes = [s.raw.select(F.lit(i).alias("i")).limit(1) for i, s in enumerate(sources)]
+    union = probes[0]
+    for p in probes[1:]:
+        union = union.unionByName(p)
+    present = {r["i"] for r in union.collect()}
+    chosen: dict[str, Source] = {}
+    for i, s in sorted(enumerate(sources), key=lambda t: (t[1].slot, t[1].priority)):
+        if i in present and s.slot not in chosen:
+            chosen[s.slot] = s
+    return chosen
+
+
 def choose_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """Per slot, the preferred source among those that have files;
     slots where no source has files are skipped.
 
-    The choice needs only "has any file": one ``LIMIT 1`` probe per configured
-    source (a handful), decided on the driver.  ``(slot, priority, source,
+    The choice needs only "has any file": one job of ``LIMIT 1`` probes over
+    the configured sources, decided on the driver.  ``(slot, priority, source,
     n_files)`` of the chosen sources; ``n_files`` is a distributed count of
     distinct file names, computed only for the chosen sources.
     """
-    chosen: dict[str, Source] = {}
-    for s in sorted(sources, key=lambda s: (s.slot, s.priority)):
-        if s.slot not in chosen and not s.raw.select(s.file_col).limit(1).isEmpty():
-            chosen[s.slot] = s
+    chosen = _preferred(spark, sources)
     counts = None
     for s in chosen.values():
         c = s.raw.agg(F.count_distinct(s.file_col).cast("long").alias("n_files")).select(
@@ -99,11 +112,7 @@ def load_all(spark: SparkSession, sources: list[Source], ordered: bool = False)
     aggregates do not need it, and the stored table is date-clustered by
     ``operators.ledger.write_ledger`` instead.
     """
-    picked: dict[str, Source] = {}
-    for s in sorted(sources, key=lambda s: (s.slot, s.priority)):
-        if s.slot not in picked and not s.raw.select(s.file_col).limit(1).isEmpty():
-            picked[s.slot] = s
-    parts = [s.load(s.raw) for s in picked.values()]
+    parts = [s.load(s.raw) for s in _preferred(spark, sources).values()]
     if not parts:
         return spark.createDataFrame([], "date timestamp_ntz, concept string, amount decimal(18,2),"
                                          " balance decimal(18,2), bank string, category string,"
