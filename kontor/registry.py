@@ -468,13 +468,14 @@ def load_all(spark, d):
 
 @register
 def card_csv_files(spark, d):
-    """Card exports written as CSV files (one per year, plus a
-    file of another kind without a State column) and read back by header group."""
+    """Card exports written as CSV files (per year, each with its
+    header, plus a file of another kind without a State column) and read back
+    by header group."""
     from kontor.sources.files import scratch_path
     folder = scratch_path(spark, "card-csv")
     rows = S.card_rows(spark, d).drop("src_file", "src_row")
     (rows.withColumn("year", F.substring("Started Date", 1, 4))
-     .repartition("year").write.option("header", True).partitionBy("year").csv(folder + "/exports"))
+     .write.option("header", True).partitionBy("year").csv(folder + "/exports"))
     read_table(spark, d, "nation").write.option("header", True).csv(folder + "/exports/rates")
     paths = [r["path"] for r in spark.read.format("binaryFile")
              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")

@@ -110,7 +110,7 @@ def append_batch(new: DataFrame, ledger_path: str, batch_id: int = 0) -> None:
     (new.select(*LEDGER_COLUMNS).write.mode("overwrite").partitionBy("bank")
      .parquet(f"{ledger_path.rstrip('/')}/batch={batch_id}"))
     (new.select(*_key_cols(new), "_kh", "_kb")
-     .repartition("_k_bank", "_kb").sortWithinPartitions("_kh")
+     .repartitionByRange("_k_bank", "_kb", "_kh").sortWithinPartitions("_kh")
      .write.mode("overwrite").partitionBy("_k_bank", "_kb")
      .parquet(f"{ledger_path.rstrip('/')}_keys/batch={batch_id}"))
 
