@@ -477,10 +477,8 @@ def card_csv_files(spark, d):
     (rows.withColumn("year", F.substring("Started Date", 1, 4))
      .write.option("header", True).partitionBy("year").csv(folder + "/exports"))
     read_table(spark, d, "nation").write.option("header", True).csv(folder + "/exports/rates")
-    paths = [r["path"] for r in spark.read.format("binaryFile")
-             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-             .load(folder + "/exports").select("path").collect()]
-    raw = card_csv.read_card_csv(spark, paths)
+    # Only *.csv files, found by Spark's own listing (no driver-side list)
+    raw = card_csv.read_card_csv(spark, [folder + "/exports/*/*.csv"])
     led = card_csv.load_card_bank(raw, "Bank3", S.STANDIN_RULES)
     return _ledger_out(led.drop("src_file", "src_row"))
 

@@ -28,6 +28,8 @@ CARD_DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd
 def read_card_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A2/A3: read exports with a header, all columns as text.
 
+    ``paths`` are files or glob patterns (``folder/*.csv``), listed by Spark.
+
     Files may have different headers (Spark's CSV reader would apply one
     header to all of them by position).  One text scan finds each file's
     header: its first non-blank line, i.e. the lowest row id among the rows of
