@@ -565,3 +565,8 @@ FROM applied
 WHERE coalesce(category IN ('own transfer', 'transfer'), false) = false AND {BASE_ONLY}
   AND amount < 0
 GROUP BY 1, 2""")
+
+SQL["ledger_by_date"] = with_ledger("""
+SELECT "date", concept, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
+       bank, category, src_file, src_row
+FROM ledger ORDER BY "date", src_file, src_row""")

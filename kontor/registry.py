@@ -166,6 +166,13 @@ def movements_view(spark, d):
     return report.movements_view(identity.with_tx_id(ledger(spark, d)))
 
 
+@register
+def ledger_by_date(spark, d):
+    """H1: the whole ledger in date order (ties in source order)."""
+    from kontor.sources.files import ledger_order
+    return _money_cols(ledger_order(ledger(spark, d)), "amount", "balance")
+
+
 @register
 def search_movements(spark, d):
     """The table's per-column search boxes, ANDed."""
