@@ -93,9 +93,10 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
         matches = known.filter(functools.reduce(lambda a, b: a | b, cond_parts))
         # inside a bucket, files are sorted by the key hash: an IN list of the
         # batch's hashes is pushed to parquet and skips row groups
-        hashes = keyed.select("_kh").distinct().limit(MAX_PRUNE_PAIRS + 1).collect()
-        if len(hashes) <= MAX_PRUNE_PAIRS:
-            matches = matches.filter(F.col("_kh").isin([r["_kh"] for r in hashes]))
+        small_batch = keyed.limit(MAX_PRUNE_PAIRS + 1).count() <= MAX_PRUNE_PAIRS
+        if small_batch:
+            hashes = [r["_kh"] for r in keyed.select("_kh").distinct().collect()]
+            matches = matches.filter(F.col("_kh").isin(hashes))
     else:
         matches = known.join(keyed.select("_k_bank", "_kb").distinct(), ["_k_bank", "_kb"],
                              "left_semi")
