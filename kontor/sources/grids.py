@@ -108,25 +108,28 @@ def yearly_roles(cells: Column) -> dict[str, Column]:
     }
 
 
-def parse_yearly(raw: DataFrame) -> DataFrame:
-    """Per file, the header is the first of rows 0..6 where date,
-    concept, amount and balance all resolve; rows below it are data.  With no
-    such row, columns are positional (0 date, 2 concept, 3 amount, 4 balance)
-    over all rows, and a file narrower than 5 columns is rejected (see
-    ``yearly_rejects``).  Returns (date, concept, amount, balance, src_file,
-    src_row); amounts may be null (S7).
-    """
+def _yearly_files(raw: DataFrame) -> DataFrame:
+    """One aggregate per file: the first header-like row in 0..6, its role
+    positions, and the file's width."""
     roles = yearly_roles(F.col("cells"))
     is_header = (F.col("row_no") < YEARLY_HEADER_ROWS) & functools.reduce(
         lambda a, b: a & b, [r.isNotNull() for r in roles.values()])
-    # one aggregate per file: the first header-like row in 0..6 and the width
-    files = raw.groupBy("path").agg(
+    return raw.groupBy("path").agg(
         F.min_by(F.when(is_header, F.struct(*[r.alias(k) for k, r in roles.items()])),
                  F.when(is_header, F.col("row_no"))).alias("roles"),
         F.min(F.when(is_header, F.col("row_no"))).alias("header_row"),
         F.max(F.size("cells")).alias("_width"))
 
-    rows = join_small(raw, files, "path", "inner")
+
+def parse_yearly(raw: DataFrame) -> DataFrame:
+    """Per file, the header is the first of rows 0..6 where date,
+    concept, amount and balance all resolve; rows below it are data.  With no
+    such row, columns are positional (0 date, 2 concept, 3 amount, 4 balance)
+    over all rows, and a file narrower than 5 columns is rejected (see
+    ``yearly_rejects``).  Returns (date, concept, amount, balance, src_file,
+    src_row); amounts may be null (S7).
+    """
+    rows = join_small(raw, _yearly_files(raw), "path", "inner")
     positional = F.col("header_row").isNull()
     rows = rows.filter((positional & (F.col("_width") >= YEARLY_MIN_COLUMNS)) |
                        (F.col("row_no") > F.col("header_row")))
@@ -151,8 +154,9 @@ def parse_yearly(raw: DataFrame) -> DataFrame:
 
 def yearly_rejects(raw: DataFrame) -> DataFrame:
     """Files with neither a header nor 5 columns (an error in the original)."""
-    ok = parse_yearly(raw).select(F.col("src_file").alias("path")).distinct()
-    return raw.select("path").distinct().join(ok, "path", "left_anti")
+    files = _yearly_files(raw)
+    return files.filter(F.col("header_row").isNull() &
+                        (F.col("_width") < YEARLY_MIN_COLUMNS)).select("path")
 
 
 # --------------------------------------------------------- wide

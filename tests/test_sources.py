@@ -74,6 +74,8 @@ def test_yearly_header_positions_and_fallbacks(spark):
         ("b/2025.xls", 0, ["2025-02-01", None, "Bar Pepe", "-2", "41"]),
         # fewer than 5 columns: rejected
         ("b/bad.xls", 0, ["2025-02-01", "x", "y", "-2"]),
+        # a header and no movements: not a reject
+        ("b/empty.xlsx", 0, es),
     ]
     raw = _cells(spark, rows)
     got = {(r.src_file, r.date, r.concept, r.amount and float(r.amount), float(r.balance))
