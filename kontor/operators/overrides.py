@@ -107,6 +107,9 @@ def auto_classify(ledger: DataFrame, overrides: DataFrame, rules: DataFrame,
         .alias("p")).select("_ck", F.col("p.len").alias("_len"), F.col("p.prefix").alias("prefix"))
     hits = join_small(cand, rules.select("prefix", "category"), "prefix", "inner")
     best = hits.groupBy("_ck").agg(F.max_by("category", "_len").alias("category"))
+    # the longest match decides; an empty category there sets nothing (no
+    # fall-back to a shorter prefix)
+    best = best.filter(F.col("category") != "")
 
     out = join_small(rows, best, "_ck", "inner")
     return out.groupBy("tx_id").agg(F.max("category").alias("category"))
