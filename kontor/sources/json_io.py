@@ -28,8 +28,14 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(F.from_json("value", "array<string>")).alias("category"))
 
 
+MAX_VOCABULARY = 100_000   # names gathered into the one JSON document
+
+
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
-    """The names, sorted, as one JSON array (a vocabulary is small)."""
+    """The names, sorted, as one JSON array.  A vocabulary is small; one
+    larger than ``MAX_VOCABULARY`` names is refused rather than gathered."""
+    if vocab.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} category names")
     (vocab.select(F.to_json(F.sort_array(F.collect_list(vocab.columns[0]))).alias("value"))
      .coalesce(1).write.mode("overwrite").text(path))
 
