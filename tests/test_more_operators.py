@@ -199,3 +199,30 @@ def test_report_tables_written(spark, tmp_path):
     assert set(fc.columns) >= {"bank", "side", "category", "predicted"}
     totals = spark.read.parquet(str(tmp_path / "report" / "metric_totals")).first()
     assert totals.total_income >= 0 and totals.total_expenses >= 0
+
+
+def test_number_and_time_text_forms(spark):
+    """Python float repr / JavaScript String(x) of money, ISO timestamps."""
+    import datetime as dt
+    from decimal import Decimal
+    from kontor.functions.text import iso_timestamp_text, js_number_text, py_float_text
+    vals = ["12.50", "3.00", "-0.10", "12345678.50", "0.00", None]
+    df = spark.createDataFrame([(None if v is None else Decimal(v),) for v in vals],
+                               "x decimal(18,2)")
+    got = [(r.p, r.j) for r in df.select(py_float_text("x").alias("p"),
+                                         js_number_text("x").alias("j")).collect()]
+    assert [g[0] for g in got] == [repr(float(v)) if v is not None else "nan" for v in vals]
+    assert [g[1] for g in got] == ["12.5", "3", "-0.1", "12345678.5", "0", None]
+    ts = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5),),
+                                (dt.datetime(2024, 1, 2, 3, 4, 5, 120),)], "t timestamp_ntz")
+    assert [r.s for r in ts.select(iso_timestamp_text("t").alias("s")).collect()] == \
+        [dt.datetime(2024, 1, 2, 3, 4, 5).isoformat(), dt.datetime(2024, 1, 2, 3, 4, 5, 120).isoformat()]
+
+
+def test_descriptions_with_bare_operation_lead(spark):
+    df = spark.createDataFrame([("Fecha de operación 01/02/2024", "Tienda"),
+                                ("Fecha de operación", None), (None, None)],
+                               "d1 string, d3 string")
+    got = [r.c for r in df.select(grids.concept_from_descriptions(F.col("d1"), F.col("d3"))
+                                  .alias("c")).collect()]
+    assert got == ["Tienda", "no description", "no description"]
