@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,3 +123,91 @@ class Staged:
         for t in tables:
             if (found := self.paths.pop(id(t), None)) is not None:
                 remove(found[1])
+
+
+class WordHasher:
+    """64-bit hashes of the words of many texts at once, in numpy.
+
+    Bytes in ``separators`` part words; A-Z count as a-z.  A word's hash is a
+    polynomial over its bytes (a random value per byte, odd base, modulo 2^64)
+    taken from running sums, mixed with its length.  It does not depend on
+    what stands around the word.
+    """
+
+    PIECE = 1 << 20          # bytes hashed in one pass; a piece ends between words
+
+    def __init__(self, separators: bytes):
+        rng = np.random.default_rng(64)
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.value[65:91] = self.value[97:123]
+        self.apart = np.zeros(256, bool)
+        self.apart[list(separators)] = True
+        self.base = 0x9E3779B97F4A7C15
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.power) < n:
+            n = 1 << (n - 1).bit_length()
+            steps = np.full(n - 1, self.base, np.uint64)
+            self.power = np.concatenate([np.ones(1, np.uint64), np.cumprod(steps, dtype=np.uint64)])
+            steps[:] = pow(self.base, -1, 1 << 64)
+            self.inverse = np.concatenate([np.ones(1, np.uint64),
+                                           np.cumprod(steps, dtype=np.uint64)])
+
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the words of one array of bytes."""
+        self._reach(len(data) + 1)
+        inside = np.concatenate([[False], ~self.apart[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
+            self.value[data] * self.power[:len(data)], dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts]
+        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xFF51AFD7ED558CCD)):
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(factor)
+        return h ^ (h >> np.uint64(32)), starts
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """One array of word hashes per text."""
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush():
+            nonlocal held, size
+            if held:
+                gap = bytes([int(np.flatnonzero(self.apart)[0])])
+                data = np.frombuffer(gap.join(held), np.uint8)
+                h, starts = self._piece(data)
+                begins = np.cumsum([0, *[len(t) + 1 for t in held[:-1]]])
+                cut = np.searchsorted(starts, begins[1:])
+                out.extend(np.split(h, cut))
+            held, size = [], 0
+
+        for t in texts:
+            if size + len(t) > self.PIECE:
+                flush()
+            if len(t) > self.PIECE:
+                out.append(self._long(np.frombuffer(t, np.uint8)))
+            else:
+                held.append(t)
+                size += len(t) + 1
+        flush()
+        return out
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """A text beyond one piece: cut at separators (a longer word stays whole)."""
+        cuts = np.flatnonzero(self.apart[data])
+        parts, at = [], 0
+        while at < len(data):
+            i = int(np.searchsorted(cuts, at + self.PIECE, "right")) - 1
+            if i < 0 or cuts[i] <= at:
+                i += 1                              # the first separator behind the word
+            end = int(cuts[i]) + 1 if i < len(cuts) else len(data)
+            if len(data) - at <= self.PIECE:
+                end = len(data)
+            parts.append(self._piece(data[at:end])[0])
+            at = end
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)

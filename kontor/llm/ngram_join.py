@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontor.llm.common import Staged, annotate, slices, text_bytes
+from kontor.llm.common import Staged, WordHasher, annotate, slices, text_bytes
 from kontor.llm.components import components, small_side
 
 GROUPS = 64
@@ -48,31 +48,25 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; a bounded cache of word hashes."""
-
-    def __init__(self, k: int, remember: int = 300_000):
-        self.k, self.remember, self.seen = k, remember, {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()        # bytes: ASCII letters and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        seen = self.seen
-        if len(seen) > self.remember:
-            seen.clear()
-        hashes = []
-        for w in words:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
+    """Sorted distinct 64-bit shingle hashes of texts.  Words are parted by ASCII white
+    space, and A-Z count as a-z."""
+
+    def __init__(self, k: int):
+        self.k, self.words = k, WordHasher(b" \t\n\x0b\x0c\r")
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [self._set(h) for h in self.words(texts)]
+
+    def _set(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
         k = min(self.k, len(h))             # a shorter text is one shingle
         mixed = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             mixed = (mixed ^ h[i:len(h) - k + 1 + i]) * _MULTIPLY
             mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
+        mixed.sort()
+        return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -280,7 +274,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         shingler = Shingler(k)
 
         def run(texts):
-            sets = [shingler(t) for t in texts]
+            sets = shingler(texts)
             rows = [signature(s, num, den) if len(s) else (0, 0, None, None) for s in sets]
             d1, d2, prefix, point = zip(*rows)
             return {"n": [len(s) for s in sets], "d1": d1, "d2": d2, "prefix": prefix,
@@ -350,10 +344,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in slices(batch, 0):
                 keep, sets = [], []
-                for i, (t, d1, d2) in enumerate(zip(text_bytes(part.column(0)),
+                for i, (s, d1, d2) in enumerate(zip(shingler(text_bytes(part.column(0))),
                                                     part.column(1).to_pylist(),
                                                     part.column(2).to_pylist())):
-                    s = shingler(t)
                     # rows with an equal id but another set are not meant
                     if len(s) and signature(s, num, den)[:2] == (d1, d2):
                         keep.append(i)
