@@ -26,6 +26,8 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +140,15 @@ class TokenFileReader:
 
 # ------------------------------------------------------------ tokenizing
 _INSIDE_SPACE = re.compile(r"\s (?:\s|\Z)")
+_MARKS = frozenset(".,;:!?")
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level tokenizers use for bytes: printable ones stand for
+    themselves, the others for the characters from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
@@ -151,41 +162,74 @@ class Encoder:
     token's string, are encoded as one piece.
     """
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, remember: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remember, self.new, self.old = remember, {}, {}
-
-    def pieces(self, text: str) -> list[str]:
-        if _INSIDE_SPACE.search(text) or any(s in text for s in self.special):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        self.letters = str.maketrans(byte_letters())
+        self.remember = remember
+        self.plain: dict[str, bytes] = {}       # pieces without a leading space
+        self.spaced: dict[str, bytes] = {}      # pieces with one, which the key leaves out
+        self.old_plain: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str, space: bool) -> bytes:
+        """Ids of a piece: known, put together from smaller pieces, or encoded."""
+        cache, old = (self.spaced, self.old_spaced) if space else (self.plain, self.old_plain)
+        got = cache.get(piece)
+        if got is not None:
+            return got
+        got = old.get(piece)
+        if got is None:
+            if piece.isalpha() and max(piece) < "\u0250":
+                # Latin letters are one word to the tokenizer: straight to its model
+                word = (" " + piece if space else piece).encode().decode("latin-1")
+                got = array("I", [t.id for t in self.tokenizer.model.tokenize(
+                    word.translate(self.letters))]).tobytes()
+            elif "\n" in piece:
+                # a line break between two words is a token of its own
+                a, _, b = piece.partition("\n")
+                if a and b and not a[-1].isspace() and not b[0].isspace():
+                    got = self._piece(a, space) + self._piece("\n", False) + self._piece(b, False)
+            elif piece[-1:] in _MARKS and piece[:-1].isalpha() and max(piece) < "\u0250":
+                # so is a closing mark behind letters
+                got = self._piece(piece[:-1], space) + self._piece(piece[-1], False)
+            if got is None:
+                got = self._whole(" " + piece if space else piece)
+        if len(piece) < 64:
+            cache[piece] = got
+        return got
+
+    def _text(self, text: str) -> bytes:
+        if _INSIDE_SPACE.search(text) or any([s in text for s in self.special]):
+            return self._whole(text)
+        parts = text.split(" ")
+        got = list(map(self.spaced.get, parts))
+        got[0] = self._piece(parts[0], False)
+        if None in got:
+            got = [self._piece(p, True) if g is None else g for p, g in zip(parts, got)]
+        return b"".join(got)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        new, old, missing = self.new, self.old, {}
-        for pieces in cut:
-            for p in pieces:
-                if p not in new:
-                    if p in old:
-                        new[p] = old[p]
-                    else:
-                        missing[p] = None
-        todo = list(missing)
-        for i in range(0, len(todo), 2000):
-            part = todo[i:i + 2000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                new[p] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([new[p] for p in pieces]) for pieces in cut]
-        if len(new) > self.remember:            # the older generation goes
-            self.old = {p: v for p, v in new.items() if len(p) < 64}
-            self.new = {}
+        out = []
+        for t in texts:
+            out.append(self._text(t))
+            if len(self.spaced) + len(self.plain) > self.remember:    # the older ones go
+                self.old_plain, self.old_spaced = self.plain, self.spaced
+                self.plain, self.spaced = {}, {}
         return out
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its cache serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 # ------------------------------------------------------------ Spark jobs
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id",
                       text: str = "text", end_id: int = 0) -> DataFrame:
@@ -198,7 +242,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, key: str =
     """
     def run(batches):
         part = TaskContext.get().partitionId()
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         end = struct.pack("<I", end_id)
         path, writer, stream, total = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok", None, None, 0
         for batch in batches:
@@ -230,7 +274,7 @@ def scan_token_files(files: DataFrame) -> DataFrame:
     files), n_tokens, ids_crc32, file, doc_no (number in its file)."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # a row a file
     listed = (files.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-              .repartition("part"))
+              .repartitionByRange(max(1, min(files.count(), 10_000)), "part"))
 
     def run(batches):
         for batch in batches:
