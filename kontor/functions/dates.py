@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kontor.functions.text import strip
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -34,7 +36,7 @@ def parse_timestamp(c, formats: list[str]) -> Column:
 
     Returns timestamp_ntz.
     """
-    col = F.trim(_col(c).cast("string"))
+    col = strip(_col(c).cast("string"))
     # try_to_timestamp only tests the text (it is zoned); the value comes from
     # to_timestamp_ntz so wall-clock times never pass through a time zone.
     return F.coalesce(*[F.when(F.try_to_timestamp(col, F.lit(f)).isNotNull(),

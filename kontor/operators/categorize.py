@@ -1,16 +1,14 @@
 """Categorisation: ordered keyword rules (D1), card-type override (D2) and the
 sequential label rewrite with amount conditions (D3, D4).
 
-All three compile to CASE expressions evaluated inside whole-stage codegen.
-The one exception is opt-in: ``categorize(..., long_text=True)`` for texts of
-many kilobytes runs a one-pass keyword automaton over Arrow batches
-(``functions.keywords``).  Rules are data (a list or a small DataFrame), the
-defaults live in ``fixed_values``.
+All three are JVM expressions, whatever the length of the texts.  Rules are
+data (a list or a small DataFrame), the defaults live in ``fixed_values``.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +20,31 @@ from kontor.operators.fixed_values import (
 
 Rules = list[tuple[list[str], str]]
 
-# A rule table bigger than this is not compiled into one expression.
-MAX_COMPILED_KEYWORDS = 20_000
+# Keywords compiled into one expression; larger rule tables are one array value that
+# the expression walks through.  Both give the same categories.
+COMPILED_KEYWORDS = 300
+
+
+def _any(conditions: list[Column]) -> Column:
+    """OR of the conditions as a balanced tree, so its depth stays small."""
+    while len(conditions) > 1:
+        conditions = [functools.reduce(lambda a, b: a | b, conditions[i:i + 2])
+                      for i in range(0, len(conditions), 2)]
+    return conditions[0]
+
+
+def _walk_rules(low: Column, rules: Rules, default: str) -> Column:
+    """The category of the first rule in an array literal with a keyword in ``low``."""
+    words = [{"rule": i, "word": k} for i, (keywords, _) in enumerate(rules) for k in keywords]
+    table = F.from_json(F.lit(json.dumps(words)), "array<struct<rule:int,word:string>>")
+    names = F.from_json(F.lit(json.dumps([c for _, c in rules])), "array<string>")
+
+    def first(text: Column) -> Column:          # the lambda computes the text once
+        return F.array_min(F.transform(F.filter(table, lambda w: text.contains(w["word"])),
+                                       lambda w: w["rule"]))
+
+    hit = F.transform(F.array(low), first)[0]
+    return F.coalesce(F.get(names, hit), F.lit(default))
 
 
 def keyword_rules_expr(text: Column, rules: Rules = DEFAULT_RULES,
@@ -34,45 +55,33 @@ def keyword_rules_expr(text: Column, rules: Rules = DEFAULT_RULES,
     ending in a space never matches at the end of a trimmed text.  One CASE
     branch per rule, an OR of ``contains`` per keyword: all JVM code, and a
     branch stops at its first hit.  (Measured 4-5x faster than one regex
-    alternation per rule.)
+    alternation per rule.)  Tables of more than ``COMPILED_KEYWORDS`` keywords
+    are walked as an array instead; there is no limit to their size.
     """
-    n_kw = sum(len(k) for k, _ in rules)
-    if n_kw > MAX_COMPILED_KEYWORDS:
-        raise ValueError(f"{n_kw} keywords: too many to compile into one expression")
     low = F.lower(F.coalesce(text.cast("string"), F.lit("nan")))
+    rules = [([k.lower() for k in keywords if k], category) for keywords, category in rules]
+    rules = [r for r in rules if r[0]]
+    if sum(len(k) for k, _ in rules) > COMPILED_KEYWORDS:
+        return _walk_rules(low, rules, default)
     expr = None
     for keywords, category in rules:
-        kws = [k.lower() for k in keywords if k]
-        if not kws:
-            continue
-        cond = functools.reduce(lambda a, b: a | b, [low.contains(k) for k in kws])
+        cond = _any([low.contains(k) for k in keywords])
         expr = F.when(cond, F.lit(category)) if expr is None else expr.when(cond, F.lit(category))
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
 def categorize(df: DataFrame, text_col: str = "concept", out: str = "category",
-               rules: Rules = DEFAULT_RULES, default: str = DEFAULT_CATEGORY,
-               long_text: bool = False) -> DataFrame:
-    """Add ``out`` from the ordered keyword rules.
-
-    ``long_text`` (documents of kilobytes) uses the one-pass automaton
-    helper; short concepts stay on the JVM expression.
-    """
-    if long_text:
-        from kontor.functions.keywords import first_rule_category
-        return df.withColumn(out, first_rule_category(F.col(text_col), rules, default))
+               rules: Rules = DEFAULT_RULES, default: str = DEFAULT_CATEGORY) -> DataFrame:
+    """Add ``out`` from the ordered keyword rules."""
     return df.withColumn(out, keyword_rules_expr(F.col(text_col), rules, default))
 
 
 def rules_from_table(rules_df: DataFrame) -> Rules:
     """Rules given as ``(ordinal int, keywords array<string>, category string)``.
 
-    The table is configuration: it is read once on the driver (bounded by
-    ``MAX_COMPILED_KEYWORDS``) and compiled into the expression.
+    The table is the user's configuration: it is read once on the driver and
+    becomes part of the expression.
     """
-    n = rules_df.select(F.sum(F.size("keywords"))).first()[0] or 0
-    if n > MAX_COMPILED_KEYWORDS:
-        raise ValueError(f"{n} keywords: too many to compile into one expression")
     rows = rules_df.orderBy("ordinal").select("keywords", "category").collect()
     return [(list(r["keywords"] or []), r["category"]) for r in rows]
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kontor.functions.text import strip
 from kontor.operators.balance import running_balance
 from kontor.operators.categorize import Rules, categorize
 from kontor.operators.fixed_values import DEFAULT_RULES
-from kontor.schema import LEDGER_COLUMNS, MONEY
+from kontor.schema import LEDGER_COLUMNS, LEDGER_SCHEMA, MONEY
 
 
 def build_ledger(movements: DataFrame, rules: Rules = DEFAULT_RULES,
@@ -20,7 +22,7 @@ def build_ledger(movements: DataFrame, rules: Rules = DEFAULT_RULES,
     Reports that never read ``balance`` should pass ``with_balance=False``:
     the running sum is a sort of the whole ledger.
     """
-    df = movements.withColumn("concept", F.trim(F.col("concept")))
+    df = movements.withColumn("concept", strip("concept"))
     df = categorize(df, "concept", "category", rules)
     if "balance" not in df.columns:
         if with_balance:
@@ -30,14 +32,32 @@ def build_ledger(movements: DataFrame, rules: Rules = DEFAULT_RULES,
     return df.select(*LEDGER_COLUMNS)
 
 
+def bank_key(bank) -> Column:
+    """Folder name of an account in the stored ledger: ``b`` and the name, ``n`` for null.
+    The letter keeps Spark from reading names such as ``007`` as numbers."""
+    return F.coalesce(F.concat(F.lit("b"), bank), F.lit("n"))
+
+
 def write_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The stored form: parquet partitioned by bank and year, sorted by date
-    inside each file so min/max statistics prune date ranges.
+    """The stored form: parquet partitioned by account folder and year, sorted by
+    date inside each file so min/max statistics prune date ranges.  The account's
+    name itself stays a text column of the rows.
 
     Range partitioning on the full row order (not hash on bank/year) splits a
     hot account-year over many writers, each writing its own file.
     """
-    (ledger.withColumn("year", F.year("date"))
+    (ledger.withColumn("bank_key", bank_key(F.col("bank"))).withColumn("year", F.year("date"))
      .repartitionByRange("bank", "date", "src_file", "src_row")
      .sortWithinPartitions("bank", "date", "src_file", "src_row")
-     .write.mode(mode).partitionBy("bank", "year").parquet(path))
+     .write.mode(mode).partitionBy("bank_key", "year").parquet(path))
+
+
+def read_ledger(spark: SparkSession, path: str, banks: list[str | None] | None = None) -> DataFrame:
+    """The stored ledger with its columns and types; ``banks`` reads only their folders."""
+    stored = spark.read.schema(T.StructType([
+        *LEDGER_SCHEMA.fields, T.StructField("bank_key", T.StringType()),
+        T.StructField("year", T.IntegerType())])).parquet(path)
+    if banks is not None:
+        stored = stored.filter(F.col("bank_key").isin(
+            ["n" if b is None else "b" + b for b in banks]))
+    return stored.select(*LEDGER_COLUMNS)

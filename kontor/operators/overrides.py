@@ -3,8 +3,8 @@
 with the same concept prefix (D7), merging (D10), versions (D11, A20) and the
 category vocabulary (D9).
 
-Overrides are a table ``(tx_id, category)``; the history is an append-only log
-``(version, tx_id, category)``.  Prefix matching never pairs rows with rules:
+Overrides are a table ``(tx_id, category)``; the history is an append-only log of
+changes ``(version, tx_id, category, deleted)``.  Prefix matching never pairs rows with rules:
 the *distinct* concepts are expanded into their (at most 30) prefixes and
 equi-joined with the rule prefixes, then the result is joined back to the rows.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontor.functions.text import concept_key
+from kontor.functions.text import concept_key, strip
 from kontor.operators.fixed_values import (
     DEFAULT_CATEGORY, LEARN_PREFIX_MAX, LEARN_PREFIX_MIN, LEGACY_CATEGORY, PREFIX_LEN,
     SNAPSHOTS_KEPT,
@@ -112,7 +112,8 @@ def auto_classify(ledger: DataFrame, overrides: DataFrame, rules: DataFrame,
     best = best.filter(F.col("category") != "")
 
     out = join_small(rows, best, "_ck", "inner")
-    return out.groupBy("tx_id").agg(F.max("category").alias("category"))
+    # rows that share an id share the concept, and so the category
+    return out.select("tx_id", "category").distinct()
 
 
 # ---------------------------------------------------------------- bulk
@@ -162,33 +163,57 @@ def bulk_count(result: DataFrame) -> DataFrame:
 # --------------------------------------------------------- merge, versions
 def merge_overrides(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old.update(new)`` — an id in ``new`` takes the new category."""
-    both = (old.select("tx_id", "category", F.lit(0).alias("_p"))
-            .unionByName(new.select("tx_id", "category", F.lit(1).alias("_p"))))
-    return both.groupBy("tx_id").agg(F.max_by("category", "_p").alias("category"))
+    kept = old.select("tx_id", "category").join(new.select("tx_id"), "tx_id", "left_anti")
+    return kept.unionByName(new.select("tx_id", "category"))
 
 
 def overrides_as_of(log: DataFrame, version: int) -> DataFrame:
-    """The overrides in force at ``version``: each id's latest entry up to
-    it (undo = an earlier version; redo = a later one)."""
-    return (log.filter(F.col("version") <= F.lit(version))
-            .groupBy("tx_id").agg(F.max_by("category", "version").alias("category")))
+    """The overrides in force at ``version`` (undo = an earlier version; redo = a
+    later one): each id's latest entry up to it, unless that entry removes the id."""
+    latest = (log.filter(F.col("version") <= F.lit(version))
+              .groupBy("tx_id").agg(F.max("version").alias("version")))
+    return (log.join(latest, ["tx_id", "version"]).filter(~F.col("deleted"))
+            .select("tx_id", "category"))
 
 
 def save_version(log: DataFrame | None, overrides: DataFrame, version: int) -> DataFrame:
-    """A20 (write side): a save appends the full override set as a new
-    version of the log (the versioned copy of each save)."""
-    snap = overrides.select(F.lit(version).cast("long").alias("version"), "tx_id", "category")
-    return snap if log is None else log.unionByName(snap)
+    """A20 (write side): a save of the full override set appends what it changes.
+
+    The log holds (version, tx_id, category, deleted): an entry for every id that
+    is new or has another category than before, and one marked ``deleted`` for
+    every id that is no longer there (an undo).  A null category is a value.
+    """
+    at = F.lit(version).cast("long").alias("version")
+    if log is None:
+        return overrides.select(at, "tx_id", "category", F.lit(False).alias("deleted"))
+    before = overrides_as_of(log, version - 1).select(
+        F.col("tx_id").alias("b_id"), F.col("category").alias("b_category"))
+    both = overrides.join(before, F.col("tx_id") == F.col("b_id"), "full")
+    changed = both.filter(F.col("tx_id").isNull() | F.col("b_id").isNull()
+                          | ~F.col("category").eqNullSafe(F.col("b_category")))
+    return log.unionByName(changed.select(
+        at, F.coalesce("tx_id", "b_id").alias("tx_id"), "category",
+        F.col("tx_id").isNull().alias("deleted")))
 
 
 def retain_versions(log: DataFrame, keep: int = SNAPSHOTS_KEPT) -> DataFrame:
-    """Keep the newest ``keep`` versions of the log.
+    """Keep the newest ``keep`` versions and fold the older ones into one.
 
-    The version list is a top-k (per-partition partial top-k, then a final
-    one: ``keep`` rows at most), so its broadcast is bounded by ``keep``.
+    Every version that is kept gives the same overrides as before: what was in
+    force just before them becomes one base version, numbered as the newest
+    folded one.  The lowest kept version is one value (a top-k of the version
+    list); the entries themselves are filtered and aggregated, never gathered.
     """
     newest = log.select("version").distinct().orderBy(F.desc("version")).limit(keep)
-    return join_small(log, newest, "version", "left_semi", known_small=True)
+    first = newest.agg(F.min("version").alias("v")).first()["v"]
+    if first is None:
+        return log
+    old = log.filter(F.col("version") < first)
+    folded = old.agg(F.max("version").alias("v")).first()["v"]
+    base = overrides_as_of(old, first - 1).select(
+        F.lit(folded).cast("long").alias("version"), "tx_id", "category",
+        F.lit(False).alias("deleted"))
+    return log.filter(F.col("version") >= first).unionByName(base)
 
 
 # ------------------------------------------------------------ vocabulary
@@ -196,8 +221,8 @@ def vocabulary_merge(vocab: DataFrame, new_names: DataFrame) -> DataFrame:
     """Add trimmed, lower-case names not already present (ignoring case);
     blanks are dropped; the result is sorted.  ``is_new`` marks additions."""
     old = (vocab.select(F.col(vocab.columns[0]).alias("category"))
-           .filter(F.col("category").isNotNull() & (F.trim("category") != "")))
-    cand = (new_names.select(F.lower(F.trim(F.col(new_names.columns[0]))).alias("category"))
+           .filter(F.col("category").isNotNull() & (strip("category") != "")))
+    cand = (new_names.select(F.lower(strip(new_names.columns[0])).alias("category"))
             .filter(F.col("category").isNotNull() & (F.col("category") != "")).distinct())
     added = cand.join(old.select(F.lower("category").alias("category")).distinct(),
                       "category", "left_anti")

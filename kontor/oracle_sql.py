@@ -312,7 +312,7 @@ bulk AS (
   GROUP BY tx_id),
 log AS (
   SELECT CAST(strftime(l_shipdate, '%Y%m%d') AS BIGINT) AS version, ids.tx_id,
-         max(lower(p_type)) AS category
+         max(lower(p_type)) AS category, starts_with(max(lower(p_type)), 'standard') AS deleted
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN ids ON l_orderkey = ids.src_row
   WHERE l_quantity >= 50 GROUP BY 1, 2)"""
 
@@ -342,12 +342,21 @@ SELECT tx_id, arg_max(category, p) AS category FROM (
 GROUP BY tx_id""")
 
 SQL["overrides_asof"] = with_ledger(IDS + """
-SELECT tx_id, arg_max(category, version) AS category FROM log WHERE version <= 19990101
-GROUP BY tx_id""")
+SELECT tx_id, category FROM (
+  SELECT tx_id, arg_max(category, version) AS category, arg_max(deleted, version) AS deleted
+  FROM log WHERE version <= 19990101 GROUP BY tx_id)
+WHERE NOT deleted""")
 
 SQL["override_retention"] = with_ledger(IDS + """
-SELECT version, tx_id, category FROM log
-WHERE version IN (SELECT DISTINCT version FROM log ORDER BY version DESC LIMIT 200)""")
+, kept AS (SELECT min(version) AS first FROM (
+  SELECT DISTINCT version FROM log ORDER BY version DESC LIMIT 200))
+SELECT version, tx_id, category, deleted FROM log WHERE version >= (SELECT first FROM kept)
+UNION ALL
+SELECT (SELECT max(version) FROM log WHERE version < (SELECT first FROM kept)) AS version,
+       tx_id, category, false AS deleted
+FROM (SELECT tx_id, arg_max(category, version) AS category, arg_max(deleted, version) AS deleted
+      FROM log WHERE version < (SELECT first FROM kept) GROUP BY tx_id)
+WHERE NOT deleted""")
 
 SQL["vocabulary_merge"] = f"""
 WITH vocab AS (SELECT unnest([{VOCAB}]) AS category),
@@ -570,3 +579,37 @@ SQL["ledger_by_date"] = with_ledger("""
 SELECT "date", concept, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
        bank, category, src_file, src_row
 FROM ledger ORDER BY "date", src_file, src_row""")
+
+SQL["file_inventory"] = """
+SELECT 'from-' || source AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS DOUBLE) / 1024 AS size_kb
+FROM documents GROUP BY source"""
+
+SQL["json_documents"] = with_ledger(IDS + """
+, names AS (SELECT ' ' || p_type AS name FROM part UNION ALL SELECT c_mktsegment FROM customer)
+SELECT tx_id, category FROM ov
+UNION ALL SELECT DISTINCT CAST(NULL AS VARCHAR) AS tx_id, lower(trim(name)) AS category FROM names""")
+
+SQL["notebook_split"] = with_ledger("""
+SELECT bank, CASE WHEN amount > 0 THEN 'income' ELSE 'expenses' END AS side,
+       CAST(sum(amount) AS DOUBLE) AS total, count(*) AS n
+FROM ledger WHERE amount IS NOT NULL GROUP BY 1, 2""")
+
+SQL["text_lookup"] = with_ledger("""
+SELECT bank, src_row, concept, CAST(amount AS DOUBLE) AS amount FROM ledger
+WHERE contains(concept, 'MACHINERY 2-')""")
+
+SQL["search_summary"] = SQL["movement_summary"].replace(
+    "FROM ledger WHERE amount IS NOT NULL)",
+    "FROM ledger WHERE amount IS NOT NULL AND contains(lower(concept), 'high')"
+    " AND contains(lower(category), 'e'))")
+
+SQL["bulk_count"] = with_ledger(IDS + "\nSELECT count(DISTINCT tx_id) AS n FROM bulk")
+
+SQL["vocabulary_changed"] = f"""
+WITH vocab AS (SELECT unnest([{VOCAB}]) AS category),
+names AS (SELECT ' ' || p_type AS name FROM part UNION ALL SELECT c_mktsegment FROM customer),
+added AS (SELECT count(*) AS n FROM names
+          WHERE lower(trim(name)) <> '' AND lower(trim(name)) NOT IN
+                (SELECT lower(category) FROM vocab))
+SELECT 'once' AS merge, n > 0 AS changed FROM added
+UNION ALL SELECT 'twice' AS merge, false AS changed"""

@@ -10,8 +10,7 @@ rows.  Two ways to know the size:
   its stage has run and turns the join into a broadcast join only below
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
   shuffle join, with AQE splitting skewed partitions.  This costs no extra
-  job, unlike counting the side up front (``is_small``, kept for callers that
-  must decide on the driver).
+  job, unlike counting the side up front.
 """
 
 from __future__ import annotations
@@ -19,14 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# rows; with narrow rows this keeps a broadcast well under a few tens of MB
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                known_small: bool = False) -> DataFrame:
     """``big.join(small, on, how)``; broadcast hint only if ``known_small``

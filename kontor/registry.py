@@ -261,7 +261,7 @@ def categorize_ledger(spark, d):
 def categorize_text(spark, d):
     """D1 with the default merchant rules over whole documents."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    return categorize(docs, "text", "category", long_text=True).select("doc_id", "category")
+    return categorize(docs, "text", "category").select("doc_id", "category")
 
 
 @register
@@ -353,7 +353,7 @@ def overrides_asof(spark, d):
 
 @register
 def override_retention(spark, d):
-    """The log entries of the newest 200 versions."""
+    """The newest 200 versions of the log, and the older ones folded into one."""
     lg = _ledger_ids(spark, d)
     return overrides.retain_versions(S.override_log(spark, d, lg))
 
@@ -504,9 +504,83 @@ def json_sources(spark, d):
 
 @register
 def file_inventory(spark, d):
-    """The table folder's parquet files, name and size in KB."""
-    from kontor.sources.files import file_inventory as inv
-    return inv(spark, d, "*.parquet")
+    """The documents exported as text files, one folder per source, and a file
+    of another kind; KB of the text files per folder."""
+    from kontor.sources.files import folder_sizes, scratch_path
+    folder = scratch_path(spark, "inventory")
+    docs = read_table(spark, d, "documents")
+    (docs.select(F.concat(F.lit("from-"), "source").alias("source"),
+                 F.coalesce("text", F.lit("")).alias("value"))
+     .write.partitionBy("source").text(folder + "/export"))
+    read_table(spark, d, "nation").write.option("header", True).csv(folder + "/export/source=nations")
+    sizes = folder_sizes(spark, folder + "/export", ["txt", "text"])
+    return sizes.select(F.regexp_replace("folder", "^source=", "").alias("folder"), "size_kb")
+
+
+@register
+def json_documents(spark, d):
+    """The vocabulary as a JSON array and the overrides as a JSON object, written
+    and read back; every name, and every override under its id."""
+    from kontor.sources import json_io
+    from kontor.sources.files import scratch_path
+    folder = scratch_path(spark, "json-documents")
+    names = S.new_category_names(spark, d).select(
+        F.lower(F.trim(F.col("name"))).alias("category")).distinct()
+    json_io.write_vocabulary(names, folder + "/categories")
+    lg = _ledger_ids(spark, d)
+    json_io.write_overrides_document(S.overrides_table(spark, d, lg), folder + "/overrides")
+    vocabulary = json_io.read_vocabulary(spark, folder + "/categories")
+    stored = json_io.read_overrides_document(spark, folder + "/overrides")
+    return stored.select("tx_id", "category").unionByName(
+        vocabulary.select(F.lit(None).cast("string").alias("tx_id"), "category"))
+
+
+@register
+def notebook_split(spark, d):
+    """C4: totals of the notebook's sides (zero is an expense), per account."""
+    lg = ledger(spark, d, False)
+    sides = None
+    for name, part in (("income", filters.notebook_income(lg)),
+                       ("expenses", filters.notebook_expenses(lg))):
+        one = part.groupBy("bank").agg(money_out(F.sum("amount")).alias("total"),
+                                       F.count(F.lit(1)).alias("n"))
+        one = one.select("bank", F.lit(name).alias("side"), "total", "n")
+        sides = one if sides is None else sides.unionByName(one)
+    return sides
+
+
+@register
+def text_lookup(spark, d):
+    """Movements whose concept holds a text, in its own case."""
+    found = filters.text_contains(ledger(spark, d, False), "MACHINERY 2-")
+    return _money_cols(found.select("bank", "src_row", "concept", "amount"), "amount")
+
+
+@register
+def search_summary(spark, d):
+    """F11 after C6: the summary of the movements that the search boxes leave."""
+    return report.movement_summary(filters.search(ledger(spark, d), {"concept": "high",
+                                                                     "category": "e"}))
+
+
+@register
+def bulk_count(spark, d):
+    """F16 on D7: how many ids the spread edits set."""
+    lg = _ledger_ids(spark, d)
+    return overrides.bulk_count(overrides.bulk_apply(lg, S.edits_table(spark, d, lg)))
+
+
+@register
+def vocabulary_changed(spark, d):
+    """Whether merging the typed names changes the vocabulary, and whether merging
+    the result once more does."""
+    vocab = spark.createDataFrame([(c,) for c in DEFAULT_VOCABULARY], "category string")
+    names = S.new_category_names(spark, d)
+    once = overrides.vocabulary_merge(vocab, names)
+    twice = overrides.vocabulary_merge(once.select("category"), names)
+    return spark.createDataFrame(
+        [("once", overrides.vocabulary_changed(vocab, once)),
+         ("twice", overrides.vocabulary_changed(once, twice))], "merge string, changed boolean")
 
 
 @register

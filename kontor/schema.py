@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 # Money is exact inside the engine: sums do not depend on partitioning and the
 # same query gives the same cents on 1 or 1000 executors.  Outputs are doubles.
-MONEY = T.DecimalType(18, 2)
+# Ten decimals and 28 digits before them hold what exchange and non-euro exports give.
+MONEY = T.DecimalType(38, 10)
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("date", T.TimestampNTZType(), True),
@@ -49,4 +50,5 @@ OVERRIDE_LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType(), False),
     T.StructField("tx_id", T.StringType(), False),
     T.StructField("category", T.StringType(), True),
+    T.StructField("deleted", T.BooleanType(), False),
 ])

@@ -27,8 +27,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
     the data (roughly input bytes / 128 MB); AQE coalesces what is left over.
     """
     builder = (SparkSession.builder.master(master).appName(app_name)
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "16g"))
+               .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for k, v in {**RECOMMENDED_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

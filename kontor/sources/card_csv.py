@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.functions.dates import parse_timestamp
-from kontor.functions.money import parse_money
+from kontor.functions.money import plain_money
+from kontor.functions.text import strip
 from kontor.operators.categorize import Rules, categorize, type_override
 from kontor.operators.fixed_values import CARD_COMPLETED_STATE, DEFAULT_RULES
 from kontor.operators.identity import dedup
-from kontor.schema import LEDGER_COLUMNS
+from kontor.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 MAX_LAYOUTS = 1000        # distinct header lines brought to the driver, at most
 
@@ -76,15 +77,13 @@ def read_card_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 def parse_card_rows(rows: DataFrame, bank: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """A1 + D1 + D2: completed rows to ledger rows (before null drops and dedup)."""
     if "State" not in rows.columns:                       # A3
-        return rows.sparkSession.createDataFrame([], ", ".join(
-            f"{c} string" for c in LEDGER_COLUMNS)).select(*LEDGER_COLUMNS)
+        return rows.sparkSession.createDataFrame([], LEDGER_SCHEMA)
     df = rows.filter(F.col("State") == CARD_COMPLETED_STATE)
     df = df.select(
         parse_timestamp(F.col("Started Date"), CARD_DATE_FORMATS).alias("date"),
-        F.regexp_replace(F.coalesce(F.col("Description"), F.lit("nan")), r"^\s+|\s+$", "")
-        .alias("concept"),
-        parse_money("Amount").alias("amount"),
-        parse_money("Balance").alias("balance"),
+        strip(F.coalesce(F.col("Description"), F.lit("nan"))).alias("concept"),
+        plain_money("Amount").alias("amount"),
+        plain_money("Balance").alias("balance"),
         F.lit(bank).alias("bank"),
         F.col("Type"),
         F.col("src_file"), F.col("src_row").cast("long").alias("src_row"))

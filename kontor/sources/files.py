@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.plans.lineage import checkpoint_dir
-from kontor.schema import LEDGER_COLUMNS
+from kontor.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 # ---- FIXED VALUES: accepted extensions per kind of export ----
-WORKBOOK_EXTENSIONS = ["xls", "xlsx"]
 CSV_EXTENSIONS = ["csv"]
-PDF_EXTENSIONS = ["pdf"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +52,16 @@ def file_inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
             .orderBy("name"))
 
 
+def folder_sizes(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
+    """A21 for a folder of folders: KB of the files with one of ``extensions`` (A23) per
+    sub-folder, ``(folder, size_kb)``.  No file is read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load(folder).select("path", "length"))
+    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")
+    return (extension_filter(files, extensions).groupBy(name)
+            .agg((F.sum("length") / 1024.0).alias("size_kb")))
+
+
 @dataclass(frozen=True)
 class Source:
     """One configured export folder: ``slot`` groups alternatives (a real
@@ -114,9 +122,7 @@ def load_all(spark: SparkSession, sources: list[Source], ordered: bool = False)
     """
     parts = [s.load(s.raw) for s in _preferred(spark, sources).values()]
     if not parts:
-        return spark.createDataFrame([], "date timestamp_ntz, concept string, amount decimal(18,2),"
-                                         " balance decimal(18,2), bank string, category string,"
-                                         " src_file string, src_row long")
+        return spark.createDataFrame([], LEDGER_SCHEMA)
     out = parts[0].select(*LEDGER_COLUMNS)
     for p in parts[1:]:
         out = out.unionByName(p.select(*LEDGER_COLUMNS))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions.dates import parse_timestamp
+from kontor.functions.money import plain_money
+from kontor.functions.text import strip
 from kontor.operators.categorize import Rules, categorize
 from kontor.operators.fixed_values import DEFAULT_RULES
 from kontor.operators.identity import dedup
@@ -65,14 +67,9 @@ STRICT_MONTH_FIRST = ["M/d/yyyy"]
 
 
 # ------------------------------------------------------------------ helpers
-def strip(c: Column) -> Column:
-    """Python ``str.strip()``: all surrounding whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def number(c: Column) -> Column:
     """``pd.to_numeric(errors='coerce')`` for text cells: plain numbers only."""
-    return strip(c).try_cast(MONEY)
+    return plain_money(c)
 
 
 def _any_word(text: Column, words: list[str]) -> Column:

@@ -28,16 +28,24 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(F.from_json("value", "array<string>")).alias("category"))
 
 
-MAX_VOCABULARY = 100_000   # names gathered into the one JSON document
+def _one_value(rows: DataFrame, path: str) -> None:
+    """Write a one-row table of one text column as a single file."""
+    rows.coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
-    """The names, sorted, as one JSON array.  A vocabulary is small; one
-    larger than ``MAX_VOCABULARY`` names is refused rather than gathered."""
-    if vocab.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} category names")
-    (vocab.select(F.to_json(F.sort_array(F.collect_list(vocab.columns[0]))).alias("value"))
-     .coalesce(1).write.mode("overwrite").text(path))
+    """The names, sorted, as one JSON array.  A JSON document is one value, so its
+    names meet in one task; a vocabulary of any larger kind belongs in a table."""
+    _one_value(vocab.select(F.to_json(F.sort_array(F.collect_list(vocab.columns[0])))
+                            .alias("value")), path)
+
+
+def write_overrides_document(overrides: DataFrame, path: str) -> None:
+    """A19 (compatible form): one JSON object ``{tx_id: category}``, ids sorted; one value,
+    as ``write_vocabulary``.  ``write_overrides_table`` is the form for many."""
+    entries = F.sort_array(F.collect_list(F.struct("tx_id", "category")))
+    _one_value(overrides.select(F.to_json(F.map_from_entries(entries),
+                                          {"ignoreNullFields": "false"}).alias("value")), path)
 
 
 def read_overrides_document(spark: SparkSession, path: str) -> DataFrame:

@@ -174,13 +174,15 @@ def edits_table(spark: SparkSession, sf_dir: str, ledger_ids: DataFrame) -> Data
 
 def override_log(spark: SparkSession, sf_dir: str, ledger_ids: DataFrame) -> DataFrame:
     """The saved history of those edits: one version per shipping day
-    (yyyyMMdd), one entry per id and version."""
+    (yyyyMMdd), one entry per id and version.  Entries of standard parts undo
+    the id's override (there may be none)."""
     lines = _big_quantity_lines(spark, sf_dir)
     j = lines.join(ledger_ids.select("src_row", "tx_id"),
                    lines.l_orderkey == F.col("src_row"), "inner")
     return (j.groupBy(F.date_format("l_shipdate", "yyyyMMdd").cast("long").alias("version"),
                       "tx_id")
-            .agg(F.max(F.lower("p_type")).alias("category")))
+            .agg(F.max(F.lower("p_type")).alias("category"))
+            .withColumn("deleted", F.col("category").startswith("standard")))
 
 
 STANDIN_LOG_VERSION = 19990101

@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontor.functions.money import parse_money
+from kontor.functions.text import strip
 from kontor.operators.categorize import Rules, categorize
 from kontor.operators.fixed_values import BALANCE_GAP_TOLERANCE, DEFAULT_RULES
 from kontor.operators.identity import dedup
 from kontor.plans.fsm import fsm_scan
 from kontor.plans.joins import join_small
-from kontor.schema import LEDGER_COLUMNS, MONEY
+from kontor.schema import LEDGER_COLUMNS
 
 # ---- FIXED VALUES: statement text patterns ----
 MONEY_RE = r"^-?[\d,]+\.\d{2}$"
@@ -54,7 +56,7 @@ RECORD_START = {(SEEK, DATE)}
 
 
 def _money_text(c: Column) -> Column:
-    return F.regexp_replace(c, ",", "").try_cast(MONEY)
+    return parse_money(c)
 
 
 def _ddmmyyyy(c: Column) -> Column:
@@ -132,7 +134,7 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
     this_year = on_year(F.year("this_stmt"))
     date = F.when(this_year > F.col("this_stmt"), on_year(F.year("this_stmt") - 1)) \
         .otherwise(this_year)
-    desc = F.regexp_replace(F.array_join(F.col("_desc.line"), " "), r"^\s+|\s+$", "")
+    desc = strip(F.array_join(F.col("_desc.line"), " "))
     return rec.select(
         "doc", "line_no",
         date.cast("timestamp_ntz").alias("date"),
@@ -146,8 +148,7 @@ def load_statements(lines: DataFrame, bank: str = STATEMENT_BANK, rules: Rules =
     """Every document, tagged, categorised, rows without date or amount
     dropped, duplicates removed (first in ledger order)."""
     p = parse_statement_lines(lines, block_rows)
-    df = p.select("date", F.regexp_replace(F.coalesce("concept", F.lit("nan")), r"^\s+|\s+$", "")
-                  .alias("concept"), "amount", "balance", F.lit(bank).alias("bank"),
+    df = p.select("date", strip(F.coalesce("concept", F.lit("nan"))).alias("concept"), "amount", "balance", F.lit(bank).alias("bank"),
                   F.col("doc").alias("src_file"), F.col("line_no").alias("src_row"))
     df = categorize(df, "concept", "category", rules).dropna(subset=["date", "amount"])
     return dedup(df.select(*LEDGER_COLUMNS))

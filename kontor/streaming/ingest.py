@@ -5,11 +5,10 @@ rows, de-duplicated within itself (G1), stripped of rows whose duplicate key
 is already known, and written to the ledger table.
 
 Known keys live in a key index next to the ledger (``<ledger>_keys``),
-partitioned by (account, hash bucket of the key).  A batch reads only the
-(account, bucket) partitions its own keys fall in — a static partition
-filter built from the batch's distinct pairs (bounded by the batch size and
-by accounts x buckets) — not the account's whole history, and anti-joins
-that small match set (null-safe on every key column).
+partitioned by the hash bucket of the key (``KEY_BUCKETS`` folders per batch,
+however many accounts there are; the account is a text column of the rows).
+A batch reads only the buckets its own keys fall in and anti-joins them
+(null-safe on every key column).
 
 Exactly once: batch ``N`` writes its rows to ``<ledger>/batch=N`` and its
 keys to ``<ledger>_keys/batch=N``, both with overwrite, and ignores index
@@ -47,8 +46,7 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return any(st.getPath().getName().startswith("batch=") for st in fs.listStatus(p))
 
 
-KEY_BUCKETS = 32           # per account; raise for very large accounts
-MAX_PRUNE_PAIRS = 10_000   # bound for building partition / hash filters from a batch
+KEY_BUCKETS = 64           # folders per batch of the key index, whatever the accounts
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -67,8 +65,7 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
     """The rows of a batch that are new to the ledger (first copy kept), with
     their key columns (``_k_*``), key hash (``_kh``) and bucket (``_kb``).
 
-    ``rows`` is read more than once (the partition and hash lists, then the
-    anti-join); pass a deterministic or persisted DataFrame, as the stream does.
+    ``rows`` is read more than once (the bucket list, then the anti-join); pass a deterministic or persisted DataFrame, as the stream does.
     """
     keyed = _keyed(dedup(rows.select(*LEDGER_COLUMNS)))
     index = ledger_path.rstrip("/") + "_keys"
@@ -77,29 +74,10 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
         return keyed
     # index entries written by an earlier attempt of this same batch do not count
     known = spark.read.parquet(index).filter(F.col("batch") != F.lit(batch_id))
-    # partitions the batch touches: at most (rows in the batch) and at most
-    # accounts x KEY_BUCKETS; up to MAX_PRUNE_PAIRS they become a static
-    # partition filter on the index, beyond that a semi-join narrows it
-    pairs = (keyed.select("_k_bank", "_kb").distinct().limit(MAX_PRUNE_PAIRS + 1).collect())
-    if len(pairs) <= MAX_PRUNE_PAIRS:
-        by_bank: dict = {}
-        for r in pairs:
-            by_bank.setdefault(r["_k_bank"], []).append(r["_kb"])
-        if not by_bank:
-            return keyed
-        cond_parts = [((F.col("_k_bank") == F.lit(b)) if b is not None else
-                       F.col("_k_bank").isNull()) & F.col("_kb").isin(kbs)
-                      for b, kbs in by_bank.items()]
-        matches = known.filter(functools.reduce(lambda a, b: a | b, cond_parts))
-        # inside a bucket, files are sorted by the key hash: an IN list of the
-        # batch's hashes is pushed to parquet and skips row groups
-        small_batch = keyed.limit(MAX_PRUNE_PAIRS + 1).count() <= MAX_PRUNE_PAIRS
-        if small_batch:
-            hashes = [r["_kh"] for r in keyed.select("_kh").distinct().collect()]
-            matches = matches.filter(F.col("_kh").isin(hashes))
-    else:
-        matches = known.join(keyed.select("_k_bank", "_kb").distinct(), ["_k_bank", "_kb"],
-                             "left_semi")
+    # a batch reads the buckets that its keys fall in (at most KEY_BUCKETS values); the
+    # rest is a null-safe anti-join on the key, which Spark plans by the sides' sizes
+    buckets = [r["_kb"] for r in keyed.select("_kb").distinct().collect()]
+    matches = known.filter(F.col("_kb").isin(buckets))
     cond = functools.reduce(lambda a, b: a & b,
                             [keyed[c].eqNullSafe(matches[c]) for c in kcols + ["_kb", "_kh"]])
     return keyed.join(matches, cond, "left_anti")
@@ -108,11 +86,11 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
 def append_batch(new: DataFrame, ledger_path: str, batch_id: int = 0) -> None:
     """Write a batch's new rows to ``<ledger>/batch=N`` and their keys to
     ``<ledger>_keys/batch=N`` (overwrite: a re-run rewrites, never adds)."""
-    (new.select(*LEDGER_COLUMNS).write.mode("overwrite").partitionBy("bank")
+    (new.select(*LEDGER_COLUMNS).write.mode("overwrite")
      .parquet(f"{ledger_path.rstrip('/')}/batch={batch_id}"))
     (new.select(*_key_cols(new), "_kh", "_kb")
-     .repartitionByRange("_k_bank", "_kb", "_kh").sortWithinPartitions("_kh")
-     .write.mode("overwrite").partitionBy("_k_bank", "_kb")
+     .repartitionByRange("_kb", "_kh").sortWithinPartitions("_kb", "_kh")
+     .write.mode("overwrite").partitionBy("_kb")
      .parquet(f"{ledger_path.rstrip('/')}_keys/batch={batch_id}"))
 
 
@@ -154,8 +132,8 @@ def start_ingest(spark: SparkSession, source_dir: str, source_schema: str, ledge
               .options(**(options or {})).load(source_dir))
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        # the parsed batch is read several times (partition list, hash list,
-        # anti-join, two appends): evaluate it once
+        # the parsed batch is read several times (bucket list, anti-join, two
+        # appends): evaluate it once
         rows = parse(batch).persist()
         new = merge_batch(spark, rows, ledger_path, epoch_id).persist()
         try:

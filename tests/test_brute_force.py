@@ -64,14 +64,15 @@ def _python_categorize(text):
 
 
 @pytest.mark.parametrize("seed", [4, 5])
-def test_categorize_matches_python(spark, seed):
+def test_categorize_matches_python(spark, seed, monkeypatch):
     rng = random.Random(seed)
     words = [k for kws, _ in DEFAULT_RULES for k in kws] + ["plain", "text", "Bar", "AMAZON"]
     texts = [None] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
                       for _ in range(300)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    for long_text in (False, True):
-        got = {r.id: r.category for r in categorize(df, "t", long_text=long_text).collect()}
+    for compiled in (300, 0):              # one expression, or walked as an array
+        monkeypatch.setattr("kontor.operators.categorize.COMPILED_KEYWORDS", compiled)
+        got = {r.id: r.category for r in categorize(df, "t").collect()}
         assert got == {i: _python_categorize(t) for i, t in enumerate(texts)}
 
 

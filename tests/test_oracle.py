@@ -3,26 +3,23 @@
 import pytest
 
 import __spark_entry__ as E
+from kontor.oracle_sql import SQL
+from kontor.registry import QUERIES
 from scripts.check_oracle import rows_of
 from tests.conftest import SMALL
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
-def test_every_query_has_sql_or_is_declared_rows_only():
-    rows_only = set(NAMES) - set(E.oracle_sql())
-    assert rows_only <= {"file_inventory"}
+def test_every_query_has_sql():
+    assert set(NAMES) == set(SQL) & set(E.oracle_sql()) & set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SMALL)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert len(rows) >= 0
-        return
-    cur = duck.execute(sql)
+    cur = duck.execute(E.oracle_sql()[name])
     dcols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(dcols)
     assert rows_of(cols, rows) == rows_of(dcols, cur.fetchall())

@@ -36,11 +36,11 @@ def test_small_overrides_end_up_broadcast(spark):
 
 
 def test_stored_ledger_prunes_partitions_and_pushes_filters(spark, tmp_path):
-    from kontor.operators.ledger import write_ledger
+    from kontor.operators.ledger import read_ledger, write_ledger
     lg = ledger(spark, SMALL)
     write_ledger(lg, str(tmp_path / "ledger"))
-    stored = spark.read.parquet(str(tmp_path / "ledger"))
-    q = filters.date_range(filters.one_bank(stored, "Bank2"), "1996-01-01", "1996-12-31")
+    stored = read_ledger(spark, str(tmp_path / "ledger"), ["Bank2"])
+    q = filters.date_range(stored, "1996-01-01", "1996-12-31")
     p = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in p and "Bank2" in p
     assert q.count() == lg.filter("bank = 'Bank2' and year(date) = 1996").count()
