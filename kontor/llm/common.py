@@ -114,7 +114,7 @@ class Staged:
 
     def write(self, df: DataFrame, step: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.name}-{step}")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -154,8 +154,8 @@ class WordHasher:
             self.inverse = np.concatenate([np.ones(1, np.uint64),
                                            np.cumprod(steps, dtype=np.uint64)])
 
-    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and starts of the words of one array of bytes."""
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, lengths and starts of the words of one array of bytes."""
         self._reach(len(data) + 1)
         inside = np.concatenate([[False], ~self.apart[data], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -167,11 +167,15 @@ class WordHasher:
         for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xFF51AFD7ED558CCD)):
             h ^= h >> np.uint64(shift)
             h *= np.uint64(factor)
-        return h ^ (h >> np.uint64(32)), starts
+        return h ^ (h >> np.uint64(32)), ends - starts, starts
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """One array of word hashes per text."""
-        out: list[np.ndarray] = []
+        return [h for h, _ in self.with_lengths(texts)]
+
+    def with_lengths(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Word hashes and lengths in bytes, per text."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         held: list[bytes] = []
         size = 0
 
@@ -180,10 +184,10 @@ class WordHasher:
             if held:
                 gap = bytes([int(np.flatnonzero(self.apart)[0])])
                 data = np.frombuffer(gap.join(held), np.uint8)
-                h, starts = self._piece(data)
+                h, length, starts = self._piece(data)
                 begins = np.cumsum([0, *[len(t) + 1 for t in held[:-1]]])
                 cut = np.searchsorted(starts, begins[1:])
-                out.extend(np.split(h, cut))
+                out.extend(zip(np.split(h, cut), np.split(length, cut)))
             held, size = [], 0
 
         for t in texts:
@@ -197,7 +201,7 @@ class WordHasher:
         flush()
         return out
 
-    def _long(self, data: np.ndarray) -> np.ndarray:
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A text beyond one piece: cut at separators (a longer word stays whole)."""
         cuts = np.flatnonzero(self.apart[data])
         parts, at = [], 0
@@ -208,6 +212,6 @@ class WordHasher:
             end = int(cuts[i]) + 1 if i < len(cuts) else len(data)
             if len(data) - at <= self.PIECE:
                 end = len(data)
-            parts.append(self._piece(data[at:end])[0])
+            parts.append(self._piece(data[at:end])[:2])
             at = end
-        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*parts))

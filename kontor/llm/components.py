@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from kontor.llm.common import Staged
 
-#: Rows (of a few numbers) up to which a side is broadcast; beyond it is shuffled.
-BROADCAST_ROWS = 200_000
+#: Numbers up to which a side is broadcast (16 MB); beyond it is shuffled.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """``df``, a written table of a few numbers per row, with a broadcast hint if its
-    counted rows allow it; any larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, a written table of numbers, with a broadcast hint if its counted rows allow
+    it; any larger one is left to a shuffle join."""
+    most = BROADCAST_NUMBERS // len(df.columns)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:

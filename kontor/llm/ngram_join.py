@@ -6,8 +6,8 @@ set are hashed into ``GROUPS`` groups, and the counts per group are a point.
 Two sets share at most the sum of the coordinate minima of their points, so a
 pair whose sum is too small for the wanted similarity cannot link.
 
-1. Blocks: classes that share one of their least-hashed shingles, as many as a
-   linked pair cannot avoid sharing, and are close enough in size.  Blocks with
+1. Blocks: classes that share one of their first shingles (in one fixed order), as
+   many as a linked pair cannot avoid sharing, and are close enough in size.  Blocks with
    the same classes count once; large ones are cut into tiles.
 2. In each block an R-tree over the points answers which classes may link; a
    spanning set of these pairs comes out.  Their components hold every link.
@@ -38,26 +38,29 @@ from pyspark.sql import functions as F
 from kontor.llm.common import Staged, WordHasher, annotate, slices, text_bytes
 from kontor.llm.components import components, small_side
 
-GROUPS = 64
+GROUPS = 256
 LEAF, FANOUT = 32, 8
 #: Points in a tile of a block; sets and shingles in a tile of a component.
 TILE_POINTS = 2048
-TILE_SETS, TILE_SHINGLES = 1024, 1_500_000
+TILE_SETS, TILE_SHINGLES = 1024, 800_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts.  Words are parted by ASCII white
-    space, and A-Z count as a-z."""
+    space, and A-Z count as a-z.
+
+    The leading six bits are smaller the longer a shingle's words are: long ones are
+    rare, so the first shingles of a set in this order are seldom shared by chance."""
 
     def __init__(self, k: int):
         self.k, self.words = k, WordHasher(b" \t\n\x0b\x0c\r")
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [self._set(h) for h in self.words(texts)]
+        return [self._set(h, n) for h, n in self.words.with_lengths(texts)]
 
-    def _set(self, h: np.ndarray) -> np.ndarray:
+    def _set(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
         if not len(h):
             return h
         k = min(self.k, len(h))             # a shorter text is one shingle
@@ -65,6 +68,9 @@ class Shingler:
         for i in range(k):
             mixed = (mixed ^ h[i:len(h) - k + 1 + i]) * _MULTIPLY
             mixed ^= mixed >> np.uint64(29)
+        sums = np.concatenate([[0], np.cumsum(length)])
+        short = np.uint64(63) - np.minimum(sums[k:] - sums[:-k], 63).astype(np.uint64)
+        mixed = (mixed >> np.uint64(6)) | (short << np.uint64(58))
         mixed.sort()
         return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
@@ -80,7 +86,13 @@ def signature(s: np.ndarray, num: int, den: int) -> tuple[int, int, np.ndarray,
     first, second = np.frombuffer(d, np.int64).tolist()
     point = np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
     return (first, second, s[:prefix_length(len(s), num, den)].view(np.int64),
-            point.astype("<i4").tobytes())
+            point.astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes())
+
+
+def points_of(packed: list[bytes]) -> np.ndarray:
+    """Points as rows of an array; longer sets have wider counts."""
+    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * GROUPS else "<u4").astype(np.int32)
+                     for p in packed])
 
 
 # ------------------------------------------------------------ inside one task
@@ -284,31 +296,35 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = annotate(plain, "t", sign, {"n": "long", "d1": "long", "d2": "long",
                                          "prefix": "array<long>", "point": "binary"}).drop("t")
     signed = staged.write(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    filled = signed.filter(F.col("n") > 0)
+    documents = staged.write(signed.select("row", "id", "n", "d1", "d2"), "documents")
+    filled = documents.filter(F.col("n") > 0)
 
     classes = staged.write(filled.groupBy("d1", "d2").agg(
         F.min("row").alias("cid"), F.min("id").alias("least_id")), "classes")
-    heads = classes.select(F.col("cid").alias("row"))
-    points = staged.write(filled.join(heads, "row").select(
+    heads = small_side(staged.write(classes.select(F.col("cid").alias("row")), "heads"))
+    points = staged.write(signed.join(heads, "row").select(
         F.col("row").alias("cid"), "id", "d1", "d2", "n", "prefix", "point"), "points")
+    staged.drop(signed)
 
     # blocks: shingles shown by several classes; equal sets of classes count once
-    shown = points.select("cid", F.explode("prefix").alias("block"))
-    h = F.xxhash64("cid")
-    blocks = (shown.groupBy("block").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("x"),
-        F.sum(F.shiftright(F.xxhash64("cid", F.lit(1)), 24)).alias("s")).filter(F.col("m") > 1)
-        .groupBy("m", "x", "s").agg(F.min("block").alias("block")).select("block"))
+    shown = points.select("cid", "n", F.explode("prefix").alias("block"))
+    shared = small_side(staged.write(
+        shown.groupBy("block").count().filter(F.col("count") > 1).select("block"), "shared"))
+    shown = staged.write(shown.join(shared, "block"), "shown")
+    same = (F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+            F.sum(F.shiftright(F.xxhash64("cid", F.lit(1)), 24)).alias("s"))
+    blocks = small_side(staged.write(
+        shown.groupBy("block").agg(*same).groupBy("m", "x", "s")
+        .agg(F.min("block").alias("block")).select("block"), "blocks"))
     # neighbouring size bands: sizes of linked sets differ by less than one band's factor
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9)))
-    member = (shown.join(blocks, "block").join(points.select("cid", "n"), "cid")
-              .withColumn("own", band)
+    member = (shown.join(blocks, "block").withColumn("own", band)
               .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))))
     member = staged.write(member.select("block", "band", "own", "cid"), "members")
     cells = (member.groupBy("block", "band")
-             .agg(F.count(F.lit(1)).alias("m"),
-                  F.count(F.when(F.col("own") == F.col("band"), 1)).alias("m_own"))
-             .filter((F.col("m") > 1) & (F.col("m_own") > 0))
+             .agg(*same, F.max(F.col("own") == F.col("band")).alias("has_own"))
+             .filter((F.col("m") > 1) & F.col("has_own"))
+             .groupBy("band", "m", "x", "s").agg(F.min("block").alias("block"))
              .select("block", "band", F.ceil(F.col("m") / TILE_POINTS).alias("parts")))
     tiled = tiles(member.join(cells, ["block", "band"]), "parts", "cid")
     tiled = (tiled.join(points.select("cid", "point"), "cid")
@@ -316,9 +332,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def may_link(table):
         cid = table.column(4).to_numpy()
-        pts = np.frombuffer(b"".join(table.column(5).to_pylist()), "<i4") \
-            .reshape(-1, GROUPS).astype(np.int64)
-        tree = RTree(pts, num, den)
+        tree = RTree(points_of(table.column(5).to_pylist()), num, den)
         return [(int(min(cid[a], cid[b])), int(max(cid[a], cid[b])))
                 for a, b in spanning_links(len(cid), tree.query)]
 
@@ -378,7 +392,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = ids.join(least, "root").select("d1", "d2", "component_id")
-    empty = signed.filter(F.col("n") == 0).select("id", "n", F.col("id").alias("component_id"))
+    empty = documents.filter(F.col("n") == 0).select("id", "n", F.col("id").alias("component_id"))
     return (filled.select("id", "n", "d1", "d2").join(found, ["d1", "d2"])
             .select("id", "n", "component_id").unionByName(empty)
             .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id"))

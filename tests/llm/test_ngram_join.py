@@ -128,7 +128,7 @@ def test_tree_bound_loses_no_link_and_prunes():
     rows = corpus(4)
     shingler = N.Shingler(3)
     sets = [s for s in shingler([(t or "").encode() for _, t in rows]) if len(s)]
-    points = np.array([np.frombuffer(N.signature(s, 90, 100)[3], "<i4") for s in sets], np.int64)
+    points = N.points_of([N.signature(s, 90, 100)[3] for s in sets])
     tree, index = N.RTree(points, 90, 100), N.SetIndex(sets, 90, 100)
     plain = [set(s.tolist()) for s in sets]
     asked = 0
