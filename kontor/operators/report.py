@@ -141,30 +141,47 @@ def _with_balance(df: DataFrame) -> DataFrame:
                      & F.col("date").isNotNull())
 
 
+def _last_balance(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Balance of the last movement in ledger order (date, src_file, src_row) per key.
+
+    First per key and file, by time and row packed into one number (a fixed-width
+    order that Spark aggregates by hashing, without sorting the ledger), then
+    over the files.
+    """
+    day = F.unix_date(F.to_date("date")).cast("decimal(38,0)")
+    seconds = F.hour("date") * 3600 + F.minute("date") * 60
+    micros = (F.date_format("date", "ssSSSSSS").cast("long") + seconds.cast("long") * 1_000_000)
+    # 86,400,000,000 microseconds a day; rows take the last 19 digits
+    time = (day * F.lit(86_400_000_000) + micros).cast("decimal(19,0)")
+    packed = (time * F.lit("1" + "0" * 19).cast("decimal(20,0)")
+              + F.coalesce("src_row", F.lit(0))).cast("decimal(38,0)")
+    per_file = (_with_balance(df).groupBy(*[c.alias(k) for k, c in keys.items()], "src_file")
+                .agg(F.max_by("balance", packed).alias("balance"), F.max(time).alias("_time"),
+                     F.max(packed).alias("_at")))
+    return per_file.groupBy(*keys).agg(
+        money_out(F.max_by("balance", F.struct("_time", "src_file", "_at"))).alias("balance"))
+
+
 def eod_balance(df: DataFrame) -> DataFrame:
     """F8: balance at the end of each day per account: the last movement of the
     day in ledger order (date, src_file, src_row)."""
-    return (_with_balance(df)
-            .groupBy("bank", day_of("date").alias("date"))
-            .agg(money_out(F.max_by("balance", F.struct("date", "src_file", "src_row")))
-                 .alias("balance")))
+    return _last_balance(df, {"bank": F.col("bank"), "date": day_of("date")})
 
 
 def eod_balance_chart(df: DataFrame) -> DataFrame:
     """the single-account chart's variant.  Rows there are sorted by date
     descending and balance ascending, and the day's *last* row is taken: the
     earliest movement of the day, and of those the highest balance."""
-    return (_with_balance(df)
-            .groupBy("bank", day_of("date").alias("date"))
-            .agg(money_out(F.min_by("balance", F.struct(F.col("date"), -F.col("balance"))))
-                 .alias("balance")))
+    highest = (_with_balance(df).groupBy("bank", day_of("date").alias("day"), "date")
+               .agg(F.max("balance").alias("balance")))
+    return (highest.groupBy("bank", "day")
+            .agg(money_out(F.min_by("balance", "date")).alias("balance"))
+            .withColumnRenamed("day", "date"))
 
 
 def latest_balance(df: DataFrame) -> DataFrame:
     """last known balance per account (all rows, any currency)."""
-    return (_with_balance(df).groupBy("bank")
-            .agg(money_out(F.max_by("balance", F.struct("date", "src_file", "src_row")))
-                 .alias("balance")))
+    return _last_balance(df, {"bank": F.col("bank")})
 
 
 # ------------------------------------------------------------ summary

@@ -2,65 +2,68 @@
 
 ``sum(x) OVER (PARTITION BY bank ORDER BY ...)`` sends every row of a bank to
 one task; with a handful of accounts, one of them can hold a third of the
-ledger.  This is the textbook two-pass scan instead:
+ledger.  This is a scan in levels instead.  The order is cut by keys that
+refine each other (day, second of the day, file and range of rows), so that a
+level has few values under one value of the level above, however many rows:
 
-1. range-partition on (partition keys, order keys): blocks are contiguous
-   slices of the total order and of about equal size, whatever the key skew
-   (the order keys end in a unique row position);
-2. checkpoint, so the block assignment (which comes from sampling) is frozen
-   and survives executor loss;
-3. per block and account, a local running sum (window on (block, account):
-   every window partition is at most one block);
-4. per block and account, the block total; offsets = running sum of earlier
-   block totals per account — a table of at most ``blocks + accounts`` rows;
-5. result = local running sum + offset (equi-join on (block, account)).
+1. sum the rows per finest key (combined on the map side), and these sums per
+   key of every level;
+2. per level, a running sum over the keys under one key of the level above
+   (a day has 86,400 seconds; an account has some ten thousand days);
+3. a row's total is the sum of the levels' totals before its keys, plus a
+   running sum within its finest key.
 
-Money is DECIMAL, so the two-level sum equals the one-window sum exactly.
+Nothing is sampled, written or executed while the plan is built.  Money is
+DECIMAL, so the sum in levels equals the one-window sum exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.plans.joins import join_small
-from kontor.plans.lineage import cut_lineage
 
-
-def running_total(df: DataFrame, partition_by: list[str], order_by: list[str],
-                  value: str, out: str, num_blocks: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, partition_by: list[str], order_by: list[str], value: str,
+                  out: str, levels: list[Column]) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``partition_by`` in ``order_by`` order.
 
     ``order_by`` must be a total order within each partition (end it in a
-    unique row position), as for any deterministic running total.
+    unique row position), as for any deterministic running total.  ``levels``
+    are keys from coarse to fine: ordering by them and then by ``order_by``
+    must be the same as ordering by ``order_by``.
     """
-    spark = df.sparkSession
-    n = num_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*partition_by, *order_by]
     value_type = df.schema[value].dataType
+    n = len(levels)
+    keys = ["_p", *[f"_l{i}" for i in range(n)]]
+    rows = df.select("*", F.struct(*partition_by).alias("_p"),
+                     *[F.struct(c).alias(f"_l{i}") for i, c in enumerate(levels)])
 
-    blocked = cut_lineage(
-        df.repartitionByRange(n, *keys).withColumn("_blk", F.spark_partition_id()))
+    totals = rows.groupBy(*keys).agg(F.sum(value).alias("_s"))
+    offsets = None
+    for i in range(n - 1, -1, -1):
+        own, above = keys[:i + 2], keys[:i + 1]
+        level = totals if i == n - 1 else totals.groupBy(*own).agg(F.sum("_s").alias("_s"))
+        before = (Window.partitionBy(*above).orderBy(own[-1])
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        level = level.select(*own, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+        if offsets is None:
+            offsets = level.withColumnRenamed("_b", "_offset")
+        else:
+            offsets = (_join(offsets, level, own)
+                       .withColumn("_offset", F.col("_offset") + F.col("_b")).drop("_b"))
 
-    in_block = (Window.partitionBy("_blk", *partition_by).orderBy(*order_by)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = blocked.withColumn("_local", F.sum(value).over(in_block))
+    inside = (Window.partitionBy(*keys).orderBy(*order_by)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = rows.withColumn("_local", F.sum(value).over(inside))
+    return _join(local, offsets, keys).select(
+        *df.columns, (F.col("_offset") + F.col("_local")).cast(value_type).alias(out))
 
-    totals = blocked.groupBy("_blk", *partition_by).agg(F.sum(value).alias("_blk_sum"))
-    earlier = (Window.partitionBy(*partition_by).orderBy("_blk")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        "_blk", *partition_by,
-        F.coalesce(F.sum("_blk_sum").over(earlier), F.lit(0)).alias("_offset"))
 
-    # offsets has at most (blocks + accounts) rows; the join is null-safe on
-    # the account so rows with a null account keep their (per-null) total
-    off = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in ["_blk", *partition_by]],
-                         "_offset")
-    cond = F.col("_blk") == F.col("_o__blk")
-    for c in partition_by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    joined = join_small(local, off, cond, "inner")
-    return (joined
-            .withColumn(out, (F.col("_local") + F.col("_offset")).cast(value_type))
-            .drop("_blk", "_local", "_offset", *[f"_o_{c}" for c in ["_blk", *partition_by]]))
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Null-safe equi-join on ``keys`` (rows without an account or date keep their totals)."""
+    named = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
+    cond = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        cond = same if cond is None else cond & same
+    return left.join(named, cond).drop(*[f"{k}_r" for k in keys])

@@ -106,16 +106,17 @@ def yearly_roles(cells: Column) -> dict[str, Column]:
 
 
 def _yearly_files(raw: DataFrame) -> DataFrame:
-    """One aggregate per file: the first header-like row in 0..6, its role
-    positions, and the file's width."""
+    """Per file: the first header-like row in 0..6 with its role positions (from those
+    rows only), and the file's width (a plain maximum over all rows)."""
     roles = yearly_roles(F.col("cells"))
-    is_header = (F.col("row_no") < YEARLY_HEADER_ROWS) & functools.reduce(
-        lambda a, b: a & b, [r.isNotNull() for r in roles.values()])
-    return raw.groupBy("path").agg(
-        F.min_by(F.when(is_header, F.struct(*[r.alias(k) for k, r in roles.items()])),
-                 F.when(is_header, F.col("row_no"))).alias("roles"),
-        F.min(F.when(is_header, F.col("row_no"))).alias("header_row"),
-        F.max(F.size("cells")).alias("_width"))
+    is_header = functools.reduce(lambda a, b: a & b, [r.isNotNull() for r in roles.values()])
+    heads = (raw.filter(F.col("row_no") < YEARLY_HEADER_ROWS).filter(is_header)
+             .groupBy("path").agg(
+                 F.min_by(F.struct(*[r.alias(k) for k, r in roles.items()]), "row_no")
+                 .alias("roles"),
+                 F.min("row_no").alias("header_row")))
+    widths = raw.groupBy("path").agg(F.max(F.size("cells")).alias("_width"))
+    return widths.join(heads, "path", "left").select("path", "roles", "header_row", "_width")
 
 
 def parse_yearly(raw: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ long document is spread over many tasks.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +72,13 @@ def statement_meta(lines: DataFrame) -> DataFrame:
         hit = F.col("line").rlike(pattern)
         return F.max_by(F.regexp_extract("line", pattern, 1), F.when(hit, F.col("line_no")))
 
-    m = lines.groupBy("doc").agg(
+    # the patterns stand in a few header lines; only those are aggregated
+    any_hit = functools.reduce(lambda a, b: a | b, [
+        F.col("line").rlike(p) for p in (LAST_STMT_RE, THIS_STMT_RE, OPENING_RE, CLOSING_RE)])
+    found = lines.filter(any_hit).groupBy("doc").agg(
         last(LAST_STMT_RE).alias("_last"), last(THIS_STMT_RE).alias("_this"),
         last(OPENING_RE).alias("_open"), last(CLOSING_RE).alias("_close"))
+    m = lines.select("doc").distinct().join(found, "doc", "left")
     return m.select("doc", _ddmmyyyy(F.col("_last")).alias("last_stmt"),
                     _ddmmyyyy(F.col("_this")).alias("this_stmt"),
                     _money_text(F.col("_open")).alias("opening"),
@@ -95,7 +101,7 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
     """
     lines = lines.select("doc", F.col("line_no").cast("long").alias("line_no"), "line")
     this_hit = F.col("line").rlike(THIS_STMT_RE)
-    info = lines.groupBy("doc").agg(
+    info = lines.filter(this_hit | (F.col("line") == TABLE_TITLE)).groupBy("doc").agg(
         (F.min(F.when(F.col("line") == TABLE_TITLE, F.col("line_no"))) + 1).alias("_start"),
         F.max_by(F.regexp_extract("line", THIS_STMT_RE, 1), F.when(this_hit, F.col("line_no")))
         .alias("_this"))

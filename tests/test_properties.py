@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kontor.operators import forecast, identity, overrides, report
 from kontor.operators.categorize import RewriteRule, categorize, sequential_rewrite
+from kontor.operators.balance import ledger_levels
 from kontor.plans.prefix import running_total
 from kontor.registry import ledger
 from kontor.sources import statements
@@ -31,8 +32,9 @@ def test_running_total_blocks_equal_one_window(spark):
     w = (Window.partitionBy("bank").orderBy("date", "src_file", "src_row")
          .rowsBetween(Window.unboundedPreceding, 0))
     ref = mv.withColumn("b", F.sum("amount").over(w))
-    for blocks in (1, 3, 7):
-        got = running_total(mv, ["bank"], ["date", "src_file", "src_row"], "amount", "b", blocks)
+    for size in (1, 100, 1 << 20):
+        got = running_total(mv, ["bank"], ["date", "src_file", "src_row"], "amount", "b",
+                            ledger_levels(size))
         assert _rows(got, ["src_row", "b"]) == _rows(ref, ["src_row", "b"])
 
 
@@ -194,20 +196,18 @@ def test_statement_scan_matches_loop(spark, seed):
         assert got == sorted(expected)
 
 
-def test_hot_account_is_split_into_balanced_blocks(spark):
-    """90% of the rows in one account: the range blocks stay balanced and the
-    running total stays exact."""
+def test_hot_account_and_hot_second_are_split(spark):
+    """90% of the rows in one account, and half of those in one second: the sums run over
+    ranges of at most 100 rows and stay exact."""
     from decimal import Decimal
-    rows = [("hot" if i % 10 else f"b{i % 7}", i // 3, i, Decimal(i % 13 - 6))
+    rows = [("hot" if i % 10 else f"b{i % 7}", 0 if i % 2 else i // 3, i, Decimal(i % 13 - 6))
             for i in range(20000)]
     df = (spark.createDataFrame(rows, "bank string, d long, src_row long, amount decimal(18,2)")
           .select("bank", F.timestamp_seconds("d").cast("timestamp_ntz").alias("date"),
                   F.lit("f").alias("src_file"), "src_row", "amount"))
-    keys = ["bank", "date", "src_file", "src_row"]
-    sizes = [r["n"] for r in df.repartitionByRange(8, *keys)
-             .groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
-    assert max(sizes) < 2 * len(rows) / 8                  # the hot account spans blocks
-    got = running_total(df, ["bank"], ["date", "src_file", "src_row"], "amount", "b", 8)
+    levels = ledger_levels(100)
+    assert df.groupBy("bank", *levels).count().agg(F.max("count")).first()[0] <= 100
+    got = running_total(df, ["bank"], ["date", "src_file", "src_row"], "amount", "b", levels)
     want, acc = {}, {}
     for bank, d, sr, amt in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         acc[bank] = acc.get(bank, Decimal(0)) + amt
@@ -215,9 +215,18 @@ def test_hot_account_is_split_into_balanced_blocks(spark):
     assert {r.src_row: r.b for r in got.select("src_row", "b").collect()} == want
 
 
+def test_running_total_starts_no_job(spark):
+    """Building the plan runs nothing and writes nothing."""
+    from kontor.operators.balance import running_balance
+    movements = ledger(spark, SMALL, with_balance=False).drop("balance")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    running_balance(movements)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)
+
+
 def test_running_total_keeps_rows_without_account(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)],
                                "bank string, src_row long, amount double")
-    got = running_total(df, ["bank"], ["src_row"], "amount", "b", 2)
+    got = running_total(df, ["bank"], ["src_row"], "amount", "b", [F.col("src_row") % 2 * 0])
     assert sorted((r.bank or "", r.src_row, r.b) for r in got.collect()) == \
         [("", 1, 1.0), ("", 2, 3.0), ("a", 1, 5.0)]

@@ -142,3 +142,32 @@ def test_float_text_is_pythons_repr(spark):
         "x", F.col("t").cast("double").cast("decimal(38,10)"))
     for r in df.select("t", "x", py_float_text("x").alias("s")).collect():
         assert r["s"] == repr(float(r["x"])), r
+
+
+def test_last_balance_follows_time_then_file_then_row(spark):
+    from kontor.operators import report
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), f"2024-01-0{rng.randrange(1, 4)} {rng.choice(['00:00:00', '23:59:59', '07:08:09.000001', '07:08:09'])}",
+             rng.choice(["f1", "f2", None]), i, float(i)) for i in range(300)]
+    rows += [("old", "1901-02-03 04:05:06", "f", 2 ** 62, 1.0), ("old", "1901-02-03 04:05:06", "f", 5, 2.0)]
+    df = spark.createDataFrame(rows, "bank string, d string, src_file string, src_row long, x double").select(
+        "bank", F.to_timestamp_ntz("d").alias("date"), "src_file", "src_row",
+        F.col("x").cast("decimal(38,10)").alias("balance"))
+    best = {}
+    for r in df.collect():
+        at = (r["date"], r["src_file"] is not None, r["src_file"] or "", r["src_row"])
+        for key in ((r["bank"], r["date"].date()), (r["bank"], None)):
+            best[key] = max(best.get(key, (at, None)), (at, float(r["balance"])), key=lambda v: (v[0], v[1] is not None))
+    got = {(r["bank"], r["date"]): r["balance"] for r in report.eod_balance(df).collect()}
+    got |= {(r["bank"], None): r["balance"] for r in report.latest_balance(df).collect()}
+    assert got == {k: v for k, (_, v) in best.items()}
+
+
+def test_balance_reports_sort_no_ledger(spark):
+    from kontor.operators import report
+    df = movements(spark, [("a", "2024-01-02", "x", "1")]).withColumn("balance", F.col("amount"))
+    for q in (report.eod_balance(df), report.eod_balance_chart(df), report.latest_balance(df)):
+        plan = q._jdf.queryExecution().sparkPlan().toString()
+        first = plan[plan.rindex("Aggregate("):] if "Aggregate(" in plan else plan
+        assert "max_by" in plan or "min_by" in plan
+        assert "SortAggregate" not in plan[plan.rindex("HashAggregate"):], first
