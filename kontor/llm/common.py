@@ -136,7 +136,10 @@ class WordHasher:
 
     PIECE = 1 << 20          # bytes hashed in one pass; a piece ends between words
 
-    def __init__(self, separators: bytes):
+    LEAD = 5                 # bytes of a word's beginning
+
+    def __init__(self, separators: bytes, leads: bool = False):
+        self.leads = leads
         rng = np.random.default_rng(64)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.value[65:91] = self.value[97:123]
@@ -154,28 +157,35 @@ class WordHasher:
             self.inverse = np.concatenate([np.ones(1, np.uint64),
                                            np.cumprod(steps, dtype=np.uint64)])
 
-    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, lengths and starts of the words of one array of bytes."""
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hashes, lengths, hashes of the first LEAD bytes, and starts of the words of one
+        array of bytes."""
         self._reach(len(data) + 1)
         inside = np.concatenate([[False], ~self.apart[data], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
             self.value[data] * self.power[:len(data)], dtype=np.uint64)])
-        h = (sums[ends] - sums[starts]) * self.inverse[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        length = ends - starts
+        lead = (self._hash(sums, starts, np.minimum(length, self.LEAD)) if self.leads
+                else np.empty(len(starts), np.uint64))
+        return self._hash(sums, starts, length), length, lead, starts
+
+    def _hash(self, sums: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        h = (sums[starts + length] - sums[starts]) * self.inverse[starts]
+        h ^= length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xFF51AFD7ED558CCD)):
             h ^= h >> np.uint64(shift)
             h *= np.uint64(factor)
-        return h ^ (h >> np.uint64(32)), ends - starts, starts
+        return h ^ (h >> np.uint64(32))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """One array of word hashes per text."""
-        return [h for h, _ in self.with_lengths(texts)]
+        return [h for h, _, _ in self.parts(texts)]
 
-    def with_lengths(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Word hashes and lengths in bytes, per text."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+    def parts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Word hashes, lengths in bytes, and hashes of the first bytes, per text."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held: list[bytes] = []
         size = 0
 
@@ -184,10 +194,10 @@ class WordHasher:
             if held:
                 gap = bytes([int(np.flatnonzero(self.apart)[0])])
                 data = np.frombuffer(gap.join(held), np.uint8)
-                h, length, starts = self._piece(data)
+                *columns, starts = self._piece(data)
                 begins = np.cumsum([0, *[len(t) + 1 for t in held[:-1]]])
                 cut = np.searchsorted(starts, begins[1:])
-                out.extend(zip(np.split(h, cut), np.split(length, cut)))
+                out.extend(zip(*[np.split(c, cut) for c in columns]))
             held, size = [], 0
 
         for t in texts:
@@ -201,7 +211,7 @@ class WordHasher:
         flush()
         return out
 
-    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
         """A text beyond one piece: cut at separators (a longer word stays whole)."""
         cuts = np.flatnonzero(self.apart[data])
         parts, at = [], 0
@@ -212,6 +222,6 @@ class WordHasher:
             end = int(cuts[i]) + 1 if i < len(cuts) else len(data)
             if len(data) - at <= self.PIECE:
                 end = len(data)
-            parts.append(self._piece(data[at:end])[:2])
+            parts.append(self._piece(data[at:end])[:3])
             at = end
         return tuple(np.concatenate(x) for x in zip(*parts))

@@ -58,7 +58,7 @@ class Shingler:
         self.k, self.words = k, WordHasher(b" \t\n\x0b\x0c\r")
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [self._set(h, n) for h, n in self.words.with_lengths(texts)]
+        return [self._set(h, n) for h, n, _ in self.words.parts(texts)]
 
     def _set(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
         if not len(h):
