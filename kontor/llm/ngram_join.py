@@ -2,7 +2,7 @@
 
 A document's set are its distinct word shingles (64-bit hashes).  Documents
 with equal sets form a class; only classes are compared.  The shingles of a
-set are hashed into ``GROUPS`` groups, and the counts per group are a point.
+set are hashed into groups (more for long sets), and the counts per group are a point.
 Two sets share at most the sum of the coordinate minima of their points, so a
 pair whose sum is too small for the wanted similarity cannot link.
 
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from kontor.llm.common import Staged, WordHasher, annotate, slices, text_bytes
 from kontor.llm.components import components, small_side
 
-GROUPS = 256
+#: Groups of the count vectors, and of those of sets of FINE_SHINGLES or more: long sets
+#: of common words differ by chance in more groups.  The first divides the second.
+GROUPS, FINE_GROUPS, FINE_SHINGLES = 256, 1024, 2048
 LEAF, FANOUT = 32, 8
 #: Points in a tile of a block; sets and shingles in a tile of a component.
 TILE_POINTS = 2048
@@ -84,15 +86,19 @@ def signature(s: np.ndarray, num: int, den: int) -> tuple[int, int, np.ndarray,
     """Two halves of a digest of the set, its prefix, its point."""
     d = xxhash.xxh3_128_digest(s.tobytes())
     first, second = np.frombuffer(d, np.int64).tolist()
-    point = np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    groups = GROUPS if len(s) < FINE_SHINGLES else FINE_GROUPS
+    point = np.bincount((s >> np.uint64(7)).astype(np.int64) % groups, minlength=groups)
     return (first, second, s[:prefix_length(len(s), num, den)].view(np.int64),
             point.astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes())
 
 
 def points_of(packed: list[bytes]) -> np.ndarray:
-    """Points as rows of an array; longer sets have wider counts."""
-    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * GROUPS else "<u4").astype(np.int32)
-                     for p in packed])
+    """Points as rows of an array, in fine groups if all of them have these."""
+    points = [np.frombuffer(p, "<u4" if len(p) == 4 * FINE_GROUPS else "<u2").astype(np.int32)
+              for p in packed]
+    if len({len(p) for p in points}) > 1:       # a group is the sum of its fine groups
+        points = [p.reshape(-1, GROUPS).sum(0) for p in points]
+    return np.stack(points)
 
 
 # ------------------------------------------------------------ inside one task

@@ -90,5 +90,43 @@ QUERIES = {f.__name__: f for f in (
     op6_license_automata, op7_ngram_jaccard, op8_chunk_fingerprints, op9_lattice_near_dups,
     op10_host_words, pipeline)}
 
+_COMPONENTS = """
+reach(id, root) AS (
+  SELECT id, id FROM nodes
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+least AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
 #: DuckDB SQL where SQL can express an operator.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_ngram_jaccard": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1),
+                                      lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb
+  FROM items x JOIN items y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM pairs WHERE 100 * c >= 90 * (na + nb - c)),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+nodes AS (SELECT doc_id AS id FROM documents),""" + _COMPONENTS + """
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.root AS component_id
+FROM sets s JOIN least l ON l.id = s.doc_id""",
+    "op9_lattice_near_dups": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
+linked AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y
+  ON x.label = y.label AND x.vec_id < y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.98),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+nodes AS (SELECT vec_id AS id FROM embeddings),""" + _COMPONENTS + """
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.root AS component_id, e.vec_id = l.root AS kept
+FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id""",
+}

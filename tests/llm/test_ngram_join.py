@@ -174,3 +174,14 @@ def test_components_of_chains_stars_and_cycles(spark):
     for x, r in zip(nodes, want):
         least.setdefault(r, x)
     assert got == {x: least[r] for x, r in zip(nodes, want)}
+
+
+def test_points_of_short_and_long_sets_compare():
+    rng = np.random.default_rng(7)
+    a = np.unique(rng.integers(0, 1 << 63, N.FINE_SHINGLES + 50, dtype=np.uint64))
+    for size in (N.FINE_SHINGLES - 1, N.FINE_SHINGLES, 70_000):
+        b = np.unique(np.concatenate([a[:size], rng.integers(0, 1 << 63, max(0, size - len(a)),
+                                                             dtype=np.uint64)]))
+        points = N.points_of([N.signature(s, 80, 100)[3] for s in (a, b)])
+        assert points.sum(1).tolist() == [len(a), len(b)]
+        assert np.minimum(*points).sum() >= len(np.intersect1d(a, b))
