@@ -167,9 +167,15 @@ def merge_overrides(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.select("tx_id", "category"))
 
 
+def _with_removals(log: DataFrame) -> DataFrame:
+    return log if "deleted" in log.columns else log.withColumn("deleted", F.lit(False))
+
+
 def overrides_as_of(log: DataFrame, version: int) -> DataFrame:
     """The overrides in force at ``version`` (undo = an earlier version; redo = a
-    later one): each id's latest entry up to it, unless that entry removes the id."""
+    later one): each id's latest entry up to it, unless that entry removes the id.
+    A log without the column ``deleted`` has no removals."""
+    log = _with_removals(log)
     latest = (log.filter(F.col("version") <= F.lit(version))
               .groupBy("tx_id").agg(F.max("version").alias("version")))
     return (log.join(latest, ["tx_id", "version"]).filter(~F.col("deleted"))
@@ -204,6 +210,7 @@ def retain_versions(log: DataFrame, keep: int = SNAPSHOTS_KEPT) -> DataFrame:
     folded one.  The lowest kept version is one value (a top-k of the version
     list); the entries themselves are filtered and aggregated, never gathered.
     """
+    log = _with_removals(log)
     newest = log.select("version").distinct().orderBy(F.desc("version")).limit(keep)
     first = newest.agg(F.min("version").alias("v")).first()["v"]
     if first is None:
