@@ -4,11 +4,14 @@ Three fixed patterns find the base spans.  Their matches are credentials with a
 label (the kind), and a bounded sample of them trains one probabilistic
 automaton per kind: the credentials go into a prefix tree whose states are
 merged where their outgoing frequencies agree within a Hoeffding bound
-(state merging in the style of ALERGIA).  A further automaton is learned from
-candidates that hold no base match.  Every candidate of every text, a run of
+(state merging in the style of ALERGIA).  A further automaton, the background,
+is learned from word-like runs: pieces of letters (of one case, or with a
+capital first) or of digits.  Every candidate of every text, a run of
 credential characters, is then scored by its log-likelihood per symbol under
-the best format against the background; runs above a threshold calibrated on
-the sample are added as spans of kind ``format``.
+the best format against the background; runs above a threshold taken from
+labelled credentials and word-like runs held out are added as spans of kind
+``format``.  Candidates of unknown kind neither train nor set the threshold, so
+however many of them are credentials, they do not raise it.
 
 Null and empty texts have no spans.  Equal texts get equal spans.  Without any
 base match in the table nothing is learned and only base spans (none) come
@@ -40,6 +43,8 @@ KINDS = ("assign", "access", "hex", "format")
 CANDIDATE_LEAST = 16
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(rb"[0-9]")
+_PIECE = rb"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
+_WORD_LIKE = re.compile(rb"[+/_=-]*" + _PIECE + rb"(?:[+/_=-]+" + _PIECE + rb")*[+/_=-]*")
 
 # Symbols of the automata: one per character class, other characters as they are.
 _CLASSES = {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF",
@@ -87,6 +92,18 @@ def candidates(runs: list[tuple[int, bytes]],
     return out
 
 
+def ordinary_runs(runs: list[tuple[int, bytes]],
+                  base: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+    """Word-like runs as long as candidates that touch no base span, in bytes."""
+    out = []
+    for at, run in runs:
+        for m in _RUN.finditer(run):
+            s, e = at + m.start(), at + m.end()
+            if _WORD_LIKE.fullmatch(m.group()) and not any(s < y and x < e for _, x, y, _ in base):
+                out.append((s, e))
+    return out
+
+
 # ------------------------------------------------------------ grammar inference
 class _Tree:
     """Prefix tree with counts; states are list indices."""
@@ -216,7 +233,7 @@ class Grammar:
 
 def fit(credentials: dict[str, list[bytes]], ordinary: list[bytes],
         alpha: float = 0.05) -> Grammar:
-    """Learn from labelled credentials and from ordinary runs (raw bytes).
+    """Learn from labelled credentials and from runs known as ordinary (raw bytes).
 
     Four of five strings train the automata.  The rest set the threshold: the
     larger of the 5 % quantile of the credentials' scores and the 99.5 %
@@ -238,7 +255,7 @@ def fit(credentials: dict[str, list[bytes]], ordinary: list[bytes],
         if good:
             marks.append(good[int(0.05 * (len(good) - 1))])
         if bad:
-            marks.append(bad[math.ceil(0.995 * (len(bad) - 1))] + 1e-9)
+            marks.append(bad[int(0.995 * (len(bad) - 1))] + 1e-9)
         grammar.threshold = max(marks)
     return grammar
 
@@ -254,7 +271,7 @@ def _samples(docs: DataFrame, text: str) -> DataFrame:
                     runs = long_runs(t)
                     base = base_spans(t, runs)
                     got.update((k, t[v:e]) for k, _, e, v in base)
-                    got.update(("", t[s:e]) for s, e in candidates(runs, base))
+                    got.update(("", t[s:e]) for s, e in ordinary_runs(runs, base))
             kinds, values = zip(*sorted(got)) if got else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.string()), pa.array(values, pa.binary())], ["kind", "value"])
@@ -263,8 +280,8 @@ def _samples(docs: DataFrame, text: str) -> DataFrame:
 
 
 def learn_grammar(docs: DataFrame, text: str = "text", per_kind: int = 400) -> Grammar:
-    """Grammar from at most ``per_kind`` distinct values of each kind (and as many
-    ordinary runs), those with the smallest hashes, from all texts."""
+    """Grammar from at most ``per_kind`` distinct values of each kind (and four times as
+    many word-like runs), those with the smallest hashes, from all texts."""
     staged = Staged(docs.sparkSession, "secrets")
     seen = staged.write(_samples(docs, text), "seen")
     credentials: dict[str, list[bytes]] = {}
@@ -272,10 +289,10 @@ def learn_grammar(docs: DataFrame, text: str = "text", per_kind: int = 400) -> G
     for kind in (*KINDS[:3], ""):
         part = (seen.filter(F.col("kind") == kind)
                 .groupBy(F.xxhash64("value").alias("h"), "value").agg(F.lit(1).alias("one"))
-                .orderBy("h", "value").limit(per_kind)
+                .orderBy("h", "value").limit(per_kind if kind else 4 * per_kind)
                 .select(F.lit(kind).alias("kind"), "value"))
         wanted = part if wanted is None else wanted.unionByName(part)
-    for kind, value in wanted.collect():          # at most 4 * per_kind short values
+    for kind, value in wanted.collect():          # at most 7 * per_kind values
         credentials.setdefault(kind, []).append(bytes(value))
     staged.drop(seen)
     ordinary = credentials.pop("", [])

@@ -61,6 +61,21 @@ def test_grammar_finds_unlabelled_credentials_and_leaves_numbers():
     assert sum(found) > 180 and sum(clean) < 10
 
 
+def test_unlabelled_credentials_do_not_set_the_mark(spark):
+    """A third of the runs with a digit are credentials without a label."""
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    labelled = [f"token={key(40)}" for _ in range(300)]
+    hidden = [f"see {key(20)} here" for _ in range(300)]
+    numbers = [f"see {rng.randrange(10 ** 15, 10 ** 16)} here" for _ in range(400)]
+    names = ["see " + "/".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+                               for _ in range(3)) + f"/{i} here" for i in range(200)]
+    scan = S.make_scanner(S.learn_grammar(frame(spark, labelled + hidden + numbers + names)))
+    found = scan([t.encode() for t in hidden])["n_format"]
+    clean = scan([t.encode() for t in numbers + names])["n_format"]
+    assert sum(found) > 240 and sum(clean) < 12
+
+
 def test_state_merging_learns_a_loop_and_a_sequence():
     loop = S.infer([b"0" * n for n in range(1, 60)] * 5)
     assert len(loop["end"]) <= 3
