@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from kontor.llm.common import annotate, slices
 
-LEAST, WANTED, MOST = 32, 128, 512
-STRICT_BITS, LOOSE_BITS = 9, 5
+# Fine enough that texts of a few words have several chunks; LEAST is the reach of the hash.
+LEAST, WANTED, MOST = 16, 24, 64
+STRICT_BITS, LOOSE_BITS = 5, 2
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Documents in a block of neighbours, on average, and the most blocks.
 BLOCK_ROWS = 1000

@@ -48,6 +48,17 @@ def test_insertion_moves_chunks_along():
     assert P.likeness(a, P.chunk_sets([words(3000).encode()])[0]) < 0.05
 
 
+def test_short_texts_that_keep_half_are_alike(spark):
+    rows = [(i, " ".join(words(1) for _ in range(10 + i % 51))) for i in range(306)]
+    got = [r for r in run(spark, rows)]
+    near = {r[0]: r[5] for r in got}
+    for least, most, zeros, mean in ((10, 20, 0.3, 0.2), (20, 40, 0.02, 0.35), (40, 61, 0, 0.4)):
+        some = [near[i] for i in near if least <= 10 + i % 51 < most]
+        assert sum(x == 0 for x in some) <= zeros * len(some)
+        assert sum(some) / len(some) > mean
+    assert sum(r[6] for r in got) / len(got) < 0.01
+
+
 def test_likeness_edges():
     a = {1: 10, 2: 30}
     assert P.likeness(a, {2: 30, 3: 5}) == 0.75
