@@ -1,9 +1,10 @@
 """JSON list and map files: the category vocabulary (A18) and the overrides.
 
-The original keeps each as one JSON document.  Reading such a document is
-one task per file (``wholetext``); that is the compatible form.  The form
-for large override sets is a JSON-lines (or parquet) table of
-``(tx_id, category)`` rows, written and read in parallel.
+The original keeps each as one JSON document.  The vocabulary is small and
+read and written as one value.  The overrides' document has an entry a line,
+in sorted parts, and is read by lines; a document on one line is one row.
+Their other form is a JSON-lines (or parquet) table of ``(tx_id, category)``
+rows, also written and read in parallel.
 """
 
 from __future__ import annotations
@@ -41,20 +42,41 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
 
 
 def write_overrides_document(overrides: DataFrame, path: str) -> None:
-    """A19 (compatible form): one JSON object ``{tx_id: category}``, ids sorted; one value,
-    as ``write_vocabulary``.  ``write_overrides_table`` is the form for many."""
-    entries = F.sort_array(F.collect_list(F.struct("tx_id", "category")))
-    _one_value(overrides.select(F.to_json(F.map_from_entries(entries),
-                                          {"ignoreNullFields": "false"}).alias("value")), path)
+    """A19 (compatible form): one JSON object ``{tx_id: category}``, ids sorted, an entry a
+    line.  Its parts, one after the other, are the document; written in parallel.  Repeated
+    or null ids are an error."""
+    spark = overrides.sparkSession
+    rows = overrides.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"),
+                                          F.max("category").alias("category"))
+    ends = overrides.agg(F.min("tx_id").alias("first"), F.max("tx_id").alias("last"),
+                         F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        _one_value(spark.createDataFrame([("{}",)], "value string"), path)
+        return
+    entry = F.to_json(F.create_map(F.col("tx_id"), F.col("category")),
+                      {"ignoreNullFields": "false"})
+    wrong = F.col("tx_id").isNull() | (F.col("n") > 1)
+    value = F.when(wrong, F.raise_error(F.concat(
+        F.lit("null or repeated override id: "), F.coalesce("tx_id", F.lit("null"))))
+        .cast("string")).otherwise(F.concat(
+            F.when(F.col("tx_id") == F.lit(ends["first"]), "{").otherwise(""),
+            F.expr("substring(entry, 2, length(entry) - 2)"),
+            F.when(F.col("tx_id") == F.lit(ends["last"]), "}").otherwise(",")))
+    (rows.orderBy("tx_id").withColumn("entry", F.when(~wrong, entry))
+     .select(value.alias("value")).write.mode("overwrite").text(path))
 
 
 def read_overrides_document(spark: SparkSession, path: str) -> DataFrame:
-    """A19 (compatible form): one JSON object ``{tx_id: category}``; ``{}`` if absent."""
+    """A19 (compatible form): one JSON object ``{tx_id: category}``; ``{}`` if absent.  Read
+    by lines that hold whole entries, as ``write_overrides_document`` and ``json.dump`` (with
+    or without indent) write them; a line that does not is an error."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "tx_id string, category string")
-    doc = spark.read.text(path, wholetext=True)
-    return doc.select(F.explode(F.from_json("value", "map<string,string>"))
-                      .alias("tx_id", "category"))
+    line = F.regexp_replace("value", r"^\s*\{?\s*|\s*[,}]?\s*$", "")
+    entries = F.from_json(F.concat(F.lit("{"), line, F.lit("}")), "map<string,string>",
+                          {"mode": "FAILFAST"})
+    return (spark.read.text(path).filter(F.length(line) > 0)
+            .select(F.explode(entries).alias("tx_id", "category")))
 
 
 def write_overrides_table(overrides: DataFrame, path: str, mode: str = "overwrite") -> None:

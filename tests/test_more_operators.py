@@ -32,6 +32,34 @@ def test_json_documents_round_trip(spark):
     assert text == '["café","other","rent"]'
 
 
+def test_overrides_document_in_parts(spark):
+    import json
+
+    import pytest
+    folder = tempfile.mkdtemp(prefix="kontor-json-")
+    rows = {f'i{i}"\\\n{{}},é': None if i % 50 == 0 else f"c, }}{i % 7}" for i in range(2000)}
+    frame = spark.createDataFrame(list(rows.items()), "tx_id string, category string")
+    out = os.path.join(folder, "many")
+    json_io.write_overrides_document(frame.repartition(5), out)
+    parts = sorted(n for n in os.listdir(out) if n.startswith("part-"))
+    texts = [open(os.path.join(out, n), encoding="utf-8").read() for n in parts]
+    assert len("".join(texts).splitlines()) == len(rows)        # an entry a line, none in one value
+    whole = json.loads("".join(texts))
+    assert whole == rows and list(whole) == sorted(rows)
+    assert dict(json_io.read_overrides_document(spark, out).collect()) == rows
+    for i, indent in enumerate((None, 2)):
+        path = os.path.join(folder, f"dump{i}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(rows, f, indent=indent)
+        assert dict(json_io.read_overrides_document(spark, path).collect()) == rows
+    json_io.write_overrides_document(frame.limit(0), out)
+    assert json_io.read_overrides_document(spark, out).count() == 0
+    for bad in ([("a", "x"), ("a", "y")], [(None, "x"), ("b", "y")]):
+        with pytest.raises(Exception):
+            json_io.write_overrides_document(
+                spark.createDataFrame(bad, "tx_id string, category string"), out)
+
+
 def test_inventory_and_extension_filter(spark):
     inv = [(r.name, r.size_kb) for r in files.file_inventory(spark, SMALL, "*.parquet").collect()]
     brute = sorted((n, os.path.getsize(os.path.join(SMALL, n)) / 1024.0)
