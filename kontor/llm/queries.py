@@ -74,9 +74,8 @@ def op9_lattice_near_dups(spark, d):
 def op10_host_words(spark, d):
     """Rule or verdict for every page's URL."""
     pages = read_table(spark, d, "pages").select("page_id", "url", "html")
-    segmenter = hosts.learn_segmenter(pages)
-    return hosts.judge_urls(pages.select("page_id", "url"), segmenter=segmenter,
-                            bayes=hosts.learn_bayes(pages, segmenter)).drop("url")
+    return hosts.judge_urls(pages.select("page_id", "url"),
+                            words=hosts.learn_words(pages)).drop("url")
 
 
 def pipeline(spark, d):

@@ -77,6 +77,34 @@ def test_counts_are_those_of_the_pages(spark):
     assert got["pills"] == 2 and "zz" not in got and "html" not in got and got["the"] == 4
 
 
+def test_rare_and_long_words_count(spark):
+    """60,000 words more frequent than those of the names, and one of 26 letters."""
+    many = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjkmn", repeat=5), 60_000)]
+    long = "abcdefghijklmnopqrstuvwxyz"
+    page = "<p>" + " ".join(many * 2 + ["zebra", "quilt", long])
+    rows = [(1, "http://zebraquilt.org/x", page), (2, f"http://quilt{long}zebra.org/fr/a1", None),
+            (3, "http://zebra.net/1", ""), (4, "http://zebra.net/1", "")]
+    words = {**{w: 2 for w in many}, "zebra": 1, "quilt": 1, long: 1}
+    for seeds in H.SEED_WORDS.values():
+        words.update({w: 1 for w in seeds.split()})
+    seg = H.Segmenter(words)
+    counts, urls = {}, [0, 0]
+    for _, url, _ in rows:
+        rule = H.rule_for(*H.split_url(url))
+        if rule:
+            side = rule[1] == "allow"
+            urls[side] += 1
+            for t in H.url_tokens(*H.split_url(url), seg):
+                counts.setdefault(t, [0, 0])[side] += 1
+    model = H.Bayes(counts, urls)
+    got = {r["page_id"]: r for r in H.judge_urls(pages(spark, rows)).collect()}
+    for i, url, _ in rows:
+        tokens = H.url_tokens(*H.split_url(url), seg)
+        assert got[i]["words"] == " ".join(tokens)
+        assert math.isclose(got[i]["score"], model.score(tokens))
+    assert got[1]["words"] == "zebra quilt x" and got[2]["words"] == f"quilt {long} zebra fr a1"
+
+
 def test_empty_table(spark):
     assert H.judge_urls(pages(spark, [])).count() == 0
 
