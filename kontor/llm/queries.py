@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kontor.llm import (fingerprints, hosts, lattice, licenses, mixing, ngram_join, packing,
-                        secrets, token_files, toxicity)
+                        secrets, sharding, token_files, toxicity)
 from kontor.sources.tables import read_table
 
 
@@ -78,6 +78,13 @@ def op10_host_words(spark, d):
                             words=hosts.learn_words(pages)).drop("url")
 
 
+def op11_minimax_shards(spark, d):
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    placed = sharding.assign_shards(read_table(spark, d, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark, d):
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -87,7 +94,7 @@ def pipeline(spark, d):
 QUERIES = {f.__name__: f for f in (
     op1_secret_grammar, op2_token_files, op3_fair_mix, op4_toxicity_cnn, op5_best_fit_packing,
     op6_license_automata, op7_ngram_jaccard, op8_chunk_fingerprints, op9_lattice_near_dups,
-    op10_host_words, pipeline)}
+    op10_host_words, op11_minimax_shards, pipeline)}
 
 _COMPONENTS = """
 reach(id, root) AS (
