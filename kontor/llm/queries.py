@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kontor.llm import (fingerprints, hosts, lattice, licenses, mixing, ngram_join, packing,
-                        secrets, sharding, token_files, toxicity)
+                        ranked_search, secrets, sharding, token_files, toxicity)
 from kontor.sources.tables import read_table
 
 
@@ -85,6 +85,12 @@ def op11_minimax_shards(spark, d):
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_ranked_search(spark, d):
+    """The 50 best documents of all for every benchmark item."""
+    return ranked_search.search(read_table(spark, d, "documents").select("doc_id", "text"),
+                                read_table(spark, d, "benchmark").select("item_id", "text"))
+
+
 def pipeline(spark, d):
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -94,7 +100,7 @@ def pipeline(spark, d):
 QUERIES = {f.__name__: f for f in (
     op1_secret_grammar, op2_token_files, op3_fair_mix, op4_toxicity_cnn, op5_best_fit_packing,
     op6_license_automata, op7_ngram_jaccard, op8_chunk_fingerprints, op9_lattice_near_dups,
-    op10_host_words, op11_minimax_shards, pipeline)}
+    op10_host_words, op11_minimax_shards, op12_ranked_search, pipeline)}
 
 _COMPONENTS = """
 reach(id, root) AS (
@@ -124,6 +130,29 @@ links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 nodes AS (SELECT doc_id AS id FROM documents),""" + _COMPONENTS + """
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.root AS component_id
 FROM sets s JOIN least l ON l.id = s.doc_id""",
+    "op12_ranked_search": """
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+factor AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // words) AS m FROM lengths, whole),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, whole GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN factor USING (doc_id)
+  GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER)
+         AS rank, doc_id, score
+FROM scored QUALIFY rank <= 50""",
     "op9_lattice_near_dups": """
 WITH RECURSIVE vectors AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
