@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kontor.llm import (fingerprints, hosts, lattice, licenses, mixing, ngram_join, packing,
+from kontor.llm import (fingerprints, hard_negatives, hosts, lattice, licenses, mixing, ngram_join, packing,
                         ranked_search, secrets, sharding, token_files, toxicity)
 from kontor.sources.tables import read_table
 
@@ -91,6 +91,15 @@ def op12_ranked_search(spark, d):
                                 read_table(spark, d, "benchmark").select("item_id", "text"))
 
 
+def op13_hard_negatives(spark, d):
+    """Hard negatives for every fiftieth embedding, against all rows."""
+    vectors = read_table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    vectors = (vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0,
+                                                  (F.col("label") + 1) % 10).otherwise(F.col("label")))
+               .withColumn("is_anchor", F.col("vec_id") % 50 == 0))
+    return hard_negatives.mine_hard_negatives(vectors, "is_anchor")
+
+
 def pipeline(spark, d):
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -100,7 +109,8 @@ def pipeline(spark, d):
 QUERIES = {f.__name__: f for f in (
     op1_secret_grammar, op2_token_files, op3_fair_mix, op4_toxicity_cnn, op5_best_fit_packing,
     op6_license_automata, op7_ngram_jaccard, op8_chunk_fingerprints, op9_lattice_near_dups,
-    op10_host_words, op11_minimax_shards, op12_ranked_search, pipeline)}
+    op10_host_words, op11_minimax_shards, op12_ranked_search, op13_hard_negatives,
+    pipeline)}
 
 _COMPONENTS = """
 reach(id, root) AS (
@@ -153,6 +163,26 @@ scored AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER)
          AS rank, doc_id, score
 FROM scored QUALIFY rank <= 50""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor, a.label = b.label AS same, b.vec_id AS id,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positive AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same
+ AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3""",
     "op9_lattice_near_dups": """
 WITH RECURSIVE vectors AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
