@@ -7,8 +7,10 @@ data (a list or a small DataFrame), the defaults live in ``fixed_values``.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,10 @@ Rules = list[tuple[list[str], str]]
 # the expression walks through.  Both give the same categories.
 COMPILED_KEYWORDS = 300
 
+# Rewrite rules compiled into the operator that uses the label.  More would exceed what
+# one generated method may hold; they run as a lambda over the distinct labels.
+COMPILED_REWRITES = 24
+
 
 def _any(conditions: list[Column]) -> Column:
     """OR of the conditions as a balanced tree, so its depth stays small."""
@@ -113,28 +119,143 @@ class RewriteRule:
     eq_abs: float | None = None
 
 
-def sequential_rewrite(df: DataFrame, rules: list[RewriteRule], col: str = "concept",
-                       amount_col: str = "amount", out: str | None = None) -> DataFrame:
-    """Apply rules in order; each tests the value left by the previous ones."""
-    amt = F.abs(F.col(amount_col))
+def _is_plain(pattern: str) -> bool:
+    """Whether a regex is a plain substring."""
+    return not set(pattern) & set("\\^$.|?*+()[]{}")
+
+
+def _amount_class(amount: Column, cuts: list[float]) -> Column:
+    """0 for a null amount, else 1 + the place of |amount| among the cuts: below the first,
+    at the first, between the first and the second, and so on."""
+    def search(x: Column, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(2 * low + 1)
+        middle = (low + high) // 2
+        return (F.when(x < F.lit(cuts[middle]), search(x, low, middle))
+                .when(x == F.lit(cuts[middle]), F.lit(2 * middle + 2))
+                .otherwise(search(x, middle + 1, high)))
+
+    # the amount becomes a double once, whatever the number of cuts
+    size = F.array(F.abs(amount).cast("double"))
+    return F.transform(size, lambda x: F.when(x.isNull(), F.lit(0))
+                       .otherwise(search(x, 0, len(cuts))))[0]
 
-    def step(current: Column, r: RewriteRule) -> Column:
+
+def _holds(r: RewriteRule, place: int, cuts: list[float]) -> bool:
+    """Whether the amounts of a class satisfy the rule's amount conditions."""
+    def at(cut):
+        return 2 * cuts.index(cut) + 2
+    return ((r.min_abs is None or place >= at(r.min_abs))
+            and (r.eq_abs is None or place == at(r.eq_abs)))
+
+
+def rewrite_outcomes(rules: list[RewriteRule]) -> tuple[list[float], list[list[str]]]:
+    """The amount cuts, and the final label by the first rule that fires and amount class.
+
+    Once a rule has fired the label is that rule's constant, so which later rules
+    fire depends on the amount class alone: it is decided here, from the last rule
+    to the first.
+    """
+    cuts = sorted({x for r in rules for x in (r.min_abs, r.eq_abs) if x is not None})
+    searches = [None if r.pattern is None else re.compile(r.pattern).search for r in rules]
+    classes = range(2 * len(cuts) + 2)
+    holds = [[_holds(r, c, cuts) for c in classes] for r in rules]
+    fires = {label: [i for i, s in enumerate(searches) if s is None or s(label)]
+             for label in {r.label for r in rules}}
+    out: list[list[str]] = [[] for _ in rules]
+    for i in range(len(rules) - 1, -1, -1):
+        label = rules[i].label
+        later = fires[label][bisect.bisect_right(fires[label], i):]
+        out[i] = [next((out[k][c] for k in later if holds[k][c]), label) for c in classes]
+    return cuts, out
+
+
+def _first_rule(text: Column, place: Column, rules: list[RewriteRule], cuts: list[float]
+                ) -> Column:
+    """Number of the first rule that fires on the original label; null if none does."""
+    def fires(r: RewriteRule) -> Column:
         conds = []
         if r.pattern is not None:
-            conds.append(F.coalesce(current.rlike(r.pattern), F.lit(False)))
+            conds.append(text.contains(r.pattern) if _is_plain(r.pattern)
+                         else text.rlike(r.pattern))
         if r.min_abs is not None:
-            conds.append(F.coalesce(amt >= F.lit(r.min_abs), F.lit(False)))
+            conds.append(place >= F.lit(2 * cuts.index(r.min_abs) + 2))
         if r.eq_abs is not None:
-            conds.append(F.coalesce(amt == F.lit(r.eq_abs), F.lit(False)))
-        if not conds:
-            return current
-        return F.when(functools.reduce(lambda a, b: a & b, conds), F.lit(r.label)) \
-            .otherwise(current)
-
-    # one projection per rule: the rule reads the column the previous one wrote.
-    # (Nesting the expressions instead would double the tree at every rule.)
-    target = out or col
-    df = df.withColumn(target, F.col(col))
-    for r in rules:
-        df = df.withColumn(target, step(F.col(target), r))
-    return df
+            conds.append(place == F.lit(2 * cuts.index(r.eq_abs) + 2))
+        return functools.reduce(lambda a, b: a & b, conds)
+
+    out = F.when(fires(rules[0]), F.lit(0))
+    for i, r in enumerate(rules[1:], 1):
+        out = out.when(fires(r), F.lit(i))
+    return out
+
+
+class Rewrite:
+    """Ordered rewrites (D3/D4) as a function of a label and the class of its amount.
+
+    Its expression's size grows with the number of rules: no rule's expression holds
+    another's.
+    """
+
+    def __init__(self, rules: list[RewriteRule]):
+        self.rules = [r for r in rules if not r.pattern == r.min_abs == r.eq_abs is None]
+        self.cuts, self.outcomes = rewrite_outcomes(self.rules)
+
+    def amount_class(self, amount: Column) -> Column:
+        return _amount_class(amount, self.cuts)
+
+    def label(self, text: Column, place: Column) -> Column:
+        if not self.rules:
+            return text
+        if len(self.rules) > COMPILED_REWRITES:
+            row = F.array(F.struct(text.alias("text"), place.alias("place")))
+            first = F.transform(row, lambda r: _first_rule(r["text"], r["place"], self.rules,
+                                                           self.cuts))[0]
+        else:
+            first = _first_rule(text, place, self.rules, self.cuts)
+        labels = json.dumps([x for row in self.outcomes for x in row])
+        final = F.get(F.from_json(F.lit(labels), "array<string>"),
+                      first * F.lit(len(self.outcomes[0])) + place)
+        return F.coalesce(final, text)
+
+    def fold(self, df: DataFrame, text: str, place: str, out: str) -> DataFrame:
+        """Add the final label, worked out once per row: a generator's output, which no
+        filter on the label can be pushed through and repeat.  The rows are few and the work
+        on each is long, so many rules run in as many tasks as a shuffle has, not in the
+        few that the rows' bytes would make."""
+        if len(self.rules) > COMPILED_REWRITES:
+            tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartition(tasks, text, place)
+        return df.select("*", F.explode(F.array(self.label(F.col(text), F.col(place)))).alias(out))
+
+
+def sequential_rewrite(df: DataFrame, rules: list[RewriteRule], col: str = "concept",
+                       amount_col: str = "amount", out: str | None = None) -> DataFrame:
+    """Apply rules in order; each tests the label left by the previous ones.
+
+    A rule writes a constant label, so what follows the first rule that fires is known
+    beforehand (``rewrite_outcomes``): a row needs the number of that rule and the class
+    of its amount.  Few rules are one expression.  More are worked out once per distinct
+    label and amount class, and joined back.
+
+    Patterns are regexes that Python and Java read alike; one that Python cannot compile
+    is an error.  A null label meets no pattern, a null amount no amount condition; rules
+    without conditions change nothing.
+    """
+    rewrite = Rewrite(rules)
+    target, place = out or col, rewrite.amount_class(F.col(amount_col))
+    if len(rewrite.rules) <= COMPILED_REWRITES:
+        return df.withColumn(target, rewrite.label(F.col(col), place))
+    keys = df.select(F.col(col).alias("_rw_text"), place.alias("_rw_place")).distinct()
+    folded = rewrite.fold(keys, "_rw_text", "_rw_place", "_rw_label")
+    joined = df.withColumn("_rw_own", place).join(
+        folded, F.col(col).eqNullSafe(F.col("_rw_text")) & (F.col("_rw_own") == F.col("_rw_place")))
+    return (joined.withColumn(target, F.col("_rw_label"))
+            .drop("_rw_own", "_rw_text", "_rw_place", "_rw_label"))
+
+
+def rewrites_from_table(rules_df: DataFrame) -> list[RewriteRule]:
+    """Rules given as ``(ordinal int, label string, pattern string, min_abs double, eq_abs
+    double)``: the user's configuration, read once."""
+    rows = rules_df.orderBy("ordinal").select("label", "pattern", "min_abs", "eq_abs").collect()
+    return [RewriteRule(*r) for r in rows]

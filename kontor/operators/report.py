@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kontor.functions.dates import day_of, month_of, year_text
 from kontor.functions.money import money_out
 from kontor.operators import filters
+from kontor.operators.categorize import Rewrite, RewriteRule
 from kontor.operators.fixed_values import DEFAULT_CATEGORY, DEFAULT_VOCABULARY
 from kontor.plans.joins import join_small
 
@@ -102,15 +103,36 @@ def income_by_category_year(df: DataFrame) -> DataFrame:
                         {"category": F.col("category"), "year": year_text("date")})
 
 
-def label_totals(df: DataFrame, label_col: str = "concept") -> DataFrame:
-    """sum of amounts per label."""
+def _rewritten_totals(df: DataFrame, keys: dict[str, Column], label_col: str,
+                      rewrites: list[RewriteRule]) -> DataFrame:
+    """Sums per key and rewritten label: summed per original label and amount class first
+    (combined on the map side), so that only these few rows are rewritten."""
+    rewrite = Rewrite(rewrites)
+    sums = df.groupBy(*[c.alias(n) for n, c in keys.items()], F.col(label_col).alias("_text"),
+                      rewrite.amount_class(F.col("amount")).alias("_place")).agg(
+        F.sum("amount").alias("amount"))
+    return _grouped_sum(rewrite.fold(sums, "_text", "_place", "label"),
+                        {n: F.col(n) for n in [*keys, "label"]})
+
+
+def label_totals(df: DataFrame, label_col: str = "concept",
+                 rewrites: list[RewriteRule] | None = None) -> DataFrame:
+    """sum of amounts per label, after D3/D4's rewrites if given."""
+    if rewrites:
+        return _rewritten_totals(df, {}, label_col, rewrites)
     return _grouped_sum(df, {"label": F.col(label_col)})
 
 
 def year_label_totals(df: DataFrame, label_col: str = "concept",
-                      exclude: list[str] | None = None) -> DataFrame:
-    """sum per year and label; C12 drops listed labels afterwards."""
-    out = _grouped_sum(df, {"year": year_text("date"), "label": F.col(label_col)})
+                      exclude: list[str] | None = None,
+                      rewrites: list[RewriteRule] | None = None) -> DataFrame:
+    """sum per year and label, after D3/D4's rewrites if given; C12 drops listed
+    labels afterwards."""
+    year = {"year": year_text("date")}
+    if rewrites:
+        out = _rewritten_totals(df, year, label_col, rewrites)
+    else:
+        out = _grouped_sum(df, year | {"label": F.col(label_col)})
     return filters.exclude_labels(out, exclude, "label") if exclude else out
 
 

@@ -158,6 +158,45 @@ SELECT * FROM (
   FROM ({_rewrite_sql('ledger')}) WHERE label IS NOT NULL GROUP BY 1, 2)
 WHERE label NOT IN ('urgent')""")
 
+def _purchases_sql(body: str) -> str:
+    """Rules as rows, applied one after the other to every distinct (concept, amount)."""
+    from kontor.sources.standin import purchase_rewrites
+
+    def value(x):
+        return "NULL" if x is None else _lit(x) if isinstance(x, str) else repr(x)
+
+    rows = ", ".join(f"({n}, {value(r.label)}, {value(r.pattern)}, {value(r.min_abs)}, "
+                     f"{value(r.eq_abs)})" for n, r in enumerate(purchase_rewrites(), 1))
+    return f"""
+WITH RECURSIVE rules(n, new_label, pattern, min_abs, eq_abs) AS (VALUES {rows}),
+purchases AS (
+  SELECT l_shipdate AS "date", concat_ws(' ', p_name, p_brand) AS concept, -l_quantity AS amount,
+         l_orderkey AS order_key, l_linenumber AS line
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+step(n, concept, amount, label) AS (
+  SELECT 0, concept, amount, concept FROM (SELECT DISTINCT concept, amount FROM purchases)
+  UNION ALL
+  SELECT r.n, concept, amount,
+         CASE WHEN (pattern IS NULL OR regexp_matches(label, pattern))
+               AND (min_abs IS NULL OR abs(amount) >= min_abs)
+               AND (eq_abs IS NULL OR abs(amount) = eq_abs) THEN new_label ELSE label END
+  FROM step s JOIN rules r ON r.n = s.n + 1),
+labelled AS (
+  SELECT p.*, s.label FROM purchases p
+  JOIN step s ON s.concept = p.concept AND s.amount = p.amount
+  AND s.n = (SELECT max(n) FROM rules))
+{body}"""
+
+
+SQL["purchase_labels"] = _purchases_sql("SELECT order_key, line, concept, label FROM labelled")
+
+SQL["purchase_label_totals"] = _purchases_sql("""
+SELECT label, CAST(sum(amount) AS DOUBLE) AS amount FROM labelled GROUP BY label""")
+
+SQL["purchase_year_label_totals"] = _purchases_sql("""
+SELECT CAST(year("date") AS VARCHAR) AS year, label, CAST(sum(amount) AS DOUBLE) AS amount
+FROM labelled WHERE label NOT IN ('fees', 'lease', 'rest', 'red things') GROUP BY 1, 2""")
+
 TX_ID = """md5(bank || '|' || strftime("date", '%Y-%m-%dT%H:%M:%S')
     || CASE WHEN strftime("date", '%f') = '000000' THEN '' ELSE '.' || strftime("date", '%f') END
     || '|' || concept || '|' || CAST(CAST(amount AS DOUBLE) AS VARCHAR))"""

@@ -159,6 +159,26 @@ def year_label_totals(spark, d):
     return report.year_label_totals(lg, exclude=S.STANDIN_EXCLUDED_LABELS)
 
 
+@register
+def purchase_labels(spark, d):
+    """D3/D4 with 125 rules, exact amounts among them: each purchase's final label."""
+    lines = sequential_rewrite(S.purchases(spark, d), S.purchase_rewrites(), "concept", out="label")
+    return lines.select("order_key", "line", "concept", "label")
+
+
+@register
+def purchase_label_totals(spark, d):
+    """D3/D4 with 125 rules, then F12 totals per label."""
+    return report.label_totals(S.purchases(spark, d), rewrites=S.purchase_rewrites())
+
+
+@register
+def purchase_year_label_totals(spark, d):
+    """D3/D4 with 125 rules, then F13 totals per year and label without C12's labels."""
+    return report.year_label_totals(S.purchases(spark, d), exclude=S.STANDIN_EXCLUDED_PURCHASES,
+                                    rewrites=S.purchase_rewrites())
+
+
 # ------------------------------------------------------- step 2: filters, views
 @register
 def movements_view(spark, d):

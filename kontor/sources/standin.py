@@ -99,6 +99,43 @@ def standin_rewrites():
     ]
 
 
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as small purchases: the part's name and brand as concept, the quantity
+    as a negative amount (whole numbers, so that rules on exact amounts meet some)."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("l_shipdate").alias("date"),
+        F.concat_ws(" ", "p_name", "p_brand").alias("concept"),
+        (-F.col("l_quantity")).cast(MONEY).alias("amount"),
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"))
+
+
+def purchase_rewrites():
+    """125 invented rewrites of purchases: substrings, regexes, least and exact amounts, and
+    rules on labels that earlier rules left."""
+    from kontor.operators.categorize import RewriteRule as R
+    rules = [R(f"standing order {n}", eq_abs=float(n)) for n in (7, 19, 31)]
+    rules += [R(f"house {k % 9}", pattern=f"Brand#{k}$", min_abs=float(2 * k)) for k in range(1, 26)]
+    rules += [R("large house", pattern="^house [0-4]$", min_abs=40.0),
+              R("house of standing orders", pattern="^standing order [0-9]$"),
+              R("lease", pattern="^large house$", eq_abs=48.0)]
+    rules += [R(f"ring {k}", pattern=f"ring Brand#{k}", min_abs=5.0) for k in range(1, 26)]
+    rules += [R("red things", pattern="^red "), R("small things", pattern="^small "),
+              R("odd red", pattern="red th.ngs", eq_abs=3.0)]
+    rules += [R(f"shelf {k % 5}", pattern=f"t Brand#{k}$") for k in range(1, 26)]
+    rules += [R("shelves", pattern="^shelf [123]"), R("rings", pattern="ring 1[0-9]|ring 2")]
+    rules += [R(f"brand {k}", pattern=f"Brand#{k}$", min_abs=float(k)) for k in range(25, 0, -1)]
+    rules += [R("brands", pattern="^brand ", min_abs=30.0), R("fees", eq_abs=1.0)]
+    rules += [R(f"rest {k}", pattern=f"[a-z] Brand#.*{k}$") for k in range(10)]
+    rules += [R("house", pattern="house"), R("rest", pattern="^rest [0-8]$")]
+    return rules
+
+
+STANDIN_EXCLUDED_PURCHASES = ["fees", "lease", "rest", "red things"]
+
+
 # Card-export text rows from orders (what spark.read.csv gives: all strings).
 # Order priority picks the transaction type, order status the state.
 _CARD_TYPE_BY_PRIORITY = {
