@@ -567,6 +567,11 @@ SQL["card_csv_files"] = f"""
 SELECT "date", concept, amount, balance, bank, category
 FROM ({_dedup_given_category(_card_ledger_sql('Bank3'))})"""
 
+SQL["card_csv_multiline"] = f"""
+SELECT "date", split_part(concept, ' ', 1) || chr(10) || '"' || split_part(concept, ' ', 2)
+       || '", again' AS concept, amount, balance, bank, category
+FROM ({_dedup_given_category(_card_ledger_sql('Bank3'))})"""
+
 SQL["source_preference"] = """
 SELECT 'yearly' AS slot, 1 AS priority, 'Bank1' AS source,
        CAST(count(DISTINCT year(o_orderdate)) AS BIGINT) AS n_files FROM orders

@@ -510,6 +510,24 @@ def card_csv_files(spark, d):
     return _ledger_out(led.drop("src_file", "src_row"))
 
 
+@register
+def card_csv_multiline(spark, d):
+    """A2/A3: exports whose descriptions are quoted texts of two lines with commas and
+    quotes, and whose columns stand in another order each year."""
+    from kontor.sources.files import scratch_path
+    folder = scratch_path(spark, "card-multiline")
+    rows = S.multiline_card_rows(spark, d)
+    for k in range(S.MULTILINE_ORDERS):
+        part = rows.filter(F.col("year") % S.MULTILINE_ORDERS == k)
+        columns = part.columns[k + 1:] + part.columns[1:k + 1]       # the year is the folder
+        (part.select(*columns, part.columns[0]).write.partitionBy("year")
+         .option("header", True).option("quoteAll", True).option("escape", '"')
+         .csv(f"{folder}/order={k}"))
+    raw = card_csv.read_card_csv(spark, [folder + "/*/*/*.csv"])
+    led = card_csv.load_card_bank(raw, "Bank3", S.STANDIN_RULES)
+    return _ledger_out(led.drop("src_file", "src_row"))
+
+
 @register
 def json_sources(spark, d):
     """The overrides written as a JSON-lines table and read back (the

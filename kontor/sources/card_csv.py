@@ -19,59 +19,39 @@ from kontor.operators.categorize import Rules, categorize, type_override
 from kontor.operators.fixed_values import CARD_COMPLETED_STATE, DEFAULT_RULES
 from kontor.operators.identity import dedup
 from kontor.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
+from kontor.sources.csv_records import csv_lines, headed_records, split_record
 
-MAX_LAYOUTS = 1000        # distinct header lines brought to the driver, at most
+#: Columns of a card export that jobs use, whatever others a file has and in what order.
+CARD_COLUMNS = ["Type", "Product", "Started Date", "Completed Date", "Description", "Amount",
+                "Fee", "Currency", "State", "Balance"]
 
 CARD_DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
                      "yyyy-MM-dd"]
 
 
 def read_card_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A2/A3: read exports with a header, all columns as text.
+    """A2/A3: read exports with a header, the ``CARD_COLUMNS`` as text.
 
     ``paths`` are files or glob patterns (``folder/*.csv``), listed by Spark.
 
-    Files may have different headers (Spark's CSV reader would apply one
-    header to all of them by position).  One text scan finds each file's
-    header: its first non-blank line, i.e. the lowest row id among the rows of
-    the file's first split.  Only the distinct headers (a few layouts) reach
-    the driver; each header group is parsed with ``from_csv`` and the groups
-    are unioned by name.  Files without a ``State`` column are skipped.
-    ``src_file`` is the file path; ``src_row`` a position-derived id (file
-    order within a split).  Quoted fields spanning lines are not supported.
+    Every file's columns stand where its own header says: the header is a row like
+    others, its role positions are joined to the file's records, so neither the
+    number of different headers nor of files shapes the plan or reaches the driver.
+    The first of columns with one name counts; a column that a file lacks is null.
+    Files without a ``State`` column are skipped.  Quoted fields may span lines and
+    file splits (``sources.csv_records``).  ``src_file`` is the file path; ``src_row`` a
+    position-derived id (file order within a split) of the record's first line.
     """
-    import csv
-
-    text = (spark.read.text(sorted(paths))
-            .select(F.col("_metadata.file_path").alias("src_file"),
-                    F.col("_metadata.file_block_start").alias("_bs"),
-                    F.monotonically_increasing_id().alias("src_row"), "value")
-            .filter(F.trim("value") != ""))
-    headers = (text.filter(F.col("_bs") == 0).groupBy("src_file")
-               .agg(F.min_by("value", "src_row").alias("_header"),
-                    F.min("src_row").alias("_hid")))
-    lines = text.join(headers, "src_file", "inner").filter(F.col("src_row") != F.col("_hid"))
-    distinct_headers = headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()
-    if len(distinct_headers) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different CSV headers: not card exports")
-    parts = []
-    for (h,) in distinct_headers:
-        cols = next(csv.reader([h]))
-        if "State" not in cols:
-            continue
-        ddl = ", ".join(f"`{c.replace('`', '')}` string" for c in cols)
-        parsed = (lines.filter(F.col("_header") == h)
-                  .select(F.from_csv("value", ddl).alias("r"), "src_file", "src_row"))
-        parts.append(parsed.select("r.*", "src_file", "src_row"))
-    if not parts:
-        schema = ", ".join(f"`{c}` string" for c in
-                           ["Type", "Started Date", "Description", "Amount", "State",
-                            "Balance", "src_file"]) + ", src_row long"
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    heads, records = headed_records(csv_lines(spark, paths))
+    names = split_record(F.regexp_replace("record", "^\ufeff", ""))
+    roles = [F.array_position(names, c).cast("int").alias(f"_at{i}")
+             for i, c in enumerate(CARD_COLUMNS)]
+    heads = (heads.select("src_file", *roles)
+             .filter(F.col(f"_at{CARD_COLUMNS.index('State')}") > 0))
+    rows = (records.select("src_file", "src_row", split_record(F.col("record")).alias("_fields"))
+            .join(heads, "src_file"))
+    return rows.select(*[F.get("_fields", F.col(f"_at{i}") - 1).alias(c)
+                         for i, c in enumerate(CARD_COLUMNS)], "src_file", "src_row")
 
 
 def parse_card_rows(rows: DataFrame, bank: str, rules: Rules = DEFAULT_RULES) -> DataFrame:

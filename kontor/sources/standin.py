@@ -171,6 +171,21 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MULTILINE_ORDERS = 3               # column orders among the exports
+
+
+def multiline_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card rows whose description is the segment, then on a second line the customer in
+    quotes and a word after a comma; ``year`` first, without file and row."""
+    rows = card_rows(spark, sf_dir).drop("src_file", "src_row")
+    parts = F.split("Description", " ")
+    return rows.select(
+        F.substring("Started Date", 1, 4).cast("int").alias("year"), "Type", "Product",
+        "Started Date", "Completed Date",
+        F.concat(parts[0], F.lit('\n"'), parts[1], F.lit('", again')).alias("Description"),
+        "Amount", "Fee", "Currency", "State", "Balance")
+
+
 def _returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     return li.filter(F.col("l_returnflag") == "R").select(
