@@ -9,23 +9,30 @@ rows, also written and read in parallel.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.operators.fixed_values import EMPTY_VOCABULARY_DEFAULT
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def read_if_there(read: Callable[[], DataFrame], otherwise: DataFrame) -> DataFrame:
+    """What ``read`` gives, or ``otherwise`` if its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return otherwise
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of names; the default list when the file is absent."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([(c,) for c in EMPTY_VOCABULARY_DEFAULT], "category string")
-    doc = spark.read.text(path, wholetext=True)
+    default = spark.createDataFrame([(json.dumps(EMPTY_VOCABULARY_DEFAULT),)], "value string")
+    doc = read_if_there(lambda: spark.read.text(path, wholetext=True), default)
     return doc.select(F.explode(F.from_json("value", "array<string>")).alias("category"))
 
 
@@ -70,12 +77,12 @@ def read_overrides_document(spark: SparkSession, path: str) -> DataFrame:
     """A19 (compatible form): one JSON object ``{tx_id: category}``; ``{}`` if absent.  Read
     by lines that hold whole entries, as ``write_overrides_document`` and ``json.dump`` (with
     or without indent) write them; a line that does not is an error."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "tx_id string, category string")
+    lines = read_if_there(lambda: spark.read.text(path),
+                          spark.createDataFrame([], "value string"))
     line = F.regexp_replace("value", r"^\s*\{?\s*|\s*[,}]?\s*$", "")
     entries = F.from_json(F.concat(F.lit("{"), line, F.lit("}")), "map<string,string>",
                           {"mode": "FAILFAST"})
-    return (spark.read.text(path).filter(F.length(line) > 0)
+    return (lines.filter(F.length(line) > 0)
             .select(F.explode(entries).alias("tx_id", "category")))
 
 

@@ -4,18 +4,24 @@ New export files land in a folder; each micro-batch is parsed into ledger
 rows, de-duplicated within itself (G1), stripped of rows whose duplicate key
 is already known, and written to the ledger table.
 
-Known keys live in a key index next to the ledger (``<ledger>_keys``),
-partitioned by the hash bucket of the key (``KEY_BUCKETS`` folders per batch,
-however many accounts there are; the account is a text column of the rows).
-A batch reads only the buckets its own keys fall in and anti-joins them
-(null-safe on every key column).
+Known keys live in a key index next to the ledger (``<ledger>_keys``), a set of
+runs in levels.  A batch writes its keys as a run of level 0; whenever FAN_IN
+runs of a level are full, they are merged into one run of the next level, as
+digits carry in a counter of base FAN_IN.  So the batch number alone says which
+runs hold all earlier keys (its digits): no list of runs is kept, and a batch
+reads at most FAN_IN - 1 runs a level.  Runs live in ``level=L/slot=S``, with two
+rounds of slots a level used in turn, so the folders stay as many however many
+batches came.  Inside a run keys are cut into hash buckets (``_kb``), whatever the
+accounts, and sorted by hash, with Bloom filters of the hashes: a batch reads only
+the buckets its own keys fall in, a small one only the row groups that may hold its
+hashes, and anti-joins them (null-safe on every key column).
 
 Exactly once: batch ``N`` writes its rows to ``<ledger>/batch=N`` and its
-keys to ``<ledger>_keys/batch=N``, both with overwrite, and ignores index
-entries of batch ``N`` itself when it looks for known keys.  A batch re-run
-after a failure (at any point of either write) therefore rewrites the same
-two folders with the same rows; nothing is appended twice and nothing is
-lost.
+keys to its own slot, both with overwrite, and reads runs of earlier batches only.
+Merges that are due are made before it reads; their inputs are not overwritten
+before FAN_IN more runs of that level are there, so making them again gives the same
+run.  A batch re-run after a failure (at any point of any write) therefore rewrites
+the same folders with the same rows; nothing is appended twice and nothing is lost.
 
 A duplicate may arrive any time later, so there is no watermark and no
 ``dropDuplicatesWithinWatermark``: the ledger table itself is the state.
@@ -36,17 +42,9 @@ from kontor.operators.identity import dedup, dedup_key
 from kontor.schema import LEDGER_COLUMNS
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    """A folder holding at least one ``batch=N`` sub-folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return False
-    return any(st.getPath().getName().startswith("batch=") for st in fs.listStatus(p))
-
-
-KEY_BUCKETS = 64           # folders per batch of the key index, whatever the accounts
+KEY_BUCKETS = 64           # folders of a run of the key index, whatever the accounts
+FAN_IN = 8                 # runs of a level that are merged into one of the next
+FEW_HASHES = 10            # keys of a batch that are looked up by their hashes
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -60,38 +58,90 @@ def _key_cols(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_k_")]
 
 
+def _slot(index: int) -> int:
+    return index % (2 * FAN_IN)
+
+
+def live_runs(batch_id: int) -> list[tuple[int, int]]:
+    """(level, slot) of the runs that hold the keys of all batches before ``batch_id``."""
+    out, level, n = [], 0, batch_id
+    while n:
+        out += [(level, _slot(i)) for i in range(n - n % FAN_IN, n)]
+        level, n = level + 1, n // FAN_IN
+    return out
+
+
+def due_merges(batch_id: int) -> list[tuple[int, list[int], int]]:
+    """Merges to make before ``batch_id``: (level, its slots, slot of the next level)."""
+    out, level, n = [], 0, batch_id
+    while n and n % FAN_IN == 0:
+        out.append((level, [_slot(i) for i in range(n - FAN_IN, n)], _slot(n // FAN_IN - 1)))
+        level, n = level + 1, n // FAN_IN
+    return out
+
+
+def _index_path(ledger_path: str) -> str:
+    return ledger_path.rstrip("/") + "_keys"
+
+
+def _read_runs(spark: SparkSession, keyed: DataFrame, ledger_path: str,
+               runs: list[tuple[int, int]]) -> DataFrame:
+    """Keys of some runs (none for one that holds no keys); the folder is made if need be."""
+    schema = keyed.select(*_key_cols(keyed), "_kh", F.lit(0).alias("level"),
+                          F.lit(0).alias("slot"), "_kb").schema
+    (spark.createDataFrame([], schema).write.mode("ignore").partitionBy("level", "slot", "_kb")
+     .parquet(_index_path(ledger_path)))
+    stored = spark.read.schema(schema).parquet(_index_path(ledger_path))
+    wanted = F.lit(False)
+    for level in sorted({r[0] for r in runs}):
+        slots = [s for lv, s in runs if lv == level]
+        wanted = wanted | ((F.col("level") == level) & F.col("slot").isin(slots))
+    return stored.filter(wanted)
+
+
+def _write_run(keys: DataFrame, ledger_path: str, level: int, slot: int) -> None:
+    (keys.repartitionByRange("_kb", "_kh").sortWithinPartitions("_kb", "_kh")
+     .write.mode("overwrite").partitionBy("_kb")
+     .option("parquet.bloom.filter.enabled#_kh", "true")
+     .option("parquet.bloom.filter.adaptive.enabled", "true")
+     .parquet(f"{_index_path(ledger_path)}/level={level}/slot={slot}"))
+
+
 def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
-                batch_id: int = -1) -> DataFrame:
+                batch_id: int) -> DataFrame:
     """The rows of a batch that are new to the ledger (first copy kept), with
     their key columns (``_k_*``), key hash (``_kh``) and bucket (``_kb``).
 
-    ``rows`` is read more than once (the bucket list, then the anti-join); pass a deterministic or persisted DataFrame, as the stream does.
+    Batches are numbered from 0 without gaps that hold keys, as the stream does.  ``rows``
+    is read more than once (its hashes, then the anti-join); pass a deterministic or
+    persisted DataFrame.
     """
     keyed = _keyed(dedup(rows.select(*LEDGER_COLUMNS)))
-    index = ledger_path.rstrip("/") + "_keys"
-    kcols = _key_cols(keyed)
-    if not _table_exists(spark, index):
+    for level, slots, target in due_merges(batch_id):
+        merged = _read_runs(spark, keyed, ledger_path, [(level, s) for s in slots])
+        _write_run(merged.drop("level", "slot"), ledger_path, level + 1, target)
+    runs = live_runs(batch_id)
+    if not runs:
         return keyed
-    # index entries written by an earlier attempt of this same batch do not count
-    known = spark.read.parquet(index).filter(F.col("batch") != F.lit(batch_id))
-    # a batch reads the buckets that its keys fall in (at most KEY_BUCKETS values); the
-    # rest is a null-safe anti-join on the key, which Spark plans by the sides' sizes
-    buckets = [r["_kb"] for r in keyed.select("_kb").distinct().collect()]
+    known = _read_runs(spark, keyed, ledger_path, runs)
+    hashes = [r["_kh"] for r in keyed.select("_kh").distinct().limit(FEW_HASHES + 1).collect()]
+    if len(hashes) <= FEW_HASHES:
+        known = known.filter(F.col("_kh").isin(hashes))
+        buckets = sorted({h % KEY_BUCKETS for h in hashes})
+    else:
+        buckets = [r["_kb"] for r in keyed.select("_kb").distinct().collect()]
     matches = known.filter(F.col("_kb").isin(buckets))
-    cond = functools.reduce(lambda a, b: a & b,
-                            [keyed[c].eqNullSafe(matches[c]) for c in kcols + ["_kb", "_kh"]])
+    cond = functools.reduce(lambda a, b: a & b, [keyed[c].eqNullSafe(matches[c])
+                                                 for c in _key_cols(keyed) + ["_kb", "_kh"]])
     return keyed.join(matches, cond, "left_anti")
 
 
 def append_batch(new: DataFrame, ledger_path: str, batch_id: int = 0) -> None:
-    """Write a batch's new rows to ``<ledger>/batch=N`` and their keys to
-    ``<ledger>_keys/batch=N`` (overwrite: a re-run rewrites, never adds)."""
+    """Write a batch's new rows to ``<ledger>/batch=N`` and their keys to its slot of
+    level 0 of the key index (overwrite: a re-run rewrites, never adds)."""
     (new.select(*LEDGER_COLUMNS).write.mode("overwrite")
      .parquet(f"{ledger_path.rstrip('/')}/batch={batch_id}"))
-    (new.select(*_key_cols(new), "_kh", "_kb")
-     .repartitionByRange("_kb", "_kh").sortWithinPartitions("_kb", "_kh")
-     .write.mode("overwrite").partitionBy("_kb")
-     .parquet(f"{ledger_path.rstrip('/')}_keys/batch={batch_id}"))
+    _write_run(new.select(*_key_cols(new), "_kh", "_kb"), ledger_path, 0, _slot(batch_id))
 
 
 def classify_new_rows(spark: SparkSession, new: DataFrame, rules_path: str,
@@ -103,21 +153,16 @@ def classify_new_rows(spark: SparkSession, new: DataFrame, rules_path: str,
     batch, so a batch reads only the rules and the overrides."""
     from kontor.operators.identity import with_tx_id
     from kontor.operators.overrides import auto_classify
-    from kontor.sources.json_io import read_overrides_table, write_overrides_table
+    from kontor.sources.json_io import (read_if_there, read_overrides_table,
+                                        write_overrides_table)
 
     rows = with_tx_id(new.select(*LEDGER_COLUMNS))
-    ov = (read_overrides_table(spark, overrides_path) if _exists(spark, overrides_path)
-          else spark.createDataFrame([], "tx_id string, category string"))
+    none = spark.createDataFrame([], "tx_id string, category string")
+    ov = read_if_there(lambda: read_overrides_table(spark, overrides_path), none)
     got = auto_classify(rows, ov, spark.read.parquet(rules_path))
     write_overrides_table(got, overrides_path, mode="append")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def start_ingest(spark: SparkSession, source_dir: str, source_schema: str, ledger_path: str,
                  checkpoint_location: str, parse: Callable[[DataFrame], DataFrame],
                  fmt: str = "parquet", options: dict | None = None,

@@ -117,7 +117,7 @@ def test_stream_batch_replay_appends_nothing_twice(spark, tmp_path):
     other = str(tmp_path / "ledger2")
     first = merge_batch(spark, lg, other, 0)
     (first.select(*[c for c in first.columns if c.startswith("_k_")], "_kh", "_kb")
-     .write.partitionBy("_kb").parquet(other + "_keys/batch=0"))
+     .write.partitionBy("_kb").parquet(other + "_keys/level=0/slot=0"))
     append_batch(merge_batch(spark, lg, other, 0), other, 0)
     assert spark.read.parquet(other).count() == lg.count()
     # the probe reads only the key-index buckets the batch touches

@@ -99,8 +99,8 @@ def test_thousands_of_accounts_in_a_batch(spark, tmp_path):
     path = str(tmp_path / "stream")
     append_batch(merge_batch(spark, lg, path, 0), path, 0)
     assert merge_batch(spark, lg, path, 1).count() == 0
-    folders = list((tmp_path / "stream_keys" / "batch=0").glob("_kb=*"))
-    assert len(folders) <= 64
+    folders = list((tmp_path / "stream_keys" / "level=0" / "slot=0").glob("_kb=*"))
+    assert 0 < len(folders) <= 64
 
 
 CARD = ("Type string, `Started Date` string, Description string, Amount string, State string,"
