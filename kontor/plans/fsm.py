@@ -4,18 +4,19 @@ Some parses are sequential: whether a line starts a record depends on every
 line before it in the document.  Running that per document would put a whole
 document in one task.  Instead:
 
-1. blocks are ranges of the integer order column, contiguous by
-   construction: per key, the width is chosen from its (min, max, count) so
-   that a block holds about ``block_rows`` rows whether line numbers are
-   dense or sparse; the block is ``(order - min) div width`` — a function of
-   the row and of a deterministic per-key aggregate, so a recomputation after
-   an executor loss assigns the same blocks (no sampling, no checkpoint);
+1. documents of at most ``block_rows`` rows are one block, which starts in the
+   initial state.  In longer ones blocks are runs of the order column: rows are
+   counted per range of at most half a block's numbers, running counts over the
+   ranges (in levels, ``plans.prefix``) give each range's first place, and ranges
+   whose places fall in one stretch of ``block_rows`` are a block.  So no block
+   exceeds ``block_rows`` rows however unevenly the numbers lie (a number that
+   repeats stays in one block), and a row's block follows from counts alone: a
+   recomputation after an executor loss assigns the same blocks;
 2. per (key, block), the block's transition function: for each possible
    entry state, the exit state and the last "marked" row seen (numpy over
    Arrow batches through ``applyInPandas``; pairwise tree composition);
 3. per key, the entry state of every block: a linear fold of the block
-   functions in block order (one small row per block; documents that fit in
-   one block skip steps 2-3);
+   functions in block order (one small row per block);
 4. per (key, block), replay from the entry state (``cogroup`` of the rows
    with their block's entry; an inclusive prefix scan of the row functions in
    numpy), giving each row the state before it and the most recent marked
@@ -33,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kontor.plans.prefix import running_total
+
 DEFAULT_BLOCK_ROWS = 1 << 16
 
 
@@ -48,14 +51,10 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
         is_mark[s, y] = True
     key_type = df.schema[key].dataType.simpleString()
 
-    span = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
-                               F.count("*").alias("_n"))
-    extent = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    width = F.greatest(F.lit(1), F.ceil(extent * F.lit(float(block_rows)) / F.col("_n")))
-    n_blocks = (F.floor((F.col("_hi") - F.col("_lo")) / width) + 1).cast("long")
-    span = span.select(key, "_lo", width.cast("long").alias("_w"), n_blocks.alias("_nblk"))
-    rows = (df.join(span, key, "inner")
-            .withColumn("_blk", F.expr(f"(`{order}` - _lo) div _w")).drop("_lo", "_w"))
+    n_rows = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    short = df.join(n_rows.filter(F.col("_n") <= block_rows).select(key), key, "left_semi")
+    rows = line_blocks(df.join(n_rows.filter(F.col("_n") > block_rows).select(key), key,
+                               "left_semi"), key, order, block_rows)
 
     def block_function(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -78,15 +77,7 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
                              "_exit": [[int(x) for x in f[0]]],
                              "_last": [[None if x < 0 else int(x) for x in m[0]]]})
 
-    # documents that fit in one block start it in the initial state; only the
-    # others need their blocks' functions
-    multi = rows.filter(F.col("_nblk") > 1).drop("_nblk")
-    single_entries = (span.filter(F.col("_nblk") == 1)
-                      .select(key, F.lit(0).cast("long").alias("_blk"),
-                              F.lit(initial).cast("int").alias("_entry"),
-                              F.lit(None).cast("long").alias("_entry_mark")))
-    rows = rows.drop("_nblk")
-    funcs = multi.groupBy(key, "_blk").applyInPandas(
+    funcs = rows.groupBy(key, "_blk").applyInPandas(
         block_function, f"`{key}` {key_type}, _blk long, _exit array<int>, _last array<long>")
 
     # fold block functions per key, in block order: a linear pass over one
@@ -107,19 +98,12 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
                              "_entry_mark": pd.array(marks_in, dtype="Int64")})
 
     entries = funcs.groupBy(key).applyInPandas(
-        fold, f"`{key}` {key_type}, _blk long, _entry int, _entry_mark long"
-    ).unionByName(single_entries)
+        fold, f"`{key}` {key_type}, _blk long, _entry int, _entry_mark long")
 
-    out_fields = rows.schema.simpleString()[len("struct<"):-1]
+    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pdf.assign(state_before=pd.Series(dtype="int32"),
-                              mark=pd.Series(dtype="Int64"))
+    def replay(pdf: pd.DataFrame, e: int, m0: int) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        e = int(entry["_entry"].iloc[0])
-        m0 = entry["_entry_mark"].iloc[0]
-        m0 = -1 if pd.isna(m0) else int(m0)
         syms = pdf[symbol].to_numpy(dtype=np.int64)
         pos = pdf[order].to_numpy(dtype=np.int64)
         # inclusive prefix compositions (Hillis-Steele): row i holds the
@@ -143,6 +127,35 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
         out.loc[marks_at < 0, "mark"] = pd.NA
         return out
 
-    return (rows.groupBy(key, "_blk").cogroup(entries.groupBy(key, "_blk"))
-            .applyInPandas(replay, f"{out_fields}, state_before int, mark bigint")
-            .drop("_blk"))
+    def replay_document(pdf: pd.DataFrame) -> pd.DataFrame:
+        return replay(pdf, initial, -1)
+
+    def replay_block(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pdf.drop(columns="_blk").assign(state_before=pd.Series(dtype="int32"),
+                                                   mark=pd.Series(dtype="Int64"))
+        m0 = entry["_entry_mark"].iloc[0]
+        return replay(pdf.drop(columns="_blk"), int(entry["_entry"].iloc[0]),
+                      -1 if pd.isna(m0) else int(m0))
+
+    schema = f"{out_fields}, state_before int, mark bigint"
+    blocks = rows.groupBy(key, "_blk").cogroup(entries.groupBy(key, "_blk"))
+    return short.groupBy(key).applyInPandas(replay_document, schema).unionByName(
+        blocks.applyInPandas(replay_block, schema))
+
+
+def line_blocks(df: DataFrame, key: str, order: str, block_rows: int) -> DataFrame:
+    """``df`` with ``_blk``: the block of each row, ascending with ``order`` within ``key``;
+    at most ``block_rows`` different numbers in a block."""
+    shift = max(0, (block_rows // 2).bit_length() - 1)
+    stretch = block_rows - (1 << shift) + 1          # places in which a block's ranges begin
+    ranges = (df.groupBy(key, F.shiftright(order, shift).alias("_range"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    # 65,536 ranges at most under one key of the level above, of any 63-bit numbers
+    levels = [F.shiftright("_range", bits) for bits in (48, 32, 16)]
+    placed = running_total(ranges, [key], ["_range"], "_n", "_to", levels)
+    blocks = placed.select(key, F.col("_range").alias("_own"),
+                           F.expr(f"(_to - _n) div {stretch}").alias("_blk"))
+    named = blocks.withColumnRenamed(key, "_own_key")
+    return df.join(named, (F.col(key) == F.col("_own_key"))
+                   & (F.shiftright(order, shift) == F.col("_own"))).drop("_own_key", "_own")
