@@ -657,3 +657,18 @@ added AS (SELECT count(*) AS n FROM names
                 (SELECT lower(category) FROM vocab))
 SELECT 'once' AS merge, n > 0 AS changed FROM added
 UNION ALL SELECT 'twice' AS merge, false AS changed"""
+
+SQL["categorize_rule_table"] = """
+WITH rules AS (
+  SELECT c_custkey AS ordinal, lower(c_name) AS keyword,
+         'group ' || CAST(c_custkey % 50 AS VARCHAR) AS category
+  FROM customer WHERE c_custkey % 3 <> 0
+  UNION ALL
+  SELECT 1000000000 + min(c_custkey), lower(substring(c_mktsegment, 1, 3)), lower(c_mktsegment)
+  FROM customer GROUP BY c_mktsegment),
+texts AS (SELECT DISTINCT lower(c_mktsegment || ' ' || c_name) AS t, c_custkey FROM customer),
+hits AS (SELECT c_custkey, min(ordinal) AS ordinal
+         FROM texts JOIN rules ON contains(t, keyword) GROUP BY c_custkey)
+SELECT CAST(o_orderkey AS BIGINT) AS src_row, coalesce(category, 'other') AS category
+FROM orders JOIN customer ON o_custkey = c_custkey
+LEFT JOIN hits USING (c_custkey) LEFT JOIN rules USING (ordinal)"""

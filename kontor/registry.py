@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from kontor.functions.money import money_out
 from kontor.operators import filters, forecast, identity, overrides, report
 from kontor.operators.balance import running_balance
-from kontor.operators.categorize import categorize, sequential_rewrite
+from kontor.operators.categorize import (categorize, categorize_by_table,
+                                          sequential_rewrite)
 from kontor.operators.fixed_values import DEFAULT_VOCABULARY
 from kontor.operators.ledger import build_ledger
 from kontor.sources import card_csv
@@ -284,6 +285,14 @@ def categorize_text(spark, d):
     return categorize(docs, "text", "category").select("doc_id", "category")
 
 
+@register
+def categorize_rule_table(spark, d):
+    """D1 from a rule table that grows with the data: one rule for each of two thirds of the
+    customers, then one for each market segment; the rules stay a table."""
+    rows = S.card_rows(spark, d).select("src_row", F.col("Description").alias("concept"))
+    return categorize_by_table(rows, S.customer_rules(spark, d)).select("src_row", "category")
+
+
 @register
 def type_override(spark, d):
     """A1 + D1 + D2: card-export rows, completed only, typed, categorised,

@@ -171,6 +171,20 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table over card descriptions: the names of two thirds of the customers, and
+    behind them the market segments."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    named = c.filter(F.col("c_custkey") % 3 != 0).select(
+        F.col("c_custkey").cast("int").alias("ordinal"), F.array("c_name").alias("keywords"),
+        F.concat(F.lit("group "), F.col("c_custkey") % 50).alias("category"))
+    segments = c.groupBy("c_mktsegment").agg((F.lit(1_000_000_000) + F.min("c_custkey")).cast("int")
+                                             .alias("ordinal"))
+    return named.unionByName(segments.select(
+        "ordinal", F.array(F.lit("zz"), F.substring("c_mktsegment", 1, 3)).alias("keywords"),
+        F.lower("c_mktsegment").alias("category")))
+
+
 MULTILINE_ORDERS = 3               # column orders among the exports
 
 
