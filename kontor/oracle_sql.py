@@ -513,6 +513,39 @@ SQL["statement_parse"] = "WITH " + GRID_BASE + f"""
   FROM base JOIN orders USING (o_orderkey))
 """ + _dedup_sql("SELECT * FROM stmt")
 
+SQL["statement_previous_year"] = "WITH " + GRID_BASE + f"""
+, stmt AS (
+  SELECT "date", concept0 AS concept, amount, bal AS balance, 'BNCR' AS bank,
+         'Bank' || CAST(o_custkey % 3 + 1 AS VARCHAR) || '/fiscal-'
+           || CAST(year("date") + CASE WHEN month("date") >= 7 THEN 1 ELSE 0 END AS VARCHAR)
+           || '.pdf' AS src_file,
+         CAST(100 + o_orderkey * 8 AS BIGINT) AS src_row
+  FROM base JOIN orders USING (o_orderkey))
+""" + _dedup_sql("SELECT * FROM stmt")
+
+SQL["grid_month_first"] = "WITH " + GRID_BASE + _dedup_sql("""
+  SELECT "date", concept0 AS concept, amount, bal AS balance, 'Bank1' AS bank,
+         'Bank1-' || CAST(y AS VARCHAR) || '/2020.xlsx' AS src_file,
+         CAST(o_orderkey + 1 AS BIGINT) AS src_row
+  FROM base""")
+
+SQL["grid_one_column"] = SQL["grid_wide"]
+
+SQL["sheet_head"] = """
+WITH rows AS (
+  SELECT 'Bank2old/' || CAST(year(o_orderdate) AS VARCHAR) || '.xls' AS path,
+         CAST(o_orderkey + 3 AS BIGINT) AS row_no, strftime(o_orderdate, '%Y-%m-%d') AS c0,
+         strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS c1, c_mktsegment AS c2,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS c3
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+files AS (SELECT DISTINCT path FROM rows)
+SELECT * FROM rows WHERE row_no < 1000
+UNION ALL SELECT path, CAST(0 AS BIGINT), 'Extracto', NULL, NULL, NULL FROM files
+UNION ALL SELECT path, CAST(1 AS BIGINT), 'Periodo', NULL, NULL, NULL FROM files
+UNION ALL SELECT path, CAST(2 AS BIGINT), NULL, NULL, NULL, NULL FROM files"""
+
+SQL["movements_sorted"] = SQL["movements_view"]
+
 SQL["statement_continuity"] = """
 WITH mv AS (
   SELECT 'Bank' || CAST(o_custkey % 3 + 1 AS VARCHAR) AS bank,
@@ -527,8 +560,9 @@ bal AS (SELECT bank, m,
                  AS opening, net FROM monthly),
 docs AS (SELECT bank, bank || '/' || strftime(m, '%Y-%m') || '.pdf' AS doc,
                 CAST(m - INTERVAL 1 DAY AS DATE) AS last_stmt, last_day(m) AS this_stmt,
-                opening, opening + net AS closing
-         FROM bal WHERE month(m) <> 6),
+                opening + CASE WHEN month(m) = 6 THEN 25 ELSE 0 END AS opening,
+                opening + net AS closing
+         FROM bal),
 pairs AS (
   SELECT doc AS after_file, lead(doc) OVER w AS before_file, this_stmt AS after_date,
          lead(last_stmt) OVER w AS before_date, CAST(closing AS DOUBLE) AS balance_after,

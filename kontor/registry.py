@@ -452,11 +452,52 @@ def statement_parse(spark, d):
 
 @register
 def statement_continuity(spark, d):
-    """Consecutive statements whose balances do not join up (the
-    folder lacks the June statements, which were never downloaded)."""
+    """Consecutive statements whose balances do not join up (the June
+    statements open with a correction)."""
     from kontor.sources import statements
     return statements.continuity_gaps(
-        S.statement_lines(spark, d, missing_month=S.STATEMENT_MISSING_MONTH))
+        S.statement_lines(spark, d, corrected_month=S.STATEMENT_CORRECTED_MONTH))
+
+
+@register
+def statement_previous_year(spark, d):
+    """A12-A15 over statements from July to June: A14's dates of the year before."""
+    from kontor.sources import statements
+    from kontor.sources.files import stage_table
+    lines = stage_table(S.statement_lines(spark, d, fiscal=True), "fiscal-lines")
+    return _ledger_out(statements.load_statements(lines, "BNCR", S.STANDIN_RULES))
+
+
+@register
+def grid_month_first(spark, d):
+    """Yearly sheets of the stem 2020, whose dates stand month first."""
+    from kontor.sources import grids
+    return _ledger_out(grids.load_yearly_bank(S.month_first_cells(spark, d), "Bank1",
+                                              S.STANDIN_RULES))
+
+
+@register
+def grid_one_column(spark, d):
+    """Wide sheets with only an income or only an expense column."""
+    from kontor.sources import grids
+    return _ledger_out(grids.load_multi_layout_bank(S.one_column_cells(spark, d), "Bank2",
+                                                    S.STANDIN_RULES))
+
+
+@register
+def sheet_head(spark, d):
+    """The first 1,000 rows and four columns of every old sheet."""
+    from kontor.sources import grids
+    head = grids.head_rows(S.old_cells(spark, d), 1000, 4)
+    return head.select("path", "row_no", *[F.get("cells", F.lit(i)).alias(f"c{i}")
+                                           for i in range(4)])
+
+
+@register
+def movements_sorted(spark, d):
+    """H8 over B5: the movements table sorted by a column that the user chose."""
+    view = report.movements_view(identity.with_tx_id(ledger(spark, d)), sort=False)
+    return report.sort_by(view, "amount", ascending=False)
 
 
 # ------------------------------------------------------------ step 8: files, stream

@@ -375,6 +375,37 @@ def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(fixed)
 
 
+def month_first_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly sheets with the stem whose dates stand month first (2020.xlsx), one in a folder
+    for each year: the header in row 0."""
+    oc = _orders_customers(spark, sf_dir)
+    path = F.concat(F.lit("Bank1-"), F.col("y").cast("string"), F.lit("/2020.xlsx"))
+    mdy = F.date_format("o_orderdate", "MM/dd/yyyy")
+    cells = F.array(mdy, mdy, F.concat_ws(" ", "c_mktsegment", "o_orderpriority"),
+                    F.col("amt").cast("string"), F.col("bal").cast("string"),
+                    F.col("o_orderkey").cast("string"))
+    data = oc.select(path.alias("path"), (F.col("o_orderkey") + 1).cast("long").alias("row_no"),
+                     cells.alias("cells"))
+    files = oc.select(path.alias("path")).distinct()
+    return data.unionByName(_per_file_rows(files, [(0, _YEARLY_HEADERS[0])]))
+
+
+def one_column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide sheets with signed amounts in one column: only the income column in even
+    years, only the expense column in odd ones."""
+    income, expense = 6, 7
+    even = F.regexp_extract("path", r"(\d+)[.]", 1).cast("int") % 2 == 0
+    signed = F.coalesce(F.col("cells")[income], F.concat(F.lit("-"), F.col("cells")[expense]))
+    title = F.col("row_no") <= 3
+
+    def value(x, i):
+        kept = F.when(title, x).otherwise(signed)
+        return (F.when(i == income, F.when(even, kept))
+                .when(i == expense, F.when(~even, kept)).otherwise(x))
+
+    return wide_cells(spark, sf_dir).withColumn("cells", F.transform("cells", value))
+
+
 def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-column sheets with three title rows and no header: ISO dates,
     segment as concept, priority as details (none for 5-LOW)."""
@@ -395,11 +426,11 @@ def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ statement lines
-STATEMENT_MISSING_MONTH = 6        # June statements were never downloaded
+STATEMENT_CORRECTED_MONTH = 6      # June statements open with a correction that no other lists
 
 
-def statement_lines(spark: SparkSession, sf_dir: str,
-                    missing_month: int | None = None) -> DataFrame:
+def statement_lines(spark: SparkSession, sf_dir: str, corrected_month: int | None = None,
+                    fiscal: bool = False) -> DataFrame:
     """Orders rendered as monthly statements per account (text lines).
 
     Per document: title lines with the previous/this statement dates and the
@@ -410,23 +441,33 @@ def statement_lines(spark: SparkSession, sf_dir: str,
     ones a description wrapped over two lines, medium ones a dd-MM-yy
     purchase-date lead.  Balances on records are the customer's balance;
     opening/closing balances are the account's cumulative monthly nets (a
-    table of accounts x months).  ``missing_month`` drops that month's
-    statements from the folder (the continuity check's scenario: statements
-    never downloaded); by default every month is there.
+    table of accounts x months).  Statements of ``corrected_month`` print an opening
+    balance 25.00 above the one before closed with (the continuity check's scenario);
+    their records and closing balances are like others.  ``fiscal`` statements run from
+    July to June, so half of their records belong to the year before the statement's.
     """
     from pyspark.sql import Window
     oc = _orders_customers(spark, sf_dir).withColumn(
         "bank", F.concat(F.lit("Bank"), (F.col("o_custkey") % 3 + 1).cast("string"))
-    ).withColumn("m", F.trunc(F.to_date("o_orderdate"), "MM"))
-    doc = F.concat(F.col("bank"), F.lit("/"), F.date_format("m", "yyyy-MM"), F.lit(".pdf"))
+    )
+    day = F.to_date("o_orderdate")
+    if fiscal:
+        oc = oc.withColumn("m", F.add_months(F.trunc(F.add_months(day, -6), "YEAR"), 6))
+        end, name = F.date_sub(F.add_months("m", 12), 1), F.lit("fiscal-")
+        name = F.concat(name, F.year(end).cast("string"))
+    else:
+        oc = oc.withColumn("m", F.trunc(day, "MM"))
+        end, name = F.last_day("m"), F.date_format("m", "yyyy-MM")
+    doc = F.concat(F.col("bank"), F.lit("/"), name, F.lit(".pdf"))
 
     monthly = oc.groupBy("bank", "m").agg(F.sum("amt").alias("net"),
                                           F.max("o_orderkey").alias("_last_key"))
     before = Window.partitionBy("bank").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     monthly = (monthly.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0)))
                .withColumn("closing", F.col("opening") + F.col("net")))
-    present = (F.month("m") != missing_month) if missing_month else F.lit(True)
-    monthly = monthly.filter(present)
+    if corrected_month:
+        monthly = monthly.withColumn("opening", F.when(
+            F.month("m") == corrected_month, F.col("opening") + 25).otherwise(F.col("opening")))
 
     prio = F.col("o_orderpriority")
     concept = F.concat_ws(" ", "c_mktsegment", "o_orderpriority")
@@ -438,8 +479,7 @@ def statement_lines(spark: SparkSession, sf_dir: str,
     rec_lines = F.concat(
         F.array(F.date_format("o_orderdate", "dd/MM"), ref), desc,
         F.array(F.format_number("amt", 2), F.format_number("bal", 2)))
-    recs = (oc.filter(present)
-            .select(doc.alias("doc"), F.col("o_orderkey"),
+    recs = (oc.select(doc.alias("doc"), F.col("o_orderkey"),
                     F.posexplode(rec_lines).alias("k", "line"))
             .select("doc", (F.lit(100) + F.col("o_orderkey") * 8 + F.col("k")).cast("long")
                     .alias("line_no"), "line"))
@@ -449,7 +489,7 @@ def statement_lines(spark: SparkSession, sf_dir: str,
         F.lit("BANCO DE EJEMPLO"), F.lit("ESTADO DE CUENTA"),
         F.concat(F.lit("Fecha último estado: "),
                  F.date_format(F.date_sub(F.col("m"), 1), dmy)),
-        F.concat(F.lit("Fecha de este estado: "), F.date_format(F.last_day("m"), dmy)),
+        F.concat(F.lit("Fecha de este estado: "), F.date_format(end, dmy)),
         F.concat(F.lit("Saldo actual: "), F.format_number("closing", 2)),
         F.lit("FECHA"), F.lit("NÚMERO"), F.lit("DESCRIPCIÓN"), F.lit("MONTO"), F.lit("SALDO DIARIO"))
     head = monthly.select(doc.alias("doc"), F.posexplode(fixed).alias("line_no", "line")) \
