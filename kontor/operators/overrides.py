@@ -11,7 +11,7 @@ equi-joined with the rule prefixes, then the result is joined back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kontor.functions.text import concept_key, strip
@@ -46,14 +46,14 @@ def migrate_legacy(overrides: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ learn
-def _concepts_of(ledger: DataFrame, ids: DataFrame) -> DataFrame:
+def concepts_of(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     """The concept of each id (ids sharing a tx_id share the concept)."""
     rows = join_small(ledger.select("tx_id", "concept"), ids.select("tx_id").distinct(),
                       "tx_id", "left_semi")
     return rows.groupBy("tx_id").agg(F.max("concept").alias("concept"))
 
 
-def _prefixes(key: Column, lo: int, hi: int) -> Column:
+def prefixes(key: Column, lo: int, hi: int) -> Column:
     """Prefixes of lengths lo..min(len, hi); none when the text is shorter than lo."""
     n = F.least(F.length(key), F.lit(hi))
     lengths = F.when(F.length(key) >= lo, F.sequence(F.lit(lo), n)) \
@@ -74,13 +74,13 @@ def learn_prefix_rules(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
     # 'other' overrides teach nothing; a null category still counts as a
     # category of its own (a prefix seen with it is ambiguous, as in the original)
     ov = overrides.filter(F.col("category").isNull() | (F.col("category") != DEFAULT_CATEGORY))
-    concepts = _concepts_of(ledger, ov)
+    concepts = concepts_of(ledger, ov)
     labelled = (concepts.join(ov.select("tx_id", "category"), "tx_id", "inner")
                 .select(concept_key("concept").alias("_ck"), "category").distinct())
     # distinct (concept, category) pairs are expanded, not one row per override
     exploded = labelled.select(
         "category",
-        F.explode(_prefixes(F.col("_ck"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX)).alias("p"))
+        F.explode(prefixes(F.col("_ck"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX)).alias("p"))
     per_prefix = exploded.groupBy(F.col("p.prefix").alias("prefix")).agg(
         F.min("category").alias("_lo"), F.max("category").alias("_hi"),
         F.max(F.col("category").isNull()).alias("_null"))
@@ -103,7 +103,7 @@ def auto_classify(ledger: DataFrame, overrides: DataFrame, rules: DataFrame,
 
     concepts = rows.select("_ck").distinct()
     cand = concepts.select(
-        "_ck", F.explode(_prefixes(F.col("_ck"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX))
+        "_ck", F.explode(prefixes(F.col("_ck"), LEARN_PREFIX_MIN, LEARN_PREFIX_MAX))
         .alias("p")).select("_ck", F.col("p.len").alias("_len"), F.col("p.prefix").alias("prefix"))
     hits = join_small(cand, rules.select("prefix", "category"), "prefix", "inner")
     best = hits.groupBy("_ck").agg(F.max_by("category", "_len").alias("category"))
@@ -131,7 +131,7 @@ def bulk_apply(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     several edits reach a row, the latest wins.  Returns ``(tx_id, category)``.
     """
     edits = edits.select("edit_seq", "bank", "tx_id", "category")
-    concepts = _concepts_of(ledger, edits)
+    concepts = concepts_of(ledger, edits)
     e = (edits.join(concepts, "tx_id", "inner")
          .withColumn("prefix", concept_prefix(F.col("concept"))))
     # latest edit per (bank, prefix): the only one that can win on those rows
@@ -182,6 +182,46 @@ def overrides_as_of(log: DataFrame, version: int) -> DataFrame:
             .select("tx_id", "category"))
 
 
+def log_intervals(log: DataFrame) -> DataFrame:
+    """The log as intervals ``(tx_id, category, valid_from, valid_to)``: an override is in
+    force from its version up to, not including, the id's next entry (null: to this day).
+    Removals only end an interval.  Each id's own entries meet in a window, which are as
+    many as it has versions."""
+    log = _with_removals(log)
+    own = Window.partitionBy("tx_id").orderBy("version")
+    return (log.withColumn("valid_to", F.lead("version").over(own)).filter(~F.col("deleted"))
+            .select("tx_id", "category", F.col("version").alias("valid_from"), "valid_to"))
+
+
+def write_intervals(intervals: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store intervals so that an as-of read is a filter: the ones still in force apart from
+    the ended ones, these sorted by their end (row groups are skipped by its bounds)."""
+    rows = intervals.withColumn("ended", F.col("valid_to").isNotNull())
+    (rows.repartitionByRange("ended", "valid_to", "valid_from", "tx_id")
+     .sortWithinPartitions("ended", "valid_to", "valid_from", "tx_id")
+     .write.mode(mode).partitionBy("ended").parquet(path))
+
+
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("tx_id string, category string, valid_from long, valid_to long, "
+                             "ended boolean").parquet(path)
+
+
+def intervals_as_of(intervals: DataFrame, version: int) -> DataFrame:
+    """D11 on intervals: the overrides in force at ``version``.  A filter: the log is neither
+    shuffled nor aggregated, and of stored intervals those that ended before are skipped."""
+    at = F.lit(version)
+    return (intervals.filter((F.col("valid_from") <= at)
+                             & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+            .select("tx_id", "category"))
+
+
+def retain_intervals(intervals: DataFrame, first: int) -> DataFrame:
+    """G7 on intervals: what ended at ``first`` or before goes, so every as-of from ``first``
+    on gives the same; a filter as well."""
+    return intervals.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(first)))
+
+
 def save_version(log: DataFrame | None, overrides: DataFrame, version: int) -> DataFrame:
     """A20 (write side): a save of the full override set appends what it changes.
 

@@ -386,6 +386,23 @@ SELECT tx_id, category FROM (
   FROM log WHERE version <= 19990101 GROUP BY tx_id)
 WHERE NOT deleted""")
 
+SQL["intervals_asof"] = SQL["overrides_asof"]
+
+SQL["prefix_counts_from_changes"] = with_ledger(IDS + """
+, final AS (
+  SELECT tx_id, category FROM (
+    SELECT tx_id, arg_max(category, version) AS category, arg_max(deleted, version) AS deleted
+    FROM log GROUP BY tx_id)
+  WHERE NOT deleted)
+SELECT prefix, category, count(*) AS n FROM (
+  SELECT substr(ck, 1, L) AS prefix, category
+  FROM (SELECT lower(trim(coalesce(c.concept, 'nan'))) AS ck, final.category
+        FROM (SELECT tx_id, max(concept) AS concept FROM ids GROUP BY tx_id) c
+        JOIN final USING (tx_id) WHERE final.category <> 'other'),
+       generate_series(5, 30) AS t(L)
+  WHERE L <= length(ck))
+GROUP BY prefix, category""")
+
 SQL["override_retention"] = with_ledger(IDS + """
 , kept AS (SELECT min(version) AS first FROM (
   SELECT DISTINCT version FROM log ORDER BY version DESC LIMIT 200))

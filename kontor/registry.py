@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.functions.money import money_out
-from kontor.operators import filters, forecast, identity, overrides, report
+from kontor.operators import filters, forecast, identity, learning, overrides, report
 from kontor.operators.balance import running_balance
 from kontor.operators.categorize import (categorize, categorize_by_table,
                                           sequential_rewrite)
@@ -380,6 +380,33 @@ def overrides_asof(spark, d):
     return overrides.overrides_as_of(S.override_log(spark, d, lg), S.STANDIN_LOG_VERSION)
 
 
+@register
+def intervals_asof(spark, d):
+    """D11/A20 on the stored interval table: overrides in force at a past version."""
+    from kontor.sources.files import scratch_path
+    path = scratch_path(spark, "intervals")
+    log = S.override_log(spark, d, _ledger_ids(spark, d))
+    overrides.write_intervals(overrides.log_intervals(log), path)
+    stored = overrides.read_intervals(spark, path)
+    return overrides.intervals_as_of(stored, S.STANDIN_LOG_VERSION)
+
+
+@register
+def prefix_counts_from_changes(spark, d):
+    """D5 kept up to date: how many overrides speak for each prefix and category at a past
+    version of the log, updated by what the log's later entries change."""
+    lg = _ledger_ids(spark, d)
+    log = S.override_log(spark, d, lg)
+    before = overrides.overrides_as_of(log, S.STANDIN_LOG_VERSION)
+    later = log.filter(F.col("version") > S.STANDIN_LOG_VERSION)
+    last = later.groupBy("tx_id").agg(F.max("version").alias("version"))
+    entries = later.join(last, ["tx_id", "version"])
+    counts = learning.prefix_counts(lg, before)
+    delta = learning.count_changes(learning.override_changes(
+        before, entries, overrides.concepts_of(lg, entries)))
+    return learning.merge_counts(counts, delta)
+
+
 @register
 def override_retention(spark, d):
     """The newest 200 versions of the log, and the older ones folded into one."""
