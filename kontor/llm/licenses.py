@@ -17,6 +17,7 @@ rows give equal results; long texts are scanned whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -178,21 +179,28 @@ def accept(auto: dict, words: list[bytes], start: int) -> int | None:
     return last
 
 
+def places(line: bytes, needle: bytes) -> Iterator[int]:
+    """Number of the word at which each occurrence of ``needle`` starts, ascending."""
+    at, spaces, counted = line.find(needle), 0, 0
+    while at >= 0:
+        spaces += line.count(b" ", counted, at + 1)       # on from the last occurrence
+        counted = at + 1
+        yield spaces - 1
+        at = line.find(needle, at + 1)
+
+
 def find_templates(line: bytes, words: list[bytes] | None,
                    automata: dict[str, dict]) -> list[tuple[str, int, int]]:
     """Accepted places (label, first word, end) in normalised text, longest per anchor."""
     found = []
     for label, auto in automata.items():
-        at = line.find(auto["anchor"])
-        while at >= 0:
+        for first in places(line, auto["anchor"]):
             words = line.split() if words is None else words
-            first = line.count(b" ", 0, at + 1) - 1
             spans = [(e - s, s, e) for s in range(max(0, first - auto["before"]), first + 1)
                      if (e := accept(auto, words, s)) is not None and e > first]
             if spans:
                 _, s, e = max(spans, key=lambda x: (x[0], -x[1]))
                 found.append((label, s, e))
-            at = line.find(auto["anchor"], at + 1)
     return found
 
 
@@ -201,11 +209,8 @@ def find_phrases(line: bytes) -> list[tuple[str, int, int]]:
     found = []
     for phrase, label in BASE_PHRASES.items():
         needle = f" {phrase} ".encode()
-        at = line.find(needle)
-        while at >= 0:
-            first = line.count(b" ", 0, at + 1) - 1
-            found.append((label, first, first + needle.count(b" ") - 1))
-            at = line.find(needle, at + 1)
+        found += [(label, first, first + needle.count(b" ") - 1)
+                  for first in places(line, needle)]
     return found
 
 

@@ -93,3 +93,13 @@ def test_query(spark):
     for r in op6_license_automata(spark, SMALL).collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"],
                 r["base_labels"]) == brute(docs[r["doc_id"]])
+
+
+def test_dense_long_text_takes_linear_time():
+    import time
+    line = L.normalise(b"all rights reserved. released under the MIT license, CC BY. " * 160_000)
+    began = time.time()
+    base, more = L.find_phrases(line), L.find_templates(
+        line, None, {"mit-notice": L.compile_template(L.TEMPLATES["mit-notice"])})
+    assert len(base) == 320_000 and len(more) == 160_000 and time.time() - began < 30
+    assert base[160_000 - 1][1] % 10 == base[0][1] % 10 and base[1][1] - base[0][1] == 10
