@@ -48,12 +48,36 @@ LOOKUP = 20
 #: A join key with more than this share of the rows is looked up by broadcast (200 keys at most).
 HOT_SHARE, HOT_LEAST = 0.005, 1000
 
-_TAGS = re.compile(rb"<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", re.DOTALL | re.IGNORECASE)
+_OPENED = re.compile(rb"<(script|style)\b", re.IGNORECASE)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = re.compile(r"([^/?#]*)([^?#]*)", re.DOTALL)
 
 
+def without_tags(page: bytes) -> bytes:
+    """The page with a space for every tag, and for every script and style with its content.
+    One scan: a closing mark that is missing is looked for once."""
+    low, out, done, at = page.lower(), [], 0, page.find(b"<")
+    missing: set[bytes] = set()
+    while at >= 0:
+        end, opened = -1, _OPENED.match(page, at)
+        if opened:
+            close = b"</" + opened.group(1).lower() + b">"
+            if close not in missing:
+                end = low.find(close, opened.end())
+                if end < 0:
+                    missing.add(close)
+                else:
+                    end += len(close)
+        if end < 0:
+            end = page.find(b">", at) + 1
+            if end == 0:                       # no tag ends any more
+                break
+        out += [page[done:at], b" "]
+        done, at = end, page.find(b"<", end)
+    return b"".join([*out, page[done:]])
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """(host with A-Z lowered, path); both empty without "://"."""
     start = -1 if url is None else url.find("://")
@@ -158,7 +182,7 @@ def page_words(pages: DataFrame, html: str = "html") -> DataFrame:
         counts: Counter = Counter()
         for batch in batches:
             for page in text_bytes(batch.column(0)):
-                counts.update(_TAGS.sub(b" ", page).translate(_LETTERS).split())
+                counts.update(without_tags(page).translate(_LETTERS).split())
                 if len(counts) > 300_000:
                     yield _counts(counts)
                     counts = Counter()

@@ -112,3 +112,19 @@ def test_empty_table(spark):
 def test_bayes_counts():
     b = H.Bayes({"x": (8, 0), "y": (0, 8)}, (3, 3))
     assert b.score(["x"]) > 0 > b.score(["y"]) and b.score([]) == 0.0 and b.score(["casino"]) > 0
+
+
+def test_tags_are_removed_as_by_the_pattern_and_in_one_scan():
+    import random
+    import re
+    import time
+    pattern = re.compile(rb"<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", re.DOTALL | re.IGNORECASE)
+    rng = random.Random(3)
+    parts = [b"<", b">", b"a", b"script", b"<script>", b"</SCRIPT>", b"<Style x", b"</style>", b"/", b"\n", b"<scripty>"]
+    for _ in range(3000):
+        page = b"".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert H.without_tags(page) == pattern.sub(b" ", page), page
+    for page in (b"<" * 10_000_000, b"<script a " * 1_000_000, b"<style>" * 1_500_000, b"<b>x</b>" * 1_000_000):
+        began = time.time()
+        H.without_tags(page)
+        assert time.time() - began < 20
