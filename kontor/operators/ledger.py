@@ -61,3 +61,29 @@ def read_ledger(spark: SparkSession, path: str, banks: list[str | None] | None =
         stored = stored.filter(F.col("bank_key").isin(
             ["n" if b is None else "b" + b for b in banks]))
     return stored.select(*LEDGER_COLUMNS)
+
+
+# ------------------------------------------------- ledger and overrides by id
+def write_by_id(rows: DataFrame, table: str, buckets: int, path: str) -> None:
+    """Store a table with a ``tx_id`` (the ledger with its ids, or the overrides) in buckets
+    by id, each one sorted file, so that joins on the id neither move nor sort its rows.
+
+    Every bucket is written by one task, so ``buckets`` is chosen for the ledger's size (some
+    hundred MB in each).  Ids are hashes: a hot account spreads over all buckets.
+    """
+    (rows.repartition(buckets, "tx_id").sortWithinPartitions("tx_id")
+     .write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "tx_id").sortBy("tx_id").saveAsTable(table))
+
+
+def merge_overrides_by_id(spark: SparkSession, table: str, new: DataFrame, into: str,
+                          buckets: int, path: str) -> None:
+    """D10 on overrides stored by id: only ``new`` is moved to the buckets; the stored rows
+    are merged where they lie and written to the table ``into`` (a table is not overwritten
+    while it is read)."""
+    new = new.select("tx_id", F.col("category").alias("new"), F.lit(True).alias("given"))
+    both = spark.table(table).select("tx_id", F.col("category").alias("old")).join(
+        new, "tx_id", "full")
+    merged = both.select("tx_id", F.when(F.col("given"), F.col("new")).otherwise(
+        F.col("old")).alias("category"))
+    write_by_id(merged, into, buckets, path)

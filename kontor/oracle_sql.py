@@ -361,6 +361,16 @@ SELECT bank, src_row,
             ELSE coalesce(ov.category, ids.category, 'other') END AS category
 FROM ids LEFT JOIN ov USING (tx_id)""")
 
+SQL["apply_overrides_by_id"] = with_ledger(IDS + """
+, merged AS (
+  SELECT tx_id, arg_max(category, p) AS category FROM (
+    SELECT tx_id, category, 0 AS p FROM ov UNION ALL SELECT tx_id, category, 1 FROM bulk)
+  GROUP BY tx_id)
+SELECT bank, src_row,
+       CASE WHEN coalesce(m.category, ids.category, 'other') = 'accommodation' THEN 'other'
+            ELSE coalesce(m.category, ids.category, 'other') END AS category
+FROM ids LEFT JOIN merged m USING (tx_id)""")
+
 SQL["learn_prefix_rules"] = with_ledger(IDS + "\nSELECT prefix, category FROM learned")
 
 SQL["auto_classify"] = with_ledger(IDS + """

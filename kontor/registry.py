@@ -323,6 +323,24 @@ def apply_overrides(spark, d):
     return overrides.apply_overrides(lg, ov).select("bank", "src_row", "category")
 
 
+@register
+def apply_overrides_by_id(spark, d):
+    """E1/D8/D10 over tables stored by id: bulk edits merged into the stored overrides, which
+    then replace the categories of the stored ledger; no ledger row is moved."""
+    import uuid
+    from kontor.operators.ledger import merge_overrides_by_id, write_by_id
+    from kontor.sources.files import scratch_path
+    lg = _ledger_ids(spark, d)
+    folder, name = scratch_path(spark, "by-id"), f"kontor_{uuid.uuid4().hex}"
+    write_by_id(lg, f"{name}_ledger", 16, folder + "/ledger")
+    write_by_id(S.overrides_table(spark, d, lg), f"{name}_old", 16, folder + "/old")
+    new = overrides.bulk_apply(lg, S.edits_table(spark, d, lg))
+    merge_overrides_by_id(spark, f"{name}_old", new, f"{name}_overrides", 16, folder + "/new")
+    return overrides.apply_overrides(spark.table(f"{name}_ledger"),
+                                     spark.table(f"{name}_overrides")).select(
+        "bank", "src_row", "category")
+
+
 @register
 def overview_after_overrides(spark, d):
     """The page's flow: ids (B3), overrides applied (D8/B7), transfers hidden
