@@ -43,7 +43,7 @@ def test_even_where_the_capacity_leaves_room():
     assert order.cuts() == [10, 20, 21, 31]
 
 
-@pytest.mark.parametrize("first, most, biggest", [(1, 2, 700), (2, 8, 9000), (14, 1 << 16, 9000)])
+@pytest.mark.parametrize("first, most, biggest", [(3, 16, 700), (5, 32, 9000), (14, 1 << 16, 9000)])
 def test_refined_cells_give_the_same_capacity(spark, monkeypatch, first, most, biggest):
     monkeypatch.setattr(S, "FIRST_BITS", first)
     monkeypatch.setattr(S, "MOST_CELLS", most)
