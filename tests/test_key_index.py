@@ -28,26 +28,26 @@ def test_live_runs_hold_every_earlier_batch_once(monkeypatch, fan_in):
 
 def test_folders_stay_as_many_over_many_batches(spark, tmp_path, monkeypatch):
     from kontor.schema import LEDGER_SCHEMA
-    monkeypatch.setattr(I, "FAN_IN", 3)
+    monkeypatch.setattr(I, "FAN_IN", 2)
     monkeypatch.setattr(I, "KEY_BUCKETS", 2)
     path, folders = str(tmp_path / "ledger"), []
     rows = spark.range(400).selectExpr(
         "timestamp_ntz '2024-01-01 00:00:00' as date", "cast(id as string) concept",
         "cast(id as decimal(38,10)) amount", "cast(null as decimal(38,10)) balance",
         "'b' bank", "'other' category", "'f' src_file", "id src_row").to(LEDGER_SCHEMA)
-    for n in range(28):
-        # five new rows and five of earlier batches; every seventh batch comes twice
+    for n in range(13):
+        # five new rows and five of earlier batches; every sixth batch comes twice
         batch = rows.filter(f"src_row between {5 * n - 5} and {5 * n + 4}")
-        for attempt in range(2 if n % 7 == 0 else 1):
+        for attempt in range(2 if n % 6 == 0 else 1):
             new = I.merge_batch(spark, batch, path, n)
             I.append_batch(new, path, n)
         folders.append(len(list((tmp_path / "ledger_keys").glob("level=*/slot=*"))))
     got = [r["src_row"] for r in spark.read.parquet(path).select("src_row").collect()]
-    assert sorted(got) == list(range(5 * 28))
-    assert I.merge_batch(spark, rows.filter("src_row < 140"), path, 28).count() == 0
-    assert max(folders) <= 6 * 4
+    assert sorted(got) == list(range(5 * 13))
+    assert I.merge_batch(spark, rows.filter("src_row < 65"), path, 13).count() == 0
+    assert max(folders) <= 4 * 4
     # a small batch is looked up by its hashes
-    probe = I.merge_batch(spark, rows.filter("src_row = 3"), path, 28)
+    probe = I.merge_batch(spark, rows.filter("src_row = 3"), path, 13)
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     try:
         plan = probe._jdf.queryExecution().executedPlan().toString()
