@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows to the shared folder and reads them again for the next one.
 All stages but the last return the columns of ``documents``.
 
+Null and empty texts score as texts without words, link with nothing, hold no secrets and
+are never taken by the mix; null sources and languages are values of their own, and of rows
+without an id none is learned from.  Of linked documents the first row written stays, so of
+exact copies and repeated rows one.  Columns beyond those of ``documents`` pass every stage
+but the last.  An empty table gives empty stages.
+
 ORACLE_SQL is None: a trained model, inferred automata and best-fit packing are
 not SQL; tests compare every stage with a brute-force version.
 """
