@@ -108,3 +108,115 @@ def test_query_digest(spark):
     assert len(rows) == len(docs)
     for r in rows:
         assert r["base_sha256"] == hashlib.sha256(brute(docs[r["doc_id"]]).encode()).hexdigest()
+
+
+def grammar_of_three(without=None):
+    rng = random.Random(3)
+    upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcXYZdefgh0123456789+/"
+    values = {"access": ["AKIA" + "".join(rng.choices(upper, k=16)) for _ in range(300)],
+              "assign": ["".join(rng.choices(mixed, k=rng.randrange(20, 40))) for _ in range(300)],
+              "hex": ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]}
+    ordinary = ["".join(rng.choices("etaoinshr", k=rng.randrange(6, 20))) for _ in range(800)]
+    ordinary += [w.upper() for w in ordinary[:200]]
+    ordinary += [str(rng.randrange(10 ** 6, 10 ** 16)) for _ in range(300)]
+    ordinary += [f"{a}-{rng.randrange(100)}" for a in ordinary[:200]]
+    return values, ordinary, S.fit(
+        {k: [x.encode() for x in v] for k, v in values.items() if k != without},
+        [x.encode() for x in ordinary])
+
+
+def test_automata_learn_the_length_of_a_format():
+    values, _, g = grammar_of_three()
+    hexes = g.formats["hex"]
+    assert len(hexes["end"]) == 41 and len(g.formats["access"]["end"]) == 21
+    rng = random.Random(8)
+    key = lambda n: S.symbols_of("".join(rng.choices("0123456789abcdef", k=n)).encode())
+    mean = lambda n: sum(S.log_likelihood(hexes, key(n)) for _ in range(300)) / 300
+    assert all(mean(n) < mean(40) - 0.05 for n in (25, 39, 41, 200))
+
+
+def test_formats_are_found_and_ordinary_runs_left():
+    values, ordinary, g = grammar_of_three()
+    judge = S.Judge(g)
+    for found in values.values():
+        assert sum(judge.verdict(v.encode())[1] for v in found) > 0.95 * len(found)
+    assert sum(judge.verdict(v.encode())[1] for v in ordinary) < 0.01 * len(ordinary)
+
+
+def test_a_kind_without_labels_is_found_where_a_format_allows_its_marks():
+    """Hex keys have no label here, but the assigned values hold all of their marks; AKIA
+    keys are of capitals, which no other format has."""
+    values, ordinary, g = grammar_of_three(without="hex")
+    judge = S.Judge(g)
+    assert sum(judge.verdict(v.encode())[1] for v in values["hex"]) > 0.4 * len(values["hex"])
+    assert sum(judge.verdict(v.encode())[1] for v in ordinary) < 0.01 * len(ordinary)
+    values, ordinary, g = grammar_of_three(without="access")
+    judge = S.Judge(g)
+    assert sum(judge.verdict(v.encode())[1] for v in ordinary) < 0.01 * len(ordinary)
+
+
+def brute_format(text, g):
+    """Runs outside base spans, character by character, judged one by one."""
+    taken = set()
+    for span in filter(None, brute(text).split(",")):
+        _, s, e = span.split(":")
+        taken.update(range(int(s), int(e)))
+    out, at, n = [], 0, len(text)
+    good = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    while at < n:
+        if text[at] not in good or at in taken:
+            at += 1
+            continue
+        end = at
+        while end < n and text[end] in good and end not in taken:
+            end += 1
+        run = text[at:end]
+        start, stop = at + len(run) - len(run.lstrip(".")), end - len(run) + len(run.rstrip("."))
+        if stop - start >= 6 and g.judge(S.symbols_of(text[start:stop].encode()))[1]:
+            out.append(f"format:{start}:{stop}")
+        at = end
+    return out
+
+
+def test_format_spans_match_brute_force():
+    values, ordinary, g = grammar_of_three()
+    rng = random.Random(21)
+    parts = sum(values.values(), []) + ordinary + ["token=", "é", ".", "...", " ", "\n", "ü ß",
+                                                   "AKIA", "0123456789abcdef" * 2, "a.b"]
+    n = 0
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ".", "", "\t"])
+                       for _ in range(rng.randrange(12)))
+        got = S.make_scanner(g)([text.encode()])["spans"][0].split(",")
+        assert [x for x in got if x.startswith("format:")] == brute_format(text, g), text
+        assert ",".join(x for x in got if not x.startswith("format:")) == brute(text)
+        n += len(brute_format(text, g))
+    assert n > 100
+
+
+def test_long_values_and_dense_long_texts():
+    import time
+    rng = random.Random(2)
+    blobs = ["".join(rng.choices("abcdefABCDEF0123456789+/", k=500_000)).encode() for _ in range(8)]
+    g = S.fit({"assign": blobs}, [b"plainword"] * 3)
+    assert len(g.formats["assign"]["end"]) <= S.DEPTH + 1
+    began = time.time()
+    dense = b"token=abcdef0123, see 0123456789abcdef0123456789abcdef x.y " * 160_000
+    spans, _ = S.Judge(g).spans(dense)
+    assert sum(k == "assign" for k, _, _ in spans) == sum(k == "hex" for k, _, _ in spans) == 160_000
+    S.Judge(g).spans(b"a" * 5_000_000 + b"." * 5_000_000)
+    assert time.time() - began < 60
+
+
+def test_learning_counts_the_whole_table_and_bounds_the_sample(spark):
+    rng = random.Random(4)
+    texts = [f"token={''.join(rng.choices('0123456789abcdef', k=40))} plain words-here 1234567"
+             for _ in range(400)] * 2
+    df = frame(spark, texts)
+    g = S.learn_grammar(df.repartition(7), per_kind=100)
+    again = S.learn_grammar(df.repartition(3), per_kind=100)
+    assert (g.formats, g.background, g.marks, g.evidence) == \
+        (again.formats, again.background, again.marks, again.evidence)
+    assert len(g.formats["assign"]["end"]) == 41
+    # two word-like runs of six characters or more a text, two labelled spans
+    assert g.evidence == 0.0
