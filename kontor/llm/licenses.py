@@ -30,7 +30,9 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Wording of public license notices, with markup.
+# Wording of public licenses and notices, with markup.  ``-notice`` and
+# ``-opening`` mark a reference to a license and its first words; the other labels want the
+# whole wording, conditions and warranty included.
 TEMPLATES = {
     "agpl-notice": "[[this {{3}} is]] licensed under the gnu affero general public license"
                    " [[version 3]] [[or any later version]]",
@@ -39,13 +41,29 @@ TEMPLATES = {
                          " copy of the license at {{12}} unless required by applicable law or"
                          " agreed to in writing software distributed under the license is"
                          " distributed on an as is basis without warranties or conditions of any"
-                         " kind either express or implied",
+                         " kind either express or implied see the license for the specific"
+                         " language governing permissions and limitations under the license",
     "apache-2.0-notice": "[[released|licensed]] under the apache license [[version]] 2 0",
     "bsd-notice": "[[released|licensed]] under the [[2 clause|3 clause|new|simplified]] bsd"
                   " license",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without"
-                          " modification are permitted provided that the following conditions"
-                          " are met",
+    "bsd": "redistribution and use in source and binary forms with or without modification are"
+           " permitted provided that the following conditions are met [[1]] redistributions of"
+           " source code must retain the above copyright notice this list of conditions and the"
+           " following disclaimer [[2]] redistributions in binary form must reproduce the above"
+           " copyright notice this list of conditions and the following disclaimer in the"
+           " documentation and or other materials provided with the distribution [[[[3]] neither"
+           " the name of {{12}} nor the names of its contributors may be used to endorse or promote"
+           " products derived from this software without specific prior written permission]] this"
+           " software is provided by {{12}} as is and any express or implied warranties including"
+           " but not limited to the implied warranties of merchantability and fitness for a"
+           " particular purpose are disclaimed in no event shall {{12}} be liable for any direct"
+           " indirect incidental special exemplary or consequential damages including but not"
+           " limited to procurement of substitute goods or services loss of use data or profits or"
+           " business interruption however caused and on any theory of liability whether in"
+           " contract strict liability or tort including negligence or otherwise arising in any"
+           " way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-opening": "redistribution and use in source and binary forms with or without"
+                   " modification are permitted provided that the following conditions are met",
     "cc-by-nc-notice": "licensed under [[a]] [[the]] cc by nc [[1 0|2 0|2 5|3 0|4 0]]",
     "cc-by-notice": "licensed under [[a]] [[the]] cc by [[1 0|2 0|2 5|3 0|4 0]]",
     "cc0-notice": "[[to the extent possible under law]] {{8}} has waived all copyright and related"
@@ -56,19 +74,37 @@ TEMPLATES = {
                           " under the terms of the gnu general public license as published by the"
                           " free software foundation [[either]] version {{3}} of the license [[or"
                           " at your option any later version]]",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or"
-           " without fee is hereby granted provided that the above copyright notice and this"
-           " permission notice appear in all copies",
+    "isc": "permission to use copy modify and [[or]] distribute this software for any purpose with"
+           " or without fee is hereby granted provided that the above copyright notice and this"
+           " permission notice appear in all copies the software is provided as is and {{8}}"
+           " disclaims all warranties with regard to this software including all implied"
+           " warranties of merchantability and fitness in no event shall {{8}} be liable for any"
+           " special direct indirect or consequential damages or any damages whatsoever resulting"
+           " from loss of use data or profits whether in an action of contract negligence or other"
+           " tortious action arising out of or in connection with the use or performance of this"
+           " software",
+    "isc-opening": "permission to use copy modify and [[or]] distribute this software for any"
+                   " purpose with or without fee is hereby granted",
     "lgpl-notice": "licensed under the gnu lesser general public license [[version {{2}}]]",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this"
            " software and associated documentation files the software to deal in the software"
            " without restriction including without limitation the rights to use copy modify merge"
            " publish distribute sublicense and or sell copies of the software and to permit"
            " persons to whom the software is furnished to do so subject to the following"
-           " conditions",
+           " conditions the above copyright notice and this permission notice [[including the next"
+           " paragraph]] shall be included in all copies or substantial portions of the software"
+           " the software is provided as is without warranty of any kind express or implied"
+           " including but not limited to the warranties of merchantability fitness for a"
+           " particular purpose and noninfringement in no event shall {{12}} be liable for any"
+           " claim damages or other liability whether in an action of contract tort or otherwise"
+           " arising from out of or in connection with the software or the use or other dealings"
+           " in the software",
+    "mit-opening": "permission is hereby granted free of charge to any person obtaining a copy of"
+                   " this software and associated documentation files the software to deal in the"
+                   " software without restriction",
     "mit-notice": "[[released|licensed]] under the mit license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mpl-2.0-opening": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense-opening": "this is free and unencumbered software released into the public domain",
 }
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b in ASCII_WORD_BYTES else 32

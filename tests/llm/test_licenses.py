@@ -103,3 +103,43 @@ def test_dense_long_text_takes_linear_time():
         line, None, {"mit-notice": L.compile_template(L.TEMPLATES["mit-notice"])})
     assert len(base) == 320_000 and len(more) == 160_000 and time.time() - began < 30
     assert base[160_000 - 1][1] % 10 == base[0][1] % 10 and base[1][1] - base[0][1] == 10
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_wording_and_openings():
+    labels = lambda text: scan("A file. " + text + " End.")["labels"][0].split(",")
+    assert labels(MIT) == ["mit", "mit-opening"]
+    assert "mit" in labels(MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "Example Company"))
+    for old, new in (("WITHOUT WARRANTY", "WITH WARRANTY"), ("shall be included", "may be included"),
+                     ("OUT OF OR", "OR"), (" sublicense,", "")):
+        assert labels(MIT.replace(old, new)) == ["mit-opening"], old
+    assert labels(MIT[:MIT.index("THE SOFTWARE IS")]) == ["mit-opening"]
+
+
+@pytest.mark.parametrize("label", ["bsd", "isc", "apache-2.0-header"])
+def test_altered_warranty_or_conditions_are_rejected(label):
+    markup = L.TEMPLATES[label]
+    whole = re.sub(r"\{\{\d+\}\}", "the owner", re.sub(r"\[\[|\]\]", "", markup)).split()
+    assert label in scan(" ".join(whole))["labels"][0].split(",")
+    changed = [i for i, w in enumerate(whole) if w in ("not", "no", "without", "software")]
+    assert changed
+    for i in changed:
+        text = " ".join([*whole[:i], "something", *whole[i + 1:]])
+        assert label not in scan(text)["labels"][0].split(","), whole[i - 2:i + 2]
+    for n in (len(whole) // 2, len(whole) - 1):
+        assert label not in scan(" ".join(whole[:n]))["labels"][0].split(",")
