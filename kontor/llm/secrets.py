@@ -379,9 +379,10 @@ def learn_grammar(docs: DataFrame, text: str = "text", per_kind: int = 500) -> G
     staged = Staged(docs.sparkSession, "secrets")
     seen = staged.write(_samples(docs, text, wanted), "seen")
     parts = [seen.filter((F.col("kind") == kind) & F.col("h").isNotNull())
-             .groupBy("kind", "h").agg(F.min("symbols").alias("symbols"))
+             .groupBy("h").agg(F.min("symbols").alias("symbols"))
              .orderBy("h").limit(most)
-             .select("kind", "h", "symbols", F.lit(None).cast("long").alias("n"))
+             .select(F.lit(kind).alias("kind"), "h", "symbols",
+                     F.lit(None).cast("long").alias("n"))
              for kind, most in wanted.items()]
     rows = seen.filter(F.col("h").isNull()).groupBy("kind").agg(F.sum("n").alias("n")) \
         .select("kind", F.lit(None).cast("long").alias("h"),
