@@ -6,6 +6,10 @@ D8 shifted by one half).  A vector lies in its own cell of every table and
 probes the neighbouring cells that are next nearest.  Vectors that meet in a
 cell and have the same label are compared by cosine in double precision.
 
+Equal vectors of a label are one class with a weight: classes are hashed and
+compared, and links are counted by the weights, so a vector that many rows
+repeat costs one row.
+
 A pair may meet in several tables; it counts where it meets first, which both
 vectors' cells tell.  Inside a cell a task counts links and keeps a spanning
 set of them, so pairs are never put out one by one.  Cells with many vectors
@@ -19,10 +23,13 @@ its least id (null ids count only if there is no other).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kontor.llm.common import Staged
 from kontor.llm.components import components
@@ -31,8 +38,11 @@ from kontor.llm.ngram_join import group_runs, spanning_links, tiles
 TABLES = 8
 PROBES = 6
 SCALE = 1.2
+#: Vectors of the largest label up to which TABLES and SCALE hold; cells get finer beyond.
+COARSE_VECTORS = 200_000
 LEAST_COSINE = 0.98
 TILE_VECTORS = 1024
+HOT_CLASSES = 200
 SEED = 8
 
 
@@ -105,6 +115,17 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
+def lattice_of(n: int) -> tuple[int, float]:
+    """Tables and scale for a largest label of ``n`` vectors.
+
+    Unrelated vectors meet with a chance that falls with some 7th power of the scale, so a
+    scale that grows with the 12th root of n keeps the comparisons a vector needs at about
+    the square root of n; more tables make up for the links that finer cells miss.
+    """
+    finer = max(1.0, n / COARSE_VECTORS) ** (1 / 12)
+    return math.ceil(TABLES * finer ** 1.5), SCALE * finer
+
+
 def unit_vectors(values: list) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for those that link with nothing."""
     out = []
@@ -118,41 +139,68 @@ def unit_vectors(values: list) -> list[np.ndarray | None]:
             out.append(None)
             continue
         a = a / largest                       # no overflow or underflow in the norm
-        out.append(a / np.linalg.norm(a))
+        out.append(a / np.linalg.norm(a) + 0.0)     # no -0.0: equal vectors, equal bytes
     return out
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
-                    label: str = "label", least: float = LEAST_COSINE, tables: int = TABLES,
-                    probes: int = PROBES, scale: float = SCALE) -> DataFrame:
-    """One row per row: key, n_links, component_id (least key reachable), kept."""
-    staged = Staged(vectors.sparkSession, "lattice")
-    rows = staged.write(vectors.select(
+                    label: str = "label", least: float = LEAST_COSINE, tables: int | None = None,
+                    probes: int = PROBES, scale: float | None = None) -> DataFrame:
+    """One row per row: key, n_links, component_id (least key reachable), kept.
+
+    ``tables`` and ``scale`` follow from the distinct vectors of the largest label unless
+    given.
+    """
+    spark = vectors.sparkSession
+    staged = Staged(spark, "lattice")
+    source = vectors.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("id"),
-        F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").alias("v")), "rows")
+        F.xxhash64(F.col(f"`{label}`")).alias("label"),
+        F.when(F.col(f"`{label}`").isNotNull(), F.col(f"`{vector}`")).alias("v"))
+
+    def normalised(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                units = unit_vectors(part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2),
+                     pa.array([None if u is None else u.tobytes() for u in units], pa.binary())],
+                    ["row", "id", "label", "unit"])
+
+    points = staged.write(source.mapInArrow(normalised, T.StructType(
+        [*source.schema.fields[:3], T.StructField("unit", T.BinaryType())])), "points")
+    usable = points.filter(F.col("unit").isNotNull())
+    if tables is None or scale is None:
+        largest = (usable.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("unit")).alias("n"))
+                   .agg(F.max("n")).first()[0])
+        wanted = lattice_of(largest or 0)
+        tables, scale = tables or wanted[0], scale or wanted[1]
+    # equal vectors of a label are one class from here on, counted on the map side first
+    same = usable.groupBy("label", "unit").agg(
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
+
+    names = [*same.columns, "size", "cells"]
 
     def hashed(batches):
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                units = unit_vectors(part.column(1).to_pylist())
-                for size in sorted({len(u) for u in units if u is not None}):
-                    at = [i for i, u in enumerate(units) if u is not None and len(u) == size]
-                    unit = np.stack([units[i] for i in at])
+                raw = part.column(1).to_pylist()
+                for size in sorted({len(u) for u in raw}):
+                    at = [i for i, u in enumerate(raw) if len(u) == size]
+                    unit = np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1)
                     got = cells(unit, tables, probes, scale).reshape(len(at), -1)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)),
-                         pa.array([size] * len(at), pa.int64()),
-                         pa.array(list(got), pa.list_(pa.int64())),
-                         pa.array([u.tobytes() for u in unit], pa.binary())],
-                        ["row", "label", "size", "cells", "unit"])
+                        [c.take(pa.array(at)) for c in part.columns]
+                        + [pa.array([size // 8] * len(at), pa.int64()),
+                           pa.array(list(got), pa.list_(pa.int64()))],
+                        names)
 
-    labelled = rows.filter(F.col("label").isNotNull()).select(
-        "row", "v", F.xxhash64("label").alias("label"))
-    points = staged.write(labelled.mapInArrow(
-        hashed, "row long, label long, size long, cells array<long>, unit binary"), "points")
+    classes = staged.write(same.mapInArrow(hashed, T.StructType(
+        [*same.schema.fields, T.StructField("size", T.LongType()),
+         T.StructField("cells", T.ArrayType(T.LongType()))])), "classes")
 
     # cells that some vector lies in and another one sees
-    seen = points.select("row", "label", "size", F.posexplode("cells").alias("p", "cell")) \
+    seen = classes.select("row", "label", "size", F.posexplode("cells").alias("p", "cell")) \
         .select("row", "label", "size", "cell", (F.col("p") % (1 + probes) == 0).alias("own"))
     used = (seen.groupBy("label", "size", "cell")
             .agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("has_own"))
@@ -161,12 +209,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     meet = seen.join(used, ["label", "size", "cell"])
     dealt = (tiles(meet, "parts", "row")
              .select("label", "size", "cell", "tile_i", "tile_j", "row", "own", "part_no")
-             .join(points.select("row", "cells", "unit"), "row"))
+             .join(classes.select("row", "weight", "cells", "unit"), "row"))
     keys = ["label", "size", "cell", "tile_i", "tile_j"]
     width = 1 + probes
 
     def compare(table, counts, links):
         row = table.column("row").to_numpy()
+        weight = table.column("weight").to_numpy()
         own = table.column("own").to_numpy(zero_copy_only=False)
         part = table.column("part_no").to_numpy()
         ti, tj = table.column("tile_i")[0].as_py(), table.column("tile_j")[0].as_py()
@@ -195,7 +244,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 near[j].append(i)
         for i, x in enumerate(near):
             if x:
-                counts[int(row[i])] = counts.get(int(row[i]), 0) + len(x)
+                counts[int(row[i])] = counts.get(int(row[i]), 0) + int(weight[x].sum())
         if any(near):
             links.update((int(min(row[i], row[j])), int(max(row[i], row[j])))
                          for i, j in _forest(near))
@@ -212,21 +261,36 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         yield _rows(counts, links)
 
     found = staged.write(
-        dealt.select(*keys, "row", "own", "part_no", "cells", "unit").repartition(*keys)
+        dealt.select(*keys, "row", "weight", "own", "part_no", "cells", "unit").repartition(*keys)
         .sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long"), "found")
     degree = found.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("n_links"))
     joined = components(found.filter(F.col("b").isNotNull()).select("a", "b").distinct())
 
-    own_id = rows.select("row", "id")
-    member = joined.join(own_id, F.col("node") == F.col("row")).select("root", "row", "id")
-    least_id = member.groupBy("root").agg(F.min("id").alias("least_id"))
-    member = member.join(least_id, "root").select(F.col("row").alias("m_row"), "least_id")
-    component = F.coalesce("least_id", "id")
-    return (own_id.join(degree, F.col("row") == F.col("a"), "left")
-            .join(member, F.col("row") == F.col("m_row"), "left")
-            .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    component.alias("component_id"),
-                    F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")))
+    member = classes.select("row", "least").join(joined, F.col("node") == F.col("row"))
+    least_id = member.groupBy("root").agg(F.min("least").alias("root_least"))
+    member = member.join(least_id, "root").select(F.col("node"), "root_least")
+    known = staged.write(
+        classes.select("row", "label", "unit", "weight", "least")
+        .join(degree, F.col("row") == F.col("a"), "left")
+        .join(member, F.col("row") == F.col("node"), "left")
+        .select("label", "unit", "weight",
+                (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+                F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("root_least"))
+                .alias("component")), "known")
+
+    # a class with more than 1 / HOT_CLASSES of the rows is looked up by broadcast: there are
+    # fewer than HOT_CLASSES of them
+    hot = F.col("weight") * HOT_CLASSES > points.count()
+    by = ["label", "unit"]
+    common = F.broadcast(known.filter(hot))
+    out = (usable.join(common, by).select("id", "n_links", "component")
+           .unionByName(usable.join(common, by, "left_anti").join(known.filter(~hot), by)
+                        .select("id", "n_links", "component"))
+           .unionByName(points.filter(F.col("unit").isNull()).select(
+               "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))))
+    component = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(key), "n_links", component.alias("component_id"),
+                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def _forest(near: list[list[int]]) -> list[tuple[int, int]]:

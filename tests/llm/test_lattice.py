@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from kontor.llm import lattice as V
+from kontor.llm.ngram_join import tiles
 from tests.llm.test_ngram_join import roots
 
 
@@ -87,6 +88,39 @@ def test_odd_vectors_and_labels(spark):
     assert run(spark, rows) == brute(rows)[0]
 
 
+def test_many_copies_of_one_vector(spark, monkeypatch):
+    """Copies are one row of the comparison: 20,000 of them, and no cell is cut into tiles."""
+    rng = np.random.default_rng(7)
+    v = [float(x) for x in rng.normal(size=16)]
+    near = [x + 0.01 for x in v]
+    rows = [(i, [2.0 * x for x in v] if i % 2 else v, 0) for i in range(20_000)]
+    rows += [(-1, near, 0), (20_001, near, 0), (20_002, [-x for x in v], 0), (20_003, v, 1)]
+    dealt = []
+    monkeypatch.setattr(V, "tiles", lambda df, *a: dealt.append(df.count()) or tiles(df, *a))
+    got = {i: (n, c, k) for i, n, c, k in run(spark, rows)}
+    assert dealt[0] < 200
+    assert got[-1] == (20_001, -1, True) and got[20_001] == (20_001, -1, False)
+    assert got[20_002] == (0, 20_002, True) and got[20_003] == (0, 20_003, True)
+    assert all(got[i] == (20_001, -1, False) for i in range(20_000))
+
+
+def test_finer_cells_keep_the_links():
+    """Pairs at the least cosine, in the cells that labels of up to 10^9 vectors get."""
+    rng = np.random.default_rng(5)
+    for dim in (16, 64, 384):
+        x = rng.normal(size=(500, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        o = rng.normal(size=x.shape)
+        o -= (o * x).sum(1, keepdims=True) * x
+        o /= np.linalg.norm(o, axis=1, keepdims=True)
+        y = V.LEAST_COSINE * x + np.sqrt(1 - V.LEAST_COSINE ** 2) * o
+        for n in (0, 10 ** 6, 10 ** 7, 10 ** 8, 10 ** 9):
+            a, b = (V.cells(z, *V.lattice_of(n)[:1], scale=V.lattice_of(n)[1]) for z in (x, y))
+            met = ((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).any(1).mean()
+            print(dim, n, V.lattice_of(n), met)
+            assert met >= 0.95
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
