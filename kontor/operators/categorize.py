@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kontor.operators.fixed_values import (
     CARD_TYPE_CATEGORY, DEFAULT_CATEGORY, DEFAULT_RULES,
 )
+from kontor.plans.joins import join_grown
 
 Rules = list[tuple[list[str], str]]
 
@@ -82,16 +83,23 @@ def categorize(df: DataFrame, text_col: str = "concept", out: str = "category",
     return df.withColumn(out, keyword_rules_expr(F.col(text_col), rules, default))
 
 
-# Length of the grams by which a table's keywords are looked up; shorter keywords are
-# grams of their own length.
-GRAM = 4
+# Lengths of the grams by which a table's keywords are looked up: a keyword's is the
+# largest that is not longer than it.  From 4 on they double, so a gram holds more than half
+# of its keyword and few others share it; longer keywords have grams of the last length.
+GRAM_LENGTHS = (1, 2, 3, 4, 8, 16, 32, 64)
 
 
-def _grams(text: Column, length: int) -> Column:
+def _grams(text: Column, length: int | Column) -> Column:
     """Distinct substrings of ``length`` characters."""
+    length = F.lit(length) if isinstance(length, int) else length
     starts = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - length + 1))
     return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")),
-                                        lambda i: F.substring(text, i, F.lit(length))))
+                                        lambda i: F.substring(text, i, length)))
+
+
+def _gram_length(keyword: Column) -> Column:
+    return F.array_max(F.filter(F.array(*[F.lit(n) for n in GRAM_LENGTHS]),
+                                lambda n: n <= F.length(keyword)))
 
 
 def keyword_anchors(rules_df: DataFrame) -> DataFrame:
@@ -100,13 +108,12 @@ def keyword_anchors(rules_df: DataFrame) -> DataFrame:
     words = (rules_df.select(F.explode("keywords").alias("keyword"), "ordinal", "category")
              .filter(F.length("keyword") > 0).withColumn("keyword", F.lower("keyword"))
              .groupBy("keyword").agg(F.min(F.struct("ordinal", "category")).alias("rule")))
-    grams = words.select("keyword", "rule", F.explode(F.when(
-        F.length("keyword") < GRAM, F.array("keyword")).otherwise(
-            _grams(F.col("keyword"), GRAM))).alias("gram"))
+    grams = words.select("keyword", "rule", F.explode(
+        _grams(F.col("keyword"), _gram_length(F.col("keyword")))).alias("gram"))
     held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a keyword has as many grams as characters, so the window is small
     rarest = Window.partitionBy("keyword").orderBy("n", "gram")
-    return (grams.join(held, "gram").withColumn("place", F.row_number().over(rarest))
+    return (join_grown(grams, held, "gram").withColumn("place", F.row_number().over(rarest))
             .filter(F.col("place") == 1).select("gram", "keyword", "rule.ordinal", "rule.category"))
 
 
@@ -117,23 +124,29 @@ def categorize_by_table(df: DataFrame, rules_df: DataFrame, text_col: str = "con
     number of keywords.
 
     The table is an index from grams to keywords: each keyword stands under its rarest
-    gram, and the distinct texts' grams are joined with these.  Only the pairs that meet
-    are tested with ``contains``; a text's least ordinal wins.  The rules stay a table:
-    nothing of them passes through the driver.  Ordinals are unique.
+    gram, and the distinct texts' grams (of the lengths that keywords have) are joined with
+    these.  Only the pairs that meet are tested with ``contains``; a text's least ordinal
+    wins.  The rules stay a table: nothing of them passes through the driver, and no side of
+    a join that grows with rules or texts is broadcast.  Ordinals are unique.
     """
     anchors = keyword_anchors(rules_df)
     low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("nan")))
     rows = df.withColumn("_low", low).withColumn("_text_id", F.md5("_low"))
     texts = rows.select("_text_id", "_low").groupBy("_text_id").agg(F.first("_low").alias("_low"))
-    grams = texts.select("_text_id", F.explode(F.flatten(F.array(
-        *[_grams(F.col("_low"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
-    maybe = (grams.join(anchors.select("gram", "keyword", "ordinal"), "gram")
-             .select("_text_id", "keyword", "ordinal"))
-    first = (maybe.join(texts, "_text_id").filter(F.col("_low").contains(F.col("keyword")))
+    lengths = (rules_df.select(F.explode("keywords").alias("keyword"))
+               .select(_gram_length(F.lower("keyword")).alias("n"))
+               .agg(F.collect_set("n").alias("_lengths")))          # one row
+    grams = texts.crossJoin(F.broadcast(lengths)).select("_text_id", F.explode(F.flatten(
+        F.transform("_lengths", lambda n: _grams(F.col("_low"), n)))).alias("gram"))
+    # the grams' hashes are joined; pairs that only share a hash fail the test on the text
+    maybe = join_grown(grams.select("_text_id", F.xxhash64("gram").alias("gram")),
+                       anchors.select(F.xxhash64("gram").alias("gram"), "keyword", "ordinal"),
+                       "gram").select("_text_id", "keyword", "ordinal")
+    first = (join_grown(maybe, texts, "_text_id").filter(F.col("_low").contains(F.col("keyword")))
              .groupBy("_text_id").agg(F.min("ordinal").alias("ordinal")))
-    named = (first.join(rules_df.select("ordinal", F.col("category").alias("_rule_category")),
-                        "ordinal").select("_text_id", "_rule_category"))
-    return (rows.join(named, "_text_id", "left")
+    named = join_grown(first, rules_df.select("ordinal", F.col("category").alias("_rule_category")),
+                       "ordinal").select("_text_id", "_rule_category")
+    return (join_grown(rows, named, "_text_id", "left")
             .withColumn(out, F.coalesce("_rule_category", F.lit(default)))
             .drop("_low", "_text_id", "_rule_category"))
 

@@ -10,7 +10,10 @@ rows.  Two ways to know the size:
   its stage has run and turns the join into a broadcast join only below
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
   shuffle join, with AQE splitting skewed partitions.  This costs no extra
-  job, unlike counting the side up front.
+  job, unlike counting the side up front;
+* a side that grows with the data (customers, rules, texts): ``join_grown``.  Its file may
+  be smaller than the broadcast threshold while its rows are not: compressed columns
+  become many times their bytes in the driver's hash table.
 """
 
 from __future__ import annotations
@@ -25,3 +28,8 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if known_small:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def join_grown(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` without a broadcast, whatever the size estimate says."""
+    return left.join(right.hint("merge"), on, how)

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kontor.plans.joins import join_grown
 from kontor.schema import MONEY
 from kontor.sources.tables import read_table
 
@@ -149,7 +150,7 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    j = join_grown(o, c, o.o_custkey == c.c_custkey)
     type_map = F.create_map(*[F.lit(x) for kv in _CARD_TYPE_BY_PRIORITY.items() for x in kv])
     signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")) \
         .otherwise(-F.col("o_totalprice")).cast(MONEY)

@@ -42,3 +42,25 @@ def test_fifty_thousand_keywords_meet_few_texts(spark):
                        F.lit(" town")).alias("concept"))
     got = categorize_by_table(rows, rules).collect()
     assert all(r["category"] == f"c{r['id'] * 100 % 10}" for r in got) and len(got) == 500
+
+
+def numbered(spark, n):
+    """Rules for numbers behind one long beginning, and as many texts with them."""
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0"))
+    rules = spark.range(n).select(F.col("id").cast("int").alias("ordinal"),
+                                  F.array(name).alias("keywords"), F.lit("c").alias("category"))
+    return rules, spark.range(n).select("id", F.concat(F.lit("AUTO "), name).alias("concept"))
+
+
+def test_pairs_to_test_grow_with_the_rules_only(spark):
+    # numbers share their short grams: each anchor has to hold more than four digits
+    rules, _ = numbered(spark, 30_000)
+    assert keyword_anchors(rules).groupBy("gram").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    rules, rows = numbered(spark, 300)
+    got = categorize_by_table(rows, rules)
+    assert got.filter("category = 'c'").count() == 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") - plan.count("Join Cross") == plan.count("rightHint=(strategy=merge)") > 4
