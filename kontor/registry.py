@@ -326,18 +326,19 @@ def apply_overrides(spark, d):
 @register
 def apply_overrides_by_id(spark, d):
     """E1/D8/D10 over tables stored by id: bulk edits merged into the stored overrides, which
-    then replace the categories of the stored ledger; no ledger row is moved."""
+    then replace the categories of the stored ledger; no ledger row is moved.  Overrides and
+    edits are made from the stored ledger, so its ids are worked out once."""
     import uuid
     from kontor.operators.ledger import merge_overrides_by_id, write_by_id
     from kontor.sources.files import scratch_path
-    lg = _ledger_ids(spark, d)
     folder, name = scratch_path(spark, "by-id"), f"kontor_{uuid.uuid4().hex}"
-    write_by_id(lg, f"{name}_ledger", 16, folder + "/ledger")
-    write_by_id(S.overrides_table(spark, d, lg), f"{name}_old", 16, folder + "/old")
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_by_id(_ledger_ids(spark, d), f"{name}_ledger", buckets, folder + "/ledger")
+    lg = spark.table(f"{name}_ledger")
+    write_by_id(S.overrides_table(spark, d, lg), f"{name}_old", buckets, folder + "/old")
     new = overrides.bulk_apply(lg, S.edits_table(spark, d, lg))
-    merge_overrides_by_id(spark, f"{name}_old", new, f"{name}_overrides", 16, folder + "/new")
-    return overrides.apply_overrides(spark.table(f"{name}_ledger"),
-                                     spark.table(f"{name}_overrides")).select(
+    merge_overrides_by_id(spark, f"{name}_old", new, f"{name}_overrides", buckets, folder + "/new")
+    return overrides.apply_overrides(lg, spark.table(f"{name}_overrides")).select(
         "bank", "src_row", "category")
 
 
