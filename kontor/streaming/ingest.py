@@ -113,7 +113,7 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
     their key columns (``_k_*``), key hash (``_kh``) and bucket (``_kb``).
 
     Batches are numbered from 0 without gaps that hold keys, as the stream does.  ``rows``
-    is read more than once (its hashes, then the anti-join); pass a deterministic or
+    is read more than once (its buckets and hashes, then the anti-join); pass a deterministic or
     persisted DataFrame.
     """
     keyed = _keyed(dedup(rows.select(*LEDGER_COLUMNS)))
@@ -124,12 +124,13 @@ def merge_batch(spark: SparkSession, rows: DataFrame, ledger_path: str,
     if not runs:
         return keyed
     known = _read_runs(spark, keyed, ledger_path, runs)
-    hashes = [r["_kh"] for r in keyed.select("_kh").distinct().limit(FEW_HASHES + 1).collect()]
-    if len(hashes) <= FEW_HASHES:
-        known = known.filter(F.col("_kh").isin(hashes))
-        buckets = sorted({h % KEY_BUCKETS for h in hashes})
-    else:
-        buckets = [r["_kb"] for r in keyed.select("_kb").distinct().collect()]
+    # duplicates have the hash of the row kept: hashes and buckets need no dedup
+    hashed = _keyed(rows.select(*LEDGER_COLUMNS)).select("_kb", "_kh")
+    buckets = sorted(r["_kb"] for r in hashed.select("_kb").distinct().collect())
+    if len(buckets) <= FEW_HASHES:
+        hashes = [r["_kh"] for r in hashed.select("_kh").distinct().limit(FEW_HASHES + 1).collect()]
+        if len(hashes) <= FEW_HASHES:
+            known = known.filter(F.col("_kh").isin(hashes))
     matches = known.filter(F.col("_kb").isin(buckets))
     cond = functools.reduce(lambda a, b: a & b, [keyed[c].eqNullSafe(matches[c])
                                                  for c in _key_cols(keyed) + ["_kb", "_kh"]])
