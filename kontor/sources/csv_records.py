@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kontor.sources.files import stage_table
+
 # the inside of a quoted field: anything but single quotes
 _INSIDE = r'[^"]*+(?:""[^"]*+)*+'
 _CLOSED = f'"{_INSIDE}"[^,]*+'
@@ -67,21 +69,15 @@ def read_csv_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def headed_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first record of every file (src_file, first, record) and the others' records
-    (src_file, src_row, first, record)."""
-    marks = file_marks(lines)
-    placed = _placed(lines)
-    torn = F.col("first") == F.col("first_open")
-    one_line = (placed.join(marks, "src_file")
-                .filter(F.coalesce(~torn, F.lit(True)) & (F.col("position") == F.col("first")))
-                .select("src_file", "first", F.col("value").alias("record")))
-    of_torn = lines.join(marks.filter(torn).select("src_file"), "src_file", "left_semi")
-    more = (_joined_lines(_placed(of_torn)).join(marks, "src_file")
-            .filter(F.col("position") == F.col("first")).select("src_file", "first", "record"))
-    heads = one_line.unionByName(more)
-    rows = (records_of(lines, marks).join(marks.select("src_file", "first"), "src_file")
-            .filter(F.col("position") != F.col("first"))
-            .select("src_file", "src_row", "record"))
-    return heads, rows
+    (src_file, src_row, first, record).  The records are put together once and stored: both
+    are read from there."""
+    marks = stage_table(file_marks(lines), "csv-marks")
+    records = stage_table(records_of(lines, marks).join(marks.select("src_file", "first"),
+                                                        "src_file"), "csv-records")
+    heads = records.filter(F.col("position") == F.col("first"))
+    rows = records.filter(F.col("position") != F.col("first"))
+    return (heads.select("src_file", "first", "record"),
+            rows.select("src_file", "src_row", "record"))
 
 
 def _position(split: Column, row: Column) -> Column:
@@ -138,7 +134,10 @@ def _joined_lines(lines: DataFrame) -> DataFrame:
     after = F.last("sets", ignorenulls=True).over(to_here)
     code = F.when(after.isNotNull(), (after + F.col("swaps")) % 2).otherwise(
         2 + F.col("swaps") % 2)
-    lines = lines.withColumn("code", code)
+    # stored: the sums over splits read its states, not the texts, and no line is scanned again
+    lines = stage_table(lines.withColumn("code", code)
+                        .select("src_file", "split", "src_row", "value", "position", "set_before",
+                                "swaps_before", "code"), "csv-lines")
     splits = lines.groupBy("src_file", "split").agg(
         F.max(F.col("src_row") * 4 + F.col("code")).alias("last"))
     of_file = Window.partitionBy("src_file").orderBy("split")
