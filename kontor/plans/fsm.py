@@ -14,12 +14,11 @@ document in one task.  Instead:
    recomputation after an executor loss assigns the same blocks;
 2. per (key, block), the block's transition function: for each possible
    entry state, the exit state and the last "marked" row seen (numpy over
-   Arrow batches through ``applyInPandas``; pairwise tree composition);
+   Arrow tables through ``applyInArrow``; pairwise tree composition);
 3. per key, the entry state of every block: a linear fold of the block
    functions in block order (one small row per block);
 4. per (key, block), replay from the entry state (``cogroup`` of the rows
-   with their block's entry; an inclusive prefix scan of the row functions in
-   numpy), giving each row the state before it and the most recent marked
+   with their block's entry, one step a row), giving each row the state before it and the most recent marked
    row (e.g. the start of the record it belongs to).
 
 The machine is a table ``next_state[state][symbol]`` over small integers;
@@ -29,8 +28,10 @@ The order column must be a non-negative integer (a line number).
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
     latest marked row at or before this row within its key, or null)."""
     n_states = len(table)
     trans = np.array(table, dtype=np.int64)
+    steps = [list(map(int, row)) for row in table]
     is_mark = np.zeros_like(trans, dtype=bool)
     for s, y in marks:
         is_mark[s, y] = True
@@ -56,10 +58,13 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
     rows = line_blocks(df.join(n_rows.filter(F.col("_n") > block_rows).select(key), key,
                                "left_semi"), key, order, block_rows)
 
-    def block_function(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        syms = pdf[symbol].to_numpy(dtype=np.int64)
-        pos = pdf[order].to_numpy(dtype=np.int64)
+    def in_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows = rows.sort_by(order)
+        return (rows, rows[symbol].to_numpy().astype(np.int64),
+                rows[order].to_numpy().astype(np.int64))
+
+    def block_function(block: pa.Table) -> pa.Table:
+        block, syms, pos = in_order(block)
         # one row = one function of the entry state; compose pairwise (a tree,
         # log2(rows) numpy steps) into the block's function
         f = trans[:, syms].T.copy()                               # (rows, states)
@@ -73,75 +78,61 @@ def fsm_scan(df: DataFrame, key: str, order: str, symbol: str,
             f = np.take_along_axis(bf, af, axis=1)
             bm_at = np.take_along_axis(bm, af, axis=1)
             m = np.where(bm_at >= 0, bm_at, am)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "_blk": [int(pdf["_blk"].iloc[0])],
-                             "_exit": [[int(x) for x in f[0]]],
-                             "_last": [[None if x < 0 else int(x) for x in m[0]]]})
+        return pa.table({
+            key: block[key].slice(0, 1), "_blk": block["_blk"].slice(0, 1),
+            "_exit": pa.array([f[0].tolist()], pa.list_(pa.int32())),
+            "_last": pa.array([[None if x < 0 else int(x) for x in m[0]]], pa.list_(pa.int64()))})
 
-    funcs = rows.groupBy(key, "_blk").applyInPandas(
+    # only what the functions are made of goes through Python
+    funcs = rows.select(key, "_blk", order, symbol).groupBy(key, "_blk").applyInArrow(
         block_function, f"`{key}` {key_type}, _blk long, _exit array<int>, _last array<long>")
 
     # fold block functions per key, in block order: a linear pass over one
     # small row per block (the block-function table, not the rows)
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
+    def fold(functions: pa.Table) -> pa.Table:
+        functions = functions.sort_by("_blk")
         s, m = initial, None
         entries, marks_in = [], []
-        for ex, last in zip(pdf["_exit"], pdf["_last"]):
+        for ex, last in zip(functions["_exit"].to_pylist(), functions["_last"].to_pylist()):
             entries.append(s)
             marks_in.append(m)
-            lm = last[s]
-            if lm is not None and not pd.isna(lm):
-                m = int(lm)
-            s = int(ex[s])
-        return pd.DataFrame({key: pdf[key].to_numpy(), "_blk": pdf["_blk"].to_numpy(),
-                             "_entry": entries,
-                             "_entry_mark": pd.array(marks_in, dtype="Int64")})
-
-    entries = funcs.groupBy(key).applyInPandas(
+            m = m if last[s] is None else last[s]
+            s = ex[s]
+        return pa.table({key: functions[key], "_blk": functions["_blk"],
+                         "_entry": pa.array(entries, pa.int32()),
+                         "_entry_mark": pa.array(marks_in, pa.int64())})
+
+    entries = funcs.groupBy(key).applyInArrow(
         fold, f"`{key}` {key_type}, _blk long, _entry int, _entry_mark long")
 
     out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def replay(pdf: pd.DataFrame, e: int, m0: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        syms = pdf[symbol].to_numpy(dtype=np.int64)
-        pos = pdf[order].to_numpy(dtype=np.int64)
-        # inclusive prefix compositions (Hillis-Steele): row i holds the
-        # function of rows 0..i and the last mark seen, per entry state
-        f = trans[:, syms].T.copy()
-        m = np.where(is_mark[:, syms].T, pos[:, None], -1)
-        d = 1
-        while d < len(f):
-            af = f[:-d]
-            bm_at = np.take_along_axis(m[d:], af, axis=1)
-            nf, nm = f.copy(), m.copy()
-            nf[d:] = np.take_along_axis(f[d:], af, axis=1)
-            nm[d:] = np.where(bm_at >= 0, bm_at, m[:-d])
-            f, m, d = nf, nm, d * 2
-        after = f[:, e]
-        marks_at = m[:, e]
-        out = pdf.copy()
-        out["state_before"] = np.concatenate([[e], after[:-1]]).astype("int32")
+    def replay(part: pa.Table, e: int, m0: int) -> pa.Table:
+        part, syms, pos = in_order(part)
+        # the entry state is known: one step a row
+        states = np.fromiter(itertools.accumulate(syms.tolist(), lambda s, y: steps[s][y],
+                                                  initial=e), np.int64, len(syms) + 1)
+        before = states[:-1]
+        marks_at = np.maximum.accumulate(np.where(is_mark[before, syms], pos, -1))
         marks_at = np.where(marks_at >= 0, marks_at, m0)
-        out["mark"] = pd.array(np.where(marks_at >= 0, marks_at, 0), dtype="Int64")
-        out.loc[marks_at < 0, "mark"] = pd.NA
-        return out
+        return (part.append_column("state_before", pa.array(before.astype(np.int32)))
+                .append_column("mark", pa.array(marks_at, pa.int64(), mask=marks_at < 0)))
 
-    def replay_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        return replay(pdf, initial, -1)
+    def replay_document(document: pa.Table) -> pa.Table:
+        return replay(document, initial, -1)
 
-    def replay_block(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pdf.drop(columns="_blk").assign(state_before=pd.Series(dtype="int32"),
-                                                   mark=pd.Series(dtype="Int64"))
-        m0 = entry["_entry_mark"].iloc[0]
-        return replay(pdf.drop(columns="_blk"), int(entry["_entry"].iloc[0]),
-                      -1 if pd.isna(m0) else int(m0))
+    def replay_block(block: pa.Table, entry: pa.Table) -> pa.Table:
+        block = block.drop_columns("_blk")
+        if not len(block):
+            return (block.append_column("state_before", pa.array([], pa.int32()))
+                    .append_column("mark", pa.array([], pa.int64())))
+        m0 = entry["_entry_mark"][0].as_py()
+        return replay(block, entry["_entry"][0].as_py(), -1 if m0 is None else m0)
 
     schema = f"{out_fields}, state_before int, mark bigint"
     blocks = rows.groupBy(key, "_blk").cogroup(entries.groupBy(key, "_blk"))
-    return short.groupBy(key).applyInPandas(replay_document, schema).unionByName(
-        blocks.applyInPandas(replay_block, schema))
+    return short.groupBy(key).applyInArrow(replay_document, schema).unionByName(
+        blocks.applyInArrow(replay_block, schema))
 
 
 def line_blocks(df: DataFrame, key: str, order: str, block_rows: int) -> DataFrame:

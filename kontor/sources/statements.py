@@ -29,6 +29,7 @@ from kontor.operators.identity import dedup
 from kontor.plans.fsm import fsm_scan
 from kontor.plans.joins import join_small
 from kontor.schema import LEDGER_COLUMNS
+from kontor.sources.files import stage_table
 
 # ---- FIXED VALUES: statement text patterns ----
 MONEY_RE = r"^-?[\d,]+\.\d{2}$"
@@ -109,6 +110,8 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
             .filter(F.col("line_no") >= F.coalesce("_start", F.lit(0)))
             .select("doc", "line_no", "line", _ddmmyyyy(F.col("_this")).alias("this_stmt"),
                     _symbol(F.col("line")).alias("sym")))
+    # stored: the scan reads its rows several times, and the numbers without the texts
+    body = stage_table(body, "stmt-body")
     scanned = fsm_scan(body, "doc", "line_no", "sym", TRANSITIONS, SEEK, RECORD_START,
                        **({"block_rows": block_rows} if block_rows else {}))
 
@@ -116,8 +119,9 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
     role = (F.when((st == SEEK) & (sym == DATE), F.lit("date"))
             .when(st == DESC, F.when(sym == MONEY_LINE, F.lit("amount")).otherwise(F.lit("desc")))
             .when((st == AFTER_AMOUNT) & (sym == MONEY_LINE), F.lit("balance")))
-    parts = scanned.withColumn("role", role).filter(F.col("role").isNotNull()
-                                                    & F.col("mark").isNotNull())
+    # stored: read twice, and scanned once
+    parts = stage_table(scanned.withColumn("role", role).filter(
+        F.col("role").isNotNull() & F.col("mark").isNotNull()), "stmt-parts")
     # only complete records (those with a balance line) gather their lines: a
     # record cut off by the end of a document never collects its text
     complete = parts.filter(F.col("role") == "balance").select("doc", "mark")
