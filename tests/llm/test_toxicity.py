@@ -126,6 +126,60 @@ def test_long_null_and_equal_texts(spark):
     assert not kept & {1000, 1003} and {1001, 1002} <= kept
 
 
+def test_every_labelled_text_is_learned_from(spark):
+    from pyspark.sql import functions as F
+    last = {r["id"] for r in spark.range(5000).filter(~X.held_out("id"))
+            .orderBy(F.xxhash64("id", F.lit("train")).desc()).limit(60).collect()}
+    rows = [(i, f"w{i % 40} " + ("late" if i in last else "fine" if i % 20 else "vile"), "en")
+            for i in range(5000)]
+    big = [i for i in range(6000, 6060) if zlib.crc32(str(i).encode()) % 5]
+    rows += [(i, "huge " + "x" * 700_000, "en") for i in big[:20]]
+    docs, labels = frames(spark, rows, [(r[0], int("vile" in r[1])) for r in rows])
+    model = X.fit(docs, labels)
+    for word in (b"late", b"huge", b"vile"):
+        assert np.isin(X.rows_of(X.Hasher()([word])[0]), model.known).all(), word
+    got = X.scores(model, model.table(), X.Hasher()([b"w1 vile", b"w1 fine", b"w1 late", b"huge"]))
+    assert got[0] > 0.5 > max(got[1:])
+
+
+def test_parts_are_averaged_and_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_TEXTS", 100)
+    monkeypatch.setattr(X, "BATCHES", 60)
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"w{rng.randrange(50)}" for _ in range(20)] + ["vile"] * (i % 2)), "en")
+            for i in range(400)]
+    docs, labels = frames(spark, rows, [(i, i % 2) for i in range(400)])
+    one, two = X.fit(docs, labels), X.fit(docs.repartition(3), labels.repartition(7))
+    assert np.array_equal(one.known, two.known) and np.array_equal(one.embed, two.embed)
+    assert one.out_bias == two.out_bias and one.thresholds == two.thresholds
+    got = X.scores(one, one.table(), X.Hasher()([r[1].encode() for r in rows]))
+    assert np.mean((got >= 0.5) == (np.arange(400) % 2 == 1)) > 0.95
+
+
+def test_cuts_over_a_table_are_those_in_memory(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(v), int(rng.random() < v), lang) for lang in ("en", "de", None)
+            for v in np.round(np.clip(rng.random(200), 0.001, 0.999), 2 + (lang == "de")).clip(0.01, 0.99)]
+    scored = spark.createDataFrame(rows, "score double, y int, lang string")
+    cuts = X.best_cuts(X.Staged(spark, "test"), scored)
+    assert cuts.keys() == {None, "en", "de"}
+    for lang, (n, hits, top, below) in cuts.items():
+        v, y = (np.array(x) for x in zip(*[r[:2] for r in rows if lang in (None, r[2])]))
+        assert (n, hits) == (len(y), y.sum()) and (top + below) / 2 == X.best_threshold(v, y)
+
+
+def test_winners_do_not_depend_on_the_room(monkeypatch):
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(30, sum(X.WIDTHS) * X.FILTERS)).astype(np.float32)
+    table[0] = 0
+    texts = [rng.integers(0, 30, n) for n in (0, 1, 4, 60, 7, 200, 3)]
+    best, won = X.winners(table, texts)
+    for room in (1, 2, 5, 61):
+        monkeypatch.setattr(X, "ROOM", room)
+        b, w = X.winners(table, texts)
+        assert np.array_equal(b, best) and all(map(np.array_equal, w, won))
+
+
 def test_held_out_accuracy(spark):
     from kontor.llm.queries import op4_toxicity_cnn
     big = "/root/testdata/sf0.1"
