@@ -557,20 +557,22 @@ def _sources(spark, d):
                                            " Amount string, State string, Balance string,"
                                            " src_file string, src_row long")
     rules = S.STANDIN_RULES
+    # the exports are made from one join, stored
+    joined = stage_table(S.joined_orders(spark, d), "joined-orders")
     return [
         Source("yearly", 0, "Rural", empty_cells, "path",
                lambda r: grids.load_yearly_bank(r, "Rural", rules)),
-        Source("yearly", 1, "Bank1", S.yearly_cells(spark, d), "path",
+        Source("yearly", 1, "Bank1", S.yearly_cells(spark, d, joined), "path",
                lambda r: grids.load_yearly_bank(r, "Bank1", rules)),
-        Source("multi", 0, "Caixa", S.wide_cells(spark, d), "path",
+        Source("multi", 0, "Caixa", S.wide_cells(spark, d, joined), "path",
                lambda r: grids.load_multi_layout_bank(r, "Caixa", rules)),
-        Source("multi", 1, "Bank2", S.old_cells(spark, d), "path",
+        Source("multi", 1, "Bank2", S.old_cells(spark, d, joined), "path",
                lambda r: grids.load_multi_layout_bank(r, "Bank2", rules)),
         Source("card", 0, "Revo", empty_card, "src_file",
                lambda r: card_csv.load_card_bank(r, "Revo", rules)),
-        Source("card", 1, "Bank3", S.card_rows(spark, d), "src_file",
+        Source("card", 1, "Bank3", S.card_rows(spark, d, joined), "src_file",
                lambda r: card_csv.load_card_bank(r, "Bank3", rules)),
-        Source("statements", 0, "BNCR", S.statement_lines(spark, d), "doc",
+        Source("statements", 0, "BNCR", S.statement_lines(spark, d, joined=joined), "doc",
                lambda r: statements.load_statements(stage_table(r, "stmt-lines"), "BNCR", rules)),
     ]
 

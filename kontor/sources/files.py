@@ -4,8 +4,10 @@ preference (A17), and the scratch folder jobs write intermediate tables to."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from kontor.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
 # ---- FIXED VALUES: accepted extensions per kind of export ----
 CSV_EXTENSIONS = ["csv"]
 
+# folders staged by the step that runs now
+_staged: ContextVar[list[str]] = ContextVar("staged")
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a job's intermediate files, inside the shared
@@ -23,16 +28,65 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/kontor-scratch/{name}-{uuid.uuid4().hex}"
 
 
+# Spark deletes a job's shuffle files when the job has ended, not when the driver's JVM
+# happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a derived input once (parquet, scratch folder) and read it back:
     what a pipeline does with an export it reads several times, instead of
-    recomputing it at every reference."""
+    recomputing it at every reference.  The write's shuffle files go with its end."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if (step := _staged.get(None)) is not None:
+        step.append(path)
     return spark.read.parquet(path)
 
 
+def stage_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``make()``, stored; the tables that it staged on the way, which nothing
+    else reads, are deleted."""
+    mine: list[str] = []
+    outer = _staged.set(mine)
+    try:
+        df = make()
+    finally:
+        _staged.reset(outer)
+    out = stage_table(df, name)
+    for path in mine:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+# Rows of a side that grows with the data up to which it is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def counted(side: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """A join's side with one row per file, stored, and whether it is small enough for a
+    broadcast.  Adaptive execution would find that out only after it has written the
+    shuffle of the other side."""
+    side = stage_table(side, name)
+    return side, side.count() <= BROADCAST_ROWS
+
+
 def extension_filter(paths: DataFrame, extensions: list[str], col: str = "path") -> DataFrame:
     """Case-insensitive suffix match (``*.xls*`` style)."""
     pattern = r"\.(" + "|".join(extensions) + r")$"
@@ -115,17 +169,21 @@ def load_all(spark: SparkSession, sources: list[Source], ordered: bool = False)
     """A17 + I1 + B2: the unified ledger of the chosen sources.
 
     The choice is a tiny table (one row per slot) brought to the driver to
-    decide which loaders run; each chosen loader is a distributed job.
+    decide which loaders run; each chosen loader is a distributed job whose
+    rows are stored, so that its shuffles and staged inputs are gone before the
+    next one runs.
     ``ordered`` adds H1 (a global sort by date): only for presenting rows —
     aggregates do not need it, and the stored table is date-clustered by
     ``operators.ledger.write_ledger`` instead.
     """
-    parts = [s.load(s.raw) for s in _preferred(spark, sources).values()]
+    parts = [stage_result(spark, f"ledger-{s.name}",
+                          lambda s=s: s.load(s.raw).select(*LEDGER_COLUMNS))
+             for s in _preferred(spark, sources).values()]
     if not parts:
         return spark.createDataFrame([], LEDGER_SCHEMA)
-    out = parts[0].select(*LEDGER_COLUMNS)
+    out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select(*LEDGER_COLUMNS))
+        out = out.unionByName(p)
     return ledger_order(out) if ordered else out
 
 

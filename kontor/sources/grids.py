@@ -31,6 +31,7 @@ from kontor.operators.fixed_values import DEFAULT_RULES
 from kontor.operators.identity import dedup
 from kontor.plans.joins import join_small
 from kontor.schema import LEDGER_COLUMNS, MONEY
+from kontor.sources.files import counted
 
 # ---- FIXED VALUES: header keywords of the workbook layouts ----
 YEARLY_DATE_WORDS = ["fecha", "date", "f. operaci", "operaci"]
@@ -127,7 +128,8 @@ def parse_yearly(raw: DataFrame) -> DataFrame:
     ``yearly_rejects``).  Returns (date, concept, amount, balance, src_file,
     src_row); amounts may be null (S7).
     """
-    rows = join_small(raw, _yearly_files(raw), "path", "inner")
+    files, few = counted(_yearly_files(raw), "yearly-files")
+    rows = join_small(raw, files, "path", "inner", few)
     positional = F.col("header_row").isNull()
     rows = rows.filter((positional & (F.col("_width") >= YEARLY_MIN_COLUMNS)) |
                        (F.col("row_no") > F.col("header_row")))
@@ -218,7 +220,8 @@ def parse_multi_layout(raw: DataFrame) -> DataFrame:
     Old: rows from row 3; date, value date, concept, details, amount, balance;
     details appended to the concept when present.
     """
-    rows = join_small(raw, _wide_files(raw), "path", "left")
+    files, few = counted(_wide_files(raw), "wide-files")
+    rows = join_small(raw, files, "path", "left", few)
     wide = F.col("header_row").isNotNull()
     rows = rows.filter(
         (wide & F.col("_usable") & (F.col("row_no") > F.col("header_row"))

@@ -145,12 +145,13 @@ _CARD_TYPE_BY_PRIORITY = {
 }
 
 
-def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_rows(spark: SparkSession, sf_dir: str, joined: DataFrame | None = None) -> DataFrame:
+    """``joined``: the orders with their customers (``joined_orders``), if they are at hand."""
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
-    j = join_grown(o, c, o.o_custkey == c.c_custkey)
+    j = join_grown(o, c, o.o_custkey == c.c_custkey) if joined is None else joined
     type_map = F.create_map(*[F.lit(x) for kv in _CARD_TYPE_BY_PRIORITY.items() for x in kv])
     signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")) \
         .otherwise(-F.col("o_totalprice")).cast(MONEY)
@@ -278,13 +279,19 @@ _WIDE_HEADER = ([None, "Account Number", "Branch", "Currency", "Operation Date",
                 + [f"Description {i}" for i in range(1, 11)] + [None])
 
 
-def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers, for exports that are all made from them."""
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal",
                                                      "c_name")
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    return o.join(c, o.o_custkey == c.c_custkey, "inner")
+
+
+def _orders_customers(spark: SparkSession, sf_dir: str,
+                      joined: DataFrame | None = None) -> DataFrame:
+    j = joined_orders(spark, sf_dir) if joined is None else joined
     return j.withColumn("y", F.year("o_orderdate")).withColumn(
         "amt", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
         .otherwise(-F.col("o_totalprice")).cast(MONEY)).withColumn(
@@ -303,11 +310,11 @@ def _per_file_rows(files: DataFrame, rows: list[tuple[int, list]]) -> DataFrame:
         "path", F.col("r.row_no").cast("long").alias("row_no"), "r.cells")
 
 
-def yearly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def yearly_cells(spark: SparkSession, sf_dir: str, joined: DataFrame | None = None) -> DataFrame:
     """Yearly sheets: the header sits after (year % 3) * 2 preamble rows, in
     Spanish for even years and English for odd ones; 1998 has no header and
     five positional columns with ISO dates."""
-    oc = _orders_customers(spark, sf_dir)
+    oc = _orders_customers(spark, sf_dir, joined)
     path = F.concat(F.lit("Bank1/"), F.col("y").cast("string"), F.lit(".xlsx"))
     offset = (F.col("y") % 3) * 2
     positional = F.col("y") == YEARLY_POSITIONAL_YEAR
@@ -341,13 +348,13 @@ def yearly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(heads)
 
 
-def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_cells(spark: SparkSession, sf_dir: str, joined: DataFrame | None = None) -> DataFrame:
     """25-column sheets: three preamble rows (one blank), the header in row 3,
     an empty row 4, data from row 5.  Income/expense split by sign, the
     balance in the (+) or (-) column by its sign; descriptions vary with the
     order priority (operation-date lead, empty first description, details
     already contained, details appended)."""
-    oc = _orders_customers(spark, sf_dir)
+    oc = _orders_customers(spark, sf_dir, joined)
     path = F.concat(F.lit("Bank2/"), F.col("y").cast("string"), F.lit(".xlsx"))
     dmy = F.date_format("o_orderdate", "dd/MM/yyyy")
     concept = F.concat_ws(" ", "c_mktsegment", "o_orderpriority")
@@ -407,10 +414,10 @@ def one_column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_cells(spark, sf_dir).withColumn("cells", F.transform("cells", value))
 
 
-def old_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def old_cells(spark: SparkSession, sf_dir: str, joined: DataFrame | None = None) -> DataFrame:
     """Six-column sheets with three title rows and no header: ISO dates,
     segment as concept, priority as details (none for 5-LOW)."""
-    oc = _orders_customers(spark, sf_dir)
+    oc = _orders_customers(spark, sf_dir, joined)
     path = F.concat(F.lit("Bank2old/"), F.col("y").cast("string"), F.lit(".xls"))
     cells = F.array(
         F.date_format("o_orderdate", "yyyy-MM-dd"),
@@ -431,7 +438,7 @@ STATEMENT_CORRECTED_MONTH = 6      # June statements open with a correction that
 
 
 def statement_lines(spark: SparkSession, sf_dir: str, corrected_month: int | None = None,
-                    fiscal: bool = False) -> DataFrame:
+                    fiscal: bool = False, joined: DataFrame | None = None) -> DataFrame:
     """Orders rendered as monthly statements per account (text lines).
 
     Per document: title lines with the previous/this statement dates and the
@@ -448,7 +455,7 @@ def statement_lines(spark: SparkSession, sf_dir: str, corrected_month: int | Non
     July to June, so half of their records belong to the year before the statement's.
     """
     from pyspark.sql import Window
-    oc = _orders_customers(spark, sf_dir).withColumn(
+    oc = _orders_customers(spark, sf_dir, joined).withColumn(
         "bank", F.concat(F.lit("Bank"), (F.col("o_custkey") % 3 + 1).cast("string"))
     )
     day = F.to_date("o_orderdate")

@@ -10,14 +10,17 @@ until a ``Saldo anterior:`` line met while looking for a record:
 
 A record whose amount is not followed by a money line ends the document;
 a record cut off by the end of the document is dropped.  This is a
-sequential parse, run as a blocked finite-state scan (``plans.fsm``), so a
-long document is spread over many tasks.
+sequential parse, run as a finite-state scan (``plans.fsm``) of the sorted lines, so
+a long document is spread over many tasks; the scan puts out records, not lines.
 """
 
 from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from kontor.operators.identity import dedup
 from kontor.plans.fsm import fsm_scan
 from kontor.plans.joins import join_small
 from kontor.schema import LEDGER_COLUMNS
-from kontor.sources.files import stage_table
+from kontor.sources.files import counted, stage_table
 
 # ---- FIXED VALUES: statement text patterns ----
 MONEY_RE = r"^-?[\d,]+\.\d{2}$"
@@ -93,6 +96,62 @@ def _symbol(line: Column) -> Column:
             .otherwise(F.lit(OTHER)))
 
 
+GATHERED = ("doc string, mark long, role string, line_no long, line string, _ddmm string, "
+            "_desc string, _amount string, _balance string")
+_GATHERED_TYPES = [("doc", pa.string()), ("mark", pa.int64()), ("role", pa.string()),
+                   ("line_no", pa.int64()), *((c, pa.string()) for c in (
+                       "line", "_ddmm", "_desc", "_amount", "_balance"))]
+
+
+def _gathered(n: int, **columns: pa.Array) -> pa.Table:
+    return pa.table({name: columns[name].cast(kind) if name in columns else pa.nulls(n, kind)
+                     for name, kind in _GATHERED_TYPES})
+
+
+def gather_records(rows: pa.Table, syms: np.ndarray, before: np.ndarray, mark: np.ndarray,
+                   whole: bool) -> pa.Table:
+    """The records of consecutive lines of one document, a row each: of ``whole`` runs those
+    with a balance.  Lines that may not be all of their record's (``not whole``), or whose
+    line numbers repeat, come out one by one with their roles."""
+    money = syms == MONEY_LINE
+    roles = np.select([(before == SEEK) & (syms == DATE), (before == DESC) & money, before == DESC,
+                       (before == AFTER_AMOUNT) & money], [1, 2, 3, 4], 0)
+    used = np.flatnonzero((roles > 0) & (mark >= 0) if whole else roles > 0)
+    roles, mark = roles[used], mark[used]
+    line, line_no = rows["line"].take(used).combine_chunks(), rows["line_no"].take(used)
+    doc = rows["doc"].take(used)
+    if whole:
+        first = np.flatnonzero(np.diff(mark, prepend=-1))       # a record's first line
+        record = np.cumsum(np.diff(mark, prepend=-1) != 0) - 1  # each line's record
+        n = len(first)
+        has = [np.bincount(record[roles == r], minlength=n) for r in (1, 2, 4)]
+        numbers = line_no.to_numpy().astype(np.int64)
+        repeats = np.zeros(n, bool)
+        repeats[record[1:][(np.diff(numbers) == 0) & (np.diff(record) == 0)]] = True
+        plain = (has[0] == 1) & (has[1] == 1) & (has[2] == 1) & ~repeats
+        odd = (has[2] > 0) & ~plain
+    else:
+        plain, odd, record = np.zeros(0, bool), np.ones(1, bool), np.zeros(len(used), np.int64)
+    out = []
+    if plain.any():
+        chosen = plain[record]
+        words = np.flatnonzero(chosen & (roles == 3) & line.is_valid().to_numpy(False))
+        ends = np.cumsum(np.bincount(record[words], minlength=n)[plain])
+        texts = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), line.take(words))
+        each = {name: line.take(np.flatnonzero(chosen & (roles == r)))
+                for name, r in (("_ddmm", 1), ("_amount", 2), ("_balance", 4))}
+        out.append(_gathered(int(plain.sum()), doc=doc.take(first[plain]),
+                             mark=pa.array(mark[first[plain]]),
+                             _desc=pc.binary_join(texts, " "), **each))
+    if odd.any() and len(used):
+        kept = np.flatnonzero(odd[record])
+        names = pa.array(["date", "amount", "desc", "balance"]).take(pa.array(roles[kept] - 1))
+        out.append(_gathered(len(kept), doc=doc.take(kept), role=names,
+                             mark=pa.array(mark[kept], mask=mark[kept] < 0),
+                             line_no=line_no.take(kept), line=line.take(kept)))
+    return pa.concat_tables(out) if out else _gathered(0)
+
+
 def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
     """A12 + A14: movements ``(doc, line_no, date, concept, amount, balance)``.
 
@@ -106,34 +165,38 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
         (F.min(F.when(F.col("line") == TABLE_TITLE, F.col("line_no"))) + 1).alias("_start"),
         F.max_by(F.regexp_extract("line", THIS_STMT_RE, 1), F.when(this_hit, F.col("line_no")))
         .alias("_this"))
-    body = (join_small(lines, info, "doc", "left")
+    info = info.select("doc", "_start", _ddmmyyyy(F.col("_this")).alias("this_stmt"))
+    info, few = counted(info, "stmt-info")
+    body = (join_small(lines, info.select("doc", "_start"), "doc", "left", few)
             .filter(F.col("line_no") >= F.coalesce("_start", F.lit(0)))
-            .select("doc", "line_no", "line", _ddmmyyyy(F.col("_this")).alias("this_stmt"),
-                    _symbol(F.col("line")).alias("sym")))
-    # stored: the scan reads its rows several times, and the numbers without the texts
-    body = stage_table(body, "stmt-body")
-    scanned = fsm_scan(body, "doc", "line_no", "sym", TRANSITIONS, SEEK, RECORD_START,
-                       **({"block_rows": block_rows} if block_rows else {}))
+            .select("doc", "line_no", "line"))
 
-    st, sym = F.col("state_before"), F.col("sym")
-    role = (F.when((st == SEEK) & (sym == DATE), F.lit("date"))
-            .when(st == DESC, F.when(sym == MONEY_LINE, F.lit("amount")).otherwise(F.lit("desc")))
-            .when((st == AFTER_AMOUNT) & (sym == MONEY_LINE), F.lit("balance")))
-    # stored: read twice, and scanned once
-    parts = stage_table(scanned.withColumn("role", role).filter(
-        F.col("role").isNotNull() & F.col("mark").isNotNull()), "stmt-parts")
+    def dated(rows: DataFrame) -> DataFrame:
+        # stored: read several times, and scanned once
+        return stage_table(join_small(rows, info.select("doc", "this_stmt"), "doc", "left", few),
+                           "stmt-parts")
+
+    scanned = fsm_scan(body, "doc", "line_no", _symbol(F.col("line")), TRANSITIONS, SEEK,
+                       RECORD_START, gather=gather_records, gathered=GATHERED, store=dated,
+                       **({"block_rows": block_rows} if block_rows else {}))
+    scanned = scanned.filter(F.col("mark").isNotNull())
+    whole = scanned.filter(F.col("role").isNull()).select(
+        "doc", F.col("mark").alias("line_no"), "_ddmm", "_desc", "_amount", "_balance",
+        "this_stmt")
+    # lines of records that a cut between tasks parts, or of which the scan holds no more
+    parts = scanned.filter(F.col("role").isNotNull())
     # only complete records (those with a balance line) gather their lines: a
     # record cut off by the end of a document never collects its text
     complete = parts.filter(F.col("role") == "balance").select("doc", "mark")
     parts = parts.join(complete, ["doc", "mark"], "left_semi")
     rec = parts.groupBy("doc", F.col("mark").alias("line_no")).agg(
         F.max(F.when(F.col("role") == "date", F.col("line"))).alias("_ddmm"),
-        F.sort_array(F.collect_list(F.when(F.col("role") == "desc",
-                                           F.struct("line_no", "line")))).alias("_desc"),
+        F.array_join(F.sort_array(F.collect_list(F.when(
+            F.col("role") == "desc", F.struct("line_no", "line"))))["line"], " ").alias("_desc"),
         F.max(F.when(F.col("role") == "amount", F.col("line"))).alias("_amount"),
         F.max(F.when(F.col("role") == "balance", F.col("line"))).alias("_balance"),
         F.max("this_stmt").alias("this_stmt"))
-    rec = rec.filter(F.col("_balance").isNotNull())
+    rec = whole.unionByName(rec.filter(F.col("_balance").isNotNull()))
 
     day = F.substring("_ddmm", 1, 2)
     month = F.substring("_ddmm", 4, 2)
@@ -144,7 +207,7 @@ def parse_statement_lines(lines: DataFrame, block_rows: int | None = None) -> Da
     this_year = on_year(F.year("this_stmt"))
     date = F.when(this_year > F.col("this_stmt"), on_year(F.year("this_stmt") - 1)) \
         .otherwise(this_year)
-    desc = strip(F.array_join(F.col("_desc.line"), " "))
+    desc = strip(F.col("_desc"))
     return rec.select(
         "doc", "line_no",
         date.cast("timestamp_ntz").alias("date"),
