@@ -184,16 +184,28 @@ def _header_rows(raw: DataFrame) -> DataFrame:
 def concept_from_descriptions(c1: Column, c3: Column) -> Column:
     """A10: description 1 (minus a 'fecha de operación <date>' lead) plus
     description 3 when it is not already part of it; default text if both empty."""
-    c1 = F.coalesce(strip(c1), F.lit(""))
-    c3 = F.coalesce(strip(c3), F.lit(""))
-    words = F.split(c1, r"\s+")
-    tail = strip(F.array_join(F.slice(words, WIDE_OPERATION_WORDS_DROPPED + 1,
-                                      F.greatest(F.size(words), F.lit(1))), " "))
-    c1 = F.when(F.lower(c1).startswith(WIDE_OPERATION_PREFIX), tail).otherwise(c1)
-    combined = F.when(c1 != "", c1).otherwise(c3)
-    combined = F.when((c3 != "") & ~combined.contains(c3),
-                      strip(F.concat(combined, F.lit(" "), c3))).otherwise(combined)
-    return F.when(combined == "", F.lit(NO_DESCRIPTION)).otherwise(combined)
+    def without_lead(p: Column) -> Column:
+        words = F.split(p["c1"], r"\s+")
+        tail = strip(F.array_join(F.slice(words, WIDE_OPERATION_WORDS_DROPPED + 1,
+                                          F.greatest(F.size(words), F.lit(1))), " "))
+        led = F.lower(p["c1"]).startswith(WIDE_OPERATION_PREFIX)
+        return F.struct(F.when(led, tail).otherwise(p["c1"]).alias("c1"), p["c3"].alias("c3"))
+
+    def first_filled(p: Column) -> Column:
+        return F.struct(F.when(p["c1"] != "", p["c1"]).otherwise(p["c3"]).alias("text"),
+                        p["c3"].alias("c3"))
+
+    def with_details(p: Column) -> Column:
+        return F.when((p["c3"] != "") & ~p["text"].contains(p["c3"]),
+                      strip(F.concat(p["text"], F.lit(" "), p["c3"]))).otherwise(p["text"])
+
+    # each step names its input several times; a lambda computes it once
+    value = F.array(F.struct(F.coalesce(strip(c1), F.lit("")).alias("c1"),
+                             F.coalesce(strip(c3), F.lit("")).alias("c3")))
+    for step in (without_lead, first_filled, with_details,
+                 lambda text: F.when(text == "", F.lit(NO_DESCRIPTION)).otherwise(text)):
+        value = F.transform(value, step)
+    return F.get(value, F.lit(0))
 
 
 def _wide_files(raw: DataFrame) -> DataFrame:

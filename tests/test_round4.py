@@ -84,6 +84,17 @@ def test_sheet_rows_are_not_shuffled_to_their_files(spark, parse):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_a_concept_strips_each_description_once(spark):
+    df = spark.createDataFrame(
+        [(" shop ", "two"), ("Fecha de operación 01/02/2020 shop", "shop"), (None, " x "), ("", None),
+         ("fecha de operaci x", None)], "a string, b string")
+    out = df.select(grids.concept_from_descriptions(F.col("a"), F.col("b")).alias("c"))
+    assert [r.c for r in out.collect()] == ["shop two", "shop", "x", "no description",
+                                            "no description"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(a#") == 1
+
+
 def rows_and_states(rng):
     """Lines of documents, and what a loop over them says."""
     table, marks = [[1, 0, 0], [2, 1, 0], [2, 0, 1]], {(0, 0), (2, 2)}
