@@ -31,19 +31,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # Spark deletes a job's shuffle files when the job has ended, not when the driver's JVM
 # happens to collect its garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Staged tables are small for their rows: a task that read as many bytes as usual would sort
+# (and spill) many millions of rows, and a few such tasks do not fill their last round.
+STAGED_FILE_ROWS = 1 << 19
+READ_SPLITS = "spark.sql.files.minPartitionNum"
+SPLITS_PER_CORE = 4
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of a staged write, unless the session has its own."""
+    own = {SHUFFLE_CLEANUP: "true",
+           READ_SPLITS: str(SPLITS_PER_CORE * spark.sparkContext.defaultParallelism)}
+    own = {k: v for k, v in own.items() if spark.conf.get(k, None) is None}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k in own:
+            spark.conf.unset(k)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -52,8 +59,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     recomputing it at every reference.  The write's shuffle files go with its end."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    with _writing(spark):
+        df.write.options(compression="zstd", maxRecordsPerFile=STAGED_FILE_ROWS).parquet(path)
     if (step := _staged.get(None)) is not None:
         step.append(path)
     return spark.read.parquet(path)

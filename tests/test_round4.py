@@ -73,6 +73,14 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     assert staged.count() == 1000
 
 
+def test_staged_files_are_read_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(files, "STAGED_FILE_ROWS", 100)
+    before = spark.conf.get(files.READ_SPLITS, None)
+    staged = files.stage_table(spark.range(0, 1000, 1, 1), "many")
+    assert len(staged.inputFiles()) == 10 and staged.count() == 1000
+    assert spark.conf.get(files.READ_SPLITS, None) == before
+
+
 @pytest.mark.parametrize("parse", [grids.parse_yearly, grids.parse_multi_layout])
 def test_sheet_rows_are_not_shuffled_to_their_files(spark, parse):
     raw = spark.range(0, 100, 1, 4).select(
