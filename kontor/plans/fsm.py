@@ -247,7 +247,8 @@ class _Machine:
 
 def line_blocks(df: DataFrame, key: str, order: str, block_rows: int) -> DataFrame:
     """``df`` with ``_blk``: the block of each row, ascending with ``order`` within ``key``;
-    at most ``block_rows`` different numbers in a block."""
+    at most ``block_rows`` different numbers in a block.  For jobs that need blocks by counts;
+    ``fsm_scan`` cuts its rows by ranges."""
     shift = max(0, (block_rows // 2).bit_length() - 1)
     stretch = block_rows - (1 << shift) + 1          # places in which a block's ranges begin
     ranges = (df.groupBy(key, F.shiftright(order, shift).alias("_range"))
